@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 BLOCK_WORDS = 64
-SHARD_DOCS = 50_000
+SHARD_DOCS = 2_000
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
