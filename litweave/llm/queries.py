@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op4 import SQL as OP4_SQL
 from .op4 import op4_mixing
+from .op10 import op10_fingerprints
 
-QUERIES = {"op4_mixing": op4_mixing}
+QUERIES = {"op4_mixing": op4_mixing, "op10_fingerprints": op10_fingerprints}
 ORACLE_SQL = {"op4_mixing": OP4_SQL}
