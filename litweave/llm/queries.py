@@ -6,7 +6,13 @@ from .op4 import SQL as OP4_SQL
 from .op4 import op4_mixing
 from .op7 import SQL as OP7_SQL
 from .op7 import op7_minhash
+from .op9 import op9_packing
 from .op10 import op10_fingerprints
 
-QUERIES = {"op4_mixing": op4_mixing, "op7_minhash": op7_minhash, "op10_fingerprints": op10_fingerprints}
+QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op7_minhash": op7_minhash,
+    "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
+}
 ORACLE_SQL = {"op4_mixing": OP4_SQL, "op7_minhash": OP7_SQL}
