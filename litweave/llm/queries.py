@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op2 import op2_secrets
 from .op4 import SQL as OP4_SQL
 from .op4 import op4_mixing
 from .op7 import SQL as OP7_SQL
@@ -10,6 +11,7 @@ from .op9 import op9_packing
 from .op10 import op10_fingerprints
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op4_mixing": op4_mixing,
     "op7_minhash": op7_minhash,
     "op9_packing": op9_packing,
