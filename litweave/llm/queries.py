@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op2 import op2_secrets
+from .op3 import op3_toxicity
 from .op4 import SQL as OP4_SQL
 from .op4 import op4_mixing
 from .op7 import SQL as OP7_SQL
@@ -12,6 +13,7 @@ from .op10 import op10_fingerprints
 
 QUERIES = {
     "op2_secrets": op2_secrets,
+    "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op7_minhash": op7_minhash,
     "op9_packing": op9_packing,
