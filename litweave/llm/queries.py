@@ -8,6 +8,7 @@ from .op4 import SQL as OP4_SQL
 from .op4 import op4_mixing
 from .op7 import SQL as OP7_SQL
 from .op7 import op7_minhash
+from .op8 import op8_quality
 from .op9 import op9_packing
 from .op10 import op10_fingerprints
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
     "op7_minhash": op7_minhash,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }

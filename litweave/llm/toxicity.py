@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .labelled import fold, one_label, sample, seeded, texts_of
+from .labelled import fold, one_label, sample, texts_of
 
 FOLDS, HELD_OUT = 4, 2
 #: Bounds of the sample that the classifier is fitted on.
@@ -160,4 +160,3 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-__all__ = ["fit_nnpu", "learn", "score_texts", "seeded", "toxicity"]
