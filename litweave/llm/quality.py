@@ -11,6 +11,7 @@ logits are divided by is fitted on rows of that sample that it was not trained o
 
 from __future__ import annotations
 
+import operator
 import re
 import zlib
 from collections.abc import Iterator
@@ -46,32 +47,34 @@ def bucket(word: str) -> int:
 
 
 class Buckets(dict):
-    """Word → the buckets of it and of its shape."""
+    """What stands between white space → the buckets of its words and of their shapes, as bytes of 16-bit numbers."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) > 400_000:
             self.clear()
-        shape = DIGITS if word.isdigit() else SIGNS if not word.isalpha() else UPPER if word.isupper() and len(word) > 1 else TITLE if word[0].isupper() else None
-        out = self[word] = (bucket(word.lower()),) if shape is None else (bucket(word.lower()), bucket(shape))
+        out = []
+        for w in WORD.findall(piece):
+            out.append(bucket(w.lower()))
+            shape = DIGITS if w.isdigit() else SIGNS if not w.isalpha() else UPPER if w.isupper() and len(w) > 1 else TITLE if w[0].isupper() else None
+            if shape:
+                out.append(bucket(shape))
+        out = self[piece] = np.array(out, np.uint16).tobytes()
         return out
 
 
 def numbers(text: str | None, known: Buckets) -> np.ndarray:
-    words = WORD.findall(text) if text else []
-    if not words:
-        return np.empty(0, np.int64)
-    own = [x for w in words for x in known[w]]
-    again = sum(a == b for a, b in zip(words, words[1:]))
-    return np.array(own + [bucket(AGAIN)] * again, np.int64)
+    pieces = text.split() if text else []
+    again = sum(map(operator.eq, pieces, pieces[1:]))
+    return np.frombuffer(b"".join([known[p] for p in pieces]) + np.uint16(bucket(AGAIN)).tobytes() * again, np.uint16)
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known, total = Buckets(), np.zeros(BUCKETS * DIMS)
+    known, total, between = Buckets(), np.zeros(BUCKETS * DIMS), np.full(REACH, GAP, np.uint16)
     for pdf in batches:
         parts = []
         for t in pdf["text"]:
             if isinstance(t, str):
-                parts += [numbers(t, known), [GAP] * REACH]
+                parts += [numbers(t, known), between]
         if not parts:
             continue
         ids = np.concatenate(parts).astype(np.int64)
