@@ -6,6 +6,8 @@ from .op2 import op2_secrets
 from .op3 import op3_toxicity
 from .op4 import SQL as OP4_SQL
 from .op4 import op4_mixing
+from .op6 import SQL as OP6_SQL
+from .op6 import op6_embeddings
 from .op7 import SQL as OP7_SQL
 from .op7 import op7_minhash
 from .op8 import op8_quality
@@ -16,9 +18,10 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op6_embeddings": op6_embeddings,
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
 }
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op7_minhash": OP7_SQL}
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_minhash": OP7_SQL}
