@@ -6,12 +6,12 @@
 3. In each bucket (band key) every member is paired with a leader only. Bands choose leaders by four
    seeded orders, so that a chain of near copies hangs together through several leaders. Pairs
    whose signatures agree enough are confirmed on the full sets; components come from those links.
-4. Buckets that still hold several components are compared again: all their members in blocks, by
-   signatures, where only pairs across components that agree enough are made, and those are confirmed on
-   the full sets. Pairs within a component need no link. No bucket is capped.
+4. Buckets that still hold several components are compared again: their members in blocks, across components,
+   first by signatures and then on the full sets, which stand in the block. Only links that join
+   two components leave the task, so no pairs are written out. No bucket is capped.
 
 A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 1 - 6e-6 at 0.75; its
-signatures agree in fewer than AGREE places with a probability below 1e-6.
+signatures agree in fewer than AGREE places with a probability of 3e-5 at 0.75 and 1e-9 at 0.8.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
 WORDS = 5
 PERCENT = 75
-AGREE = 70
+AGREE = 76
 LEADERS = 4
-BLOCK = 1_024
+BLOCK, BLOCK_BYTES = 1_024, 16_000_000
 _RNG = np.random.Generator(np.random.PCG64(20_240_917))
 _A = (_RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -99,54 +99,65 @@ def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[(a == b).sum(axis=1) >= AGREE, ["a", "b"]]
 
 
-def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen, kept, size = WordHashes(), {}, 0
-
-    def of(i: int, text: str) -> np.ndarray:
-        nonlocal size
-        key = (i, len(text), hash(text))
-        if key not in kept:
-            if size > 4_000_000:
-                kept.clear()
-                size = 0
-            kept[key] = shingles(text, seen)
-            size += len(kept[key])
-        return kept[key]
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of PERCENT / 100 or more."""
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s) or PERCENT * len(t) > 100 * len(s):
+        return False
+    at = np.searchsorted(t, s)
+    at[at == len(t)] = 0
+    both = int((t[at] == s).sum())
+    return 100 * both >= PERCENT * (len(s) + len(t) - both)
+
+
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    seen = WordHashes()
+    for pdf in batches:
+        yield pd.DataFrame({"node": pdf["node"], "shingles": [shingles(t, seen).tobytes() for t in pdf["text"]]})
+
 
+def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        good = []
-        for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-            s, t = of(a, x), of(b, y)
-            both = len(np.intersect1d(s, t, assume_unique=True)) if PERCENT * max(len(s), len(t)) <= 100 * min(len(s), len(t)) else 0
-            good.append(100 * both >= PERCENT * (len(s) + len(t) - both))
+        good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["set_a"], pdf["set_b"], strict=True)]
         yield pdf.loc[np.array(good, bool), ["a", "b"]]
 
 
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, block, mover): the members of a block, then the members of earlier blocks."""
-    at, own, block = None, [], None
-
-    def pairs(ids, comps, sigs, ids2, comps2, sigs2, same: bool) -> pd.DataFrame:
-        a, b = [], []
-        for i in range(len(ids2)):
-            far = np.flatnonzero(comps != comps2[i])
-            far = far[far > i] if same else far
-            if len(far):
-                hit = far[(sigs[far] == sigs2[i]).sum(axis=1) >= AGREE]
-                a += [ids2[i]] * len(hit)
-                b += ids[hit].tolist()
-        return pd.DataFrame({"a": np.minimum(a, b).astype("int64"), "b": np.maximum(a, b).astype("int64")})
+    """Rows sorted by (key, block, mover): the members of a block, then the members of earlier blocks.
+
+    Members of different components whose signatures agree are compared on their full sets, and those links come out
+    that join what nothing in this block has joined before.
+    """
+    at, own, block, up = None, [], None, {}
+
+    def root(c: int) -> int:
+        while (to := up.get(c, c)) != c:
+            up[c] = c = up.get(to, to)
+        return c
 
     def arrays(pdf: pd.DataFrame) -> tuple:
-        return pdf["rep"].to_numpy(), pdf["comp"].to_numpy(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, PERMUTATIONS)
+        return pdf["rep"].tolist(), pdf["comp"].tolist(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, PERMUTATIONS), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+
+    def links(mine: tuple, others: tuple, same: bool) -> pd.DataFrame:
+        reps, comps, sigs, sets = mine
+        out = []
+        for i, (rep, comp, sig, own_set) in enumerate(zip(*others, strict=True)):
+            first = i + 1 if same else 0
+            for j in (np.flatnonzero((sigs[first:] == sig).sum(axis=1) >= AGREE) + first).tolist():
+                r, t = root(comp), root(comps[j])
+                if r != t and similar(own_set, sets[j]):
+                    up[r] = t
+                    out.append((max(rep, reps[j]), min(rep, reps[j])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     for pdf in batches:
         for k, part in pdf.groupby(["key", "block", "mover"], sort=False):
             if k[:2] != at:
                 if own:
                     x = arrays(pd.concat(own))
-                    yield pairs(*x, *x, True)
-                at, own, block = k[:2], [], None
+                    yield links(x, x, True)
+                at, own, block, up = k[:2], [], None, {}
             if not k[2]:
                 own.append(part)
             else:
@@ -154,20 +165,17 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     block = arrays(pd.concat(own)) if own else ()
                     own = []
                     if block:
-                        yield pairs(*block, *block, True)
+                        yield links(block, block, True)
                 if block:
-                    yield pairs(*block, *arrays(part), False)
+                    yield links(block, arrays(part), False)
     if own:
         x = arrays(pd.concat(own))
-        yield pairs(*x, *x, True)
+        yield links(x, x, True)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough; ``texts`` has (node, text)."""
-    p = cut(pairs)
-    ids = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    t = cut(texts.join(ids, "node", "left_semi"))
-    wide = p.join(t.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(t.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose full shingle sets are similar enough; ``sets`` has (node, shingles)."""
+    wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
     return wide.mapInPandas(_confirm, "a bigint, b bigint").distinct()
 
 
@@ -190,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     own = rows.where("digest is not null and doc_id is not null")
     reps = cut(own.groupBy("digest").agg(F.min("doc_id").alias("rep")))
     # (rep, bands, sig): a representative's id occurs with the digests of its own texts only
-    heads = own.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "bands", "sig")
+    heads = own.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig")
     heads = cut(heads)
     buckets = heads.select("rep", F.posexplode("bands").alias("band", "key"))
     order = F.xxhash64(F.col("rep"), F.col("band") % LEADERS)
@@ -200,18 +208,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = cut(buckets.select("key", "rep").join(led, "key"))
     stars = met.where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
     sigs = heads.select("rep", "sig")
+    # full sets of all that share a bucket with another
     texts = docs.select(F.col("doc_id").alias("node"), "text").where("doc_id is not null and text is not null")
-    links = cut(confirmed(signed(stars, sigs), texts))
+    sets = cut(texts.join(met.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").mapInPandas(_sets, "node bigint, shingles binary"))
+    links = cut(confirmed(signed(stars, sigs), sets))
     comps = cut(connected_components(links))
     placed = met.where("members > 2").join(comps, met["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     placed = cut(placed)
-    mixed_up = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo <> hi").select("key", "blocks")
-    again = placed.join(mixed_up, "key").join(sigs.dropDuplicates(["rep", "sig"]), "rep")
-    again = again.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    again = again.select("key", "rep", "comp", "sig", "own", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("block")).withColumn("mover", F.col("block") > F.col("own")).drop("own")
+    mixed_up = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    # a block is small in members and, as far as one member allows it, in bytes
+    signs = heads.select("rep", "sig", "n_shingles").dropDuplicates(["rep", "sig"])
+    again = cut(placed.join(mixed_up.select("key"), "key").join(signs, "rep"))
+    sized = again.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    again = again.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
+    again = again.join(sets.withColumnRenamed("node", "rep"), "rep")
+    again = again.select("key", "rep", "comp", "sig", "shingles", "own", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("block")).withColumn("mover", F.col("block") > F.col("own")).drop("own")
     again = again.repartition("key", "block").sortWithinPartitions("key", "block", "mover")
-    late = again.mapInPandas(_across, "a bigint, b bigint").distinct()
-    more = cut(confirmed(late, texts))
+    more = cut(again.mapInPandas(_across, "a bigint, b bigint").distinct())
     final = cut(connected_components(links.unionByName(more)))
     of_set = reps.join(final, reps["rep"] == final["node"], "left").select("digest", F.coalesce("component", "rep").alias("_comp"))
     out = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
