@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .op1 import op1_token_counts
 from .op2 import op2_secrets
 from .op3 import op3_toxicity
 from .op4 import SQL as OP4_SQL
 from .op4 import op4_mixing
+from .op5 import op5_licences
 from .op6 import SQL as OP6_SQL
 from .op6 import op6_embeddings
 from .op7 import SQL as OP7_SQL
@@ -15,9 +17,11 @@ from .op9 import op9_packing
 from .op10 import op10_fingerprints
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_secrets": op2_secrets,
     "op3_toxicity": op3_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_licences": op5_licences,
     "op6_embeddings": op6_embeddings,
     "op7_minhash": op7_minhash,
     "op8_quality": op8_quality,

@@ -26,16 +26,20 @@ def public_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Ids:
-    """``Ids(path)(texts)``: for each text its ids as little-endian unsigned 32-bit numbers."""
+    """``Ids(path)(texts)``: for each text its ids as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str) -> None:
+    The tokenizer's special string is its own id, or ordinary text if ``special_as_text``.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.parts = regex.compile(PATTERN)
         self.known: dict[str, bytes] = {}
-        special = self.tokenizer.token_to_id(SPECIAL)
+        self.tokenizer.encode_special_tokens = special_as_text
+        special = None if special_as_text else self.tokenizer.token_to_id(SPECIAL)
         self.special = None if special is None else np.uint32(special).tobytes()
 
     def words(self, text: str) -> list[str]:
