@@ -230,3 +230,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), "digest")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs``, with all its columns, without the near duplicates: of each component the document of the smallest id stays.
+
+    Of rows that share an id one stays; rows without an id and texts without words stay.
+    """
+    docs = docs.select(*docs.columns)
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if twice.isEmpty():
+        return out
+    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(out.where("doc_id is null"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import SPACES, WORD, cut
 
 BLOCK_WORDS = 64
 SHARD_DOCS = 2_000
@@ -131,3 +131,23 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_docs: int = SH
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
         F.when((first > 0), F.greatest("_from", a) - F.col("_from")).otherwise(0).cast("long").alias("first_word"), *keep,
     )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: every document as often as the mix takes it.
+
+    Documents taken whole keep their text; of one taken in part, which happens only where the blocks taken
+    from a shard begin or end, a further row has the words taken, with single spaces between them. Documents of which
+    nothing is taken, among them those without words, are not in the mix.
+    """
+    own = [c for c in docs.columns if c not in ("doc_id", "source")]
+    m = mix(docs.withColumn("_source", F.col("source")), keep=(*own, "_source")).where("taken > 0").withColumnRenamed("_source", "source")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    m = m.withColumn("_rest", rest).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    part = (F.col("_rest") > 0) & (F.col("_copy") > F.floor(F.col("taken") / F.col("size")))
+    words = F.filter(F.split("text", rf"[{SPACES}]+"), lambda w: w != "")
+    some = F.array_join(F.slice(F.concat(words, words), F.col("first_word").cast("int") + 1, F.col("_rest")), " ")
+    m = m.withColumn("_part", part).withColumn("text", F.when(F.col("_part"), some).otherwise(F.col("text")))
+    if "n_chars" in own:
+        m = m.withColumn("n_chars", F.when(F.col("_part"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return m.select(*docs.columns)

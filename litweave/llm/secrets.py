@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .automaton import Dfa, compile_dfa, search_lanes, spans
 from .common import small_batches
@@ -116,27 +115,19 @@ def mask(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def mask_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with every secret masked and, where there is such a column, the number of code points set anew.
+    """``docs`` with every secret masked and, where there is such a column, the number of code points of changed texts set anew.
 
-    Every row stays; rows without secrets and null texts are unchanged.
+    Every row and column stays; rows without secrets and null texts are unchanged.
     """
-    names, tables = docs.columns, automata()
+    tables = automata()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf[text]]
-            new = [mask(t, f) if f else t for t, f in zip(texts, scan(texts, tables), strict=True)]
-            pdf[text] = pd.Series(new, dtype=object, index=pdf.index)
-            if length in names:
-                changed = [a is not b for a, b in zip(new, texts, strict=True)]
-                counts = pdf[length].astype("Int64")
-                counts[changed] = [len(t) for t, c in zip(new, changed, strict=True) if c]
-                pdf[length] = counts
-            yield pdf
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        own = [t if isinstance(t, str) else None for t in texts]
+        return pd.Series([mask(t, f) if f else t for t, f in zip(own, scan(own, tables), strict=True)], dtype=object)
 
     small_batches(docs.sparkSession)
-    ints = (T.LongType, T.IntegerType, T.ShortType, T.ByteType)
-    plain = docs.select(*[docs[c].cast("bigint").alias(c) if isinstance(docs.schema[c].dataType, ints) else docs[c] for c in names])
-
-    back = [F.col(f"`{c}`").cast(docs.schema[c].dataType).alias(c) for c in names]
-    return plain.mapInPandas(run, plain.schema).select(*back)
+    new = docs.withColumn("_masked", masked(text))
+    if length in docs.columns:
+        new = new.withColumn(length, F.when(F.col("_masked") != F.col(text), F.char_length("_masked").cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return new.withColumn(text, F.col("_masked")).select(*docs.columns)

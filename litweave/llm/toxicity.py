@@ -123,30 +123,35 @@ def learn(docs: DataFrame, labels: DataFrame, *, most_positive: int = MOST_POSIT
     return dict(zip(columns.tolist(), w.tolist(), strict=True)), b
 
 
-def score_texts(docs: DataFrame, model: tuple[dict[int, float], float]) -> DataFrame:
-    """(doc_id, score) of every row's whole text; a null text counts as empty."""
+def scorer(model: tuple[dict[int, float], float]):
+    """A column function: whole texts → scores."""
     weights, bias = model
     w_of = {f: w for f, w in weights.items() if w}
+    known: dict[str, tuple] = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple] = {}
-        for pdf in batches:
-            out = []
-            for text in pdf["text"]:
-                found: set[int] = set()
-                for w in set(LETTERS.findall(text.lower())) if isinstance(text, str) else ():
-                    own = known.get(w)
-                    if own is None:
-                        if len(known) > 400_000:
-                            known.clear()
-                        own = known[w] = tuple(f for f in features(w) if f in w_of)
-                    if own:
-                        found.update(own)
-                out.append(bias + sum(w_of[f] for f in sorted(found)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": sigmoid(np.array(out, float))})
+    def score(text: str | None) -> float:
+        found: set[int] = set()
+        for w in set(LETTERS.findall(text.lower())) if isinstance(text, str) else ():
+            own = known.get(w)
+            if own is None:
+                if len(known) > 400_000:
+                    known.clear()
+                own = known[w] = tuple(f for f in features(w) if f in w_of)
+            if own:
+                found.update(own)
+        return bias + sum(w_of[f] for f in sorted(found))
 
+    @F.pandas_udf("double")
+    def scores(texts: pd.Series) -> pd.Series:
+        return pd.Series(sigmoid(np.array([score(t) for t in texts], float)))
+
+    return scores
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double")
+    return docs.withColumn("_score", scorer(learn(docs, labels))("text")).where(F.col("_score") < threshold).select(*docs.columns)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,7 +160,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     Null and empty texts get the score of a text without words. Without labels every score is near 0.
     Rows that share an id are scored each for itself; a null id is in no fold held out.
     """
-    s = score_texts(docs, learn(docs, labels))
+    small_batches(docs.sparkSession)
+    s = docs.select("doc_id", scorer(learn(docs, labels))("text").alias("score"))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
