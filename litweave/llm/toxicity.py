@@ -101,7 +101,13 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
         b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    return columns, w * scale, b
+    # the bias is moved half way to where the mean score of unlabelled text is the prior: the clipped risk leaves it
+    # too high, while all the way would take in that unlabelled toxic text scores lower than it should
+    z, lo, hi = u.dot(w * scale), -40.0, 40.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if sigmoid(z + mid).mean() > prior else (mid, hi)
+    return columns, w * scale, (b + lo) / 2
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = SEED) -> tuple[dict[int, float], float]:
