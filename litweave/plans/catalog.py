@@ -1,4 +1,548 @@
-"""All registered queries of the library's own operators."""
+"""All registered queries of the library's own operators, and the same results in SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import evidence as E
+from ..operators import networks as N
+from ..operators import stats as S
+from ..operators import temporal as B
+from ..operators import textmining as M
+from ..operators import topics as P
+from .adapters import DOCS, ORDERS, SELF, documents_as_works, orders_as_works, self_citations, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def works(sql: str) -> str:
+    return f"with {ORDERS}{sql}"
+
+
+CO = """
+, lists as (select record_id, list_sort(list(distinct {col})) as i from {tab} group by record_id),
+l as (select record_id, i[1:{most}] as i from lists where len(i) > 1),
+pairs as (select len(x.i) as n, x.i[s.k] as a, x.i[t.k] as b from l x, (select unnest(range(1, {most} + 1)) as k) s, (select unnest(range(1, {most} + 1)) as k) t where s.k < t.k and t.k <= len(x.i)),
+c as (select a, b, n, count(*) as c from pairs group by a, b, n),
+co as (select a, b, {weight} as weight from c group by a, b)
+"""
+FRACTION = "round(sum(c / cast(n - 1 as double)), 6)"
+
+
+@query("a01_year_stats", works("select year, count(*) as documents, cast(sum(citations) as bigint) as citations from works where year is not null and year <> 0 group by year"))
+def _(spark, d):
+    return S.year_stats(orders_as_works(spark, d))
+
+
+@query("a02_term_stats", works("""
+, m as (select max(year) as last from works), n as (select count(*) filter (year >= last - 2) as r, count(*) filter (year < last - 2) as p from works, m)
+select keyword as term, count(*) as documents, cast(sum(citations) as bigint) as citations, count(*) filter (year >= last - 2) as recent_documents,
+  round(count(*) filter (year >= last - 2) / cast(greatest(max(r), 1) as double) - count(*) filter (year < last - 2) / cast(greatest(max(p), 1) as double), 6) as burst_score
+from keywords join works using (record_id), m, n where keyword is not null group by keyword"""))
+def _(spark, d):
+    return S.term_stats(orders_as_works(spark, d))
+
+
+@query("a03_overview", works("""
+select unnest(['records', 'first_year', 'last_year', 'citations', 'with_keywords', 'with_authors', 'with_references']) as metric,
+  unnest([count(*), min(year), max(year), cast(sum(citations) as bigint), (select count(distinct record_id) from keywords), (select count(distinct record_id) from authors), (select count(distinct record_id) from refs)]) as value from works"""))
+def _(spark, d):
+    return S.overview(orders_as_works(spark, d))
+
+
+@query("a04_keyword_cooccurrence_fractional", works(CO.format(col="keyword", tab="keywords", most=30, weight=FRACTION) + "select a, b, weight from co"))
+def _(spark, d):
+    return N.cooccurrence(orders_as_works(spark, d), "keywords", 30)
+
+
+@query("a04_keyword_cooccurrence_full", works(CO.format(col="keyword", tab="keywords", most=30, weight="cast(sum(c) as bigint)") + "select a, b, weight from co"))
+def _(spark, d):
+    return N.cooccurrence(orders_as_works(spark, d), "keywords", 30, fractional=False)
+
+
+@query("a04_author_collaboration", works(CO.format(col="author", tab="authors", most=100, weight=FRACTION) + "select a, b, weight from co"))
+def _(spark, d):
+    return N.cooccurrence(orders_as_works(spark, d), "authors", 100)
+
+
+@query("a05_citation_degree", f"with {SELF}, x as (select target_id as record_id, weight as i, 0 as o from edges union all select source_id, 0, weight from edges) select record_id, cast(sum(i) as bigint) as local_citations, cast(sum(o) as bigint) as references_in_corpus from x group by 1")
+def _(spark, d):
+    return N.degrees(self_citations(spark, d))
+
+
+@query("a06_topic_trends", works("select year, topic_id, count(*) as documents from works where topic_id is not null group by 1, 2"))
+def _(spark, d):
+    return P.topic_trends(orders_as_works(spark, d))
+
+
+TRENDS = ", t as (select year, topic_id, count(*) as documents from works where topic_id is not null group by 1, 2), m as (select max(year) as last from t)"
+
+
+@query("a07_topic_lifecycle", works(TRENDS + """, g as (select topic_id, min(year) as first_year, max(year) as last_year,
+  cast(coalesce(sum(documents) filter (year >= last - 2), 0) as bigint) as recent_documents, cast(coalesce(sum(documents) filter (year < last - 2), 0) as bigint) as prior_documents from t, m group by topic_id)
+select *, case when recent_documents >= greatest(2, prior_documents) then 'emerging' when recent_documents = 0 then 'declining' else 'established' end as stage from g"""))
+def _(spark, d):
+    return P.topic_lifecycle(P.topic_trends(orders_as_works(spark, d)))
+
+
+@query("a08_topic_evolution", works(TRENDS + """, p as (select year // 5 * 5 as p, topic_id, cast(sum(documents) as bigint) as n from t group by 1, 2),
+f as (select p, lead(p) over (order by p) as q from (select distinct p from p))
+select a.p || '-' || (a.p + 4) as source_period, b.p || '-' || (b.p + 4) as target_period, a.topic_id, least(a.n, b.n) as flow_weight, a.n as source_documents, b.n as target_documents
+from p a join f on f.p = a.p join p b on b.p = f.q and b.topic_id = a.topic_id"""))
+def _(spark, d):
+    return P.topic_evolution(P.topic_trends(orders_as_works(spark, d)))
+
+
+@query("a09_gap_candidates", works("""select 'G' || lpad(cast(topic_id as varchar), 3, '0') as gap_id, topic_id, count(*) as documents, min(year) as year_min, max(year) as year_max, count(*) filter (type = 'F') as fulltext_documents,
+ case when count(*) < 5 or count(*) filter (type = 'F') = 0 then 'low' else 'medium' end as evidence_strength from works where topic_id is not null group by topic_id"""))
+def _(spark, d):
+    return P.gap_candidates(orders_as_works(spark, d), "type = 'F'")
+
+
+@query("a10_metadata_coverage", works("""
+, k as (select w.venue as source, (year is not null and year <> 0) as year, (select count(*) > 0 from keywords x where x.record_id = w.record_id) as keywords, (select count(*) > 0 from authors x where x.record_id = w.record_id) as authors, citations > 100 as citations from works w),
+g as (select case when grouping(source) = 1 then 'overall' else 'source' end as scope, case when grouping(source) = 1 then 'all' else coalesce(source, 'unknown') end as source, count(*) as total,
+  count(*) filter (year) as y, count(*) filter (keywords) as k, count(*) filter (authors) as a, count(*) filter (citations) as c from k group by grouping sets ((), (source)))
+select scope, source, unnest(['year', 'keywords', 'authors', 'citations']) as field, unnest([y, k, a, c]) as available, total, round(unnest([y, k, a, c]) / cast(greatest(total, 1) as double), 6) as coverage from g"""))
+def _(spark, d):
+    fields = {"year": S.known_year(), "keywords": F.size("keywords") > 0, "authors": F.size("authors") > 0, "citations": F.col("citations") > 100}
+    return S.metadata_coverage(orders_as_works(spark, d), fields, "venue")
+
+
+AGES = ", a as (select w.topic_id, w.year - (1990 + r.ref % 10) as age from refs r join works w using (record_id) where 1990 + r.ref % 10 <= w.year)"
+
+
+@query("a11_citation_age_summary", works(AGES + """
+select case when grouping(topic_id) = 1 then 'all' else 'topic-' || topic_id end as scope, count(*) as references, median(age) as median_age, round(avg(age), 6) as mean_age, cast(quantile_cont(age, 0.5) as double) as synchronous_half_life,
+  round(avg(case when age <= 5 then 1.0 else 0.0 end), 6) as recent_reference_share_5y from a group by grouping sets ((), (topic_id)) having grouping(topic_id) = 1 or topic_id is not null"""))
+def _(spark, d):
+    w = orders_as_works(spark, d)
+    return P.citation_age(w.select("topic_id", F.col("year").alias("citing_year"), F.explode("refs").alias("ref")).select("topic_id", "citing_year", (1990 + F.col("ref") % 10).alias("reference_year")))
+
+
+@query("a12_knowledge_flow", works(f""", {SELF}, t as (select record_id, topic_id from works where topic_id is not null), z as (select topic_id, count(*) as n from t group by 1),
+g as (select a.topic_id as source_topic, b.topic_id as target_topic, cast(sum(weight) as bigint) as citation_weight, count(distinct source_id) as independent_citing_documents from edges join t a on a.record_id = target_id join t b on b.record_id = source_id group by 1, 2)
+select source_topic, target_topic, citation_weight, round(citation_weight / sqrt(za.n * zb.n), 6) as fractional_flow, independent_citing_documents, independent_citing_documents >= 3 as eligible
+from g join z za on za.topic_id = source_topic join z zb on zb.topic_id = target_topic"""))
+def _(spark, d):
+    return P.knowledge_flow(self_citations(spark, d), orders_as_works(spark, d))
+
+
+TERMS = "tt as (select keyword as term, min(topic_id) as topic_id from keywords join works using (record_id) where keyword is not null and topic_id is not null group by 1)"
+
+
+@query("a13_strategic_map", works(CO.format(col="keyword", tab="keywords", most=30, weight=FRACTION) + f""", {TERMS}, z as (select topic_id, count(*) as documents from works where topic_id is not null group by 1),
+e as (select x.topic_id as ta, y.topic_id as tb, weight from co join tt x on x.term = a join tt y on y.term = b),
+ends as (select ta as t, weight as i, 0 as o from e where ta = tb union all select ta, 0, weight from e where ta <> tb union all select tb, 0, weight from e where ta <> tb),
+k as (select t, sum(i) as i, sum(o) as o from ends group by t), n as (select topic_id, count(*) as n from tt group by 1),
+m as (select topic_id, documents, round(coalesce(i, 0) / greatest(coalesce(n, 0) * (coalesce(n, 0) - 1) / 2.0, 1.0), 6) as density, round(coalesce(o, 0), 6) as centrality from z left join n using (topic_id) left join k on k.t = topic_id),
+q as (select median(centrality) as cm, median(density) as dm from m)
+select topic_id, documents, density, centrality, case when centrality >= cm and density >= dm then 'motor' when centrality >= cm then 'basic' when density >= dm then 'niche' else 'weakly-developed' end as quadrant from m, q"""))
+def _(spark, d):
+    w = orders_as_works(spark, d)
+    terms = w.where("topic_id is not null").select(F.explode("keywords").alias("term"), "topic_id")
+    return P.strategic_map(N.cooccurrence(w, "keywords", 30), terms, w.where("topic_id is not null").groupBy("topic_id").agg(F.count("*").alias("documents")))
+
+
+@query("a14_citation_roles", """
+with h as (select user_id as record_id, 2000 + user_id % 24 as year, 1994 + day(ts) as y, count(*) as n from events group by 1, 2, 3), m as (select max(year) as last from h),
+g as (select record_id, any_value(year) as year, max(n) as citations, cast(coalesce(sum(n) filter (y >= last - 2), 0) as bigint) as r, cast(coalesce(sum(n) filter (y < last - 2), 0) as bigint) as e, count(*) as act, any_value(last) as last from h, m group by record_id)
+select record_id, year, citations, case when last - year >= 8 and r > greatest(e, 1) then 'rediscovery-candidate' when year >= last - 3 and r >= greatest(3, e * 2) then 'short-wave-or-frontier' when last - year >= 8 and act >= 4 then 'sustained-classic' else 'unclassified' end as role, true as annual_history_available from g""")
+def _(spark, d):
+    h = table(spark, d, "events").groupBy("user_id", (1994 + F.day("ts")).alias("y")).agg(F.count("*").alias("n"))
+    h = h.groupBy(F.col("user_id").alias("record_id")).agg(F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("history"), F.max("n").alias("citations")).withColumn("year", 2000 + F.col("record_id") % 24)
+    return B.citation_roles(h)
+
+
+@query("a15_method_counts", "select trim(m) as method, count(*) as mentions from (select unnest(string_split_regex(props || ';' || event_type, '[;,]')) as m from events) where trim(m) <> '' group by 1")
+def _(spark, d):
+    e = table(spark, d, "events").select(F.explode(F.split(F.concat_ws(";", "props", "event_type"), "[;,；|]")).alias("m"))
+    return e.select(F.trim("m").alias("method")).where("method <> ''").groupBy("method").agg(F.count("*").alias("mentions"))
+
+
+@query("a19_sample_signature", f"with {DOCS}, s as (select record_id, substr(sha256(venue || '|' || year), 1, 12) as signature from docs) select record_id, signature, count(*) over (partition by signature) > 1 as overlap from s")
+def _(spark, d):
+    from pyspark.sql import Window as W
+
+    r = documents_as_works(spark, d).select("record_id", F.substring(F.sha2(F.concat_ws("|", "venue", "year"), 256), 1, 12).alias("signature"))
+    return r.withColumn("overlap", F.count("*").over(W.partitionBy("signature")) > 1)
+
+
+@query("a21_citation_minimum", "select n, cast(case when n <= 100 then ceil(6 * n / 10.0) else least(n, greatest(ceil(greatest(40.0, 5 * sqrt(n))), least(120, ceil(6 * n / 10.0)))) end as bigint) as minimum from (select o_orderkey % 1200 as n from orders) group by n")
+def _(spark, d):
+    return table(spark, d, "orders").select((F.col("o_orderkey") % 1200).alias("n")).distinct().select("n", F.when(F.col("n") <= 100, F.ceil(6 * F.col("n") / 10)).otherwise(S.citation_minimum(F.col("n"))).cast("long").alias("minimum"))
+
+
+@query("a22_reference_candidates", works("select ref as key, count(*) as occurrences, max(year) as last_year from refs join works using (record_id) where ref not in (select p_partkey from part where p_size > 25) group by 1 order by 2 desc, 3 desc, 1 limit 200"))
+def _(spark, d):
+    known = table(spark, d, "part").where("p_size > 25").select(F.col("p_partkey").alias("key"))
+    return S.reference_candidates(orders_as_works(spark, d), known)
+
+
+@query("a23_context_estimate", f"with {DOCS} select count(*) as records, cast(sum(greatest(1, length(abstract) // 4)) as bigint) as tokens, cast(ceil(count(*) / 12.0) as bigint) as batches from docs")
+def _(spark, d):
+    return S.context_estimate(documents_as_works(spark, d), F.col("abstract"))
+
+
+@query("j03_citation_edges", f"with {SELF} select * from edges")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_orderkey").cast("string").alias("doi"), F.lit(None).cast("string").alias("openalex"))
+    refs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("record_id"), F.col("l_partkey").cast("string").alias("doi"), F.lit(None).cast("string").alias("openalex"))
+    return N.citation_edges(o, refs)
+
+
+@query("j04_bibliographic_coupling", works("select x.record_id as record_a, y.record_id as record_b, count(*) as shared_references from refs x join refs y on x.ref = y.ref and x.record_id < y.record_id group by 1, 2"))
+def _(spark, d):
+    return N.bibliographic_coupling(orders_as_works(spark, d))
+
+
+@query("j05_co_citation", works(", k as (select *, row_number() over (partition by record_id order by ref) as p from refs) select x.ref as reference_a, y.ref as reference_b, count(*) as co_citations from k x join k y on x.record_id = y.record_id and x.ref < y.ref and x.p <= 80 and y.p <= 80 group by 1, 2"))
+def _(spark, d):
+    return N.co_citation(orders_as_works(spark, d))
+
+
+@query("j06_topic_cluster_cross", works("select topic_id, citations // 100 as cluster, count(*) as documents from works where topic_id is not null group by 1, 2"))
+def _(spark, d):
+    return P.contingency(orders_as_works(spark, d).withColumn("cluster", F.floor(F.col("citations") / 100)), "topic_id", "cluster")
+
+
+@query("j12_term_topic", works(f", {TERMS} select * from tt"))
+def _(spark, d):
+    return P.term_topic(orders_as_works(spark, d).where("topic_id is not null").select(F.explode("keywords").alias("term"), "topic_id"))
+
+
+@query("j13_seed_recall", "select item_id, exists (select 1 from documents where contains(lower(documents.text), lower(benchmark.text))) as recalled from benchmark")
+def _(spark, d):
+    seeds = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("seed"))
+    docs = table(spark, d, "documents").select(F.lower("text").alias("body"))
+    # seeds are a list written by hand, so the corpus is read once against all of them
+    found = docs.join(F.broadcast(seeds), F.contains("body", "seed")).select("item_id").distinct()
+    return seeds.join(found.withColumn("hit", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("recalled"))
+
+
+EDGES = CO.format(col="author", tab="authors", most=100, weight=FRACTION) + ", ed as (select a, b, weight from co where weight >= 1), bo as (select a, b, weight from ed union all select b, a, weight from ed)"
+
+
+def author_edges(spark, d):
+    return N.cooccurrence(orders_as_works(spark, d), "authors", 100).where("weight >= 1")
+
+
+@query("t03_graph_backbone", works(EDGES + """, top as (select * from ed order by weight desc, a, b limit 300), tb as (select a, weight from top union all select b, weight from top),
+nn as (select a as node, round(sum(weight), 6) as d from tb group by a order by round(sum(weight), 6) desc, a limit 25) select a, b, weight from top where a in (select node from nn) and b in (select node from nn)"""))
+def _(spark, d):
+    return N.backbone(author_edges(spark, d), 300, 25)
+
+
+@query("g02_network_summary", works(EDGES + """, deg as (select a as node, count(*) as d from bo group by a), tri as (select x.a, x.b, y.b as c from ed x join ed y on y.a = x.b join ed z on z.a = x.a and z.b = y.b),
+own as (select node, count(*) as t from (select unnest([a, b, c]) as node from tri) group by node), loc as (select d, coalesce(t, 0) as t from deg left join own using (node))
+select count(*) as nodes, cast(sum(d) / 2 as bigint) as edges, round(sum(d) / cast(count(*) * (count(*) - 1) as double), 8) as density, cast(sum(t) / 3 as bigint) as triangles, round(avg(case when d > 1 then 2 * t / cast(d * (d - 1) as double) else 0 end), 8) as average_clustering from loc"""))
+def _(spark, d):
+    return N.density_and_clustering(author_edges(spark, d))
+
+
+@query("g01_participation", works(EDGES + """, g as (select distinct a as node, a % 5 as community from bo), bb as (select bo.a, g.community as cb, sum(weight) as w from bo join g on g.node = bo.b group by 1, 2),
+s as (select a, sum(w) as strength, 1 - sum(w * w) / (sum(w) * sum(w)) as p from bb group by a), ow as (select g.node, g.community, coalesce(w, 0) as i from g left join bb on bb.a = g.node and bb.cb = g.community)
+select node, community, round(strength, 6) as strength, round(p, 6) as participation, round(case when stddev_pop(i) over (partition by community) > 1e-12 then (i - avg(i) over (partition by community)) / stddev_pop(i) over (partition by community) else 0 end, 6) as within_z from ow join s on s.a = node"""))
+def _(spark, d):
+    e = author_edges(spark, d)
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 5)
+    return N.participation(e, nodes)
+
+
+@query("g01_constraint", works(EDGES + """, p as (select a, b, weight / sum(weight) over (partition by a) as p, weight / max(weight) over (partition by a) as m from bo),
+two as (select x.a as i, y.b as j, sum(x.p * y.p) as w from p x join p y on y.a = x.b where x.a <> y.b group by 1, 2),
+con as (select p.a as node, sum((p.p + coalesce(w, 0)) ** 2) as cc from p left join two on two.i = p.a and two.j = p.b group by 1),
+red as (select x.a as i, sum(x.p * y.m) as r from p x join p z on z.a = x.a join p y on y.a = z.b and y.b = x.b where x.b <> z.b group by 1),
+sz as (select a as node, count(*) as n from p group by 1)
+select node, round(cc, 6) as constraint, round(n - coalesce(r, 0), 6) as effective_size from con join sz using (node) left join red on red.i = node""").replace("as constraint", 'as "constraint"'))
+def _(spark, d):
+    return N.constraint(author_edges(spark, d))
+
+
+@query("g03_threshold_sensitivity", works(EDGES + """, t as (select unnest([1, 2, 3]) as th), e as (select ed.*, th from ed, t where weight >= th), n as (select th, count(distinct node) as n from (select th, unnest([a, b]) as node from e) group by th)
+select cast(th as bigint) as threshold, count(*) as edges, any_value(n) as nodes, round(2 * count(*) / cast(any_value(n) * greatest(any_value(n) - 1, 1) as double), 8) as density from e join n using (th) group by th"""))
+def _(spark, d):
+    return N.threshold_sensitivity(author_edges(spark, d))
+
+
+@query("m11_ari_nmi", """
+with t as (select p_type as a, p_brand as b, count(*) as n from part group by 1, 2), z as (select sum(n) as n from t), x as (select a, sum(n) as n from t group by a), y as (select b, sum(n) as n from t group by b),
+k as (select z.n as n, (select sum(n * (n - 1) / 2.0) from t) as pt, (select sum(n * (n - 1) / 2.0) from x) as px, (select sum(n * (n - 1) / 2.0) from y) as py,
+ (select -sum(x.n / z.n * ln(x.n / z.n)) from x, z) as hx, (select -sum(y.n / z.n * ln(y.n / z.n)) from y, z) as hy, (select sum(t.n / z.n * ln(t.n * z.n / (x.n * y.n))) from t join x using (a) join y using (b), z) as mi from z)
+select cast(n as bigint) as pairs, round((pt - px * py / (n * (n - 1) / 2.0)) / ((px + py) / 2 - px * py / (n * (n - 1) / 2.0)), 6) as ari, round(2 * mi / (hx + hy), 6) as nmi from k""")
+def _(spark, d):
+    return P.agreement(table(spark, d, "part"), "p_type", "p_brand")
+
+
+@query("w01_year_percentile", works("select record_id, year, citations, case when year is not null then round((rank() over (partition by year order by citations) + (count(*) over (partition by year, citations) - 1) / 2.0) / count(*) over (partition by year), 6) end as percentile from works"))
+def _(spark, d):
+    return S.year_percentile(orders_as_works(spark, d))
+
+
+@query("w02_frontier_score", works(", m as (select max(year) as last from works) select record_id, year, citations, round(greatest(0.0, 1 - (last - coalesce(year, last)) / 5.0), 4) as recency_score, round(coalesce(topic_id, 0) / 10.0, 4) as topic_signal, round(greatest(0.0, 1 - (last - coalesce(year, last)) / 5.0) * 2 + coalesce(topic_id, 0) / 10.0 + ln(1 + citations) / 5, 4) as frontier_score from works, m"))
+def _(spark, d):
+    return S.frontier(orders_as_works(spark, d), F.coalesce("topic_id", F.lit(0)) / 10)
+
+
+@query("w03_balanced_select", works(", g as (select *, coalesce(cast(topic_id as varchar), 'none') || ':' || coalesce(cast(year // 5 * 5 as varchar), '0') as grp from works), r as (select record_id, grp, row_number() over (partition by grp order by citations desc, year desc, record_id) as turn from g) select * from r order by turn, grp limit 200"))
+def _(spark, d):
+    return S.balanced_select(orders_as_works(spark, d), 200)
+
+
+@query("w04_coverage_targets", works(""", w as (select *, type as tier, row_number() over (partition by topic_id order by type, citations desc, record_id) as p from works where topic_id is not null),
+f as (select record_id, topic_id, row_number() over (order by tier, citations desc, record_id) as k from w where p > 10)
+select record_id, topic_id, 'quota' as why from w where p <= 10 union all select record_id, topic_id, 'fill' from f where k <= 100 - (select count(*) from w where p <= 10)"""))
+def _(spark, d):
+    return S.coverage_targets(orders_as_works(spark, d).where("topic_id is not null").withColumn("tier", F.col("type")), 10, 100)
+
+
+@query("t02_top_cited", works("select record_id, year, citations from works order by citations desc, record_id limit 50"))
+def _(spark, d):
+    return S.top_cited(orders_as_works(spark, d))
+
+
+TOK = "tok as (select record_id, list_filter(regexp_extract_all(lower(regexp_replace(abstract, '[^\\x00-\\x7F]', ' ', 'g')), '[a-z][a-z0-9-]+'), lambda w: w not in ({stop})) as t from docs)".format(stop=", ".join(f"'{w}'" for w in X.STOP))
+
+
+def ascii_tokens(spark, d):
+    r = documents_as_works(spark, d)
+    return r.select("record_id", X.language_tokens(F.regexp_replace("abstract", r"[^\x00-\x7F]", " ")).alias("tokens"))
+
+
+def tfidf_sql(low, high, most, top, sub=True, max_df=0.97):
+    grams = " union all ".join(f"select record_id, array_to_string(t[i:i + {n - 1}], ' ') as term from (select record_id, t, unnest(range(1, len(t) - {n - 2})) as i from tok)" for n in range(low, high + 1))
+    return f"""with {DOCS}, {TOK}, g as ({grams}), tf as (select record_id, term, count(*) as tf from g group by 1, 2), n as (select count(*) as n from docs),
+df as (select term, count(*) as df, sum(tf) as cf from tf group by 1), v as (select term, ln((1 + n) / cast(1 + df as double)) + 1 as idf from df, n where df >= 2 and df <= {max_df} * n order by cf desc, term limit {most}),
+w as (select record_id, term, {"(1 + ln(tf))" if sub else "tf"} * idf as w from tf join v using (term)), u as (select *, w / sqrt(sum(w * w) over (partition by record_id)) as weight from w),
+r as (select *, row_number() over (partition by record_id order by round(weight, 9) desc, term) as p from u)
+select record_id, term, round(weight, 6) as weight from r where p <= {top}"""
+
+
+@query("m01_tfidf_topk", tfidf_sql(1, 3, 4000, 10))
+def _(spark, d):
+    return M.tfidf(ascii_tokens(spark, d), "tokens", top=10)
+
+
+@query("m02_phrases", tfidf_sql(2, 4, 5000, 25, False, 1.0))
+def _(spark, d):
+    return M.tfidf(ascii_tokens(spark, d), "tokens", low=2, high=4, most_features=5000, max_df=1.0, sublinear=False, top=25)
+
+
+@query("m03_context_keywords", tfidf_sql(1, 2, 3000, 20, False, 1.0))
+def _(spark, d):
+    return M.tfidf(ascii_tokens(spark, d), "tokens", low=1, high=2, most_features=3000, max_df=1.0, sublinear=False, top=20)
+
+
+@query("m05_coherence", f"""with {DOCS}, {TOK}, n as (select count(*) as n from docs), tp as (select * from (values (1, 'that'), (1, 'is'), (1, 'as'), (2, 'was'), (2, 'be'), (2, 'it')) v(topic_id, term)),
+h as (select distinct record_id, term from (select record_id, unnest(t) as term from tok)), s as (select term, count(*) as d from h group by 1),
+p as (select a.topic_id, a.term as x, b.term as y, (select count(*) from h h1 join h h2 on h1.record_id = h2.record_id where h1.term = a.term and h2.term = b.term) as c from tp a join tp b on a.topic_id = b.topic_id and a.term < b.term)
+select cast(topic_id as bigint) as topic_id, round(avg(case when c = 0 then -1.0 when c = n then 1.0 else ln(c / cast(n as double) * n * n / (s1.d * s2.d)) / -ln(c / cast(n as double)) end), 6) as coherence from p join s s1 on s1.term = x join s s2 on s2.term = y, n group by 1""")
+def _(spark, d):
+    topics = spark.createDataFrame([(1, "that"), (1, "is"), (1, "as"), (2, "was"), (2, "be"), (2, "it")], "topic_id bigint, term string")
+    return M.npmi_coherence(ascii_tokens(spark, d), "tokens", topics)
+
+
+@query("a24_preprocessing_audit", f"with {DOCS}, {TOK} select record_id, cast(len(t) as bigint) as tokens, array_to_string(t[1:30], ' ') as first_tokens from tok")
+def _(spark, d):
+    a = F.regexp_replace("abstract", r"[^\x00-\x7F]", " ")
+    return M.preprocessing_audit(documents_as_works(spark, d), F.col("abstract"), X.normalize_ascii(a), X.language_tokens(a)).select("record_id", "tokens", "first_tokens")
+
+
+@query("w06_term_bursts")
+def _(spark, d):
+    return B.term_bursts(orders_as_works(spark, d))
+
+
+@query("j19_burst_support")
+def _(spark, d):
+    w = orders_as_works(spark, d)
+    return B.burst_support(w, B.term_bursts(w))
+
+
+@query("g05_flow_null")
+def _(spark, d):
+    return P.flow_null(self_citations(spark, d), orders_as_works(spark, d), runs=20)
+
+
+FOCUS = {
+    "match_fields": ["title", "abstract"], "minimum_core_groups": 1, "unmatched_action": "needs-review",
+    "core_groups": [{"id": "g1", "terms": ["theand", "erthe"], "required": True}, {"id": "g2", "terms": ["onan", "licen"]}],
+    "exclusion_terms": ["idiot", "moron"], "adjacent_terms": ["que"], "mechanism_terms": ["eau"],
+}
+HAS = "({})".format
+ANY = lambda ts: "(" + " or ".join(f"contains(x, '{t}')" for t in ts) + ")"
+
+
+@query("f03_focus_hits", f"with {DOCS} select record_id, f as field, t as term from docs, (values ('title'), ('abstract')) a(f), (values ('theand'), ('erthe'), ('que')) b(t) where contains(lower(case when f = 'title' then title else abstract end), t)")
+def _(spark, d):
+    return M.focus_hits(documents_as_works(spark, d), ["title", "abstract"], ["theand", "erthe", "que"])
+
+
+FOCUS_SQL = f"""with {DOCS}, y as (select record_id, lower(title || chr(10) || abstract) as x from docs),
+z as (select record_id, {ANY(["theand", "erthe"])} as g1, {ANY(["onan", "licen"])} as g2, {ANY(["idiot", "moron"])} as o, {ANY(["que"])} as a, {ANY(["eau"])} as m from y),
+k as (select record_id, case when o then 'excluded' when g1 then 'core' when a and m then 'theory-supplement' else 'needs-review' end as classification, o, g1, concat_ws(',', case when g1 then 'g1' end, case when g2 then 'g2' end) as groups from z)
+"""
+
+
+@query("f04_focus_class", FOCUS_SQL + "select record_id, classification, case when classification in ('core', 'excluded') then 'high' when classification = 'theory-supplement' then 'medium' else 'low' end as confidence, groups from k")
+def _(spark, d):
+    return M.classify_focus(documents_as_works(spark, d), FOCUS)
+
+
+@query("f05_focus_counts", FOCUS_SQL + "select classification, count(*) as records from k group by 1")
+def _(spark, d):
+    return M.classify_focus(documents_as_works(spark, d), FOCUS).groupBy("classification").agg(F.count("*").alias("records"))
+
+
+@query("f08_language_class", f"with {DOCS} select record_id, case when regexp_matches(abstract, '[\\x{{4e00}}-\\x{{9fff}}]') and regexp_matches(abstract, '[A-Za-z]') then 'mixed' when regexp_matches(abstract, '[\\x{{4e00}}-\\x{{9fff}}]') then 'zh' when regexp_matches(abstract, '[A-Za-z]') then 'en' else 'unknown' end as class from docs")
+def _(spark, d):
+    return documents_as_works(spark, d).select("record_id", X.language_class(F.col("abstract")).alias("class"))
+
+
+KINDS = "list_element(['article', 'Book-Chapter', 'thesis', 'posted-content', 'phd_thesis', 'jour', 'odd', 'editorial'], 1 + record_id % 8)"
+TIERS = f"""with {DOCS}, k as (select record_id, title, list_element(['journal-article', 'book-chapter', 'thesis', 'preprint', 'other', 'journal-article', 'other', 'editorial'], cast(1 + record_id % 8 as int)) as t from docs)"""
+
+
+def typed(spark, d):
+    kinds = F.array(*map(F.lit, ["article", "Book-Chapter", "thesis", "posted-content", "phd_thesis", "jour", "odd", "editorial"]))
+    r = documents_as_works(spark, d).withColumn("kind", F.get(kinds, (F.col("record_id") % 8).cast("int")))
+    return r.withColumn("publication_type", E.publication_type(F.col("kind"), F.col("title")))
+
+
+@query("f09_publication_type", TIERS + " select record_id, t as publication_type from k")
+def _(spark, d):
+    return typed(spark, d).select("record_id", "publication_type")
+
+
+@query("f10_evidence_tier", TIERS + " select record_id, case when t = 'editorial' or trim(title) = '' then 'D' when t in ('journal-article', 'book-chapter') then 'A' when t = 'thesis' then 'B' when t = 'preprint' then 'C' else 'D' end as tier, case when t = 'editorial' or trim(title) = '' then 'not-eligible' when t = 'journal-article' then 'peer-reviewed-assumed' when t = 'book-chapter' then 'scholarly-source' when t = 'thesis' then 'examined' when t = 'preprint' then 'not-confirmed' else 'unknown' end as peer_review from k")
+def _(spark, d):
+    t = E.evidence_tier(F.col("publication_type"), F.col("title"), F.lit(False), F.lit(False))
+    return typed(spark, d).select("record_id", t.alias("x")).select("record_id", "x.tier", "x.peer_review")
+
+
+DESIGN_SQL = "case " + " ".join(f"when regexp_matches(x, '{p}') then '{n}'" for n, p in E.DESIGNS) + " else 'unclear' end"
+
+
+@query("f12_study_design", f"with {DOCS}, y as (select record_id, lower(title || ' ' || abstract || list_element(['', ' a survey', ' an interview', ' log data'], cast(1 + record_id % 4 as int))) as x from docs) select record_id, {DESIGN_SQL} as study_design from y")
+def _(spark, d):
+    more = F.get(F.array(*map(F.lit, ["", " a survey", " an interview", " log data"])), (F.col("record_id") % 4).cast("int"))
+    return documents_as_works(spark, d).select("record_id", E.study_design(F.concat(F.col("title"), F.lit(" "), F.col("abstract"), more)).alias("study_design"))
+
+
+@query("f13_quality")
+def _(spark, d):
+    return E.quality(documents_as_works(spark, d).withColumn("authors", F.array("venue")))
+
+
+@query("x01_normalize_doi", "select doc_id as record_id, regexp_replace(regexp_replace(lower(trim(list_element(['https://doi.org/10.1/A', 'DOI: 10.2/b.', ' 10.3/C); '], cast(1 + doc_id % 3 as int)) || doc_id)), '^(?:https?://(?:dx\\.)?doi\\.org/|doi:\\s*)', ''), '[. ,;)]+$', '') as doi from documents")
+def _(spark, d):
+    v = F.get(F.array(*map(F.lit, ["https://doi.org/10.1/A", "DOI: 10.2/b.", " 10.3/C); "])), (F.col("doc_id") % 3).cast("int"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), X.normalize_doi(F.concat(v, F.col("doc_id").cast("string"))).alias("doi"))
+
+
+@query("x02_normalize_title", f"with {DOCS} select record_id, regexp_replace(regexp_replace(lower(title), '<[^>]+>', ' ', 'g'), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g') as title from docs")
+def _(spark, d):
+    return documents_as_works(spark, d).select("record_id", X.normalize_title(F.col("title")).alias("title"))
+
+
+@query("x03_as_list", "select page_id as record_id, array_to_string(list_filter(list_transform(string_split_regex(url || ' ; b|c; ', '[;|]'), lambda x: trim(x)), lambda x: x <> ''), '#') as parts from pages")
+def _(spark, d):
+    return table(spark, d, "pages").select(F.col("page_id").alias("record_id"), F.array_join(X.as_list(F.concat("url", F.lit(" ; b|c; "))), "#").alias("parts"))
+
+
+@query("x04_record_id", f"with {DOCS} select record_id, 'R' || substr(sha1(regexp_replace(regexp_replace(lower(title), '<[^>]+>', ' ', 'g'), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g') || ':' || year || ':' || venue), 1, 14) as id from docs")
+def _(spark, d):
+    none = F.lit(None).cast("string")
+    return documents_as_works(spark, d).select("record_id", X.record_id(none, none, none, F.col("title"), F.col("year"), F.col("venue")).alias("id"))
+
+
+@query("x05_reference_key", f"with {DOCS} select record_id, case when record_id % 3 = 0 then 'doi:10.1234/ab' || record_id when record_id % 3 = 1 then 'openalex:W' || record_id else 'raw:' || substr(regexp_replace(lower(title), '[^0-9a-z\\x{{4e00}}-\\x{{9fff}}]+', '', 'g'), 1, 180) end as key from docs")
+def _(spark, d):
+    i = F.col("record_id")
+    raw = F.when(i % 3 == 0, F.concat(F.lit("see 10.1234/AB"), i.cast("string"), F.lit("."))).when(i % 3 == 1, F.concat(F.lit("https://openalex.org/W"), i.cast("string"))).otherwise(F.col("title"))
+    return documents_as_works(spark, d).select("record_id", X.reference_key(raw).alias("key"))
+
+
+@query("x07_keyword_list", works("select record_id, string_agg(keyword, ';' order by keyword) as keywords from keywords where keyword is not null and keyword not in ('widget', 'gear') group by 1"))
+def _(spark, d):
+    k = X.keyword_list(F.transform("keywords", lambda x: F.upper(x)), F.array(F.lit("Widget"), F.lit("GEAR")))
+    return orders_as_works(spark, d).select("record_id", F.array_join(F.array_sort(k), ";").alias("keywords")).where("keywords <> ''")
+
+
+@query("x10_modeling_text", f"with {DOCS} select record_id, md5(trim(regexp_replace(title || ' ' || title || ' ' || abstract, '\\s+', ' ', 'g'))) as digest from docs")
+def _(spark, d):
+    return documents_as_works(spark, d).select("record_id", F.md5(X.modeling_text(F.col("title"), F.col("abstract"))).alias("digest"))
+
+
+@query("x16_sentences", "select conv_id, turn, i - 1 as place, trim(s) as sentence from (select conv_id, turn, unnest(string_split_regex(replace(text, '.', '!') , '!\\s*')) || '!' as s, unnest(range(1, 1 + len(string_split_regex(replace(text, '.', '!'), '!\\s*')))) as i from conversations) where trim(s) <> '!'")
+def _(spark, d):
+    s = X.sentences(F.replace("text", F.lit("."), F.lit("!")))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(s).alias("place", "sentence")).select("conv_id", "turn", F.col("place").cast("long").alias("place"), "sentence")
+
+
+@query("s24_html_title", "select page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) as title from pages")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_title(F.col("html")).alias("title"))
+
+
+@query("s24_html_text")
+def _(spark, d):
+    return table(spark, d, "pages").select("page_id", X.html_text(F.col("html")).alias("text"))
+
+
+@query("w08_leave_one_out", "with e as (select o_orderkey as study, o_orderpriority as outcome, o_totalprice / 1000 as y, 1.0 + o_orderkey % 7 as s from orders), w as (select *, 1 / (s * s) as w from e) select outcome, study, round((sum(w * y) over (partition by outcome) - w * y) / nullif(sum(w) over (partition by outcome) - w, 0), 6) as pooled_without from w")
+def _(spark, d):
+    return E.leave_one_out(effects(spark, d), "outcome", "study")
+
+
+def effects(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("study"), F.col("o_orderpriority").alias("outcome"), (F.col("o_totalprice") / 1000).alias("y"), (1.0 + F.col("o_orderkey") % 7).alias("s"))
+
+
+@query("e16_fixed_effect_q_i2", "with e as (select o_orderpriority as outcome, o_totalprice / 1000 as y, 1.0 + o_orderkey % 7 as s from orders), g as (select outcome, count(*) as studies, sum(1 / (s * s)) as sw, sum(y / (s * s)) as swy, sum(y * y / (s * s)) as swyy from e group by 1), q as (select *, greatest(0, swyy - swy * swy / sw) as q0 from g) select outcome, studies, round(swy / sw, 6) as pooled, round(1 / sqrt(sw), 6) as standard_error, round(q0, 4) as q, round(case when q0 > 0 then greatest(0, (q0 - studies + 1) / q0) else 0 end, 4) as i2 from q")
+def _(spark, d):
+    return E.fixed_effect(effects(spark, d), "outcome")
+
+
+@query("u04_citation_set_diff", "with a as (select distinct l_orderkey as id from lineitem where l_quantity > 40), b as (select distinct l_orderkey as id from lineitem where l_discount > 0.08) select id, 'left' as side from a where id not in (select id from b) union all select id, 'right' from b where id not in (select id from a)")
+def _(spark, d):
+    line = table(spark, d, "lineitem")
+    return E.set_difference(line.where("l_quantity > 40").select(F.col("l_orderkey").alias("id")), line.where("l_discount > 0.08").select(F.col("l_orderkey").alias("id")))
+
+
+@query("u03_scope_replace", "select o_orderkey as id, o_orderpriority as scope from orders where o_orderpriority not in (select o_orderpriority from orders where o_orderkey < 3) union all select -o_orderkey, o_orderpriority from orders where o_orderkey < 3")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("scope"))
+    return E.replace_scope(o, o.where("id < 3").select((-F.col("id")).alias("id"), "scope"), "scope")
+
+
+@query("e03_claim_fk_violations", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_size <= 40)")
+def _(spark, d):
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part").where("p_size <= 40")
+    return E.missing_keys(line, "l_partkey", part, "p_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("k05_ris_text", works("""select record_id, 'TY  - JOUR' || chr(10) || 'TI  - Order ' || record_id || coalesce(chr(10) || (select string_agg('AU  - ' || author, chr(10) order by author) from authors a where a.record_id = works.record_id), '') || chr(10) || 'PY  - ' || year || chr(10) || 'JO  - ' || venue
+ || coalesce(chr(10) || (select string_agg('KW  - ' || keyword, chr(10) order by keyword) from keywords k where k.record_id = works.record_id and keyword is not null), '') || chr(10) || 'ER  - ' as ris from works"""))
+def _(spark, d):
+    none = F.lit(None).cast("string")
+    r = E.ris(F.concat(F.lit("Order "), F.col("record_id")), F.transform("authors", lambda x: x.cast("string")), F.col("year"), F.col("venue"), none, none, F.col("keywords"))
+    return orders_as_works(spark, d).select("record_id", r.alias("ris"))
+
+
+@query("k07_apa", works("select record_id, coalesce((select case when count(*) = 1 then max('S' || author) else string_agg('S' || author, ', ' order by author) filter (p < n) || ', & ' || max('S' || author) filter (p = n) end || ' ' from (select *, row_number() over (order by author) as p, count(*) over () as n from authors a where a.record_id = works.record_id)), '') || '(' || year || '). Order ' || record_id || '. ' || venue || '.' as apa from works"))
+def _(spark, d):
+    a = F.transform(F.coalesce("authors", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit("S"), x.cast("string")))
+    return orders_as_works(spark, d).select("record_id", E.apa(a, F.col("year"), F.concat(F.lit("Order "), F.col("record_id")), F.col("venue"), F.lit(None).cast("string")).alias("apa"))
