@@ -31,17 +31,9 @@ class Counts(dict):
     def __missing__(self, piece: str) -> int:
         if len(self) > 400_000:
             self.clear()
-        n = self[piece] = len(self.ids.tokenizer.encode(piece, add_special_tokens=False).ids)
+        n = self[piece] = len(self.ids.encode(piece))
         return n
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if len(self) > 400_000:
-            self.clear()
-            new = list(pieces)
-        for p, e in zip(new, self.ids.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[p] = len(e.ids)
-
 
 class TokenTree:
     def __init__(self, pieces: list[str], counts: Counts) -> None:
@@ -147,7 +139,6 @@ def edited_counts(docs: DataFrame, edits: str = "edits", tokenizer_path: str | N
         for pdf in batches:
             out = []
             parted = [ids.words(t) if isinstance(t, str) and t else [] for t in pdf["text"]]
-            counts.learn({w for words in parted for w in words})
             for doc_id, words, changes in zip(pdf["doc_id"].array, parted, pdf[edits], strict=True):
                 tree = TokenTree(words, counts)
                 before, again = (tree.chars, tree.tokens), 0
