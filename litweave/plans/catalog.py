@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import dedup as D
 from ..operators import evidence as E
+from ..operators import graphs as G
+from ..operators import meta as Z
 from ..operators import networks as N
+from ..operators import review as R
 from ..operators import stats as S
 from ..operators import temporal as B
 from ..operators import textmining as M
@@ -546,3 +550,124 @@ def _(spark, d):
 def _(spark, d):
     a = F.transform(F.coalesce("authors", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit("S"), x.cast("string")))
     return orders_as_works(spark, d).select("record_id", E.apa(a, F.col("year"), F.concat(F.lit("Order "), F.col("record_id")), F.col("venue"), F.lit(None).cast("string")).alias("apa"))
+
+
+BROKERS = works(EDGES + """, g as (select distinct a as node, a % 5 as community from bo), p as (select a, b, weight / sum(weight) over (partition by a) as p, weight / max(weight) over (partition by a) as m from bo),
+red as (select x.a as i, sum(x.p * y.m) as r from p x join p z on z.a = x.a join p y on y.a = z.b and y.b = x.b where x.b <> z.b group by 1), sz as (select a as node, count(*) as n from p group by 1),
+bb as (select bo.a, g.community as cb, sum(weight) as w from bo join g on g.node = bo.b group by 1, 2), s as (select a, 1 - sum(w * w) / (sum(w) * sum(w)) as pa from bb group by a),
+nd as (select sz.node, g.community, round(n - coalesce(r, 0), 6) as es, round(pa, 6) as pa from sz join g using (node) left join red on red.i = node join s on s.a = node), top as (select * from nd order by es desc, node limit 30)
+select x.node as node_a, y.node as node_b, round((x.es + y.es) * (x.pa + y.pa + 0.1), 6) as score from top x join top y on x.node < y.node and x.community <> y.community where not exists (select 1 from ed where ed.a = x.node and ed.b = y.node)""")
+
+
+@query("j14_structural_holes", BROKERS.replace("weight >= 1)", "weight >= 2)"))
+def _(spark, d):
+    e = author_edges(spark, d).where("weight >= 2")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 5)
+    return N.structural_holes(N.participation(e, nodes).join(N.constraint(e), "node"), e)
+
+
+@query("j15_method_overlap", "with q as (select distinct o_orderkey as question_id, p_type as goal from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey), m as (select distinct p_brand as method_id, p_type as goal from part where p_size > 45), h as (select question_id, method_id, count(*) as overlap from q join m using (goal) group by 1, 2), r as (select *, row_number() over (partition by question_id order by overlap desc, method_id) as place from h) select question_id, method_id, overlap, place from r where place <= 4")
+def _(spark, d):
+    line, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    q = line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_orderkey").alias("question_id")).agg(F.collect_set("p_type").alias("goals"))
+    m = part.where("p_size > 45").groupBy(F.col("p_brand").alias("method_id")).agg(F.collect_set("p_type").alias("goals"))
+    return R.overlap_top(q, m)
+
+
+@query("j16_card_search", f"with {DOCS}, s as (select record_id, " + " + ".join(f"case when contains(lower(title), '{t}') then 3 when contains(lower(abstract), '{t}') then 1 else 0 end" for t in ("thon", "erre", "que")) + " as score from docs) select record_id, cast(score as bigint) as score from s where score > 0 order by score desc, record_id limit 25")
+def _(spark, d):
+    return R.search_cards(documents_as_works(spark, d), "record_id", F.col("title"), F.col("abstract"), ["thon", "erre", "que"], 25)
+
+
+@query("e12_semantic_batches", "select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 12 as batch from orders where o_orderkey not in (select l_orderkey from lineitem where l_quantity > 45)")
+def _(spark, d):
+    return R.batches(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
+
+
+@query("e19_term_index", "select w as term, string_agg(cast(p_partkey as varchar), ',' order by p_partkey) as ids from (select distinct p_partkey, unnest(string_split(p_name, ' ')) as w from part) group by 1")
+def _(spark, d):
+    return R.term_index(table(spark, d, "part"), "p_partkey", F.split("p_name", " "))
+
+
+@query("a16_claim_groups", "select l_returnflag as subject, l_linestatus as predicate, cast(l_partkey % 50 as varchar) as object, cast(l_suppkey % 2 as varchar) as direction, string_agg(distinct cast(l_orderkey % 97 as varchar), ',' order by cast(l_orderkey % 97 as varchar)) as record_ids, string_agg(distinct case when l_tax > 0.07 then 'contradicts' else 'supports' end, ',' order by case when l_tax > 0.07 then 'contradicts' else 'supports' end) as statuses, count(distinct l_orderkey % 97) as studies, count(distinct l_tax > 0.07) > 1 or bool_or(l_tax > 0.07) or count(distinct l_orderkey % 97) >= 3 as reconcile from lineitem group by 1, 2, 3, 4")
+def _(spark, d):
+    c = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("subject"), F.col("l_linestatus").alias("predicate"), (F.col("l_partkey") % 50).cast("string").alias("object"), (F.col("l_suppkey") % 2).cast("string").alias("direction"), (F.col("l_orderkey") % 97).cast("string").alias("record_id"), F.when(F.col("l_tax") > 0.07, "contradicts").otherwise("supports").alias("status"))
+    return R.group_claims(c)
+
+
+@query("a20_citation_coverage", works(", c as (select w.*, (record_id % 3 = 0) as hit from works w) select case when grouping(topic_id) = 1 then 'all' else 'topic-' || topic_id end as scope, count(*) as works, count(*) filter (hit) as cited, cast(least(case when grouping(topic_id) = 1 then 120 else 3 end, count(*)) as bigint) as minimum, count(*) filter (hit) >= least(case when grouping(topic_id) = 1 then 120 else 3 end, count(*)) as passed from c group by grouping sets ((), (topic_id)) having grouping(topic_id) = 1 or topic_id is not null"))
+def _(spark, d):
+    w = orders_as_works(spark, d)
+    return R.cited_coverage(w, w.where("record_id % 3 = 0"), 120)
+
+
+@query("f16_punctuation", "with t as (select conv_id, turn, replace(replace(text, '. ', ';; '), ', ', '(,)') as x from conversations) select conv_id, label from t, (values ('empty-brackets', '[\\(（]\\s*[;；,，]\\s*[\\)）]'), ('repeated-semicolons', '[；;]{2,}')) v(label, p) where regexp_matches(x, p)")
+def _(spark, d):
+    text = F.replace(F.replace("text", F.lit(". "), F.lit(";; ")), F.lit(", "), F.lit("(,)"))
+    return R.defects(table(spark, d, "conversations"), "conv_id", text, {k: R.PUNCTUATION[k] for k in ("empty-brackets", "repeated-semicolons")})
+
+
+@query("x06_most_cited", "select user_id as record_id, greatest(max(value), count(*))::bigint as citations from (select user_id, cast(floor(value) as bigint) as value from events) group by 1")
+def _(spark, d):
+    g = table(spark, d, "events").groupBy(F.col("user_id").alias("record_id")).agg(F.floor(F.max("value")).alias("v"), F.count("*").alias("n"))
+    return g.select("record_id", X.most_cited(F.create_map(F.lit("a"), F.col("v"), F.lit("b"), F.col("n"))).alias("citations"))
+
+
+@query("x11_claim_ids", "select o_orderkey as id, 'C' || lpad(cast(o_orderkey % 9000 as varchar), 4, '0') || ',C' || lpad(cast(o_orderkey % 9000 + 1 as varchar), 4, '0') || ',C' || lpad(cast(o_orderkey % 9000 + 2 as varchar), 4, '0') as claims from orders")
+def _(spark, d):
+    n = F.col("o_orderkey") % 9000
+    c = lambda k: F.concat(F.lit("C"), F.lpad((n + k).cast("string"), 4, "0"))
+    text = F.concat(F.lit("see "), c(0), F.lit("–"), c(2), F.lit(" and "), c(1))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.array_join(X.claim_ids(text), ",").alias("claims"))
+
+
+@query("x21_reference_year", "select o_orderkey as id, cast(year(o_orderdate) as int) as year from orders")
+def _(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), X.reference_year(F.concat(F.lit("12345678, "), F.year("o_orderdate").cast("string"), F.lit("; 1999x"))).alias("year"))
+
+
+@query("x22_working_scale", "select o_orderkey as id, round(case o_orderkey % 3 when 0 then atanh((o_orderkey % 19) / 20.0) when 1 then ln(1 + o_orderkey % 7) else o_orderkey % 5 end, 6) as y, round(case o_orderkey % 3 when 0 then 1 / sqrt(4 + o_orderkey % 50 - 3) else 0.5 end, 6) as s from orders")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    metric = F.when(k % 3 == 0, "r").when(k % 3 == 1, "or").otherwise("hedges-g")
+    est = F.when(k % 3 == 0, (k % 19) / 20).when(k % 3 == 1, 1.0 + k % 7).otherwise((k % 5).cast("double"))
+    none = F.lit(None).cast("double")
+    x = E.working_scale(metric, est, F.when(k % 3 != 0, 0.5), none, none, 4 + k % 50)
+    return table(spark, d, "orders").select(k.alias("id"), x.alias("x")).select("id", F.round("x.y", 6).alias("y"), F.round("x.s", 6).alias("s"))
+
+
+@query("x23_wos_query", "select p_partkey as id, 'TS=(\"' || p_name || '\" OR ' || p_type || ') AND TS=(' || p_type || ') NOT TS=(' || p_type || ')' as q from part")
+def _(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.wos_query(F.array(F.array("p_name", "p_type"), F.array("p_type")), F.array("p_type")).alias("q"))
+
+
+@query("j10_semi_join", "select o_orderkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)")
+def _(spark, d):
+    line = table(spark, d, "lineitem").where("l_quantity > 45")
+    o = table(spark, d, "orders")
+    return o.join(line, o["o_orderkey"] == line["l_orderkey"], "left_semi").select("o_orderkey")
+
+
+@query("u01_union_sources", "select record_id, any_value(source) as source from (select doc_id as record_id, 'documents' as source from documents union all select page_id + 1000000, 'pages' from pages) group by 1")
+def _(spark, d):
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.lit("documents").alias("source"))
+    return a.unionByName(table(spark, d, "pages").select((F.col("page_id") + 1000000).alias("record_id"), F.lit("pages").alias("source")), allowMissingColumns=True).dropDuplicates(["record_id"])
+
+
+@query("j02_deduplicate")
+def _(spark, d):
+    none = F.lit(None).cast("string")
+    r = documents_as_works(spark, d).select(F.col("record_id").cast("string").alias("record_id"), F.col("record_id").alias("place"), none.alias("doi"), none.alias("openalex"), none.alias("pmid"), "title", F.col("venue").alias("author"), F.lit(2020).alias("year"), F.substring("abstract", 1, 500).alias("abstract"), F.array("language").alias("keywords"), "citations")
+    return D.deduplicate(r)
+
+
+@query("g01_network_kernels")
+def _(spark, d):
+    top = N.backbone(N.cooccurrence(orders_as_works(spark, d), "authors", 100), 3000, 250)
+    return G.kernels(top.withColumn("network", F.lit("authors")))
+
+
+@query("e17_meta_pooled")
+def _(spark, d):
+    e = effects(spark, d).where("study >= 0").select(F.col("study").cast("string").alias("effect_id"), "outcome", F.lit("hedges-g").alias("metric"), F.col("study").cast("string").alias("sample_id"), F.col("y").alias("estimate"), F.col("s").alias("standard_error"), F.lit(None).cast("double").alias("ci_low"), F.lit(None).cast("double").alias("ci_high"), F.lit(None).cast("long").alias("n"), (F.col("study") % 11).cast("double").alias("moderator"))
+    return Z.pooled(Z.valid_effects(e))
