@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """Counts and sums by window and type; events later than ``late`` are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
 
 
 def read_events(spark: SparkSession, folder: str, schema) -> DataFrame:
