@@ -1,9 +1,8 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
 Units of a document are its lines, its paragraphs (runs of lines that are not blank) and its whole text. A unit with a
-bigrams and a template with b have a Dice coefficient of at most ``2 min(a, b) / (a + b)``, so only templates
-with ``b`` between ``a t / (2 - t)`` and ``a (2 - t) / t`` can reach t; among those only templates that share a bigram
-are counted out. Documents that share no bigram with any template are done after one look-up.
+bigrams and a template with b have a Dice coefficient of at most ``2 min(a, b) / (a + b)``, so only templates of a
+size for which that reaches the threshold are counted out, and of those only ones that share a bigram. Documents that share no bigram with any template are done after one look-up.
 """
 
 from __future__ import annotations
@@ -64,7 +63,7 @@ class Templates:
         found = None
         for i in sorted(shared):
             name, b = self.rows[i]
-            if a * t <= len(b) * (2 - t) and len(b) * t <= a * (2 - t):
+            if 2 * min(a, len(b)) >= t * (a + len(b)) - 1e-9:
                 dice = 2 * shared[i] / (a + len(b))
                 if dice >= t and (found is None or dice > found[0]):
                     found = (dice, name)

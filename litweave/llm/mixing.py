@@ -140,14 +140,14 @@ def mixed(docs: DataFrame) -> DataFrame:
     from a shard begin or end, a further row has the words taken, with single spaces between them. Documents of which
     nothing is taken, among them those without words, are not in the mix.
     """
-    own = [c for c in docs.columns if c not in ("doc_id", "source")]
-    m = mix(docs.withColumn("_source", F.col("source")), keep=(*own, "_source")).where("taken > 0").withColumnRenamed("_source", "source")
-    rest = (F.col("taken") % F.col("size")).cast("int")
-    m = m.withColumn("_rest", rest).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    whole = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    m = mix(whole, keep=("_row",)).where("taken > 0")
+    m = m.withColumn("_rest", (F.col("taken") % F.col("size")).cast("int")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     part = (F.col("_rest") > 0) & (F.col("_copy") > F.floor(F.col("taken") / F.col("size")))
-    words = F.filter(F.split("text", rf"[{SPACES}]+"), lambda w: w != "")
+    words = F.filter(F.split("_row.text", rf"[{SPACES}]+"), lambda w: w != "")
     some = F.array_join(F.slice(F.concat(words, words), F.col("first_word").cast("int") + 1, F.col("_rest")), " ")
-    m = m.withColumn("_part", part).withColumn("text", F.when(F.col("_part"), some).otherwise(F.col("text")))
-    if "n_chars" in own:
-        m = m.withColumn("n_chars", F.when(F.col("_part"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return m.select(*docs.columns)
+    m = m.withColumn("_part", part).withColumn("_text", F.when(F.col("_part"), some).otherwise(F.col("_row.text")))
+    new = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_part"), F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return m.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
