@@ -216,7 +216,7 @@ def test_licences(docs, none, spark):
         unit = set(r.sample(sorted(r.choice(every)), 2)) | (r.choice(every) if r.random() < 0.5 else set())
         top = max(2 * len(unit & b) / (len(unit) + len(b)) for b in every)
         assert (t.best(unit) or (0,))[0] == (top if top >= t.least else 0)
-    d = spark.createDataFrame([(1, "x y\nLicensed under CC BY-NC 4.0.\nz"), (2, "no licence here"), (3, None), (3, None)], "doc_id long, text string")
+    d = spark.createDataFrame([(1, "x y and much more\nLicensed under CC BY-NC 4.0.\nz and the rest"), (2, "no licence here"), (3, None), (3, None)], "doc_id long, text string")
     assert sorted((x["doc_id"], x["licence"], x["n_matches"]) for x in licences.find_licences(d).collect() if x["licence"]) == [(1, "CC-BY-NC-4.0", 1)]
     assert licences.find_licences(docs).count() == docs.count() and licences.find_licences(none).count() == 0
 
