@@ -657,7 +657,7 @@ def _(spark, d):
 @query("j02_deduplicate")
 def _(spark, d):
     none = F.lit(None).cast("string")
-    r = documents_as_works(spark, d).select(F.col("record_id").cast("string").alias("record_id"), F.col("record_id").alias("place"), none.alias("doi"), none.alias("openalex"), none.alias("pmid"), "title", F.col("venue").alias("author"), F.lit(2020).alias("year"), F.substring("abstract", 1, 500).alias("abstract"), F.array("language").alias("keywords"), "citations")
+    r = documents_as_works(spark, d).select(F.col("record_id").cast("string").alias("record_id"), F.col("record_id").alias("place"), none.alias("doi"), none.alias("openalex"), none.alias("pmid"), "title", F.col("venue").alias("author"), F.lit(2020).alias("year"), "abstract", F.array("language").alias("keywords"), "citations")
     return D.deduplicate(r)
 
 

@@ -59,3 +59,11 @@ def test_structural_holes_have_no_edge_of_any_weight(spark, small):
     want = {(a, b): (size[a] + size[b]) * (part[a] + part[b] + 0.1) for a, b in itertools.combinations(sorted(top), 2) if a % 5 != b % 5 and not w[a, b]}
     got = {(x["node_a"], x["node_b"]): x["score"] for x in QUERIES["j14_structural_holes"](spark, d).collect()}
     assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), abs=1e-4)
+
+
+def test_deduplicate_keeps_the_longer_abstract(spark, tmp_path):
+    head = "A study of many networks and of their authors over twenty years, told at length for all who read it to the end of it. "[:120].ljust(120, "x")
+    rows = [(1, head + "a" * 600, "en", "s", 720), (2, head + "a" * 600 + "b" * 900, "en", "s", 1620), (3, "Something else " * 60, "en", "s", 900)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["record_id"]: (x["merged"], x["abstract"]) for x in QUERIES["j02_deduplicate"](spark, str(tmp_path)).collect()}
+    assert got == {"1": (["2"], rows[1][1]), "3": ([], rows[2][1])}
