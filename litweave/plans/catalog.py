@@ -377,7 +377,7 @@ def _(spark, d):
 
 @query("g05_flow_null")
 def _(spark, d):
-    return P.flow_null(self_citations(spark, d), orders_as_works(spark, d), runs=20)
+    return P.flow_null(self_citations(spark, d), orders_as_works(spark, d))
 
 
 FOCUS = {

@@ -67,3 +67,14 @@ def test_deduplicate_keeps_the_longer_abstract(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {x["record_id"]: (x["merged"], x["abstract"]) for x in QUERIES["j02_deduplicate"](spark, str(tmp_path)).collect()}
     assert got == {"1": (["2"], rows[1][1]), "3": ([], rows[2][1])}
+
+
+def test_flow_null_of_a_hundred_runs(spark, sf):
+    from litweave.operators import topics
+    from litweave.plans.adapters import orders_as_works, self_citations
+
+    want = topics.flow_null(self_citations(spark, sf), orders_as_works(spark, sf), runs=100)
+    got = QUERIES["g05_flow_null"](spark, sf)
+    columns = ["source_topic", "target_topic", "null_mean", "null_sd", "null_z"]
+    rows = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in f.select(columns).fillna(-9.0).collect()) for f in (got, want)]
+    assert rows[0] == rows[1] and rows[0]
