@@ -246,7 +246,7 @@ def author_edges(spark, d):
 @query("t03_graph_backbone", works(EDGES + """, top as (select * from ed order by weight desc, a, b limit 300), tb as (select a, weight from top union all select b, weight from top),
 nn as (select a as node, round(sum(weight), 6) as d from tb group by a order by round(sum(weight), 6) desc, a limit 25) select a, b, weight from top where a in (select node from nn) and b in (select node from nn)"""))
 def _(spark, d):
-    return N.backbone(author_edges(spark, d), 300, 25)
+    return N.backbone(author_edges(spark, d))
 
 
 @query("g02_network_summary", works(EDGES + """, deg as (select a as node, count(*) as d from bo group by a), tri as (select x.a, x.b, y.b as c from ed x join ed y on y.a = x.b join ed z on z.a = x.a and z.b = y.b),

@@ -78,3 +78,9 @@ def test_flow_null_of_a_hundred_runs(spark, sf):
     columns = ["source_topic", "target_topic", "null_mean", "null_sd", "null_z"]
     rows = [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in x) for x in f.select(columns).fillna(-9.0).collect()) for f in (got, want)]
     assert rows[0] == rows[1] and rows[0]
+
+
+def test_backbone_of_more_than_25_nodes(spark, small):
+    d, w = small
+    got = {(x["a"], x["b"]): x["weight"] for x in QUERIES["t03_graph_backbone"](spark, d).collect()}
+    assert got == {(a, b): w[a, b] for a, b in itertools.combinations(range(40), 2) if w[a, b]} and len(got) > 300
