@@ -1,8 +1,13 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Units of a document are its lines, its paragraphs (runs of lines that are not blank) and its whole text. A unit with a
+Units of a document are its lines, its paragraphs (runs of lines that are not blank), its whole text, and windows of its
+words, which may begin and end amid lines. A unit with a
 bigrams and a template with b have a Dice coefficient of at most ``2 min(a, b) / (a + b)``, so only templates of a
 size for which that reaches the threshold are counted out, and of those only ones that share a bigram. Documents that share no bigram with any template are done after one look-up.
+
+Of windows only those count that begin and end with a shared bigram which is not in them twice: to drop any other end
+leaves the Dice coefficient as it is or raises it. A window needs ``t b / (2 - t)`` shared bigrams to reach t, so most
+documents are done when their shared bigrams are counted.
 """
 
 from __future__ import annotations
@@ -69,6 +74,37 @@ class Templates:
                     found = (dice, name)
         return found
 
+    def windows(self, w: list[bytes]) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, licence, Dice) of windows that match and do not overlap: the most like, the longest template, the first."""
+        pairs, t, shared = list(zip(w, w[1:])), self.least, {}
+        for x in self.of.keys() & set(pairs):
+            for i in self.of[x]:
+                shared[i] = shared.get(i, 0) + 1
+        may = {i for i, n in shared.items() if n * (2 - t) >= t * len(self.rows[i][1]) - 1e-9}
+        found = []
+        for p, x in enumerate(pairs) if may else ():
+            for i in may.intersection(self.of.get(x, ())):
+                b, seen, n = self.rows[i][1], set(), 0
+                for q in range(p, len(pairs)):
+                    y = pairs[q]
+                    if q > p and y == x:
+                        break
+                    if y in seen:
+                        continue
+                    seen.add(y)
+                    if t * (len(seen) + len(b)) > 2 * len(b) + 1e-9:
+                        break
+                    if y in b:
+                        n += 1
+                        if (dice := 2 * n / (len(seen) + len(b))) >= t:
+                            found.append((-dice, -len(b), i, p, q + 1))
+        taken, out = bytearray(len(w)), []
+        for dice, _, i, p, q in sorted(found):
+            if not any(taken[p : q + 1]):
+                taken[p : q + 1] = b"\1" * (q + 1 - p)
+                out.append((p, q, self.rows[i][0], -dice))
+        return out
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
         """(first line, lines, licence, Dice) of the units that match, by place; lines count from 0."""
         if not text or not bigrams(words(text)) & self.of.keys():
@@ -90,6 +126,15 @@ class Templates:
         for s, n in dict.fromkeys([b for b in [*blocks, whole] if b[1] > 1]):
             if hit := self.best(bigrams([w for x in sets[s : s + n] for w in x])):
                 out.append((s, n, hit[1], hit[0]))
+        # a window within a unit that already names its licence is no further match
+        within: dict[int, list] = {}
+        for s, n, name, _ in out:
+            for i in range(s, s + n):
+                within.setdefault(i, []).append((name, s + n))
+        at = [i for i, x in enumerate(sets) for _ in x]
+        for p, q, name, dice in self.windows([w for x in sets for w in x]):
+            if not any(x == name and at[q] < end for x, end in within.get(at[p], ())):
+                out.append((at[p], at[q] - at[p] + 1, name, dice))
         return sorted(out, key=lambda x: (x[0], x[1]))
 
 
