@@ -189,13 +189,13 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", least: float
             yield pd.concat(out)[["dims", "raw", "rep", "copies", "cell", "others"]] if out else pd.DataFrame({k: [] for k in ("dims", "raw", "rep", "copies", "cell", "others")})
 
     placed = cut(sets.mapInPandas(cells, "dims int, raw binary, rep bigint, copies bigint, cell int, others array<int>"))
-    number = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / block_size).cast("int").alias("blocks"))
-    number = {(r["dims"], r["cell"]): r["blocks"] for r in number.orderBy(F.desc("blocks")).limit(64 * MOST_CELLS).collect()}
-    table = spark.createDataFrame([(d, c, b) for (d, c), b in number.items()], "dims int, cell int, blocks int")
+    # only cells of more than one block are listed, at most one for every block_size vectors; all others are one block
+    number = placed.groupBy("dims", "cell").agg(F.ceil(F.count("*") / block_size).cast("int").alias("blocks")).where("blocks > 1")
+    table = spark.createDataFrame([tuple(r) for r in number.collect()], "dims int, cell int, blocks int")
     table = F.broadcast(table)
-    mine = placed.drop("others").join(table, ["dims", "cell"]).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int"))
+    mine = placed.drop("others").join(table, ["dims", "cell"], "left").fillna(1, "blocks").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int"))
     mine = mine.select("dims", "raw", "rep", "copies", "cell", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("block"), "own").withColumn("visits", F.col("block") > F.col("own")).drop("own")
-    guest = placed.select("dims", "raw", "rep", "copies", F.explode("others").alias("cell")).join(table, ["dims", "cell"])
+    guest = placed.select("dims", "raw", "rep", "copies", F.explode("others").alias("cell")).join(table, ["dims", "cell"], "left").fillna(1, "blocks")
     guest = guest.select("dims", "raw", "rep", "copies", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visits"))
     dealt = mine.unionByName(guest).repartition("dims", "cell", "block").sortWithinPartitions("dims", "cell", "block", "visits")
     found = cut(dealt.select("dims", "cell", "block", "visits", "rep", "copies", "raw").mapInPandas(_across(least), "a bigint, n bigint, b bigint"))
