@@ -1,18 +1,25 @@
-"""What the corpus operators share: the shared scratch folder, cut lineage, connected components."""
+"""What the corpus operators share: the shared scratch folder, cut lineage, parts of batches, connected components."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+`` as a Java character class body.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
+#: Characters of text that a Python worker takes up at once, if one text alone is not longer.
+CHARS_AT_ONCE = 2_000_000
+_written: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,62 +42,107 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+class Cut:
+    """A table in the shared folder: ``df`` reads it, ``drop`` deletes it once nothing reads it any more."""
+
+    def __init__(self, df: DataFrame) -> None:
+        spark = df.sparkSession
+        self.path = f"{shared_dir(spark)}/litweave-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(self.path)
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        _written[self.path] = (at, at.getFileSystem(spark._jsc.hadoopConfiguration()))
+        self.df = spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        _delete(self.path)
+
+
+def _delete(path: str) -> None:
+    at, system = _written.pop(path)
+    system.delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    """Tables that results may still read are deleted when the driver's process ends."""
+    for path in list(_written):
+        with contextlib.suppress(Exception):  # the JVM may be gone, and the folder with it
+            _delete(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/litweave-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` as a table in the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    The table stays until the driver's process ends, as a result that reads it may be computed at any time.
+    """
+    return Cut(df).df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches of whole texts small: a batch of very long texts must fit beside the executor's heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def named(column: str) -> Column:
+    """The column of exactly this name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with signs after it as long as a column has that name (names are compared without case)."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def portions(batches: Iterator[pd.DataFrame], column: str = "text", most: int = CHARS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """The rows of Arrow batches (which Spark bounds in bytes) in portions of at most ``most`` characters, or one row."""
+    for pdf in batches:
+        ends = np.fromiter((len(t) if isinstance(t, str) else 0 for t in pdf[column].array), np.int64, len(pdf)).cumsum()
+        at = 0
+        while at < len(pdf):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield pdf.iloc[at:to].reset_index(drop=True)
+            at = to
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Alternating large-star and small-star over ``edges`` (a, b).
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Alternating large-star and small-star over ``edges`` (a, b), as many rounds as it takes.
 
     Returns (node, component): the smallest node reachable, for every node that has an edge to
-    another node. Null ends and loops link nothing. Each round is written to the shared folder;
-    neighbourhoods are never collected, only their minimum is aggregated, so a node with many
+    another node. Null ends and loops link nothing. Each round is written to the shared folder and the one before
+    it deleted; neighbourhoods are never collected, only their minimum is aggregated, so a node with many
     links is no larger a row than any other.
     """
-    spark = edges.sparkSession
-    e = (
+    e = Cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("a is not null and b is not null and a <> b")
         .distinct()
     )
-    e = cut(e)
     before = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    while True:
+        both = e.df.unionByName(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
+        large = Cut(
             both.join(low, "u")
             .where("v > u and v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
+        low = large.df.groupBy("u").agg(F.min("v").alias("m"))
+        small = Cut(
+            large.df.join(low, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
             .distinct()
         )
-        e = cut(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        large.drop()
+        e.drop()
+        e = small
+        now = e.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            return e.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+                e.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import portions
 
 LEAST = 0.8
 #: Notices by licence, as their publishers word them (fixed values).
@@ -148,7 +148,7 @@ def find_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = Templates(templates, least)
-        for pdf in batches:
+        for pdf in portions(batches):
             out = []
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
                 found = table.scan(text if isinstance(text, str) else None)
@@ -156,5 +156,4 @@ def find_licences(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
                 out.append((doc_id, top[2], top[3], len(found), ",".join(f"{name}:{s}:{n}" for s, n, name, _ in found)))
             yield pd.DataFrame(out, columns=["doc_id", "licence", "dice", "n_matches", "matches"]).astype({"doc_id": "Int64", "dice": float})
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, licence string, dice double, n_matches bigint, matches string")

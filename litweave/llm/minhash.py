@@ -6,12 +6,13 @@
 3. In each bucket (band key) every member is paired with a leader only. Bands choose leaders by four
    seeded orders, so that a chain of near copies hangs together through several leaders. Pairs
    whose signatures agree enough are confirmed on the full sets; components come from those links.
-4. Buckets that still hold several components are compared again: their members in blocks, across components,
-   first by signatures and then on the full sets, which stand in the block. Only links that join
-   two components leave the task, so no pairs are written out. No bucket is capped.
+4. Buckets that still hold several components are compared again, across components. Their members are dealt into blocks,
+   and each pair of blocks is a task of its own, so that no task reads more than two blocks. First only signatures
+   go there; full sets follow for those members that a signature of another component agrees with. Only
+   links that join two components leave the task, so no pairs are written out. No bucket is capped.
 
 A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 1 - 6e-6 at 0.75; its
-signatures agree in fewer than AGREE places with a probability of 3e-5 at 0.75 and 1e-9 at 0.8.
+signatures agree in fewer than AGREE places with a probability of 3e-5 at 0.75 and 2e-8 at 0.8.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, small_batches
+from .common import Cut, connected_components, cut, named, portions, unused
 
 BANDS, ROWS = 32, 4
 PERMUTATIONS = BANDS * ROWS
@@ -33,7 +34,7 @@ WORDS = 5
 PERCENT = 75
 AGREE = 76
 LEADERS = 4
-BLOCK, BLOCK_BYTES = 1_024, 16_000_000
+BLOCK, BLOCK_BYTES = 512, 16_000_000
 _RNG = np.random.Generator(np.random.PCG64(20_240_917))
 _A = (_RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -78,21 +79,31 @@ def minima(s: np.ndarray) -> np.ndarray:
     return low
 
 
+def digest_of(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen = WordHashes()
-    for pdf in batches:
+    for pdf in portions(batches):
         out = []
         for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
             s = shingles(text if isinstance(text, str) else None, seen)
             if len(s):
                 m = minima(s)
                 keys = mixed((m.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _STEP)
-                out.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), keys.astype(np.int64), (m * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()))
+                out.append((doc_id, len(s), digest_of(s), keys.astype(np.int64), (m * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()))
             else:
                 out.append((doc_id, 0, None, None, None))
         yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "bands", "sig"]).astype({"doc_id": "Int64", "n_shingles": "int64"})
 
 
+def set_digest(texts: pd.Series) -> pd.Series:
+    """The digest that ``_sketch`` gives a text."""
+    seen = WordHashes()
+    return pd.Series([digest_of(shingles(t if isinstance(t, str) else None, seen)) for t in texts], dtype=object)
+
+
 def _agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         a, b = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(-1, PERMUTATIONS) for c in ("sig_a", "sig_b"))
@@ -112,9 +123,17 @@ def similar(s: np.ndarray, t: np.ndarray) -> bool:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    seen = WordHashes()
-    for pdf in batches:
-        yield pd.DataFrame({"node": pdf["node"], "shingles": [shingles(t, seen).tobytes() for t in pdf["text"]]})
+    """(node, shingles) of rows (node, digest, text) whose text has that digest; a node's equal texts mostly once."""
+    seen, done = WordHashes(), set()
+    for pdf in portions(batches):
+        out = []
+        for node, digest, text in zip(pdf["node"].tolist(), pdf["digest"], pdf["text"], strict=True):
+            if node not in done and digest_of(s := shingles(text, seen)) == bytes(digest):
+                if len(done) > 1_000_000:
+                    done.clear()
+                done.add(node)
+                out.append((node, s.tobytes()))
+        yield pd.DataFrame(out, columns=["node", "shingles"]).astype({"node": "int64"})
 
 
 def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,54 +142,60 @@ def _confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[np.array(good, bool), ["a", "b"]]
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, block, mover): the members of a block, then the members of earlier blocks.
-
-    Members of different components whose signatures agree are compared on their full sets, and those links come out
-    that join what nothing in this block has joined before.
-    """
-    at, own, block, up = None, [], None, {}
-
-    def root(c: int) -> int:
-        while (to := up.get(c, c)) != c:
-            up[c] = c = up.get(to, to)
-        return c
+def _tasks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple[int, int, int], pd.DataFrame]]:
+    """Whole groups of rows sorted by (key, i, j): at most two blocks each."""
+    at, held = None, []
+    for pdf in batches:
+        for k, part in pdf.groupby(["key", "i", "j"], sort=False):
+            if k != at and held:
+                yield at, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            at = k
+            held.append(part)
+    if held:
+        yield at, pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _agreeing(key: tuple[int, int, int], rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of block i the later rows (of the same block, or of block j) of other components whose signatures agree."""
+    sigs, comps, own = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, PERMUTATIONS), rows["comp"].to_numpy(), rows["own"].to_numpy()
+    left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+    for n, x in enumerate(left.tolist()):
+        others = right[n + 1 :] if key[1] == key[2] else right
+        others = others[comps[others] != comps[x]]
+        if len(others):
+            yield x, others[(sigs[others] == sigs[x]).sum(axis=1) >= AGREE]
+
+
+def _needed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Those rows of each task whose signature agrees with one of another component."""
+    for key, rows in _tasks(batches):
+        some = np.zeros(len(rows), bool)
+        for x, others in _agreeing(key, rows):
+            if len(others):
+                some[x] = some[others] = True
+        if some.any():
+            yield rows[some]
 
-    def arrays(pdf: pd.DataFrame) -> tuple:
-        return pdf["rep"].tolist(), pdf["comp"].tolist(), np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, PERMUTATIONS), [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
 
-    def links(mine: tuple, others: tuple, same: bool) -> pd.DataFrame:
-        reps, comps, sigs, sets = mine
-        out = []
-        for i, (rep, comp, sig, own_set) in enumerate(zip(*others, strict=True)):
-            first = i + 1 if same else 0
-            for j in (np.flatnonzero((sigs[first:] == sig).sum(axis=1) >= AGREE) + first).tolist():
-                r, t = root(comp), root(comps[j])
-                if r != t and similar(own_set, sets[j]):
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links of different components, confirmed on the full sets; of each task those that join what it has not joined before."""
+    for key, rows in _tasks(batches):
+        nodes, comps, up, out = rows["node"].tolist(), rows["comp"].tolist(), {}, []
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+
+        def root(c: int) -> int:
+            while (to := up.get(c, c)) != c:
+                up[c] = c = up.get(to, to)
+            return c
+
+        for x, others in _agreeing(key, rows):
+            for y in others.tolist():
+                r, t = root(comps[x]), root(comps[y])
+                if r != t and similar(sets[x], sets[y]):
                     up[r] = t
-                    out.append((max(rep, reps[j]), min(rep, reps[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    for pdf in batches:
-        for k, part in pdf.groupby(["key", "block", "mover"], sort=False):
-            if k[:2] != at:
-                if own:
-                    x = arrays(pd.concat(own))
-                    yield links(x, x, True)
-                at, own, block, up = k[:2], [], None, {}
-            if not k[2]:
-                own.append(part)
-            else:
-                if block is None:
-                    block = arrays(pd.concat(own)) if own else ()
-                    own = []
-                    if block:
-                        yield links(block, block, True)
-                if block:
-                    yield links(block, arrays(part), False)
-    if own:
-        x = arrays(pd.concat(own))
-        yield links(x, x, True)
+                    out.append((max(nodes[x], nodes[y]), min(nodes[x], nodes[y])))
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -181,67 +206,101 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def signed(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) whose signatures agree in AGREE places or more."""
-    wide = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    wide = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     return wide.mapInPandas(_agree, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, digest (of the shingle set).
+def paired(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``members`` (key, node, ...) once for each pair of blocks (key, i, j) that its own block is part of."""
+    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
-    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.75 or more;
-    ``component_id`` is the smallest id reachable over links. Null and empty texts link with nothing.
-    Rows that share an id are one document. A row without an id is linked with nothing but may
-    be named by none: its component is null and it is kept. An empty table gives an empty result.
+
+def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What both operators below start from.
+
+    rows (doc_id, n_shingles, digest) of ``docs``; sets (digest, rep, node): each set of shingles with the smallest id
+    that has it and a number of its own; links (a, b) between those numbers, enough for all components.
     """
-    small_batches(docs.sparkSession)
     rows = cut(docs.select("doc_id", "text").mapInPandas(_sketch, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, sig binary"))
     own = rows.where("digest is not null and doc_id is not null")
-    reps = cut(own.groupBy("digest").agg(F.min("doc_id").alias("rep")))
-    # (rep, bands, sig): a representative's id occurs with the digests of its own texts only
-    heads = own.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sig")
-    heads = cut(heads)
-    buckets = heads.select("rep", F.posexplode("bands").alias("band", "key"))
-    order = F.xxhash64(F.col("rep"), F.col("band") % LEADERS)
-    # a bucket of one document says nothing; a leader counts once however many rows it has
-    led = buckets.groupBy("key").agg(F.min_by("rep", order).alias("leader"), F.count("*").alias("members")).where("members > 1")
-    led = cut(led)
-    met = cut(buckets.select("key", "rep").join(led, "key"))
-    stars = met.where("rep <> leader").select(F.greatest("rep", "leader").alias("a"), F.least("rep", "leader").alias("b")).distinct()
-    sigs = heads.select("rep", "sig")
+    reps = cut(own.groupBy("digest").agg(F.min("doc_id").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    heads = own.join(reps.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
+    heads = cut(heads.select("node", "n_shingles", "bands", "sig"))
+    buckets = heads.select("node", F.posexplode("bands").alias("band", "key"))
+    order = F.xxhash64(F.col("node"), F.col("band") % LEADERS)
+    # a bucket of one document says nothing
+    led = cut(buckets.groupBy("key").agg(F.min_by("node", order).alias("leader"), F.count("*").alias("members")).where("members > 1"))
+    met = cut(buckets.select("key", "node").join(led, "key"))
+    stars = met.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     # full sets of all that share a bucket with another
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("doc_id is not null and text is not null")
-    sets = cut(texts.join(met.select(F.col("rep").alias("node")).distinct(), "node", "left_semi").mapInPandas(_sets, "node bigint, shingles binary"))
-    links = cut(confirmed(signed(stars, sigs), sets))
-    comps = cut(connected_components(links))
-    placed = met.where("members > 2").join(comps, met["rep"] == comps["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    placed = cut(placed)
-    mixed_up = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    some = met.select("node").distinct().join(reps, "node").withColumnRenamed("rep", "doc_id")
+    texts = docs.select("doc_id", "text").where("doc_id is not null and text is not null").join(some, "doc_id")
+    sets = cut(texts.select("node", "digest", "text").mapInPandas(_sets, "node bigint, shingles binary"))
+    links = cut(confirmed(signed(stars, heads.select("node", "sig")), sets))
+    placed = met.where("members > 2").join(connected_components(links).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    placed = cut(placed.select("key", "node", F.coalesce("component", "node").alias("comp")))
+    mixed_up = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    again = cut(placed.join(mixed_up, "key").join(heads.select("node", "sig", "n_shingles"), "node"))
     # a block is small in members and, as far as one member allows it, in bytes
-    signs = heads.select("rep", "sig", "n_shingles").dropDuplicates(["rep", "sig"])
-    again = cut(placed.join(mixed_up.select("key"), "key").join(signs, "rep"))
     sized = again.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    again = again.join(sized, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("blocks")).cast("int"))
-    again = again.join(sets.withColumnRenamed("node", "rep"), "rep")
-    again = again.select("key", "rep", "comp", "sig", "shingles", "own", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("block")).withColumn("mover", F.col("block") > F.col("own")).drop("own")
-    again = again.repartition("key", "block").sortWithinPartitions("key", "block", "mover")
-    more = cut(again.mapInPandas(_across, "a bigint, b bigint").distinct())
-    final = cut(connected_components(links.unionByName(more)))
-    of_set = reps.join(final, reps["rep"] == final["node"], "left").select("digest", F.coalesce("component", "rep").alias("_comp"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+    tasks = paired(again.drop("n_shingles"), sized).select("key", "i", "j", "own", "node", "comp", "sig")
+    tasks = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    needed = Cut(tasks.mapInPandas(_needed, tasks.schema))
+    full = needed.df.join(sets, "node").select("key", "i", "j", "own", "node", "comp", "sig", "shingles")
+    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = cut(full.mapInPandas(_across, "a bigint, b bigint").distinct())
+    needed.drop()
+    return rows.select("doc_id", "n_shingles", "digest"), reps, links.unionByName(more)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept, digest (of the shingle set).
+
+    Texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.75 or more;
+    ``component_id`` is the smallest id reachable over links. Null and empty texts link with nothing.
+    Rows that share an id are one document, whatever their texts: all their texts' links are its links. A row
+    without an id is linked with nothing but may be named by none: its component is null and it is kept. Texts of any
+    length are read whole, in portions bounded in characters. Further columns are not read. An empty table gives an
+    empty result.
+    """
+    rows, reps, links = linked_sets(docs)
+    named_rows = rows.where("digest is not null and doc_id is not null")
+    twice = named_rows.groupBy("doc_id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi")).where("lo <> hi").select("doc_id")
+    owned = cut(named_rows.join(twice, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(reps.select("digest", "node"), "digest"))
+    ties = owned.join(owned.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+    comps = cut(connected_components(links.unionByName(ties)))
+    low = comps.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
+    of_set = reps.join(comps.join(low, "component").select("node", "low"), "node", "left").select("digest", F.coalesce("low", "rep").alias("_comp"))
+    out = rows.join(of_set, "digest", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), "digest")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs``, with all its columns, without the near duplicates: of each component the document of the smallest id stays.
+    """``docs``, with all its columns, without the near duplicates: of each group of linked texts one row stays.
 
-    Of rows that share an id one stays; rows without an id and texts without words stay.
+    It is the row of the smallest id (of that id's texts in the group, one). Here every text counts for itself, also
+    where rows share an id: an id with two unlike texts keeps both, so no group loses its last text. Of rows with one id and
+    one set of shingles one stays, the same in every run. Rows without an id stay. Of rows with one id and texts without
+    words one stays. Columns may have any name. An empty table gives an empty result.
     """
-    docs = docs.select(*docs.columns)
-    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return out
-    named = out.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(out.where("doc_id is null"))
+    rows, reps, links = linked_sets(docs)
+    comps = cut(connected_components(links))
+    best = comps.join(reps, "node").groupBy("component").agg(F.min(F.struct("rep", "node")).alias("x")).select("component", F.col("x.node").alias("first"))
+    others = comps.join(best, "component").where("node <> first").select("node")
+    keepers = reps.join(others, "node", "left_anti").select("digest", F.col("rep").alias("_rep"))
+    told = rows.where("doc_id is not null").join(keepers, "digest", "left")
+    told = cut(told.select("doc_id", "digest", (F.col("digest").isNull() | (F.coalesce(F.col("_rep") == F.col("doc_id"), F.lit(False)))).alias("stays")))
+    ids = cut(told.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays")).where("n > 1 or not stays"))
+    every = [named(c) for c in docs.columns]
+    out = docs.join(ids.select("doc_id"), "doc_id", "left_anti").select(*every)
+    # rows that share an id are told apart by their sets
+    row, sign = F.struct(*every), unused(docs.columns, "_digest")
+    mark = F.xxhash64(F.to_json(row, {"ignoreNullFields": "false"}))
+    several = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi").withColumn(sign, F.pandas_udf(set_digest, "binary")(named("text")))
+    several = several.groupBy(F.col("doc_id").alias("_id"), F.col(sign).alias("_set")).agg(F.min_by(row, mark).alias("_row"))
+    stay = told.where("stays").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_set")).distinct()
+    kept = several.alias("l").join(stay.alias("r"), F.expr("l._id = r._id and l._set <=> r._set"), "left_semi")
+    return out.unionByName(kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))

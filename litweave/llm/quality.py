@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import portions
 from .labelled import fold, one_label, sample, texts_of
 
 FOLDS, HELD_OUT = 3, 1
@@ -70,7 +70,7 @@ def numbers(text: str | None, known: Buckets) -> np.ndarray:
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known, total, between = Buckets(), np.zeros(BUCKETS * DIMS), np.full(REACH, GAP, np.uint16)
-    for pdf in batches:
+    for pdf in portions(batches):
         parts = []
         for t in pdf["text"]:
             if isinstance(t, str):
@@ -99,7 +99,6 @@ def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """BUCKETS x (2 DIMS): index vectors and unit context vectors, from all texts."""
-    small_batches(docs.sparkSession)
     sums = docs.select("text").mapInPandas(_contexts, "part bigint, sums binary")
     got = sums.repartition(PARTS, "part").mapInPandas(_added, "part bigint, sums binary").toPandas()
     ctx = np.zeros((PARTS, BUCKETS * DIMS // PARTS))
@@ -162,7 +161,7 @@ class Network:
 def pool(docs: DataFrame, vectors: np.ndarray, keep: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Buckets()
-        for pdf in batches:
+        for pdf in portions(batches):
             yield pd.DataFrame({keep: pdf[keep], "x": [pooled(t if isinstance(t, str) else None, vectors, known).tobytes() for t in pdf["text"]]})
 
     return docs.select(keep, "text").mapInPandas(run, f"{keep} int, x binary")
@@ -175,7 +174,6 @@ def quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, t
     With labels of one class only (or none) every score is that class's share. Rows that share an id
     are scored each for itself; a null id is in no fold held out.
     """
-    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     train = one_label(labels, "quality").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
@@ -187,7 +185,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Buckets()
         table, network = shared.value
-        for pdf in batches:
+        for pdf in portions(batches):
             rows = np.array([pooled(t if isinstance(t, str) else None, table, known) for t in pdf["text"]], np.float64).reshape(len(pdf), -1)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": network.score(rows) if len(pdf) else np.empty(0)})
 
