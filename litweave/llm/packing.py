@@ -2,7 +2,8 @@
 
 The plan needs only how many pieces there are of each length, at most ``size`` numbers, so it is made on
 the driver at any corpus size: a bin is filled greedily with the largest lengths that fit; then its smallest
-piece is replaced by the two unpacked ones that fill the gap it would leave most tightly, if they fill more.
+piece is replaced by the two unpacked ones that fill the gap it would leave most tightly, if they fill more and
+neither is smaller than half of it.
 As long as the lengths a bin used last, the next bins come out alike, so bins are planned in runs: a few
 thousand patterns with counts. Pieces of one length are interchangeable; each takes the place
 that its rank among them has in the plan.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, portions
 from .tokens import Ids, public_path
 
 SIZE = 1024
@@ -28,10 +29,11 @@ END = 2
 PER_SALT = 20_000
 
 
-def best_two(left: np.ndarray, room: int, above: int) -> tuple[int, int] | None:
-    """The two lengths still there whose sum is the largest that is at most ``room``, if over ``above``."""
+def best_two(left: np.ndarray, room: int, small: int) -> tuple[int, int] | None:
+    """The two lengths still there whose sum is the largest that is over ``small`` and at most ``room``; each at least half of ``small``."""
     have = np.flatnonzero(left[: room + 1])
-    best, found, j = above, None, len(have) - 1
+    have = have[2 * have >= small]
+    best, found, j = small, None, len(have) - 1
     for i in have.tolist():
         while j >= 0 and have[j] + i > room:
             j -= 1
@@ -41,7 +43,7 @@ def best_two(left: np.ndarray, room: int, above: int) -> tuple[int, int] | None:
         if k == i and left[i] < 2:
             if j == 0 or (k := int(have[j - 1])) < i:
                 continue
-        if k + i > above and k + i >= best:  # of equal sums the one of the most equal parts: small pieces fill later gaps
+        if k + i > small and k + i >= best:  # of equal sums the one of the most equal parts: small pieces fill later gaps
             best, found = k + i, (i, k)
     return found
 
@@ -49,13 +51,9 @@ def best_two(left: np.ndarray, room: int, above: int) -> tuple[int, int] | None:
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """[(lengths of a bin, number of such bins)] that holds every piece once.
 
-    Replacing uses up small pieces early, which on some length counts costs a few bins in thousands at
-    the end; the plan that replaces is therefore kept only if greedy filling alone needs no fewer bins.
+    The two pieces that replace a bin's smallest one are each at least half of it: smaller ones are
+    left for gaps that nothing else fits, as a bin that takes two small pieces early leaves a bin open later.
     """
-    return min((filled(counts, size, True), filled(counts, size, False)), key=lambda p: sum(n for _, n in p))
-
-
-def filled(counts: dict[int, int], size: int, replace: bool) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         left[length] += n
@@ -72,13 +70,11 @@ def filled(counts: dict[int, int], size: int, replace: bool) -> list[tuple[tuple
             items += [top] * n
             left[top] -= n
             gap -= n * top
-        if replace and gap and len(items) > 1:
-            small = items[-1]
-            if two := best_two(left, gap + small, small):
-                items[-1:] = sorted(two, reverse=True)
-                left[small] += 1
-                for x in two:
-                    left[x] -= 1
+        if gap and len(items) > 1 and (two := best_two(left, gap + items[-1], items[-1])):
+            left[items[-1]] += 1
+            items[-1:] = sorted(two, reverse=True)
+            for x in two:
+                left[x] -= 1
         used = Counter(items)
         more = min(int(left[x]) // m for x, m in used.items())
         for x, m in used.items():
@@ -108,12 +104,12 @@ def cut_points(n: int, size: int = SIZE) -> list[tuple[int, int]]:
     return [(0, first)] + [(s, size) for s in range(first, n, size)]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids with ``end`` after them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, last = Ids(tokenizer_path), np.array([end], "<u4").tobytes()
-        for pdf in batches:
+        ids, last = Ids(tokenizer_path or public_path()), np.array([end], "<u4").tobytes()
+        for pdf in portions(batches):
             out = []
             for doc_id, raw in zip(pdf["doc_id"].array, ids([t if isinstance(t, str) else None for t in pdf["text"]]), strict=True):
                 raw += last
@@ -121,21 +117,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end: int = EN
                     out.append((doc_id, k, s, n, zlib.crc32(raw[4 * s : 4 * (s + n)])))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = SIZE, end: int = END) -> DataFrame:
     """Per piece of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the one token ``end``. Rows that share an id are packed each for itself.
-    An empty table gives an empty result.
+    A null or empty text is the one token ``end``. Rows that share an id, and those without one, are packed each for
+    itself. Texts of any length are encoded whole; only documents of more than ``size`` tokens are cut, into pieces of
+    ``size`` of which the first may be shorter. Further columns are not read. An empty table gives an empty result.
+    The tokenizer's file is looked up where it is read, on the executors.
     """
-    p = cut(pieces(docs, tokenizer_path or public_path(), size, end))
+    p = cut(pieces(docs, tokenizer_path, size, end))
     counts = {r["length"]: r["n"] for r in p.groupBy("length").agg(F.count("*").alias("n")).collect()}
     at = places(plan(counts, size))
-    salts = 16 + sum(counts.values()) // PER_SALT
-    p = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    # a length has salts in proportion to its pieces, so that there are at most size + pieces / PER_SALT of (length, salt)
+    salts = F.array(*[F.lit(1 + counts.get(n, 0) // PER_SALT) for n in range(size + 1)])
+    p = p.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.get(salts, F.col("length").cast("int"))))
     before = p.groupBy("length", "salt").agg(F.count("*").alias("n"))
     w = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = cut(before.select("length", "salt", (F.sum("n").over(w) - F.col("n")).alias("before")))
