@@ -4,8 +4,10 @@ A leaf is a run of whole pre-tokens with its numbers of characters and of tokens
 re-reads the leaves that it touches with the context that can matter: a pre-token's match looks at most two characters
 beyond its end, so leaves that end two characters before the edit stand, and as a match depends on
 nothing before its start, all stands again from the first old leaf border after the edit that is a border of the new
-pre-tokens too. The new pre-tokens become one leaf, leaves that they replace become empty, and the sums above
-these leaves are set anew.
+pre-tokens too. Each new pre-token is a leaf of its own. If they are no more than the leaves they replace, they take
+these leaves' places, leaves that are left over become empty, and only the sums above are set anew. Otherwise, and when
+more than half of all leaves are empty, the inner nodes are built again from the leaves' counts, with
+nothing encoded again.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import portions
 from .tokens import Ids, public_path
 
 LOOK = 2
@@ -43,9 +45,15 @@ class TokenTree:
     def _fill(self, pieces: list[str]) -> None:
         self.leaf = pieces or [""]
         n = len(self.leaf)
-        level = np.zeros((1 << max(0, (n - 1).bit_length()), 2), np.int64)
-        level[:n, 0] = np.fromiter(map(len, self.leaf), np.int64, n)
-        level[:n, 1] = np.fromiter(map(self.counts.__getitem__, self.leaf), np.int64, n) if pieces else 0
+        own = np.zeros((n, 2), np.int64)
+        own[:, 0] = np.fromiter(map(len, self.leaf), np.int64, n)
+        own[:, 1] = np.fromiter(map(self.counts.__getitem__, self.leaf), np.int64, n) if pieces else 0
+        self._build(own)
+
+    def _build(self, own: np.ndarray) -> None:
+        """The sums over the leaves' characters and tokens."""
+        level = np.zeros((1 << max(0, (len(own) - 1).bit_length()), 2), np.int64)
+        level[: len(own)] = own
         self.levels = [level]
         while len(level) > 1:
             level = level[0::2] + level[1::2]
@@ -113,11 +121,23 @@ class TokenTree:
             if to is not None:
                 break
             more *= 4
-        self.leaf[first:to] = ["".join(parts)] + [""] * (to - first - 1) if to > first else []
-        self._set(first, len(self.leaf[first]), sum(self.counts[x] for x in parts))
-        for i in range(first + 1, to):
-            self._set(i, 0, 0)
-        self.spare += to - first - 1
+        had = sum(1 for x in self.leaf[first:to] if not x)
+        own = [(len(x), self.counts[x]) for x in parts] + [(0, 0)] * (to - first - len(parts))
+        if len(parts) <= to - first:
+            self.leaf[first:to] = parts + [""] * (to - first - len(parts))
+            for i, (chars, tokens) in enumerate(own, first):
+                self._set(i, chars, tokens)
+            self.spare += to - first - len(parts) - had
+        else:
+            level = np.concatenate([self.levels[0][:first], np.array(own, np.int64).reshape(-1, 2), self.levels[0][to : len(self.leaf)]])
+            self.leaf[first:to] = parts
+            self._build(level)
+            self.spare = self.leaf.count("")
+        if 2 * self.spare > len(self.leaf):
+            some = [i for i, x in enumerate(self.leaf) if x] or [0]
+            level = self.levels[0][some]
+            self.leaf = [self.leaf[i] for i in some]
+            self._build(level)
         return len(parts)
 
     def text(self) -> str:
@@ -129,14 +149,14 @@ def edited_counts(docs: DataFrame, edits: str = "edits", tokenizer_path: str | N
 
     Edits apply one after the other, each in positions (code points) of the text that it finds; positions past the end
     are cut. A null text counts as empty, a null array as no edit, a null replacement as "". The
-    tokenizer's special string is ordinary text. An empty table gives an empty result.
+    tokenizer's special string is ordinary text. Rows that share an id are counted each for itself. Texts of any length are
+    counted whole. Further columns are not read. An empty table gives an empty result. The tokenizer's file is
+    looked up where it is read, on the executors.
     """
-    path = tokenizer_path or public_path()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = Ids(path, special_as_text=True)
+        ids = Ids(tokenizer_path or public_path(), special_as_text=True)
         counts = Counts(ids)
-        for pdf in batches:
+        for pdf in portions(batches):
             out = []
             parted = [ids.words(t) if isinstance(t, str) and t else [] for t in pdf["text"]]
             for doc_id, words, changes in zip(pdf["doc_id"].array, parted, pdf[edits], strict=True):
@@ -147,5 +167,4 @@ def edited_counts(docs: DataFrame, edits: str = "edits", tokenizer_path: str | N
                 out.append((doc_id, *before, tree.chars, tree.tokens, again))
             yield pd.DataFrame(out, columns=["doc_id", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "pretokens_read"]).astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text", edits).mapInPandas(run, "doc_id bigint, n_chars bigint, n_tokens bigint, edited_chars bigint, edited_tokens bigint, pretokens_read bigint")
