@@ -266,3 +266,16 @@ def spans(dfa: Dfa, data: bytes) -> list[tuple[int, int]]:
         else:
             i += 1
     return out
+
+
+def longest(dfa: Dfa, data: bytes, start: int) -> int:
+    """The length of the longest match of an automaton without search that begins at ``start``; 0 if none does."""
+    table, classes = dfa.next.tolist(), dfa.of_byte.tolist()
+    state, end = 0, 0
+    for j in range(start, len(data)):
+        state = table[state * dfa.classes + classes[data[j]]]
+        if state == dfa.dead:
+            break
+        if dfa.accepts[state]:
+            end = j + 1 - start
+    return end
