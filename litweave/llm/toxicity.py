@@ -1,34 +1,47 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; a sample of all other documents, whatever they are, is the
+Confirmed toxic documents are the positives; all other documents of the training folds, whatever they are, are the
 unlabelled set. The risk of a classifier g with loss l and class prior p is
 ``p E_pos[l(g, +)] + max(0, E_unl[l(g, -)] - p E_pos[l(g, -)])``: the second part estimates the risk on clean
 text and is kept from falling below zero, where it would reward overfitting. The prior is the share of toxic
 documents among the labelled rows of the training folds, less the positives taken out of the rest.
 
-Features are words and word beginnings of 5 and 7 letters, present or not, of the whole text.
+Features are words and word beginnings of 5 and 7 letters, present or not, of the whole text. Those that
+enough positives have are the columns. One pass turns every unlabelled text into its columns; each step of the fit is
+one further pass over that small table, in which the tasks add up their rows' losses and gradients. So no unlabelled
+row is left out and what reaches the driver is one vector of sums for each task group, whatever the corpus' size.
+
+The rows are dealt into ``PARTS`` parts and as many classifiers are fitted in the same passes, each without the rows of its
+own part; the model is their mean. The threshold is given, so the bias is set for it, on scores that each row gets
+from the classifier that has not seen it: recall r is the share of positives at or above the threshold, q that of
+all rows, s the share of toxic rows, and of all shifts of the bias the one with the largest estimated F1,
+``2 min(s r, q) / (s + q)``, is taken.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-from .labelled import fold, one_label, sample, texts_of
+from .common import Cut, cut, named, portions, unused
+from .labelled import fold, one_label, sample, seeded, texts_of
 
 FOLDS, HELD_OUT = 4, 2
-#: Bounds of the sample that the classifier is fitted on.
-MOST_POSITIVE, MOST_UNLABELLED = 4_000, 8_000
+#: Bounds of the sample of confirmed rows and of the columns (the most frequent in it).
+MOST_POSITIVE, MOST_COLUMNS = 4_000, 1 << 15
 THRESHOLD = 0.3
 LEAST_POSITIVE = 3
-STEPS, RATE, DECAY, SEED = 400, 0.05, 3e-4, 11
+STEPS, RATE, DECAY, SEED = 60, 0.1, 3e-4, 11
+PARTS = 3
+#: Tasks that add up what other tasks have added up.
+ADDERS = 4
+SHIFTS = np.arange(-8.0, 8.0625, 0.0625)
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,27 +51,31 @@ def features(word: str) -> list[int]:
     return out
 
 
-def of_text(text: str) -> np.ndarray:
-    return np.array(sorted({f for w in set(LETTERS.findall(text.lower())) for f in features(w)}), np.uint32)
+class Known(dict):
+    """Word → its features, or those of them that are among some."""
+
+    def __init__(self, some: dict[int, float] | None = None) -> None:
+        self.some = some
 
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 400_000:
+            self.clear()
+        out = self[word] = tuple(f for f in features(word) if self.some is None or f in self.some)
+        return out
 
-def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"y": pdf["y"], "x": [of_text(t if isinstance(t, str) else "").tobytes() for t in pdf["text"]]})
+
+def of_text(text: str | None, known: Known) -> set[int]:
+    words = set(LETTERS.findall(text.lower())) if isinstance(text, str) else ()
+    return {f for w in words for f in known[w]}
 
 
 class Rows:
-    """Rows of 0/1 features, as one array of column numbers and the rows' lengths."""
-
-    def __init__(self, rows: list[np.ndarray], columns: np.ndarray) -> None:
-        kept = []
-        for r in rows:
-            at = np.searchsorted(columns, r)
-            at[at == len(columns)] = 0
-            kept.append(at[columns[at] == r] if len(columns) else at[:0])
-        self.n, self.width = len(rows), len(columns)
-        self.of = np.repeat(np.arange(self.n), [len(k) for k in kept])
-        self.at = np.concatenate(kept) if kept else np.empty(0, np.int64)
+    """Rows of 0/1 features: arrays of column numbers, one after the other."""
+
+    def __init__(self, rows: list[np.ndarray], width: int) -> None:
+        self.n, self.width = len(rows), width
+        self.of = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.at = np.concatenate(rows) if rows else np.empty(0, np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, w[self.at], self.n) if len(self.at) else np.zeros(self.n)
@@ -71,104 +88,197 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) of a logistic classifier with the smallest non-negative PU risk found by Adam."""
-    seen, counts = np.unique(np.concatenate(positive), return_counts=True) if positive else (np.empty(0, np.uint32), np.empty(0))
-    columns = seen[counts >= min(LEAST_POSITIVE, max(1, len(positive) // 4))]
-    p, u = Rows(positive, columns), Rows(unlabelled, columns)
-    prior = min(max(prior, 1e-4), 0.9999)
-    w, b = np.zeros(len(columns)), float(np.log(prior / (1 - prior)))
-    if not p.n or not u.n:
-        return columns, w, b
-    # a feature as common in unlabelled text as in toxic text starts with nothing
-    rate = (p.back(np.ones(p.n)) + 0.5) / (p.n + 1), (u.back(np.ones(u.n)) + 0.5) / (u.n + 1)
-    scale = np.clip(np.log(rate[0] / rate[1]), 0, 4) / 4
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, steps + 1):
-        sp, su = sigmoid(p.dot(w * scale) + b), sigmoid(u.dot(w * scale) + b)
-        clean = -np.log1p(-np.clip(su, 0, 1 - 1e-9)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-9)).mean()
-        on_u, on_p = su / u.n, -prior * sp / p.n  # gradient of the risk on clean text
-        if clean < 0:
-            on_u, on_p = -on_u, -on_p
-            toxic = np.zeros(p.n)
-        else:
-            toxic = prior * (sp - 1) / p.n
-        gp = on_p + toxic
-        g = (p.back(gp) + u.back(on_u)) * scale + DECAY * w
-        gb = gp.sum() + on_u.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= RATE * (m / c1) / (np.sqrt(v / c2) + 1e-8)
-        b -= RATE * (mb / c1) / (np.sqrt(vb / c2) + 1e-8)
-    # the bias is moved half way to where the mean score of unlabelled text is the prior: the clipped risk leaves it
-    # too high, while all the way would take in that unlabelled toxic text scores lower than it should
-    z, lo, hi = u.dot(w * scale), -40.0, 40.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if sigmoid(z + mid).mean() > prior else (mid, hi)
-    return columns, w * scale, (b + lo) / 2
-
-
-def learn(docs: DataFrame, labels: DataFrame, *, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED, seed: int = SEED) -> tuple[dict[int, float], float]:
-    """(feature → weight, bias), from labels of the training folds only and on at most the two bounds of rows."""
-    small_batches(docs.sparkSession)
+def as_clean(rows: Rows, w: np.ndarray, b: float) -> np.ndarray:
+    """[number of rows, sum of l(g, -), its derivative by the bias, by each weight] over rows."""
+    s = sigmoid(rows.dot(w) + b)
+    return np.concatenate([[rows.n, -np.log1p(-np.clip(s, 0, 1 - 1e-9)).sum(), s.sum()], rows.back(s)])
+
+
+def risk(positive: Rows, unlabelled: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[float, float, np.ndarray]:
+    """(risk on toxic text, estimated risk on clean text, gradient of the non-negative risk by bias and weights).
+
+    ``unlabelled`` is what ``as_clean`` adds up to. Where the risk on clean text falls below zero the step goes back up it.
+    """
+    s = sigmoid(positive.dot(w) + b)
+    toxic = prior * -np.log(np.clip(s, 1e-300, 1)).mean()
+    clean = unlabelled[1] / unlabelled[0] + prior * np.log1p(-np.clip(s, 0, 1 - 1e-9)).mean()
+    on_clean = unlabelled[2:] / unlabelled[0] - prior / positive.n * np.concatenate([[s.sum()], positive.back(s)])
+    if clean < 0:
+        return toxic, clean, -on_clean
+    return toxic, clean, on_clean + prior / positive.n * np.concatenate([[(s - 1).sum()], positive.back(s - 1)])
+
+
+class Fit:
+    """One classifier, its weights and bias moved by Adam down the non-negative PU risk."""
+
+    def __init__(self, positive: Rows, seen: np.ndarray, n: float, prior: float) -> None:
+        self.positive, self.prior, self.t = positive, prior, 0
+        self.able = bool(positive.n and n)
+        # a feature as common in unlabelled text as in toxic text starts with nothing
+        rate = (positive.back(np.ones(positive.n)) + 0.5) / (positive.n + 1), (seen + 0.5) / (n + 1)
+        self.scale = np.concatenate([[1.0], np.clip(np.log(rate[0] / rate[1]), 0, 4) / 4 * self.able])
+        self.x = np.concatenate([[np.log(prior / (1 - prior))], np.zeros(positive.width)])
+        self.m, self.v = np.zeros_like(self.x), np.zeros_like(self.x)
+
+    def model(self) -> np.ndarray:
+        """[bias, weights]."""
+        return self.x * self.scale
+
+    def step(self, unlabelled: np.ndarray, steps: int) -> None:
+        """One step, from the sums of ``as_clean`` over the unlabelled rows."""
+        if not self.able:
+            return
+        self.t += 1
+        now = self.model()
+        g = risk(self.positive, unlabelled, self.prior, now[1:], now[0])[2] * self.scale + DECAY * np.concatenate([[0.0], self.x[1:]])
+        self.m, self.v = 0.9 * self.m + 0.1 * g, 0.99 * self.v + 0.01 * g * g
+        rate = RATE * (1 - 0.9 * self.t / steps)
+        self.x = self.x - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
+
+
+def best_shift(positive: np.ndarray, unlabelled: np.ndarray, n: float, confirmed: float, share: float, threshold: float) -> float:
+    """The shift of the bias, of SHIFTS, with the largest estimated F1; of equal ones the smallest.
+
+    ``positive`` are logits of confirmed rows; under shift k ``unlabelled[k]`` of n unlabelled rows are at or above the
+    threshold; there are ``confirmed`` confirmed rows in all and a ``share`` of all rows is toxic.
+    """
+    if not len(positive) or not n:
+        return 0.0
+    recall = (positive[:, None] + SHIFTS[None, :] >= np.log(threshold / (1 - threshold))).mean(axis=0)
+    found = (unlabelled + confirmed * recall) / (n + confirmed)
+    f1 = 2 * np.minimum(share * recall, found) / (share + found)
+    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
+    return float(SHIFTS[best[np.abs(SHIFTS[best]).argmin()]])
+
+
+def added(df: DataFrame, run: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], width: int) -> np.ndarray:
+    """The sum over all rows (part, x: column numbers as bytes) of what ``run`` makes of a portion of them; tasks add up twice."""
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, rows = np.zeros(width), 0
+        for pdf in batches:
+            total, rows = total + run(pdf["part"].to_numpy(), [np.frombuffer(r, np.uint32) for r in pdf["x"]]), rows + len(pdf)
+        if rows:
+            yield pd.DataFrame({"to": [rows % ADDERS], "x": [total.astype(np.float32).tobytes()]})
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(width)
+        for pdf in batches:
+            for raw in pdf["x"]:
+                total += np.frombuffer(raw, np.float32)
+        yield pd.DataFrame({"x": [total.tobytes()]})
+
+    sums = df.select("part", "x").mapInPandas(first, "to int, x binary").repartition(ADDERS, "to").mapInPandas(again, "x binary")
+    out = np.zeros(width)
+    for r in sums.collect():
+        out += np.frombuffer(r["x"], np.float64)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most_positive: int = MOST_POSITIVE, steps: int = STEPS, seed: int = SEED) -> tuple[dict[int, float], float]:
+    """(feature → weight, bias), from labels of the training folds only; at most ``most_positive`` confirmed rows, all unlabelled ones."""
     train = one_label(labels, "toxic").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     toxic, labelled = train.agg(F.sum("y"), F.count("*")).first()
-    total = docs.where(F.coalesce(fold(F.col("doc_id"), FOLDS) != HELD_OUT, F.lit(False))).count()
     rate = (toxic or 0) / labelled if labelled else 0.0
     known = train.where("y = 1").select("doc_id")
-    pos = sample(known.withColumn("y", F.lit(1)), most_positive, seed)
+    part = F.pmod(seeded(seed + 1), F.lit(PARTS)).cast("int").alias("part")
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Known()
+        for pdf in portions(batches):
+            yield pd.DataFrame({"part": pdf["part"], "x": [sorted(of_text(t, words)) for t in pdf["text"]]})
+
+    pos = cut(texts_of(docs, sample(known, most_positive, seed)).select(part, "text").mapInPandas(featured, "part int, x array<bigint>"))
+    n_pos = pos.count()
+    common = pos.select(F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= min(LEAST_POSITIVE, max(1, n_pos // 4)))
+    columns = np.sort(np.array([r["f"] for r in common.orderBy(F.desc("n"), "f").limit(MOST_COLUMNS).collect()], np.int64))
+    place, width = {f: i for i, f in enumerate(columns.tolist())}, len(columns)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [np.array([place[f] for f in r.tolist() if f in place], np.uint32) for r in pdf["x"]]
+            yield pd.DataFrame({"part": pdf["part"], "x": [r.tobytes() for r in rows]})
+
+    def texts_placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Known(place)
+        for pdf in portions(batches):
+            yield pd.DataFrame({"part": pdf["part"], "x": [np.array(sorted(place[f] for f in of_text(t, words)), np.uint32).tobytes() for t in pdf["text"]]})
+
     # unlabelled: any other document of the training folds, as those that hold a confirmed label are left out by id
-    rest = docs.select("doc_id").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).join(known, "doc_id", "left_anti").distinct()
-    unl = sample(rest.withColumn("y", F.lit(0)), most_unlabelled, seed)
-    got = texts_of(docs, pos.unionByName(unl)).mapInPandas(_featured, "y int, x binary").toPandas()
-    rows = {y: [np.frombuffer(x, np.uint32) for x in got.loc[got["y"] == y, "x"]] for y in (0, 1)}
+    rest = docs.select("doc_id", "text").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).join(known, "doc_id", "left_anti")
+    rest = Cut(rest.select(part, "text").mapInPandas(texts_placed, "part int, x binary"))
+
+    def each_without(run: Callable[[Rows, int], np.ndarray]) -> Callable:
+        """For each classifier ``run`` on the rows that are not of its own part."""
+        return lambda parts, rows: np.concatenate([run(Rows([r for r, p in zip(rows, parts.tolist(), strict=True) if p != k], width), k) for k in range(PARTS)])
+
+    seen = added(rest.df, each_without(lambda x, _: np.concatenate([[x.n], x.back(np.ones(x.n))])), PARTS * (1 + width)).reshape(PARTS, -1)
+    total = seen[:, 0].sum() / max(PARTS - 1, 1) + (toxic or 0)
     prior = max(rate * total - (toxic or 0), 0) / max(total - (toxic or 0), 1) if toxic else rate
-    columns, w, b = fit_nnpu(rows[1], rows[0], prior)
-    return dict(zip(columns.tolist(), w.tolist(), strict=True)), b
+    prior = min(max(prior, 1e-4), 0.9999)
+    few = [(r["part"], np.frombuffer(r["x"], np.uint32)) for r in pos.mapInPandas(placed, "part int, x binary").collect()]
+    fits = [Fit(Rows([x for p, x in few if p != k], width), seen[k, 1:], seen[k, 0], prior) for k in range(PARTS)]
+    # columns that start with nothing in every classifier stay so; nothing is sent of them
+    live = np.flatnonzero(np.any([f.scale[1:] > 0 for f in fits], axis=0))
+    for _ in range(steps if any(f.able for f in fits) else 0):
+        now = np.array([f.model() for f in fits])
+
+        def sums(x: Rows, k: int, now: np.ndarray = now) -> np.ndarray:
+            own = as_clean(x, now[k, 1:], now[k, 0])
+            return np.concatenate([own[:3], own[3:][live]])
+
+        for f, own in zip(fits, added(rest.df, each_without(sums), PARTS * (3 + len(live))).reshape(PARTS, -1), strict=True):
+            all_columns = np.zeros(3 + width)
+            all_columns[:3], all_columns[3 + live] = own[:3], own[3:]
+            f.step(all_columns, steps)
+    models = np.array([f.model() for f in fits])
+    edge = np.log(threshold / (1 - threshold))
+
+    def logits(parts: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Of each row by the classifier that has not seen it."""
+        x, out = Rows(rows, width), np.zeros(len(rows))
+        for k in range(PARTS):
+            out = np.where(parts == k, x.dot(models[k, 1:]) + models[k, 0], out)
+        return out
+
+    over = added(rest.df, lambda parts, rows: np.concatenate([[len(rows)], (logits(parts, rows)[:, None] + SHIFTS[None, :] >= edge).sum(axis=0)]), 1 + len(SHIFTS))
+    rest.drop()
+    mean = models.mean(axis=0)
+    shift = best_shift(logits(np.array([p for p, _ in few]), [x for _, x in few]), over[1:], over[0], toxic or 0, rate, threshold)
+    return dict(zip(columns.tolist(), mean[1:].tolist(), strict=True)), float(mean[0] + shift)
 
 
 def scorer(model: tuple[dict[int, float], float]):
     """A column function: whole texts → scores."""
     weights, bias = model
     w_of = {f: w for f, w in weights.items() if w}
-    known: dict[str, tuple] = {}
-
-    def score(text: str | None) -> float:
-        found: set[int] = set()
-        for w in set(LETTERS.findall(text.lower())) if isinstance(text, str) else ():
-            own = known.get(w)
-            if own is None:
-                if len(known) > 400_000:
-                    known.clear()
-                own = known[w] = tuple(f for f in features(w) if f in w_of)
-            if own:
-                found.update(own)
-        return bias + sum(w_of[f] for f in sorted(found))
+    known = Known(w_of)
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(sigmoid(np.array([score(t) for t in texts], float)))
+        return pd.Series(sigmoid(np.array([bias + sum(w_of[f] for f in sorted(of_text(t, known))) for t in texts], float)))
 
     return scores
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``."""
-    small_batches(docs.sparkSession)
-    return docs.withColumn("_score", scorer(learn(docs, labels))("text")).where(F.col("_score") < threshold).select(*docs.columns)
+    """The rows of ``docs``, with all their columns, that score below ``threshold``.
+
+    Null and empty texts score as texts without words. Rows that share an id are scored each for itself. Columns may have
+    any name. An empty table gives an empty result; without labels, or without any confirmed row, all rows stay.
+    """
+    own = unused(docs.columns, "_score")
+    scored = docs.withColumn(own, scorer(learn(docs, labels, threshold=threshold))(named("text")))
+    return scored.where(named(own) < threshold).select(*[named(c) for c in docs.columns])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    Null and empty texts get the score of a text without words. Without labels every score is near 0.
-    Rows that share an id are scored each for itself; a null id is in no fold held out.
+    Null and empty texts get the score of a text without words. Without labels every score is near 0. Texts of any length
+    are read whole. Rows that share an id are scored each for itself; a null id is in no fold held out. Further columns are
+    not read. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    s = docs.select("doc_id", scorer(learn(docs, labels))("text").alias("score"))
+    s = docs.select("doc_id", scorer(learn(docs, labels, threshold=threshold))("text").alias("score"))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
