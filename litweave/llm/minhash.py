@@ -35,6 +35,7 @@ PERCENT = 75
 AGREE = 76
 LEADERS = 4
 BLOCK, BLOCK_BYTES = 512, 16_000_000
+SALTS = 16
 _RNG = np.random.Generator(np.random.PCG64(20_240_917))
 _A = (_RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64) | 1).astype(np.uint32)[:, None]
 _B = _RNG.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32)[:, None]
@@ -210,9 +211,15 @@ def signed(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return wide.mapInPandas(_agree, "a bigint, b bigint").distinct()
 
 
+def of_keys(members: DataFrame, keys: DataFrame) -> DataFrame:
+    """``members`` (key, node, ...) joined with ``keys`` (key, ...), each of which stands there once for each of SALTS parts of its members."""
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+
+
 def paired(members: DataFrame, blocks: DataFrame) -> DataFrame:
     """``members`` (key, node, ...) once for each pair of blocks (key, i, j) that its own block is part of."""
-    dealt = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = of_keys(members, blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks")
 
@@ -242,7 +249,7 @@ def linked_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     placed = met.where("members > 2").join(connected_components(links).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     placed = cut(placed.select("key", "node", F.coalesce("component", "node").alias("comp")))
     mixed_up = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    again = cut(placed.join(mixed_up, "key").join(heads.select("node", "sig", "n_shingles"), "node"))
+    again = cut(of_keys(placed, mixed_up).join(heads.select("node", "sig", "n_shingles"), "node"))
     # a block is small in members and, as far as one member allows it, in bytes
     sized = again.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     tasks = paired(again.drop("n_shingles"), sized).select("key", "i", "j", "own", "node", "comp", "sig")
@@ -273,7 +280,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = cut(connected_components(links.unionByName(ties)))
     low = comps.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("low"))
     of_set = reps.join(comps.join(low, "component").select("node", "low"), "node", "left").select("digest", F.coalesce("low", "rep").alias("_comp"))
-    out = rows.join(of_set, "digest", "left")
+    # a row without words whose id has words elsewhere
+    blank = rows.where("digest is null")
+    told = named_rows.join(blank.select("doc_id").distinct(), "doc_id", "left_semi").join(of_set, "digest").groupBy("doc_id").agg(F.min("_comp").alias("_comp"))
+    cols = ["doc_id", "n_shingles", "digest", "_comp"]
+    out = rows.where("digest is not null").join(of_set, "digest", "left").select(*cols).unionByName(blank.join(told, "doc_id", "left").select(*cols))
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("_comp", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(comp == F.col("doc_id"), F.lit(True)).alias("kept"), "digest")
 

@@ -88,6 +88,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def logit(score: float) -> float:
+    return float(np.log(score / (1 - score))) if 0 < score < 1 else np.inf if score >= 1 else -np.inf
+
+
 def as_clean(rows: Rows, w: np.ndarray, b: float) -> np.ndarray:
     """[number of rows, sum of l(g, -), its derivative by the bias, by each weight] over rows."""
     s = sigmoid(rows.dot(w) + b)
@@ -144,7 +148,7 @@ def best_shift(positive: np.ndarray, unlabelled: np.ndarray, n: float, confirmed
     """
     if not len(positive) or not n:
         return 0.0
-    recall = (positive[:, None] + SHIFTS[None, :] >= np.log(threshold / (1 - threshold))).mean(axis=0)
+    recall = (positive[:, None] + SHIFTS[None, :] >= logit(threshold)).mean(axis=0)
     found = (unlabelled + confirmed * recall) / (n + confirmed)
     f1 = 2 * np.minimum(share * recall, found) / (share + found)
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
@@ -232,7 +236,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
             all_columns[:3], all_columns[3 + live] = own[:3], own[3:]
             f.step(all_columns, steps)
     models = np.array([f.model() for f in fits])
-    edge = np.log(threshold / (1 - threshold))
+    edge = logit(threshold)
 
     def logits(parts: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
         """Of each row by the classifier that has not seen it."""
