@@ -1,21 +1,23 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; all other documents of the training folds, whatever they are, are the
+Confirmed toxic documents are the positives; the documents of the training folds, whatever they are, are the
 unlabelled set. The risk of a classifier g with loss l and class prior p is
 ``p E_pos[l(g, +)] + max(0, E_unl[l(g, -)] - p E_pos[l(g, -)])``: the second part estimates the risk on clean
 text and is kept from falling below zero, where it would reward overfitting. The prior is the share of toxic
-documents among the labelled rows of the training folds, less the positives taken out of the rest.
+documents among the labelled rows of the training folds.
 
 Features are words and word beginnings of 5 and 7 letters, present or not, of the whole text. Those that
-enough positives have are the columns. One pass turns every unlabelled text into its columns; each step of the fit is
-one further pass over that small table, in which the tasks add up their rows' losses and gradients. So no unlabelled
-row is left out and what reaches the driver is one vector of sums for each task group, whatever the corpus' size.
+enough positives have are the columns. One pass turns every text into its columns, many texts to a row of a small table; each
+step of the fit is one further pass over that table, in which the tasks add up their rows' losses and gradients, and
+the scores are a last one. So no unlabelled text is left out, every text is parted into words once, and what reaches the driver is a
+few vectors of sums.
 
-The rows are dealt into ``PARTS`` parts and as many classifiers are fitted in the same passes, each without the rows of its
-own part; the model is their mean. The threshold is given, so the bias is set for it, on scores that each row gets
+The rows are dealt into ``PARTS`` parts. In the same passes as the model further classifiers are fitted, each without the rows of its
+own part. The threshold is given, so the bias is set for it, on scores that each row gets
 from the classifier that has not seen it: recall r is the share of positives at or above the threshold, q that of
-all rows, s the share of toxic rows, and of all shifts of the bias the one with the largest estimated F1,
-``2 min(s r, q) / (s + q)``, is taken.
+all rows, s the share of toxic rows, and of the shifts of the bias whose estimated F1,
+``2 min(s r, q) / (s + q)``, is about the largest, the middle is taken. The model's bias is
+then set so that the same share of all rows is at or above the threshold.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ STEPS, RATE, DECAY, SEED = 60, 0.1, 3e-4, 11
 PARTS = 3
 #: Tasks that add up what other tasks have added up.
 ADDERS = 4
-SHIFTS = np.arange(-8.0, 8.0625, 0.0625)
+SHIFTS, NEAR_BEST = np.arange(-8.0, 8.0625, 0.0625), 0.02
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -70,12 +72,15 @@ def of_text(text: str | None, known: Known) -> set[int]:
 
 
 class Rows:
-    """Rows of 0/1 features: arrays of column numbers, one after the other."""
+    """Rows of 0/1 features: the numbers of each row's columns, one after the other, and how many each row has."""
 
-    def __init__(self, rows: list[np.ndarray], width: int) -> None:
-        self.n, self.width = len(rows), width
-        self.of = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.at = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    def __init__(self, at: np.ndarray, lengths: np.ndarray, width: int) -> None:
+        self.n, self.width, self.at = len(lengths), width, at
+        self.of = np.repeat(np.arange(self.n), lengths)
+
+    @classmethod
+    def of_lists(cls, rows: list[np.ndarray], width: int) -> Rows:
+        return cls(np.concatenate(rows) if rows else np.empty(0, np.int64), np.array([len(r) for r in rows], np.int64), width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, w[self.at], self.n) if len(self.at) else np.zeros(self.n)
@@ -140,59 +145,106 @@ class Fit:
         self.x = self.x - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def best_shift(positive: np.ndarray, unlabelled: np.ndarray, n: float, confirmed: float, share: float, threshold: float) -> float:
-    """The shift of the bias, of SHIFTS, with the largest estimated F1; of equal ones the smallest.
+def best_shift(positive: np.ndarray, found: np.ndarray, n: float, share: float, threshold: float) -> float:
+    """The middle of the shifts of the bias, of SHIFTS, whose estimated F1 is within NEAR_BEST of the largest and that hang together with it.
 
-    ``positive`` are logits of confirmed rows; under shift k ``unlabelled[k]`` of n unlabelled rows are at or above the
-    threshold; there are ``confirmed`` confirmed rows in all and a ``share`` of all rows is toxic.
+    ``positive`` are logits of confirmed rows; under shift k ``found[k]`` of n rows are at or above the threshold, and a
+    ``share`` of all rows is toxic.
     """
     if not len(positive) or not n:
         return 0.0
     recall = (positive[:, None] + SHIFTS[None, :] >= logit(threshold)).mean(axis=0)
-    found = (unlabelled + confirmed * recall) / (n + confirmed)
-    f1 = 2 * np.minimum(share * recall, found) / (share + found)
-    best = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    return float(SHIFTS[best[np.abs(SHIFTS[best]).argmin()]])
+    rate = found / n
+    f1 = 2 * np.minimum(share * recall, rate) / (share + rate)
+    low = high = int(f1.argmax())
+    while low > 0 and f1[low - 1] >= f1.max() - NEAR_BEST:
+        low -= 1
+    while high + 1 < len(f1) and f1[high + 1] >= f1.max() - NEAR_BEST:
+        high += 1
+    return float((SHIFTS[low] + SHIFTS[high]) / 2)
 
 
-def added(df: DataFrame, run: Callable[[np.ndarray, list[np.ndarray]], np.ndarray], width: int) -> np.ndarray:
-    """The sum over all rows (part, x: column numbers as bytes) of what ``run`` makes of a portion of them; tasks add up twice."""
+def added(blocks: DataFrame, run: Callable[[int, Rows], np.ndarray], columns: int, width: int) -> np.ndarray:
+    """The sum over blocks (part, lengths, at) of ``run`` of a block's part and rows; tasks add up, and few tasks their sums."""
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, rows = np.zeros(width), 0
         for pdf in batches:
-            total, rows = total + run(pdf["part"].to_numpy(), [np.frombuffer(r, np.uint32) for r in pdf["x"]]), rows + len(pdf)
+            for part, lengths, at in zip(pdf["part"].tolist(), pdf["lengths"], pdf["at"], strict=True):
+                x = Rows(np.frombuffer(at, np.uint32), np.frombuffer(lengths, np.uint32), columns)
+                total, rows = total + run(part, x), rows + x.n
         if rows:
             yield pd.DataFrame({"to": [rows % ADDERS], "x": [total.astype(np.float32).tobytes()]})
 
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(width)
+        total, any_rows = np.zeros(width), False
         for pdf in batches:
             for raw in pdf["x"]:
-                total += np.frombuffer(raw, np.float32)
-        yield pd.DataFrame({"x": [total.tobytes()]})
+                total, any_rows = total + np.frombuffer(raw, np.float32), True
+        if any_rows:
+            yield pd.DataFrame({"x": [total.tobytes()]})
 
-    sums = df.select("part", "x").mapInPandas(first, "to int, x binary").repartition(ADDERS, "to").mapInPandas(again, "x binary")
+    sums = blocks.select("part", "lengths", "at").mapInPandas(first, "to int, x binary").repartition(ADDERS, "to").mapInPandas(again, "x binary")
     out = np.zeros(width)
     for r in sums.collect():
         out += np.frombuffer(r["x"], np.float64)
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most_positive: int = MOST_POSITIVE, steps: int = STEPS, seed: int = SEED) -> tuple[dict[int, float], float]:
-    """(feature → weight, bias), from labels of the training folds only; at most ``most_positive`` confirmed rows, all unlabelled ones."""
+class Learned:
+    """The model, and the table of blocks (part, ids, lengths, at) that holds the columns of every row of ``docs``."""
+
+    def __init__(self, columns: np.ndarray, weights: np.ndarray, bias: float, blocks: Cut) -> None:
+        self.columns, self.weights, self.bias, self.blocks = columns, weights, bias, blocks
+
+    def model(self) -> tuple[dict[int, float], float]:
+        """(feature → weight, bias)."""
+        return dict(zip(self.columns.tolist(), self.weights.tolist(), strict=True)), self.bias
+
+    def scores(self) -> DataFrame:
+        """(doc_id, score) of every row, from its columns."""
+        w, b = self.weights, self.bias
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for ids, lengths, at in zip(pdf["ids"], pdf["lengths"], pdf["at"], strict=True):
+                    x = Rows(np.frombuffer(at, np.uint32), np.frombuffer(lengths, np.uint32), len(w))
+                    yield pd.DataFrame({"doc_id": pd.array(list(ids), "Int64"), "score": sigmoid(x.dot(w) + b)})
+
+        return self.blocks.df.select("ids", "lengths", "at").mapInPandas(run, "doc_id bigint, score double")
+
+
+def blocks_of(docs: DataFrame, columns: np.ndarray, part) -> Cut:
+    """The texts of ``docs`` as blocks of their columns; ``part`` is null for rows that take no part in the fit."""
+    place = {f: i for i, f in enumerate(columns.tolist())}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Known(place)
+        for pdf in portions(batches):
+            rows = [np.array(sorted(place[f] for f in of_text(t, words)), np.uint32) for t in pdf["text"]]
+            parts, ids, out = pdf["part"].fillna(-1).astype(int), pdf["doc_id"].array, []
+            for p in sorted(set(parts)):
+                own = np.flatnonzero(parts == p).tolist()
+                out.append((p, [None if pd.isna(ids[i]) else int(ids[i]) for i in own], np.array([len(rows[i]) for i in own], np.uint32).tobytes(), np.concatenate([rows[i] for i in own]).tobytes()))
+            yield pd.DataFrame(out, columns=["part", "ids", "lengths", "at"])
+
+    return Cut(docs.select("doc_id", "text", part.alias("part")).mapInPandas(run, "part int, ids array<bigint>, lengths binary, at binary"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most_positive: int = MOST_POSITIVE, steps: int = STEPS, seed: int = SEED) -> Learned:
+    """The classifier, from labels of the training folds only; at most ``most_positive`` confirmed rows, all unlabelled ones."""
     train = one_label(labels, "toxic").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     toxic, labelled = train.agg(F.sum("y"), F.count("*")).first()
-    rate = (toxic or 0) / labelled if labelled else 0.0
-    known = train.where("y = 1").select("doc_id")
-    part = F.pmod(seeded(seed + 1), F.lit(PARTS)).cast("int").alias("part")
+    prior = min(max((toxic or 0) / labelled if labelled else 0.0, 1e-4), 0.9999)
+    own_part = F.pmod(seeded(seed + 1), F.lit(PARTS)).cast("int")
+    part = F.when(fold(F.col("doc_id"), FOLDS) != HELD_OUT, own_part)
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Known()
         for pdf in portions(batches):
             yield pd.DataFrame({"part": pdf["part"], "x": [sorted(of_text(t, words)) for t in pdf["text"]]})
 
-    pos = cut(texts_of(docs, sample(known, most_positive, seed)).select(part, "text").mapInPandas(featured, "part int, x array<bigint>"))
+    pos = cut(texts_of(docs, sample(train.where("y = 1").select("doc_id"), most_positive, seed)).select(own_part.alias("part"), "text").mapInPandas(featured, "part int, x array<bigint>"))
     n_pos = pos.count()
     common = pos.select(F.explode("x").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= min(LEAST_POSITIVE, max(1, n_pos // 4)))
     columns = np.sort(np.array([r["f"] for r in common.orderBy(F.desc("n"), "f").limit(MOST_COLUMNS).collect()], np.int64))
@@ -200,28 +252,18 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [np.array([place[f] for f in r.tolist() if f in place], np.uint32) for r in pdf["x"]]
-            yield pd.DataFrame({"part": pdf["part"], "x": [r.tobytes() for r in rows]})
-
-    def texts_placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Known(place)
-        for pdf in portions(batches):
-            yield pd.DataFrame({"part": pdf["part"], "x": [np.array(sorted(place[f] for f in of_text(t, words)), np.uint32).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"part": pdf["part"], "x": [np.array([place[f] for f in r.tolist() if f in place], np.uint32).tobytes() for r in pdf["x"]]})
 
-    # unlabelled: any other document of the training folds, as those that hold a confirmed label are left out by id
-    rest = docs.select("doc_id", "text").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT).join(known, "doc_id", "left_anti")
-    rest = Cut(rest.select(part, "text").mapInPandas(texts_placed, "part int, x binary"))
+    few = [(r["part"], np.frombuffer(r["x"], np.uint32)) for r in pos.mapInPandas(placed, "part int, x binary").collect()]
+    every = blocks_of(docs, columns, part)
+    unlabelled = every.df.where("part >= 0")
 
-    def each_without(run: Callable[[Rows, int], np.ndarray]) -> Callable:
+    def each_without(run: Callable[[Rows, int], np.ndarray], size: int) -> Callable:
         """For each classifier ``run`` on the rows that are not of its own part."""
-        return lambda parts, rows: np.concatenate([run(Rows([r for r, p in zip(rows, parts.tolist(), strict=True) if p != k], width), k) for k in range(PARTS)])
+        return lambda own, rows: np.concatenate([run(rows, k) if own != k else np.zeros(size) for k in range(PARTS + 1)])
 
-    seen = added(rest.df, each_without(lambda x, _: np.concatenate([[x.n], x.back(np.ones(x.n))])), PARTS * (1 + width)).reshape(PARTS, -1)
-    total = seen[:, 0].sum() / max(PARTS - 1, 1) + (toxic or 0)
-    prior = max(rate * total - (toxic or 0), 0) / max(total - (toxic or 0), 1) if toxic else rate
-    prior = min(max(prior, 1e-4), 0.9999)
-    few = [(r["part"], np.frombuffer(r["x"], np.uint32)) for r in pos.mapInPandas(placed, "part int, x binary").collect()]
-    fits = [Fit(Rows([x for p, x in few if p != k], width), seen[k, 1:], seen[k, 0], prior) for k in range(PARTS)]
+    seen = added(unlabelled, each_without(lambda x, _: np.concatenate([[x.n], x.back(np.ones(x.n))]), 1 + width), width, (PARTS + 1) * (1 + width)).reshape(PARTS + 1, -1)
+    fits = [Fit(Rows.of_lists([x for p, x in few if p != k], width), seen[k, 1:], seen[k, 0], prior) for k in range(PARTS + 1)]
     # columns that start with nothing in every classifier stay so; nothing is sent of them
     live = np.flatnonzero(np.any([f.scale[1:] > 0 for f in fits], axis=0))
     for _ in range(steps if any(f.able for f in fits) else 0):
@@ -231,25 +273,26 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
             own = as_clean(x, now[k, 1:], now[k, 0])
             return np.concatenate([own[:3], own[3:][live]])
 
-        for f, own in zip(fits, added(rest.df, each_without(sums), PARTS * (3 + len(live))).reshape(PARTS, -1), strict=True):
+        for f, own in zip(fits, added(unlabelled, each_without(sums, 3 + len(live)), width, (PARTS + 1) * (3 + len(live))).reshape(PARTS + 1, -1), strict=True):
             all_columns = np.zeros(3 + width)
             all_columns[:3], all_columns[3 + live] = own[:3], own[3:]
             f.step(all_columns, steps)
     models = np.array([f.model() for f in fits])
     edge = logit(threshold)
 
-    def logits(parts: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Of each row by the classifier that has not seen it."""
-        x, out = Rows(rows, width), np.zeros(len(rows))
-        for k in range(PARTS):
-            out = np.where(parts == k, x.dot(models[k, 1:]) + models[k, 0], out)
-        return out
+    def over(own: int, x: Rows) -> np.ndarray:
+        """Rows at or above the threshold under each shift, by the classifier that has not seen them and by the model."""
+        z = (x.dot(models[k, 1:]) + models[k, 0] for k in (own, PARTS))
+        return np.concatenate([[x.n], *[(v[:, None] + SHIFTS[None, :] >= edge).sum(axis=0) for v in z]])
 
-    over = added(rest.df, lambda parts, rows: np.concatenate([[len(rows)], (logits(parts, rows)[:, None] + SHIFTS[None, :] >= edge).sum(axis=0)]), 1 + len(SHIFTS))
-    rest.drop()
-    mean = models.mean(axis=0)
-    shift = best_shift(logits(np.array([p for p, _ in few]), [x for _, x in few]), over[1:], over[0], toxic or 0, rate, threshold)
-    return dict(zip(columns.tolist(), mean[1:].tolist(), strict=True)), float(mean[0] + shift)
+    counts = added(unlabelled, over, width, 1 + 2 * len(SHIFTS))
+    by_others, by_model = np.split(counts[1:], 2)
+    known = np.concatenate([Rows.of_lists([x for p, x in few if p == k], width).dot(models[k, 1:]) + models[k, 0] for k in range(PARTS)])
+    bias = models[PARTS, 0]
+    if len(known) and counts[0]:
+        wanted = np.interp(best_shift(known, by_others, counts[0], prior, threshold), SHIFTS, by_others)
+        bias += float(SHIFTS[np.abs(by_model - wanted).argmin()])
+    return Learned(columns, models[PARTS, 1:], float(bias), every)
 
 
 def scorer(model: tuple[dict[int, float], float]):
@@ -272,7 +315,9 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     any name. An empty table gives an empty result; without labels, or without any confirmed row, all rows stay.
     """
     own = unused(docs.columns, "_score")
-    scored = docs.withColumn(own, scorer(learn(docs, labels, threshold=threshold))(named("text")))
+    learned = learn(docs, labels, threshold=threshold)
+    learned.blocks.drop()
+    scored = docs.withColumn(own, scorer(learned.model())(named("text")))
     return scored.where(named(own) < threshold).select(*[named(c) for c in docs.columns])
 
 
@@ -283,6 +328,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     are read whole. Rows that share an id are scored each for itself; a null id is in no fold held out. Further columns are
     not read. An empty table gives an empty result.
     """
-    s = docs.select("doc_id", scorer(learn(docs, labels, threshold=threshold))("text").alias("score"))
+    s = learn(docs, labels, threshold=threshold).scores()
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     return s.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

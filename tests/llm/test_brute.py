@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from litweave.llm import common, embeddings, fingerprints, minhash, packing, quality, secrets, token_tree, tokens, toxicity
 
@@ -135,7 +136,7 @@ def plain_risk(pos, unl, prior, w, b):
 @pytest.mark.parametrize("prior", [0.1, 0.95])
 def test_risk_and_gradient(prior):
     pos, unl, rng = rows_of(1, 9, 6, 1), rows_of(2, 30, 6, 2), np.random.default_rng(3)
-    p, u = toxicity.Rows(pos, 6), toxicity.Rows(unl, 6)
+    p, u = toxicity.Rows.of_lists(pos, 6), toxicity.Rows.of_lists(unl, 6)
     seen_negative = False
     for _ in range(20):
         w, b = rng.normal(size=6), float(rng.normal())
@@ -157,26 +158,35 @@ def test_risk_and_gradient(prior):
 
 def test_best_shift_is_the_best():
     r = np.random.default_rng(5)
-    pos, unl, share, confirmed = r.normal(1, 1, 40), r.normal(-2, 1, 500), 0.15, 60
+    pos, every, share = r.normal(1, 1, 40), r.normal(-2, 1, 500), 0.15
     edge = math.log(0.3 / 0.7)
-    over = np.array([(unl + s >= edge).sum() for s in toxicity.SHIFTS])
+    over = np.array([(every + s >= edge).sum() for s in toxicity.SHIFTS])
 
     def f1(s):
         recall = sum(x + s >= edge for x in pos) / len(pos)
-        found = (sum(x + s >= edge for x in unl) + confirmed * recall) / (len(unl) + confirmed)
+        found = sum(x + s >= edge for x in every) / len(every)
         return 2 * min(share * recall, found) / (share + found)
 
-    got = toxicity.best_shift(pos, over, len(unl), confirmed, share, 0.3)
-    assert f1(got) == pytest.approx(max(map(f1, toxicity.SHIFTS.tolist())))
-    assert toxicity.best_shift(pos[:0], over, 5, 0, 0.1, 0.3) == 0 == toxicity.best_shift(pos, over * 0, 0, 0, 0.1, 0.3)
-
-
-def test_sums_over_tasks_are_sums_over_rows(spark):
-    rows, w = rows_of(7, 90, 12), np.random.default_rng(8).normal(size=12)
-    d = spark.createDataFrame([(i % 3, r.astype(np.uint32).tobytes()) for i, r in enumerate(rows)], "part int, x binary").repartition(5)
-    got = toxicity.added(d, lambda parts, x: toxicity.as_clean(toxicity.Rows(x, 12), w, 0.3), 15)
-    assert got == pytest.approx(toxicity.as_clean(toxicity.Rows(rows, 12), w, 0.3), rel=1e-5)
-    assert toxicity.added(d.limit(0), lambda parts, x: np.ones(15), 15) == pytest.approx(np.zeros(15))
+    got = toxicity.best_shift(pos, over, len(every), share, 0.3)
+    best = max(map(f1, toxicity.SHIFTS.tolist()))
+    around = [s for s in toxicity.SHIFTS.tolist() if f1(s) >= best - toxicity.NEAR_BEST]  # here they hang together
+    assert f1(got) >= best - toxicity.NEAR_BEST and got == pytest.approx((min(around) + max(around)) / 2)
+    assert toxicity.best_shift(pos[:0], over, 5, 0.1, 0.3) == 0 == toxicity.best_shift(pos, over * 0, 0, 0.1, 0.3)
+
+
+def test_sums_over_blocks_are_sums_over_rows(spark):
+    columns, w = np.sort(np.array(toxicity.features("terrible") + toxicity.features("awfully"))), np.random.default_rng(8).normal(size=6)
+    texts = [words(5, i) + (" terrible" if i % 3 == 0 else " awful" if i % 3 == 1 else " awfully terribly") for i in range(40)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    blocks = toxicity.blocks_of(d, columns, F.when(F.col("doc_id") % 4 > 0, (F.col("doc_id") % 3).cast("int")))
+    rows = {i: [j for j, f in enumerate(columns.tolist()) if f in {g for x in (t or "").split() for g in toxicity.features(x)}] for i, t in enumerate(texts)}
+    part = {i: i % 3 for i in rows if i % 4}
+    for k in range(3):
+        got = toxicity.added(blocks.df.where("part >= 0"), lambda own, x, k=k: toxicity.as_clean(x, w, 0.3) if own == k else np.zeros(9), 6, 9)
+        assert got == pytest.approx(toxicity.as_clean(toxicity.Rows.of_lists([np.array(rows[i], int) for i in part if part[i] == k], 6), w, 0.3), rel=1e-5)
+    assert toxicity.added(blocks.df.limit(0), lambda own, x: np.ones(9), 6, 9) == pytest.approx(np.zeros(9))
+    scored = toxicity.Learned(columns, w, -0.5, blocks).scores().collect()
+    assert {r["doc_id"]: r["score"] for r in scored} == pytest.approx({i: 1 / (1 + math.exp(0.5 - sum(w[j] for j in x))) for i, x in rows.items()}) and len(scored) == 42
 
 
 def test_scores_are_sums_of_weights(spark):
