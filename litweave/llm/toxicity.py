@@ -39,11 +39,12 @@ FOLDS, HELD_OUT = 4, 2
 MOST_POSITIVE, MOST_COLUMNS = 4_000, 1 << 15
 THRESHOLD = 0.3
 LEAST_POSITIVE = 3
-STEPS, RATE, DECAY, SEED = 60, 0.1, 3e-4, 11
-PARTS = 3
+STEPS, RATE, DECAY, SEED = 48, 0.12, 3e-4, 11
+PARTS = 2
 #: Tasks that add up what other tasks have added up.
 ADDERS = 4
 SHIFTS, NEAR_BEST = np.arange(-8.0, 8.0625, 0.0625), 0.02
+BLOCK, BLOCKS = ["part", "ids", "lengths", "at"], "part int, ids array<bigint>, lengths binary, at binary"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -54,21 +55,20 @@ def features(word: str) -> list[int]:
 
 
 class Known(dict):
-    """Word → its features, or those of them that are among some."""
+    """Word → its features, or what those of them that are in ``some`` stand for there."""
 
-    def __init__(self, some: dict[int, float] | None = None) -> None:
+    def __init__(self, some: dict[int, object] | None = None) -> None:
         self.some = some
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> tuple:
         if len(self) > 400_000:
             self.clear()
-        out = self[word] = tuple(f for f in features(word) if self.some is None or f in self.some)
+        out = self[word] = tuple(features(word)) if self.some is None else tuple(self.some[f] for f in features(word) if f in self.some)
         return out
 
 
-def of_text(text: str | None, known: Known) -> set[int]:
-    words = set(LETTERS.findall(text.lower())) if isinstance(text, str) else ()
-    return {f for w in words for f in known[w]}
+def of_text(text: str | None, known: Known) -> set:
+    return set().union(*map(known.__getitem__, set(LETTERS.findall(text.lower())))) if isinstance(text, str) else set()
 
 
 class Rows:
@@ -82,6 +82,12 @@ class Rows:
     def of_lists(cls, rows: list[np.ndarray], width: int) -> Rows:
         return cls(np.concatenate(rows) if rows else np.empty(0, np.int64), np.array([len(r) for r in rows], np.int64), width)
 
+    def only(self, number: np.ndarray) -> Rows:
+        """The same rows with the columns that have a new number of 0 or more."""
+        at = number[self.at]
+        kept = at >= 0
+        return Rows(at[kept], np.bincount(self.of[kept], minlength=self.n), int(number.max(initial=-1)) + 1)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.of, w[self.at], self.n) if len(self.at) else np.zeros(self.n)
 
@@ -221,14 +227,33 @@ def blocks_of(docs: DataFrame, columns: np.ndarray, part) -> Cut:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Known(place)
         for pdf in portions(batches):
-            rows = [np.array(sorted(place[f] for f in of_text(t, words)), np.uint32) for t in pdf["text"]]
+            rows = []
+            for t in pdf["text"]:
+                own = set().union(*map(words.__getitem__, set(LETTERS.findall(t.lower())))) if isinstance(t, str) else ()
+                rows.append(np.sort(np.fromiter(own, np.uint32, len(own))))
             parts, ids, out = pdf["part"].fillna(-1).astype(int), pdf["doc_id"].array, []
             for p in sorted(set(parts)):
                 own = np.flatnonzero(parts == p).tolist()
                 out.append((p, [None if pd.isna(ids[i]) else int(ids[i]) for i in own], np.array([len(rows[i]) for i in own], np.uint32).tobytes(), np.concatenate([rows[i] for i in own]).tobytes()))
-            yield pd.DataFrame(out, columns=["part", "ids", "lengths", "at"])
+            yield pd.DataFrame(out, columns=BLOCK)
+
+    return Cut(docs.select("doc_id", "text", part.alias("part")).mapInPandas(run, BLOCKS))
+
 
-    return Cut(docs.select("doc_id", "text", part.alias("part")).mapInPandas(run, "part int, ids array<bigint>, lengths binary, at binary"))
+def renumbered(blocks: Cut, number: np.ndarray) -> Cut:
+    """``blocks`` with the columns that have a new number of 0 or more; the old table is deleted."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for part, ids, lengths, at in zip(pdf["part"].tolist(), pdf["ids"], pdf["lengths"], pdf["at"], strict=True):
+                x = Rows(np.frombuffer(at, np.uint32), np.frombuffer(lengths, np.uint32), len(number)).only(number)
+                out.append((part, ids, np.bincount(x.of, minlength=x.n).astype(np.uint32).tobytes(), x.at.astype(np.uint32).tobytes()))
+            yield pd.DataFrame(out, columns=BLOCK)
+
+    new = Cut(blocks.df.mapInPandas(run, BLOCKS))
+    blocks.drop()
+    return new
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, most_positive: int = MOST_POSITIVE, steps: int = STEPS, seed: int = SEED) -> Learned:
@@ -256,27 +281,29 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
 
     few = [(r["part"], np.frombuffer(r["x"], np.uint32)) for r in pos.mapInPandas(placed, "part int, x binary").collect()]
     every = blocks_of(docs, columns, part)
-    unlabelled = every.df.where("part >= 0")
 
     def each_without(run: Callable[[Rows, int], np.ndarray], size: int) -> Callable:
         """For each classifier ``run`` on the rows that are not of its own part."""
         return lambda own, rows: np.concatenate([run(rows, k) if own != k else np.zeros(size) for k in range(PARTS + 1)])
 
-    seen = added(unlabelled, each_without(lambda x, _: np.concatenate([[x.n], x.back(np.ones(x.n))]), 1 + width), width, (PARTS + 1) * (1 + width)).reshape(PARTS + 1, -1)
-    fits = [Fit(Rows.of_lists([x for p, x in few if p != k], width), seen[k, 1:], seen[k, 0], prior) for k in range(PARTS + 1)]
-    # columns that start with nothing in every classifier stay so; nothing is sent of them
-    live = np.flatnonzero(np.any([f.scale[1:] > 0 for f in fits], axis=0))
+    def positives(k: int) -> Rows:
+        return Rows.of_lists([x for p, x in few if p != k], width)
+
+    counted = added(every.df.where("part >= 0"), each_without(lambda x, _: np.concatenate([[x.n], x.back(np.ones(x.n))]), 1 + width), width, (PARTS + 1) * (1 + width)).reshape(PARTS + 1, -1)
+    # columns that start with nothing in every classifier would stay so
+    live = np.flatnonzero(np.any([Fit(positives(k), counted[k, 1:], counted[k, 0], prior).scale[1:] > 0 for k in range(PARTS + 1)], axis=0))
+    number = np.full(width, -1, np.int64)
+    number[live] = np.arange(len(live))
+    every = renumbered(every, number)
+    few = [(p, number[x][number[x] >= 0]) for p, x in few]
+    columns, width, counted = columns[live], len(live), np.column_stack([counted[:, :1], counted[:, 1:][:, live]])
+    unlabelled = every.df.where("part >= 0")
+    fits = [Fit(positives(k), counted[k, 1:], counted[k, 0], prior) for k in range(PARTS + 1)]
     for _ in range(steps if any(f.able for f in fits) else 0):
         now = np.array([f.model() for f in fits])
-
-        def sums(x: Rows, k: int, now: np.ndarray = now) -> np.ndarray:
-            own = as_clean(x, now[k, 1:], now[k, 0])
-            return np.concatenate([own[:3], own[3:][live]])
-
-        for f, own in zip(fits, added(unlabelled, each_without(sums, 3 + len(live)), width, (PARTS + 1) * (3 + len(live))).reshape(PARTS + 1, -1), strict=True):
-            all_columns = np.zeros(3 + width)
-            all_columns[:3], all_columns[3 + live] = own[:3], own[3:]
-            f.step(all_columns, steps)
+        sums = added(unlabelled, each_without(lambda x, k, now=now: as_clean(x, now[k, 1:], now[k, 0]), 3 + width), width, (PARTS + 1) * (3 + width))
+        for f, own in zip(fits, sums.reshape(PARTS + 1, -1), strict=True):
+            f.step(own, steps)
     models = np.array([f.model() for f in fits])
     edge = logit(threshold)
 
@@ -298,12 +325,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
 def scorer(model: tuple[dict[int, float], float]):
     """A column function: whole texts → scores."""
     weights, bias = model
-    w_of = {f: w for f, w in weights.items() if w}
-    known = Known(w_of)
+    known = Known({f: f for f, w in weights.items() if w})
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
-        return pd.Series(sigmoid(np.array([bias + sum(w_of[f] for f in sorted(of_text(t, known))) for t in texts], float)))
+        return pd.Series(sigmoid(np.array([bias + sum(weights[f] for f in sorted(of_text(t, known))) for t in texts], float)))
 
     return scores
 
