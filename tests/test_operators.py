@@ -45,14 +45,56 @@ def test_components(spark):
     assert {got[i] for i in range(1, 21)} == {1} and got[41] == 40
 
 
-def test_fold_is_the_same_as_over_all(spark):
-    def row(i, title, **k):
-        return {"record_id": f"r{i}", "place": i, "doi": None, "openalex": None, "pmid": None, "title": title, "author": "A", "year": 2020, "abstract": "", "keywords": [str(i)], "citations": i} | k
+def work(i, title, **k):
+    own = dict.fromkeys(dedup.NAMES) | {"record_id": f"r{i}", "place": i, "title": title, "author": "A", "year": 2020, "abstract": "", "keywords": [str(i)], "references": [], "query_ids": [], "citation_counts": {"x": i}, "citation_counts_by_year": {}}
+    return own | k
+
 
-    rows = [row(0, "Deep learning for graphs and more", doi="d1"), row(1, "Deep learning for graphs and more."), row(2, "Another work altogether"), row(3, "Deep learning on graph and more", doi="d1"), row(4, "Another work altogether", year=2010), row(5, "", openalex="W1"), row(6, "x", openalex="W1")]
-    df = spark.createDataFrame(rows, dedup.FIELDS)
-    got = sorted((r["record_id"], tuple(r["merged"])) for r in dedup.deduplicate(df).collect())
-    assert got == sorted((r["record_id"], tuple(r["merged"])) for r in dedup.fold(rows))
+def test_fold_is_the_same_as_over_all(spark):
+    rows = [
+        work(0, "Deep learning for graphs and more", doi="d1"), work(1, "Deep learning for graphs and more."), work(2, "Another work altogether"), work(3, "Deep learning on graph and more", doi="d1"),
+        work(4, "Another work altogether", year=2010), work(5, "", openalex="W1"), work(6, "x", openalex="https://index/W1"), work(7, "", doi="d1", wos="WOS:1"), work(8, "", doi="d1", wos="WOS:1"),
+        work(9, "Some chapter", pmcid="P1"), work(10, "Its other name", pmcid="P1"),
+    ]
+    for n in (1, 5):
+        got = sorted((r["record_id"], tuple(r["merged"]), tuple(r["methods"])) for r in dedup.deduplicate(spark.createDataFrame(rows, dedup.FIELDS).repartition(n)).collect())
+        assert got == sorted((r["record_id"], tuple(r["merged"]), tuple(r["methods"])) for r in dedup.fold(rows))
+    assert ("r5", ("r6",), ("openalex",)) in got and ("r7", ("r8",), ("doi-wos-confirmed",)) in got and ("r9", ("r10",), ("pmcid",)) in got
+
+
+def test_verdicts_on_pairs():
+    a = work(1, "Deep learning for graphs and more", doi="d")
+    told = lambda **k: dedup.match(a, work(2, "Deep learning for graphs and more", doi="d") | k)[:2]
+    assert told() == (True, "doi-title-confirmed") and told(doi="e") == (False, "different-doi") and told(year=2010) == (False, "doi-scope-conflict")
+    assert told(title="") == (False, "doi-missing-title-review") and told(title="Deep learning of trees and less") == (False, "doi-ambiguous")
+    assert told(author="Somebody Else") == (True, "doi-title-confirmed") or told(author="Zzz") == (False, "doi-ambiguous")
+    assert told(doi=None, author="B") == (False, "title-year-author") and told(doi=None) == (True, "title-year-author") and told(doi=None, title=None) == (False, "missing-title")
+
+
+def test_conflicts_and_scope_ids(spark):
+    rows = [
+        work(0, "Deep learning for graphs and more", doi="d", venue="V", abstract="short", citation_counts={"x": 1, "y": 2}, references=["a", "b"]),
+        work(1, "Deep learning for graphs and more.", doi="d", venue="W", abstract="a longer one", language="en", citation_counts={"x": 5}, references=["b", "c"]),
+        work(0, "An issue of a journal and nothing else", doi="d") | {"place": 2},
+    ]
+    got = {r["place"]: r for r in dedup.deduplicate(spark.createDataFrame(rows, dedup.FIELDS)).collect()}
+    (step,) = got[0]["audit"]
+    assert {(c["field"], c["kept"], c["alternate"]) for c in step["conflicts"]} == {("title", rows[0]["title"], rows[1]["title"]), ("venue", "V", "W"), ("abstract", "a longer one", "a longer one")}
+    assert (got[0]["language"], got[0]["abstract"], got[0]["citation_counts"], got[0]["references"]) == ("en", "a longer one", {"x": 5, "y": 2}, ["a", "b", "c"])
+    assert got[2]["record_id"] != "r0" and [x["action"] for x in got[2]["audit"]] == ["retained-separately"] and got[2]["audit"][0]["method"] == "doi-scope-conflict"
+
+
+def test_canonical_records(spark):
+    from litweave.functions import records
+
+    df = spark.createDataFrame([(" A  title ", "https://doi.org/10.1/X.", "2001a", "x\n y", "a; b|a", ["Lee, A"]), ("B", None, "2001", None, None, None)], "title string, doi string, year string, abstract string, keywords string, authors array<string>")
+    x, y = records.canonical(df, "file", "now").orderBy("title").collect()
+    assert (x["title"], x["ids"]["doi"], x["year"], x["abstract"], x["keywords"], x["authors"][0]["name"], x["type"]) == ("A  title", "10.1/x", None, "x y", ["a", "b"], "Lee, A", "article")
+    assert y["year"] == 2001 and y["authors"] == [] and y["provenance"][0]["source"] == "file" and len({x["record_id"], y["record_id"]}) == 2 and x["record_id"].startswith("R")
+    assert records.canonical(df, "file", "now").columns == [f.name for f in records.RECORD.fields]
+    scopes = [r["inclusion"]["evidence_scope"] for r in records.include_all(records.canonical(df, "f", "n")).orderBy("title").collect()]
+    assert scopes == ["direct-or-adjacent-evidence", "metadata-only"]
+    assert dedup.deduplicate(records.mergeable(records.canonical(df, "file", "now"))).count() == 2
 
 
 def test_pooled_effects(spark):
