@@ -64,12 +64,40 @@ def back(v: float, metric: str) -> float:
     return math.tanh(v) if metric == "r" else math.exp(v) if metric in ("or", "rr") else v
 
 
+METRICS = ("r", "hedges-g", "or", "rr")
+
+
+def with_reasons(effects: DataFrame) -> DataFrame:
+    """Effects with their working scale ``_x`` and ``reason``: why an effect cannot be pooled, null where it can."""
+    x = working_scale(F.lower("metric"), F.col("estimate"), F.col("standard_error"), F.col("ci_low"), F.col("ci_high"), F.col("n"))
+    absent = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    needed = [c for c in ("outcome", "sample_id", "anchor") if c in effects.columns]
+    reason = (
+        F.when(~F.coalesce(F.lower("metric"), F.lit("")).isin(*METRICS), F.concat(F.lit("unsupported metric: "), F.coalesce(F.lower("metric"), F.lit(""))))
+        .when(F.exists(F.array(*[absent(c) for c in needed]), lambda m: m), f"{', '.join(needed)} are required")
+        .when(F.col("_x").isNull(), "no working scale: estimate or its error is absent or out of range")
+    )
+    return effects.withColumn("_x", x).withColumn("reason", reason)
+
+
+def rejected(effects: DataFrame) -> DataFrame:
+    """(effect_id, reason) of the effects that cannot be pooled."""
+    return with_reasons(effects).where("reason is not null").select("effect_id", "reason")
+
+
+def duplicate_samples(effects: DataFrame) -> DataFrame:
+    """(effect_id, sample_id, outcome, metric): valid effects whose sample has another of the same outcome and metric."""
+    ok = with_reasons(effects).where("reason is null")
+    n = F.count("*").over(W.partitionBy("outcome", "metric", "sample_id"))
+    return ok.withColumn("_n", n).where("_n > 1").select("effect_id", "sample_id", "outcome", "metric")
+
+
 def valid_effects(effects: DataFrame) -> DataFrame:
-    """Effects on their working scale, the first of each sample; rows without a scale, outcome or sample are left out."""
-    x = working_scale(F.col("metric"), F.col("estimate"), F.col("standard_error"), F.col("ci_low"), F.col("ci_high"), F.col("n"))
-    ok = effects.withColumn("_x", x).where("_x is not null and outcome <> '' and sample_id <> ''")
+    """Effects on their working scale, the first of each sample; ``rejected`` tells why others are left out."""
+    more = ["subgroup"] if "subgroup" in effects.columns else []
+    ok = with_reasons(effects).where("reason is null")
     first = F.row_number().over(W.partitionBy("outcome", "metric", "sample_id").orderBy("effect_id"))
-    return ok.withColumn("_first", first).where("_first = 1").select("effect_id", "outcome", "metric", "sample_id", "moderator", F.col("_x.y").alias("y"), F.col("_x.s").alias("s"))
+    return ok.withColumn("_first", first).where("_first = 1").select("effect_id", "outcome", "metric", "sample_id", "moderator", *more, F.col("_x.y").alias("y"), F.col("_x.s").alias("s"))
 
 
 def pooled(effects: DataFrame) -> DataFrame:
@@ -101,3 +129,22 @@ def pooled(effects: DataFrame) -> DataFrame:
         return pd.DataFrame([out])
 
     return effects.groupBy("outcome", "metric").applyInPandas(run, POOL)
+
+
+def subgroups(effects: DataFrame, least: int = 3, groups: int = 2) -> DataFrame:
+    """``pooled`` by subgroup, where an outcome and metric has at least two subgroups of three effects or more."""
+    named = effects.where("trim(coalesce(subgroup, '')) <> ''")
+    sizes = named.groupBy("outcome", "metric", "subgroup").agg(F.count("*").alias("k")).where(F.col("k") >= least)
+    some = sizes.groupBy("outcome", "metric").agg(F.count("*").alias("groups")).where(F.col("groups") >= groups)
+    part = named.join(sizes.join(some, ["outcome", "metric"]).select("outcome", "metric", "subgroup"), ["outcome", "metric", "subgroup"])
+    # the pair of outcome and subgroup stands for the outcome while pooling
+    out = pooled(part.withColumn("outcome", F.to_json(F.struct("outcome", "subgroup"))))
+    pair = F.from_json("outcome", "outcome string, subgroup string")
+    return out.withColumn("_p", pair).select(F.col("_p.outcome").alias("outcome"), F.col("_p.subgroup").alias("subgroup"), *[c for c in out.columns if c != "outcome"])
+
+
+def effect_violations(effects: DataFrame, records: DataFrame) -> DataFrame:
+    """(effect_id, rule): completed effects of unknown records, or without an anchor."""
+    done = effects.where("extraction_status = 'completed'")
+    unknown = done.join(records.select("record_id").distinct(), "record_id", "left_anti").select("effect_id", F.lit("unknown record_id").alias("rule"))
+    return unknown.unionByName(done.where("trim(coalesce(anchor, '')) = ''").select("effect_id", F.lit("missing anchor").alias("rule")))

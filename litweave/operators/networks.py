@@ -34,11 +34,20 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("x.record_id").agg(F.sum("x.i").alias("local_citations"), F.sum("x.o").alias("references_in_corpus"))
 
 
-def bibliographic_coupling(records: DataFrame, refs: str = "refs") -> DataFrame:
-    """Pairs of records with the number of references they share, by an inverted index."""
+def bibliographic_coupling(records: DataFrame, refs: str = "refs", least: int = 1, block: int = 2_000) -> DataFrame:
+    """Pairs of records with the number of references they share, if ``least`` or more, by an inverted index.
+
+    The records of a reference are dealt into blocks, and each pair of blocks is a key of its own, so that a reference
+    that very many records share is the work of many tasks. Where all pairs of such a reference are too many, raise ``least``.
+    """
     r = records.select("record_id", F.explode(F.array_distinct(refs)).alias("ref"))
-    b = r.select(F.col("record_id").alias("record_b"), "ref")
-    return r.withColumnRenamed("record_id", "record_a").join(b, "ref").where("record_a < record_b").groupBy("record_a", "record_b").agg(F.count("*").alias("shared_references"))
+    sizes = r.groupBy("ref").agg(F.count("*").alias("n")).where("n > 1").select("ref", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    m = r.join(sizes, "ref").withColumn("own", F.pmod(F.xxhash64("record_id", F.lit(3)), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("record_id", "ref", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    a = m.where("own = i").select("ref", "i", "j", F.col("record_id").alias("x"))
+    b = m.where("own = j").select("ref", "i", "j", F.col("record_id").alias("y"))
+    pairs = a.join(b, ["ref", "i", "j"]).where("(i = j and x < y) or i < j").select(F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
+    return pairs.groupBy("record_a", "record_b").agg(F.count("*").alias("shared_references")).where(F.col("shared_references") >= least)
 
 
 def co_citation(records: DataFrame, refs: str = "refs", most: int = 80) -> DataFrame:
@@ -54,7 +63,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def backbone(edges: DataFrame, most_edges: int = 3000, most_nodes: int = 250) -> DataFrame:
     """The heaviest edges, and of those the ones between the nodes of the largest weighted degree."""
     top = edges.orderBy(F.desc("weight"), "a", "b").limit(most_edges)
-    nodes = both_ways(top).groupBy("a").agg(F.sum("weight").alias("d")).orderBy(F.desc("d"), "a").limit(most_nodes).select(F.col("a").alias("node"))
+    nodes = both_ways(top).groupBy("a").agg(F.round(F.sum("weight"), 6).alias("d")).orderBy(F.desc("d"), "a").limit(most_nodes).select(F.col("a").alias("node"))
     return top.join(nodes, top["a"] == nodes["node"], "left_semi").join(nodes, top["b"] == nodes["node"], "left_semi")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import numbered
+
 #: Faults of punctuation by what they match (fixed values).
 PUNCTUATION = {
     "empty-brackets": r"[\(（]\s*[;；,，]\s*[\)）]",
@@ -17,7 +19,7 @@ PUNCTUATION = {
 }
 #: What a draft for publication must not say (fixed values).
 BANNED = {
-    "当前语料": r"当前语料", "当前证据": r"当前证据", "本任务": r"本任务",
+    "聚焦语料": r"聚焦语料", "核心语料": r"核心语料", "全部语料": r"全部语料", "当前语料": r"当前语料", "当前证据": r"当前证据", "本任务": r"本任务",
     "摘要证据": r"摘要(?:级)?证据|证据(?:主要)?(?:来自|以)摘要(?:为主)?|摘要(?:层面|级|报告|所报告|无法|不能)",
     "全文级证据": r"全文级证据|全文(?:不足|有限|核验|可用性)", "直接证据": r"直接证据", "邻近证据": r"邻近证据", "证据等级": r"证据等级", "证据卡": r"证据卡",
     "证据不足提示": r"证据(?:仍|尚|还)?(?:不足|有限)|不足以(?:证明|判断)",
@@ -36,7 +38,7 @@ def defects(rows: DataFrame, key: str, text: Column, patterns: dict[str, str]) -
 def batches(rows: DataFrame, done: DataFrame, key: str, size: int = 12) -> DataFrame:
     """Rows that are not done, in order of their key, in numbered batches."""
     left = rows.join(done.select(key).distinct(), key, "left_anti")
-    return left.select(key, F.floor((F.row_number().over(W.orderBy(key)) - 1) / size).cast("long").alias("batch"))
+    return numbered(left.select(key), key).select(key, F.floor((F.col("number") - 1) / size).cast("long").alias("batch"))
 
 
 def term_index(cards: DataFrame, key: str, terms: Column) -> DataFrame:
@@ -75,3 +77,9 @@ def cited_coverage(records: DataFrame, cited: DataFrame, minimum: int) -> DataFr
     g = c.groupingSets([[], ["topic_id"]], "topic_id").agg(F.grouping("topic_id").alias("all_"), F.count("*").alias("works"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("cited"))
     need = F.when(F.col("all_") == 1, F.least(F.lit(minimum), "works")).otherwise(F.least(F.lit(3), "works")).cast("long")
     return g.where("all_ = 1 or topic_id is not null").select(F.when(F.col("all_") == 1, "all").otherwise(F.concat(F.lit("topic-"), F.col("topic_id").cast("string"))).alias("scope"), "works", "cited", need.alias("minimum"), (F.col("cited") >= need).alias("passed"))
+
+
+def method_counts(rows: DataFrame, methods: Column) -> DataFrame:
+    """(method, mentions) of lists of methods between semicolons, commas and bars."""
+    m = rows.select(F.explode(F.split(methods, "[;,；，|]")).alias("m")).select(F.trim("m").alias("method"))
+    return m.where("method <> ''").groupBy("method").agg(F.count("*").alias("mentions"))

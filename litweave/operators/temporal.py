@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textmining import tfidf
+
 BURST = "array<struct<start:bigint,end:bigint,strength:double,peak:bigint>>"
 
 
@@ -50,6 +52,14 @@ def burst_intervals(counts, totals, years, ratio: float = 2.0, gamma: float = 1.
     return out
 
 
+def _intervals():
+    @F.pandas_udf(BURST)
+    def run(counts: pd.Series, totals: pd.Series, years: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("start", "end", "strength", "peak"), b, strict=True)) for b in burst_intervals(list(map(int, c)), list(map(int, t)), list(y))] for c, t, y in zip(counts, totals, years, strict=True)])
+
+    return run
+
+
 def term_bursts(records: DataFrame, terms: str = "keywords", min_docs: int = 3) -> DataFrame:
     """(term, documents, start, end, duration, strength, peak, uncertainty) over the years that occur, of which there must be four.
 
@@ -62,11 +72,7 @@ def term_bursts(records: DataFrame, terms: str = "keywords", min_docs: int = 3)
     maps = per.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("m"), F.sum("n").alias("documents")).where(F.col("documents") >= min_docs)
     wide = maps.crossJoin(F.broadcast(line)).select("term", "documents", F.transform("line", lambda x: x["year"]).alias("years"), F.transform("line", lambda x: x["total"]).alias("totals"), F.transform("line", lambda x: F.coalesce(F.try_element_at("m", x["year"]), F.lit(0))).alias("counts"))
 
-    @F.pandas_udf(BURST)
-    def run(counts: pd.Series, totals: pd.Series, years: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("start", "end", "strength", "peak"), b, strict=True)) for b in burst_intervals(list(map(int, c)), list(map(int, t)), list(y))] for c, t, y in zip(counts, totals, years, strict=True)])
-
-    x = wide.where(F.size("years") >= 4).select("term", "documents", F.explode(run("counts", "totals", "years")).alias("b")).select("term", "documents", "b.*")
+    x = wide.where(F.size("years") >= 4).select("term", "documents", F.explode(_intervals()("counts", "totals", "years")).alias("b")).select("term", "documents", "b.*")
     return x.select("term", "documents", "start", "end", (F.col("end") - F.col("start") + 1).alias("duration"), "strength", "peak", F.when((F.col("documents") >= 10) & (F.col("end") > F.col("start")), "moderate").otherwise("high").alias("uncertainty"))
 
 
@@ -77,6 +83,42 @@ def burst_support(records: DataFrame, bursts: DataFrame, terms: str = "keywords"
     return hit.groupBy("term", "start", "end").agg(F.count("*").alias("supporting"), F.array_join(F.slice(F.array_sort(F.collect_set("record_id")), 1, most).cast("array<string>"), "; ").alias("supporting_documents"))
 
 
+def burst_topics(records: DataFrame, bursts: DataFrame, assignments: DataFrame, terms: str = "keywords", most: int = 20) -> DataFrame:
+    """``burst_support`` with the distinct topics (record_id, topic_id) of all supporting records."""
+    r = records.select("record_id", "year", F.explode(F.array_distinct(terms)).alias("term"))
+    hit = r.join(bursts.select("term", "start", "end"), "term").where("year between start and end").join(assignments.select("record_id", "topic_id"), "record_id")
+    topics = hit.groupBy("term", "start", "end").agg(F.array_join(F.array_sort(F.collect_set("topic_id")).cast("array<string>"), "; ").alias("topic_ids"))
+    return burst_support(records, bursts, terms, most).join(topics, ["term", "start", "end"], "left").fillna("", "topic_ids")
+
+
+def phrases(tokens: DataFrame, min_length: int = 5, most: int = 25) -> DataFrame:
+    """(record_id, phrases): the heaviest two- to four-word phrases of each record (record_id, tokens), of five letters or more."""
+    n = tokens.count()
+    top = tfidf(tokens, "tokens", low=2, high=4, most_features=5000, min_df=2 if n >= 20 else 1, max_df=1.0, sublinear=False, top=most)
+    return top.where(F.char_length("term") >= min_length).groupBy("record_id").agg(F.array_sort(F.collect_list("term")).alias("phrases"))
+
+
+def examples(records: DataFrame, terms: DataFrame, text: Column, most: int = 350) -> DataFrame:
+    """(term, representative_context): of the smallest id among a term's records (record_id, term) the first sentence that holds it."""
+    first = terms.groupBy("term").agg(F.min("record_id").alias("record_id"))
+    r = first.join(records.select("record_id", F.col("title"), text.alias("_text")), "record_id")
+    hits = F.filter(F.split("_text", r"(?<=[.!?。！？])\s*"), lambda s: F.contains(F.lower(s), F.lower(F.col("term"))))
+    return r.select("term", F.substring(F.coalesce(F.trim(F.get(hits, F.lit(0))), F.col("title"), F.lit("")), 1, most).alias("representative_context"))
+
+
+def citation_bursts(histories: DataFrame) -> DataFrame:
+    """(record_id, start, end, duration, strength, peak, uncertainty) of works with a history (year → citations) of four years or more.
+
+    The chances of every year are all citations of the work.
+    """
+    e = F.array_sort(F.map_entries("history"))
+    h = histories.select("record_id", F.transform(e, lambda x: x["key"].cast("long")).alias("years"), F.transform(e, lambda x: F.coalesce(x["value"], F.lit(0)).cast("long")).alias("counts")).where(F.size("years") >= 4)
+    h = h.withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x))
+    totals = F.transform("counts", lambda _: F.greatest("total", F.lit(1)))
+    x = h.select("record_id", "total", F.explode(_intervals()("counts", totals, "years")).alias("b")).select("record_id", "total", "b.*")
+    return x.select("record_id", "start", "end", (F.col("end") - F.col("start") + 1).alias("duration"), "strength", "peak", F.when((F.col("total") >= 10) & (F.col("end") > F.col("start")), "moderate").otherwise("high").alias("uncertainty"))
+
+
 def citation_roles(histories: DataFrame) -> DataFrame:
     """(record_id, role) from yearly citations (record_id, year, citations, history map) and the latest year of all."""
     last = histories.agg(F.coalesce(F.max("year"), F.lit(0)).alias("last"))

@@ -2,29 +2,100 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams
-
-
-def tfidf(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000, min_df: int = 2, max_df: float = 0.97, sublinear: bool = True, top: int | None = None) -> DataFrame:
+#: Distinct terms that a task counts before it hands its counts on.
+MOST_COUNTED = 500_000
+
+
+def grams(tokens: list[str], low: int, high: int, frequent: set[str] | None = None) -> list[str]:
+    """The n-grams of ``low`` to ``high`` words; with ``frequent`` only those all of whose words are among it."""
+    out = [t for t in tokens if frequent is None or t in frequent] if low == 1 else []
+    if high == 1:
+        return out
+    run: list[str] = []
+    for t in [*tokens, None]:
+        if t is not None and (frequent is None or t in frequent):
+            run.append(t)
+            continue
+        for n in range(max(2, low), min(high, len(run)) + 1):
+            out += map(" ".join, zip(*[run[k:] for k in range(n)]))
+        run = []
+    return out
+
+
+def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set[str] | None) -> DataFrame:
+    """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cf: Counter = Counter()
+        df: Counter = Counter()
+        for pdf in batches:
+            for t in pdf["t"]:
+                own = grams(list(t), low, high, frequent) if t is not None else []
+                cf.update(own)
+                df.update(set(own))
+            if len(cf) > MOST_COUNTED:
+                yield pd.DataFrame({"term": list(cf), "df": [df[x] for x in cf], "cf": list(cf.values())})
+                cf.clear()
+                df.clear()
+        yield pd.DataFrame({"term": pd.Series(list(cf), dtype=object), "df": pd.Series([df[x] for x in cf], dtype="int64"), "cf": pd.Series(list(cf.values()), dtype="int64")})
+
+    return docs.select(F.col(tokens).alias("t")).mapInPandas(run, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def vocabulary(docs: DataFrame, tokens: str, low: int, high: int, most: int, min_df: int, max_df: float) -> dict[str, float]:
+    """Term → idf of the ``most`` most frequent n-grams in at least ``min_df`` and at most ``max_df`` of all documents, ties by term.
+
+    An n-gram is no more frequent than each of its words. If single words are terms, longer ones are therefore
+    counted only where all their words are as frequent as the last single word that would be chosen.
+    """
+    n = docs.count()
+    words = term_counts(docs, tokens, 1, 1, None).where(F.col("df") >= min_df)
+    within = F.col("df") <= max_df * n
+    frequent: set[str] | None = None
+    if high > 1:
+        least = words.where(within).orderBy(F.desc("cf"), "term").limit(most).agg(F.count("*").alias("k"), F.min("cf").alias("cf")).first()
+        floor = least["cf"] if low == 1 and least["k"] == most else 0
+        kept = words.where(F.col("cf") >= floor)
+        frequent = {r["term"] for r in kept.select("term").collect()} if floor > 0 else None
+    counts = term_counts(docs, tokens, low, high, frequent) if high > 1 or low > 1 else words
+    chosen = counts.where((F.col("df") >= min_df) & within).orderBy(F.desc("cf"), "term").limit(most)
+    return {r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in chosen.collect()}
+
+
+def tfidf(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000, min_df: int = 2, max_df: float = 0.97, sublinear: bool = True, top: int | None = None, digits: int = 6) -> DataFrame:
     """(record_id, term, weight): unit-length TF-IDF rows with smoothed idf, ln((1 + n) / (1 + df)) + 1.
 
     Terms are n-grams in at least ``min_df`` and at most ``max_df`` of all documents; of these the ``most_features``
-    most frequent stay, ties by term. With ``top`` only the heaviest terms of a document are returned.
+    most frequent stay, ties by term. With ``top`` only the heaviest terms of a document are returned. A document is a
+    row and is counted in that row, so that nothing is shuffled by document.
     """
-    n = docs.agg(F.count("*").alias("n"))
-    tf = docs.select("record_id", F.explode(ngrams(F.col(tokens), low, high)).alias("term")).groupBy("record_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    vocabulary = df.orderBy(F.desc("cf"), "term").limit(most_features).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = ((1 + F.log("tf")) if sublinear else F.col("tf")) * F.col("idf")
-    w = tf.join(F.broadcast(vocabulary), "term").select("record_id", "term", raw.alias("w"))
-    out = w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("record_id"))))
-    if top:
-        out = out.withColumn("place", F.row_number().over(W.partitionBy("record_id").orderBy(F.desc(F.round("weight", 9)), "term"))).where(F.col("place") <= top)
-    return out.select("record_id", "term", F.round("weight", 6).alias("weight"))
+    idf = vocabulary(docs, tokens, low, high, most_features, min_df, max_df)
+    frequent = {w for t in idf for w in t.split(" ")} if high > 1 else set(idf)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, terms, weights = [], [], []
+            for i, t in enumerate(pdf["t"]):
+                tf = Counter(x for x in grams(list(t), low, high, frequent) if x in idf) if t is not None else {}
+                w = {x: (1 + math.log(c) if sublinear else c) * idf[x] for x, c in tf.items()}
+                norm = math.sqrt(sum(v * v for v in w.values()))
+                best = sorted(((x, v / norm) for x, v in w.items()), key=lambda x: (-math.floor(x[1] * 1e9 + 0.5), x[0]))[:top]
+                ids += [i] * len(best)
+                terms += [x for x, _ in best]
+                weights += [v for _, v in best]
+            yield pd.DataFrame({"record_id": pdf["record_id"].iloc[ids].reset_index(drop=True), "term": pd.Series(terms, dtype=object), "weight": pd.Series(weights, dtype=float)})
+
+    kind = docs.schema["record_id"].dataType.simpleString()
+    out = docs.select("record_id", F.col(tokens).alias("t")).mapInPandas(run, f"record_id {kind}, term string, weight double")
+    return out.select("record_id", "term", F.round("weight", digits).alias("weight"))
 
 
 def preprocessing_audit(docs: DataFrame, text: Column, normal: Column, tokens: Column) -> DataFrame:

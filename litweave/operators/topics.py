@@ -60,14 +60,22 @@ def knowledge_flow(edges: DataFrame, assignments: DataFrame) -> DataFrame:
 def flow_null(edges: DataFrame, assignments: DataFrame, runs: int = 100, seed: int = 42) -> DataFrame:
     """Mean and deviation of the flow over permutations of the topics among the works, and the z-score of the real one.
 
-    A permutation deals the sorted topics to the works in a seeded random order; sizes and edges stay as they are.
+    A permutation deals the sorted topics to the works in a seeded random order; sizes and edges stay as they are. The
+    order is that of a hash, so works are counted in ranges of the hash and no task sees all of them.
     """
     t = assignments.where("topic_id is not null").select("record_id", "topic_id")
     real = knowledge_flow(edges, t)
-    run = t.sparkSession.range(runs).withColumnRenamed("id", "run")
-    order = t.crossJoin(F.broadcast(run)).withColumn("k", F.row_number().over(W.partitionBy("run").orderBy(F.xxhash64("record_id", "run", F.lit(seed)), "record_id"))).select("run", "record_id", "k")
-    dealt = t.withColumn("k", F.row_number().over(W.orderBy("topic_id", "record_id"))).select("k", "topic_id")
-    mixed = order.join(dealt, "k").select("run", "record_id", "topic_id")
+    sizes = [(r["topic_id"], r["n"]) for r in t.groupBy("topic_id").agg(F.count("*").alias("n")).orderBy("topic_id").collect()]
+    ranges = max(1, sum(n for _, n in sizes) // 10_000)
+    order = t.select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))).alias("run")).withColumn("h", F.xxhash64("record_id", "run", F.lit(seed)))
+    order = order.withColumn("range", F.floor((F.col("h") / 2.0**63 + 1) / 2 * ranges))
+    counts = order.groupBy("run", "range").agg(F.count("*").alias("n"))
+    before = counts.select("run", "range", (F.sum("n").over(W.partitionBy("run").orderBy("range")) - F.col("n")).alias("before"))
+    order = order.withColumn("own", F.row_number().over(W.partitionBy("run", "range").orderBy("h", "record_id"))).join(before, ["run", "range"]).withColumn("k", F.col("own") + F.col("before"))
+    # the topic of a place: behind as many topics as are used up before it
+    ends = F.array(*[F.lit(sum(n for _, n in sizes[: i + 1])).cast("long") for i in range(len(sizes))])
+    topic = F.get(F.array(*[F.lit(x) for x, _ in sizes]), F.size(F.filter(ends, lambda e: e < F.col("k"))))
+    mixed = order.select("run", "record_id", topic.alias("topic_id"))
     e = edges.join(mixed.select("run", F.col("record_id").alias("target_id"), F.col("topic_id").alias("source_topic")), "target_id").join(mixed.select("run", F.col("record_id").alias("source_id"), F.col("topic_id").alias("target_topic")), ["run", "source_id"])
     per = e.groupBy("run", "source_topic", "target_topic").agg(F.sum("weight").alias("w"))
     null = per.groupBy("source_topic", "target_topic").agg((F.sum("w") / runs).alias("mean"), (F.sum(F.col("w") * F.col("w")) / runs).alias("square"))
@@ -120,3 +128,20 @@ def agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
     ari = F.when(most == expected, 1.0).otherwise((F.col("pt") - expected) / (most - expected))
     nmi = F.when(F.col("hx") + F.col("hy") == 0, 1.0).otherwise(2 * F.col("mi") / (F.col("hx") + F.col("hy")))
     return r.select("pairs", F.round(ari, 6).alias("ari"), F.round(nmi, 6).alias("nmi"))
+
+
+def quadrant_stability(positions: DataFrame, runs: int = 200, seed: int = 42) -> DataFrame:
+    """``strategic_map`` with ``stability``: the share of seeded draws around a topic's position that stay in its quadrant.
+
+    Centrality varies by its root, density by 15 %; the medians stay. Draws are normal, from hashes of topic and run.
+    """
+    med = positions.agg(F.median("centrality").alias("cm"), F.median("density").alias("dm"))
+    uniform = lambda k: (F.pmod(F.xxhash64("topic_id", "run", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    d = positions.crossJoin(F.broadcast(med)).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    radius, angle = F.sqrt(-2 * F.log(uniform(1))), 2 * F.pi() * uniform(2)
+    c = F.greatest(F.lit(0.0), F.col("centrality") + radius * F.cos(angle) * F.greatest(F.sqrt("centrality"), F.lit(0.01)))
+    y = F.greatest(F.lit(0.0), F.col("density") + radius * F.sin(angle) * F.greatest(F.col("density") * 0.15, F.lit(0.001)))
+    right, up = c >= F.col("cm"), y >= F.col("dm")
+    drawn = F.when(right & up, "motor").when(right, "basic").when(up, "niche").otherwise("weakly-developed")
+    share = d.groupBy("topic_id").agg(F.round(F.avg((drawn == F.col("quadrant")).cast("double")), 6).alias("stability"))
+    return positions.join(share, "topic_id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import records as C
 from ..functions import text as X
 from ..operators import dedup as D
 from ..operators import evidence as E
@@ -172,21 +173,12 @@ def _(spark, d):
 
 @query("a15_method_counts", "select trim(m) as method, count(*) as mentions from (select unnest(string_split_regex(props || ';' || event_type, '[;,]')) as m from events) where trim(m) <> '' group by 1")
 def _(spark, d):
-    e = table(spark, d, "events").select(F.explode(F.split(F.concat_ws(";", "props", "event_type"), "[;,；|]")).alias("m"))
-    return e.select(F.trim("m").alias("method")).where("method <> ''").groupBy("method").agg(F.count("*").alias("mentions"))
-
-
-@query("a19_sample_signature", f"with {DOCS}, s as (select record_id, substr(sha256(venue || '|' || year), 1, 12) as signature from docs) select record_id, signature, count(*) over (partition by signature) > 1 as overlap from s")
-def _(spark, d):
-    from pyspark.sql import Window as W
-
-    r = documents_as_works(spark, d).select("record_id", F.substring(F.sha2(F.concat_ws("|", "venue", "year"), 256), 1, 12).alias("signature"))
-    return r.withColumn("overlap", F.count("*").over(W.partitionBy("signature")) > 1)
+    return R.method_counts(table(spark, d, "events"), F.concat_ws(";", "props", "event_type"))
 
 
 @query("a21_citation_minimum", "select n, cast(case when n <= 100 then ceil(6 * n / 10.0) else least(n, greatest(ceil(greatest(40.0, 5 * sqrt(n))), least(120, ceil(6 * n / 10.0)))) end as bigint) as minimum from (select o_orderkey % 1200 as n from orders) group by n")
 def _(spark, d):
-    return table(spark, d, "orders").select((F.col("o_orderkey") % 1200).alias("n")).distinct().select("n", F.when(F.col("n") <= 100, F.ceil(6 * F.col("n") / 10)).otherwise(S.citation_minimum(F.col("n"))).cast("long").alias("minimum"))
+    return table(spark, d, "orders").select((F.col("o_orderkey") % 1200).alias("n")).distinct().select("n", S.citation_minimum(F.col("n")).alias("minimum"))
 
 
 @query("a22_reference_candidates", works("select ref as key, count(*) as occurrences, max(year) as last_year from refs join works using (record_id) where ref not in (select p_partkey from part where p_size > 25) group by 1 order by 2 desc, 3 desc, 1 limit 200"))
@@ -236,15 +228,15 @@ def _(spark, d):
     return seeds.join(found.withColumn("hit", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("recalled"))
 
 
-EDGES = CO.format(col="author", tab="authors", most=100, weight=FRACTION) + ", ed as (select a, b, weight from co where weight >= 1), bo as (select a, b, weight from ed union all select b, a, weight from ed)"
+EDGES = CO.format(col="author", tab="authors", most=100, weight=FRACTION) + ", ed as (select a, b, weight from co), bo as (select a, b, weight from ed union all select b, a, weight from ed)"
 
 
 def author_edges(spark, d):
     return N.cooccurrence(orders_as_works(spark, d), "authors", 100)
 
 
-@query("t03_graph_backbone", works(EDGES + """, top as (select * from ed order by weight desc, a, b limit 300), tb as (select a, weight from top union all select b, weight from top),
-nn as (select a as node, round(sum(weight), 6) as d from tb group by a order by round(sum(weight), 6) desc, a limit 25) select a, b, weight from top where a in (select node from nn) and b in (select node from nn)"""))
+@query("t03_graph_backbone", works(EDGES + """, top as (select * from ed order by weight desc, a, b limit 3000), tb as (select a, weight from top union all select b, weight from top),
+nn as (select a as node, round(sum(weight), 6) as d from tb group by a order by round(sum(weight), 6) desc, a limit 250) select a, b, weight from top where a in (select node from nn) and b in (select node from nn)"""))
 def _(spark, d):
     return N.backbone(author_edges(spark, d))
 
@@ -364,15 +356,21 @@ def _(spark, d):
     return M.preprocessing_audit(documents_as_works(spark, d), F.col("abstract"), X.normalize_ascii(a), X.language_tokens(a)).select("record_id", "tokens", "first_tokens")
 
 
+def with_trends(spark, d):
+    """Works with one more keyword: in two years of seven that of their topic, so that there are bursts."""
+    trend = F.when(F.col("year") % 7 - F.col("topic_id") % 6 <= 1, F.when(F.col("year") % 7 >= F.col("topic_id") % 6, F.concat(F.lit("trend "), "topic_id")))
+    return orders_as_works(spark, d).withColumn("keywords", F.array_compact(F.array_append("keywords", trend)))
+
+
 @query("w06_term_bursts")
 def _(spark, d):
-    return B.term_bursts(orders_as_works(spark, d))
+    return B.term_bursts(with_trends(spark, d))
 
 
 @query("j19_burst_support")
 def _(spark, d):
-    w = orders_as_works(spark, d)
-    return B.burst_support(w, B.term_bursts(w))
+    w = with_trends(spark, d)
+    return B.burst_topics(w, B.term_bursts(w), w.where("topic_id is not null"))
 
 
 @query("g05_flow_null")
@@ -445,9 +443,26 @@ def _(spark, d):
     return documents_as_works(spark, d).select("record_id", E.study_design(F.concat(F.col("title"), F.lit(" "), F.col("abstract"), more)).alias("study_design"))
 
 
-@query("f13_quality")
+QUALITY = f"""with {DOCS}, y as (select record_id, title, abstract || ' N = ' || (record_id % 50) || ' participants, a survey' as a, venue, year from docs),
+f as (select *, list_sort(list_transform(regexp_extract_all(a, '{E.SAMPLE}'), lambda x: lower(x))) as found, lower(title || ' ' || a) as x from y),
+q as (select *, case when len(found) > 0 then substr(sha256(lower(venue) || '|' || year || '|' || array_to_string(found, '|')), 1, 12) else '' end as signature from f)"""
+
+
+def with_samples(spark, d):
+    a = F.concat("abstract", F.lit(" N = "), F.col("record_id") % 50, F.lit(" participants, a survey"))
+    return documents_as_works(spark, d).withColumn("abstract", a).withColumn("authors", F.array("venue"))
+
+
+@query("f13_quality", QUALITY + f""" select record_id, {DESIGN_SQL} as study_design, 'abstract' as evidence_level, true as reports_sample, true as reports_method, regexp_matches(a, '(?i)\\blimitations?|局限') as reports_limitations, signature as sample_signature,
+  case when signature <> '' and count(*) over (partition by signature) > 1 then 'possible-overlap-needs-review' else 'unverified' end as independent_sample_status from q""")
+def _(spark, d):
+    return E.quality(with_samples(spark, d))
+
+
+@query("a19_sample_signature", QUALITY + " select record_id, signature, count(*) over (partition by signature) > 1 and signature <> '' as overlap from q")
 def _(spark, d):
-    return E.quality(documents_as_works(spark, d).withColumn("authors", F.array("venue")))
+    q = E.quality(with_samples(spark, d))
+    return q.select("record_id", F.col("sample_signature").alias("signature"), (F.col("independent_sample_status") == "possible-overlap-needs-review").alias("overlap"))
 
 
 @query("x01_normalize_doi", "select doc_id as record_id, regexp_replace(regexp_replace(lower(trim(list_element(['https://doi.org/10.1/A', 'DOI: 10.2/b.', ' 10.3/C); '], cast(1 + doc_id % 3 as int)) || doc_id)), '^(?:https?://(?:dx\\.)?doi\\.org/|doi:\\s*)', ''), '[. ,;)]+$', '') as doi from documents")
@@ -552,25 +567,25 @@ def _(spark, d):
     return orders_as_works(spark, d).select("record_id", E.apa(a, F.col("year"), F.concat(F.lit("Order "), F.col("record_id")), F.col("venue"), F.lit(None).cast("string")).alias("apa"))
 
 
-BROKERS = works(EDGES + """, g as (select distinct a as node, a % 5 as community from bo), p as (select a, b, weight / sum(weight) over (partition by a) as p, weight / max(weight) over (partition by a) as m from bo),
+BROKERS = (f"with {SELF}, ed as (select least(source_id, target_id) as a, greatest(source_id, target_id) as b, cast(sum(weight) as double) as weight from edges group by 1, 2), bo as (select a, b, weight from ed union all select b, a, weight from ed)" + """, g as (select distinct a as node, a % 5 as community from bo), p as (select a, b, weight / sum(weight) over (partition by a) as p, weight / max(weight) over (partition by a) as m from bo),
 red as (select x.a as i, sum(x.p * y.m) as r from p x join p z on z.a = x.a join p y on y.a = z.b and y.b = x.b where x.b <> z.b group by 1), sz as (select a as node, count(*) as n from p group by 1),
 bb as (select bo.a, g.community as cb, sum(weight) as w from bo join g on g.node = bo.b group by 1, 2), s as (select a, 1 - sum(w * w) / (sum(w) * sum(w)) as pa from bb group by a),
 nd as (select sz.node, g.community, round(n - coalesce(r, 0), 6) as es, round(pa, 6) as pa from sz join g using (node) left join red on red.i = node join s on s.a = node), top as (select * from nd order by es desc, node limit 30)
 select x.node as node_a, y.node as node_b, round((x.es + y.es) * (x.pa + y.pa + 0.1), 6) as score from top x join top y on x.node < y.node and x.community <> y.community where not exists (select 1 from ed where ed.a = x.node and ed.b = y.node)""")
 
 
-@query("j14_structural_holes", BROKERS.replace("weight >= 1)", "weight >= 2)"))
+@query("j14_structural_holes", BROKERS)
 def _(spark, d):
-    e = author_edges(spark, d)
+    e = self_citations(spark, d).groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum("weight").cast("double").alias("weight"))
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 5)
     return N.structural_holes(N.participation(e, nodes).join(N.constraint(e), "node"), e)
 
 
-@query("j15_method_overlap", "with q as (select distinct o_orderkey as question_id, p_type as goal from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey), m as (select distinct p_brand as method_id, p_type as goal from part where p_size > 45), h as (select question_id, method_id, count(*) as overlap from q join m using (goal) group by 1, 2), r as (select *, row_number() over (partition by question_id order by overlap desc, method_id) as place from h) select question_id, method_id, overlap, place from r where place <= 4")
+@query("j15_method_overlap", "with q as (select distinct o_orderkey as question_id, p_type as goal from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey), m as (select distinct p_brand as method_id, p_type as goal from part), h as (select question_id, method_id, count(*) as overlap from q join m using (goal) group by 1, 2), r as (select *, row_number() over (partition by question_id order by overlap desc, method_id) as place from h) select question_id, method_id, overlap, place from r where place <= 4")
 def _(spark, d):
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     q = line.join(part, line["l_partkey"] == part["p_partkey"]).groupBy(F.col("l_orderkey").alias("question_id")).agg(F.collect_set("p_type").alias("goals"))
-    m = part.where("p_size > 45").groupBy(F.col("p_brand").alias("method_id")).agg(F.collect_set("p_type").alias("goals"))
+    m = part.groupBy(F.col("p_brand").alias("method_id")).agg(F.collect_set("p_type").alias("goals"))
     return R.overlap_top(q, m)
 
 
@@ -656,9 +671,10 @@ def _(spark, d):
 
 @query("j02_deduplicate")
 def _(spark, d):
-    none = F.lit(None).cast("string")
-    r = documents_as_works(spark, d).select(F.col("record_id").cast("string").alias("record_id"), F.col("record_id").alias("place"), none.alias("doi"), none.alias("openalex"), none.alias("pmid"), "title", F.col("venue").alias("author"), F.lit(2020).alias("year"), "abstract", F.array("language").alias("keywords"), "citations")
-    return D.deduplicate(r)
+    r = documents_as_works(spark, d).select(F.col("record_id").cast("string").alias("record_id"), F.col("record_id").alias("place"), "title", F.array("venue").alias("authors"), F.lit(2020).alias("year"), "abstract", "language", F.array("language").alias("keywords"), F.create_map(F.lit("corpus"), "citations").alias("citation_counts"))
+    places = r.select("record_id", "place")
+    merged = D.deduplicate(C.mergeable(C.canonical(r, "documents", "").join(places, "record_id")))
+    return merged.select("record_id", "title", "abstract", "keywords", "merged", "methods", F.size(F.flatten(F.transform("audit", lambda x: x["conflicts"]))).alias("conflicts"))
 
 
 @query("g01_network_kernels")

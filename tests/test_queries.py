@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from litweave.plans.catalog import ORACLE_SQL, QUERIES
+from litweave.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

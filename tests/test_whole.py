@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from litweave.plans.catalog import QUERIES
+from litweave.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
