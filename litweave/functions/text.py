@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,14 +140,30 @@ def abstract_from_index(index: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spots), lambda s: s["w"]), " ")
 
 
+def unescaped(c: Column) -> Column:
+    """A text with its named and numbered entities resolved, once: ``&amp;lt;`` is ``&lt;``."""
+    names = {f"&{n};": chr(code) for n, code in name2codepoint.items() if n != "amp"}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    found = lambda pattern: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+    out = F.aggregate(found("(&[A-Za-z]+[0-9]*;)"), c, lambda text, e: F.replace(text, e, F.coalesce(F.try_element_at(table, e), e)))
+
+    def number(e: Column) -> Column:
+        digits = F.regexp_extract(e, "&#[xX]?([0-9A-Fa-f]+);", 1)
+        code = F.when(e.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        return F.when((code > 0) & (code < 0x110000), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(e)
+
+    out = F.aggregate(found("(&#(?:[xX][0-9A-Fa-f]+|[0-9]+);)"), out, lambda text, e: F.replace(text, e, number(e)))
+    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+
+
 def html_text(c: Column) -> Column:
-    """Text of a page: scripts, styles and drawings dropped, blocks on lines of their own, entities of XML resolved."""
+    """Text of a page: scripts, styles and drawings dropped, blocks on lines of their own, entities resolved."""
     out = F.regexp_replace(c, r"(?is)<(script|style|svg|noscript)\b.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?i)<(?:/?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|title))\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n"))
+    out = F.replace(unescaped(out), F.lit("\xa0"), F.lit(" "))
+    lines = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f]+", " "), r"\s*\n\s*", "\n")
+    return F.regexp_replace(lines, r"^\s+|\s+$", "")
 
 
 def html_title(c: Column) -> Column:

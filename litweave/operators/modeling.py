@@ -7,6 +7,7 @@ driver. All fits that are compared (numbers of topics, seeds, bootstraps) go alo
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,10 +35,13 @@ def character_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
-    def grams(w: Column) -> Column:
+    def of_size(w: Column, k: int) -> Column:
         n = F.char_length(w)
-        sizes = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.substring(w, i, F.lit(k)))).otherwise(F.array(w) if k == low else F.array().cast("array<string>")) for k in range(low, high + 1)]
-        return F.concat(*sizes)
+        short = F.array(w) if k == low else F.array().cast("array<string>")
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(k)))).otherwise(short)
+
+    def grams(w: Column) -> Column:
+        return F.concat(*[of_size(w, k) for k in range(low, high + 1)])
 
     return F.flatten(F.transform(padded, grams))
 
@@ -133,9 +137,7 @@ def draws(ids: pd.Series, run: int) -> np.ndarray:
 
 
 def hash_of(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode()) ^ zlib.crc32(text[::-1].encode())
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little")
 
 
 @dataclass
