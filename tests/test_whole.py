@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from litweave.plans.queries import QUERIES
 
@@ -57,7 +58,13 @@ def test_structural_holes_have_no_edge_of_any_weight(spark, small):
     _, size, part = brokers(w)
     top = sorted(range(40), key=lambda i: (-round(size[i], 6), i))[:30]
     want = {(a, b): (size[a] + size[b]) * (part[a] + part[b] + 0.1) for a, b in itertools.combinations(sorted(top), 2) if a % 5 != b % 5 and not w[a, b]}
-    got = {(x["node_a"], x["node_b"]): x["score"] for x in QUERIES["j14_structural_holes"](spark, d).collect()}
+    from litweave.operators import networks
+    from litweave.plans.catalog import author_edges
+
+    e = author_edges(spark, d)
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 5)
+    holes = networks.structural_holes(networks.participation(e, nodes).join(networks.constraint(e), "node"), e)
+    got = {(x["node_a"], x["node_b"]): x["score"] for x in holes.collect()}
     assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx(list(want.values()), abs=1e-4)
 
 
