@@ -8,8 +8,9 @@ has at most (mean number of distinct terms of a document) / LOW_DF entries, howe
 so it can be handed to every task as one array of hash slots.
 
 A document's terms that are in the lexicon are sorted, and the sorted list is hashed once for the whole
-lexicon and once for each of ``len(SUBSETS)`` random subsets of it. Subsets come in several densities, so
-that short and long documents alike have some subsets in which they hold only a term or two. The likeness
+lexicon and once for each of ``len(SUBSETS)`` random subsets. Subsets come in several densities, so
+that short and long documents alike have some subsets in which they hold only a term or two; as short texts have
+few terms of the lexicon, the last ALL_PARTS are parts of all their terms (and empty for texts of more than SHORT_TERMS). The likeness
 of two fingerprints is the share of equal hashes among the subsets that are not empty in both.
 A document without lexicon terms is hashed over all its terms; the empty text over none.
 """
@@ -24,8 +25,10 @@ LOW_DF, HIGH_DF = 0.002, 0.2
 SLOTS = 1 << 15
 #: Bits that thin the lexicon before it is parted in 16 (in 4 at the first): five densities.
 DENSITIES = ((0, 4), (0, 16), (2, 16), (4, 16), (6, 16))
-SUBSETS = [(thin, part) for thin, parts in DENSITIES for part in range(parts)]
-DOCS_PER_RANGE, MOST_RANGES = 4_000, 4_096
+#: Parts of all terms, in the lexicon or not, of texts of few distinct terms: these have few of the lexicon.
+ALL_PARTS, SHORT_TERMS = 32, 64
+SUBSETS = [(thin, part) for thin, parts in DENSITIES for part in range(parts)] + [(None, part) for part in range(ALL_PARTS)]
+DOCS_PER_RANGE, MOST_RANGES = 4_000, 65_536
 #: White space, punctuation and controls of ASCII part terms.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -56,24 +59,27 @@ def slots(lex: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("hs", F.array().cast("array<bigint>")).alias("hs")))), lambda x: x["hs"]).alias("lex"))
 
 
-def subset_hashes(kept: Column) -> Column:
-    """One hash for each subset of a sorted array of term hashes; 0 for an empty one."""
+def parted(base: Column, shift: int, parts: int) -> Column:
+    """One hash for each of ``parts`` parts of a sorted array of term hashes, by bits from ``shift`` on; 0 for an empty one."""
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    own = lambda p: F.filter(base, lambda h: F.shiftright(h, shift).bitwiseAND(F.lit(parts - 1)) == p)
+    hashed = lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(s))
+    return F.transform(numbers, lambda p: let(own(p), hashed))
 
-    def hashes(base: Column, shift: int, parts: int) -> Column:
-        numbers = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
-        own = lambda p: F.filter(base, lambda h: F.shiftright(h, shift).bitwiseAND(F.lit(parts - 1)) == p)
-        hashed = lambda s: F.when(F.size(s) == 0, F.lit(0).cast("long")).otherwise(F.xxhash64(s))
-        return F.transform(numbers, lambda p: let(own(p), hashed))
+
+def subset_hashes(kept: Column, every: Column) -> Column:
+    """One hash for each subset of the sorted hashes of a text's lexicon terms, and for each part of those of all its terms if these are few."""
 
     def thinned(shift: int, thin: int, parts: int) -> Column:
         base = kept if not thin else F.filter(kept, lambda h: F.shiftright(h, shift).bitwiseAND(F.lit((1 << thin) - 1)) == 0)
-        return let(base, lambda b: hashes(b, shift + thin, parts))
+        return let(base, lambda b: parted(b, shift + thin, parts))
 
     groups, shift = [], 15
     for thin, parts in DENSITIES:
         groups.append(thinned(shift, thin, parts))
         shift += thin + 4
-    return F.flatten(F.array(*groups))
+    none = F.array_repeat(F.lit(0).cast("long"), ALL_PARTS)
+    return F.flatten(F.array(*groups, F.when(F.size(every) <= SHORT_TERMS, let(F.array_sort(every), lambda e: parted(e, shift, ALL_PARTS))).otherwise(none)))
 
 
 def signatures(texts: Column, lex: Column) -> Column:
@@ -86,7 +92,7 @@ def signatures(texts: Column, lex: Column) -> Column:
     def of(all_terms: Column, table: Column) -> Column:
         kept = F.array_sort(F.filter(all_terms, lambda h: F.array_contains(F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")), h)))
         whole = lambda k: F.when(F.size(k) > 0, F.xxhash64(k)).otherwise(F.xxhash64(F.lit("no lexicon term"), F.array_sort(all_terms)))
-        return let(kept, lambda k: F.concat(F.array(whole(k)), subset_hashes(k)))
+        return let(kept, lambda k: F.concat(F.array(whole(k)), subset_hashes(k, all_terms)))
 
     return let(lex, lambda table: F.transform(texts, lambda text: let(terms(text), lambda t: of(t, table))))
 
@@ -113,7 +119,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, W]:
     """
     counts = docs.select(F.count("*").alias("n")).first()["n"]
     ranges = max(1, min(MOST_RANGES, -(-counts // DOCS_PER_RANGE)))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else None
+    cuts = docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges + 10_000)).first()[0] if ranges > 1 else None
     cuts = sorted(set(cuts or []))
     if cuts:
         table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
@@ -130,9 +136,7 @@ def with_next(docs: DataFrame) -> tuple[DataFrame, W]:
         after = {first: at for (at, _), (_, first) in zip(firsts, firsts[1:] + firsts[:1], strict=True)}
         spark = docs.sparkSession
         to = spark.createDataFrame([(k, v) for k, v in after.items()], "first bigint, range int")
-        real = [k for k in after if k is not None]
-        head = d.where(F.col("doc_id").isin(real) if None not in after else F.col("doc_id").isin(real) | F.col("doc_id").isNull())
-        head = head.groupBy("doc_id").agg(F.min("text").alias("text"))
+        head = d.join(F.broadcast(to.select("first")), F.col("doc_id").eqNullSafe(F.col("first")), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
         guests = head.join(F.broadcast(to), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", "range", F.lit(True).alias("guest"))
         d = d.unionByName(guests)
     return d, W.partitionBy("range").orderBy("guest", F.col("doc_id").asc_nulls_last(), "text")

@@ -28,8 +28,10 @@ FOLDS, HELD_OUT = 3, 1
 #: Bound of the sample that the network is fitted on.
 MOST_ROWS = 12_000
 THRESHOLD = 0.5
-BUCKETS, DIMS, NONZERO, REACH = 1 << 13, 64, 4, 2
+BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 64, 4, 2
 PARTS = 64
+#: Words whose neighbours are added up at once.
+AT_ONCE = 1_000_000
 HIDDEN, STEPS, BATCH, RATE, DECAY, SEED = 32, 1_500, 256, 3e-3, 1e-3, 5
 WORD = re.compile(r"[^\W\d_]+|\d+|(?:(?!\s)[\W_])+")
 GAP = 0  # stands between documents; has no index vector
@@ -70,20 +72,30 @@ def numbers(text: str | None, known: Buckets) -> np.ndarray:
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known, total, between = Buckets(), np.zeros(BUCKETS * DIMS), np.full(REACH, GAP, np.uint16)
-    for pdf in portions(batches):
-        parts = []
-        for t in pdf["text"]:
-            if isinstance(t, str):
-                parts += [numbers(t, known), between]
-        if not parts:
-            continue
+    parts, held = [], 0
+
+    def add() -> None:
+        nonlocal total, parts, held
         ids = np.concatenate(parts).astype(np.int64)
-        for s in range(0, len(ids), 200_000):
-            here = ids[max(0, s - REACH) : s + 200_000]
+        for s in range(0, len(ids), AT_ONCE):
             for k in range(1, REACH + 1):
-                for a, b in ((here[:-k], here[k:]), (here[k:], here[:-k])):
+                # pairs of places k apart of which the later one is in this stretch
+                first, second = ids[max(0, s - k) : s + AT_ONCE - k], ids[max(0, s - k) + k : s + AT_ONCE]
+                first = first[: len(second)]
+                for a, b in ((first, second), (second, first)):
                     for j in range(NONZERO):
                         total += np.bincount(a * DIMS + PLACE[b, j], SIGN[b, j], BUCKETS * DIMS)
+        parts, held = [], 0
+
+    for pdf in portions(batches):
+        for t in pdf["text"]:
+            if isinstance(t, str):
+                parts += [numbers(t, known), between]
+                held += len(parts[-2])
+        if held >= AT_ONCE:
+            add()
+    if parts:
+        add()
     rows = total.astype(np.float32).reshape(PARTS, -1)
     yield pd.DataFrame({"part": np.arange(PARTS), "sums": [r.tobytes() for r in rows]})
 
@@ -172,7 +184,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = MOST_ROWS, t
 
     Labels of the held-out fold are not read into the fit. Null and empty texts get the score of a text without words.
     With labels of one class only (or none) every score is that class's share. Rows that share an id
-    are scored each for itself; a null id is in no fold held out.
+    are scored each for itself; a null id is in no fold held out. Texts of any length are read whole. Further columns are not
+    read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     vectors = word_vectors(docs)

@@ -200,7 +200,8 @@ def test_scores_are_sums_of_weights(spark):
 # 8 quality
 
 
-def test_context_vectors_are_sums_of_neighbours(spark):
+def test_context_vectors_are_sums_of_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(quality, "AT_ONCE", 7)
     texts = [words(30, i, 25).replace("w3", "W3!") for i in range(7)] + ["", None, "one", "same same same"]
     d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     want = np.zeros((quality.BUCKETS, quality.DIMS))
@@ -400,6 +401,9 @@ def plain_signature(text, lexicon):
             own = [h for h in base if (h >> (shift + thin)) & (parts - 1) == p]
             out.append(xx_list(own) if own else 0)
         shift += thin + 4
+    for p in range(fingerprints.ALL_PARTS):
+        own = [h for h in sorted(every) if (h >> shift) & (fingerprints.ALL_PARTS - 1) == p]
+        out.append(xx_list(own) if own and len(every) <= fingerprints.SHORT_TERMS else 0)
     return out
 
 
@@ -411,7 +415,7 @@ def plain_likeness(a, b):
 def test_fingerprints_against_plain_python(spark):
     import re
 
-    texts = {i: words(60, i, 90) if i % 8 else ("rare" + str(i) if i % 16 else "") for i in range(40)}
+    texts = {i: words(60 if i % 3 else 150, i, 90) if i % 8 else ("rare" + str(i) if i % 16 else "") for i in range(40)}
     df = collections.Counter(w for t in texts.values() for w in {w for w in re.split(fingerprints.BETWEEN, t.lower()) if w})
     low, high = 0.1, 0.6
     lexicon = {xx(w.encode()) for w, n in df.items() if low * 40 <= n <= high * 40}
