@@ -6,7 +6,8 @@ Only DataFrame functions: no Python code touches a row.
 2. Targets are water-filled: ``min(2 * source_size, level * weight)`` with the level at which they
    add up to the budget, found from running sums over the sources in order of cap / weight.
 3. The budget is cut into blocks of equal tokens. Sources get blocks by highest quotients
-   ``target / (2 i + 1)``, then the shards of a source get that source's blocks the same way.
+   ``target / (2 i + 1)``, then runs of SHARDS_AT_ONCE shards of a source get that source's blocks, and the shards of
+   a run that run's blocks, the same way, so that no task ranks all shards of a source.
    A seat's number differs from its exact share by a bounded amount (see ``apportion``), so only the
    quotients near that share are made and ranked; the seats below them are certain.
 4. A shard's documents stand in a seeded order on a line of words. Its blocks are taken from a seeded
@@ -23,6 +24,7 @@ from .common import SPACES, WORD, cut
 
 BLOCK_WORDS = 64
 SHARD_DOCS = 2_000
+SHARDS_AT_ONCE = 1_000
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -88,7 +90,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_found.level"), F.lit(float("inf"))) * F.col("weight"))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, shards_at_once: int = SHARDS_AT_ONCE, seed: str = SEED, weights=WEIGHTS, share: float = SHARE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken, first_word, with the columns named in ``keep``.
 
     ``taken`` words of a document are in the mix, repeats counted: ``taken div size`` whole copies and
@@ -110,7 +112,11 @@ def mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_docs: int = SH
     few = src.select(F.col("source").alias("_s"), "source_size", "target", "source_blocks", "shards")
     d = d.join(few, F.col("source").eqNullSafe(F.col("_s"))).withColumn("shard", F.col("_h") % F.col("shards"))
     shard = d.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    shard = cut(apportion(shard, ["source"], "shard_size", "source_blocks", ["source", "shard"]))
+    shard = shard.withColumn("run", F.floor(F.col("shard") / shards_at_once))
+    run = shard.groupBy("source", "run").agg(F.sum("shard_size").alias("run_size"), F.first("source_blocks").alias("source_blocks"))
+    run = cut(apportion(run, ["source"], "run_size", "source_blocks", ["source", "run"])).select(F.col("source").alias("_s3"), F.col("run").alias("_n3"), F.col("quota").alias("run_blocks"))
+    shard = shard.join(run, F.col("source").eqNullSafe(F.col("_s3")) & (F.col("run") == F.col("_n3"))).select("source", "run", "shard", "shard_size", "run_blocks")
+    shard = cut(apportion(shard, ["source", "run"], "shard_size", "run_blocks", ["source", "run", "shard"]))
     shard = shard.select(
         F.col("source").alias("_s2"), F.col("shard").alias("_n2"), "shard_size",
         F.ceil(F.col("shard_size") / block_words).cast("long").alias("_have"), "quota",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .mixing import BLOCK_WORDS, SEED, SHARD_DOCS, mix
+from .mixing import BLOCK_WORDS, SEED, SHARD_DOCS, SHARDS_AT_ONCE, mix
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,16 @@ bq as (select source, i, row_number() over (order by target / (2 * i + 1) desc,
        from (select *, unnest(range(0, 2 + cast(ceil(2 * target / {BLOCK_WORDS}) as bigint))) as i from b) where target > 0),
 sb as (select b.source, b.source_size, b.target, b.shards, count(bq.i) as source_blocks from b left join bq on bq.source is not distinct from b.source and bq.rk <= bq.blocks group by all),
 ds as (select d.*, sb.source_size, sb.target, sb.source_blocks, d.h % sb.shards as shard from d join sb on d.source is not distinct from sb.source),
-s as (select source, shard, cast(sum(size) as bigint) as shard_size, any_value(source_blocks) as source_blocks from ds group by source, shard),
-sq as (select source, shard, source_blocks, row_number() over (partition by source order by shard_size / (2 * i + 1) desc, shard, i) as rk
-       from (select *, unnest(range(0, 2 + source_blocks)) as i from s) where shard_size > 0),
+s0 as (select source, shard, shard // {SHARDS_AT_ONCE} as run, cast(sum(size) as bigint) as shard_size, any_value(source_blocks) as source_blocks from ds group by source, shard),
+u as (select source, run, sum(shard_size) as run_size, any_value(source_blocks) as source_blocks from s0 group by source, run),
+uq as (select source, run, source_blocks, row_number() over (partition by source order by run_size / (2 * i + 1) desc, run, i) as rk
+       from (select *, unnest(range(0, 2 + source_blocks)) as i from u) where run_size > 0),
+ub as (select u.source, u.run, count(uq.rk) as run_blocks from u left join uq on uq.source is not distinct from u.source and uq.run = u.run and uq.rk <= uq.source_blocks group by all),
+s as (select s0.source, s0.shard, s0.run, s0.shard_size, ub.run_blocks from s0 join ub on ub.source is not distinct from s0.source and ub.run = s0.run),
+sq as (select source, shard, run_blocks, row_number() over (partition by source, run order by shard_size / (2 * i + 1) desc, shard, i) as rk
+       from (select *, unnest(range(0, 2 + run_blocks)) as i from s) where shard_size > 0),
 q as (select s.source, s.shard, s.shard_size, cast(ceil(s.shard_size / {BLOCK_WORDS}.0) as bigint) as have, count(sq.rk) as quota0
-      from s left join sq on sq.source is not distinct from s.source and sq.shard = s.shard and sq.rk <= sq.source_blocks group by all),
+      from s left join sq on sq.source is not distinct from s.source and sq.shard = s.shard and sq.rk <= sq.run_blocks group by all),
 q2 as (select *, least(quota0, 2 * have) as quota, {_h(f"'{SEED}'", "'start'", "source", "shard")} % greatest(have, 1) as st from q),
 x as (select ds.*, q2.shard_size, q2.have, q2.quota, q2.st,
              sum(size) over (partition by ds.source, ds.shard order by ds.h, ds.doc_id, ds.size rows unbounded preceding) as t

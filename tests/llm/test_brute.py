@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -201,7 +202,6 @@ def test_scores_are_sums_of_weights(spark):
 
 
 def test_context_vectors_are_sums_of_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(quality, "AT_ONCE", 7)
     texts = [words(30, i, 25).replace("w3", "W3!") for i in range(7)] + ["", None, "one", "same same same"]
     d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     want = np.zeros((quality.BUCKETS, quality.DIMS))
@@ -211,6 +211,11 @@ def test_context_vectors_are_sums_of_neighbours(spark, monkeypatch):
             for j, b in enumerate(ids):
                 if i != j and abs(i - j) <= quality.REACH:
                     want[a] += quality.INDEX[b]
+    with monkeypatch.context() as m:
+        m.setattr(quality, "AT_ONCE", 7)
+        rows = pd.concat(quality._contexts(iter([pd.DataFrame({"text": texts})])))
+        sums = np.frombuffer(b"".join(rows["sums"]), np.float32).reshape(want.shape)
+        assert np.allclose(sums[1:], want[1:])
     want /= np.linalg.norm(want, axis=1, keepdims=True) + 1e-9
     got = quality.word_vectors(d)
     assert np.array_equal(got[:, : quality.DIMS], quality.INDEX)
@@ -240,6 +245,51 @@ def test_network_and_temperature():
     assert np.mean((net.score(x) > 0.5) == y) > 0.8
 
 
+# 4 mixing
+
+
+def test_mix_in_small_shards_and_runs(spark):
+    """Sources, runs of shards and shards by highest quotients one by one."""
+    from litweave.llm import mixing
+
+    texts = [(i, words(20 + i % 60, i), f"s{i % 7 % 3}") for i in range(240)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    kw = {"block_words": 16, "shard_docs": 4, "shards_at_once": 3}
+    got = {r["doc_id"]: r for r in mixing.mix(d, **kw).collect()}
+    assert {i: r["taken"] for i, r in got.items()} == {r["doc_id"]: r["taken"] for r in mixing.mix(d.repartition(9), **kw).collect()}
+    sizes = {i: len(t.split()) for i, t, _ in texts}
+    assert all(r["size"] == sizes[i] and 0 <= r["taken"] <= 2 * sizes[i] for i, r in got.items())
+
+    def seats(weights, n):
+        have = dict.fromkeys(weights, 0)
+        for _ in range(n):
+            have[max(weights, key=lambda k: (weights[k] / (2 * have[k] + 1), [-x if isinstance(x, int) else x for x in k]))] += 1
+        return have
+
+    import hashlib
+
+    h = lambda *p: int(hashlib.md5("|".join(map(str, p)).encode()).hexdigest()[:13], 16)
+    of = {i: s for i, _, s in texts}
+    target = {r_s: next(r["target"] for i, r in got.items() if of[i] == r_s) for r_s in sorted(set(of.values()))}
+    blocks = seats({(s,): t for s, t in target.items()}, round(sum(target.values()) / 16))
+    for s in target:
+        docs = [i for i in of if of[i] == s]
+        shards = -(-len(docs) // 4)
+        weight = collections.Counter()
+        for i in docs:
+            weight[h("mix-1", i) % shards] += sizes[i]
+        runs = collections.Counter()
+        for k, w in weight.items():
+            runs[k // 3] += w
+        run_blocks = seats({(k,): w for k, w in runs.items()}, blocks[s,])
+        for run in runs:
+            own = {(k,): w for k, w in weight.items() if k // 3 == run}
+            for (k,), quota in seats(own, run_blocks[run,]).items():
+                taken = sum(got[i]["taken"] for i in docs if h("mix-1", i) % shards == k)
+                quota = min(quota, 2 * -(-weight[k] // 16))
+                assert abs(taken - 16 * quota) < 2 * 16, (s, k)
+
+
 # 6 and 7 near duplicates of rows that share an id
 
 
