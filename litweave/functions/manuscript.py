@@ -29,6 +29,13 @@ GOALS = {
 }
 
 
+#: Words of a gap that is no more than a distribution, a fragmentation or an unused method, and of a diagnosis (fixed patterns).
+WEAK_GAP = r"(?i)研究较少|关注不足|尚未研究|国内.{0,8}(?:缺乏|不足)|文献不足|未使用.{0,12}方法|understudied|few studies|not been studied"
+FRAGMENT_GAP = r"(?i)研究碎片化|文献碎片化|未形成统一框架|没有统一框架|fragmented|no unified framework"
+METHOD_GAP = r"方法缺口|未使用.{0,12}方法"
+DIAGNOSED = r"假设|构念|机制|边界|设计"
+
+
 def signal(text: Column, name: str) -> Column:
     return F.coalesce(text.rlike(SIGNALS[name]), F.lit(False))
 
@@ -92,11 +99,11 @@ def normalize_gaps(gaps: DataFrame) -> DataFrame:
         whole = whole & (F.coalesce(F.col(c), F.lit("")) != "")
     f = F.coalesce("failure_type", F.lit("distribution-only"))
     text = F.concat_ws(" ", "title", "failure_point", "knowledge_consequence")
-    method = (f == "underused-method") | text.rlike("方法缺口|未使用.{0,12}方法")
+    method = (f == "underused-method") | text.rlike(METHOD_GAP)
     high = gap_level(f) != "C"
     apart = f.isin("contradiction", "inconsistency") & ~F.coalesce(F.col("comparable"), F.lit(False))
-    weak = text.rlike(r"(?i)研究较少|关注不足|尚未研究|国内.{0,8}(?:缺乏|不足)|文献不足|未使用.{0,12}方法|understudied|few studies|not been studied") & (F.coalesce("knowledge_consequence", F.lit("")) == "")
-    pieces = text.rlike(r"(?i)研究碎片化|文献碎片化|未形成统一框架|没有统一框架|fragmented|no unified framework") & ~F.coalesce("failure_point", F.lit("")).rlike("假设|构念|机制|边界|设计")
+    weak = text.rlike(WEAK_GAP) & (F.coalesce("knowledge_consequence", F.lit("")) == "")
+    pieces = text.rlike(FRAGMENT_GAP) & ~F.coalesce("failure_point", F.lit("")).rlike(DIAGNOSED)
     cause = (f == "mechanism-missing") & ~F.coalesce(F.col("mechanism_audited"), F.lit(False))
     edge = f.isin("boundary-failure", "external-validity") & (F.coalesce("boundary_assumption", F.lit("")) == "")
     why = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in (("underused-method", method), ("not-comparable", high & whole & apart), ("incomplete-diagnosis", high & ~whole & ~method), ("distribution-signal", weak), ("fragmentation", pieces), ("mechanism-not-audited", cause), ("no-boundary-assumption", edge))]))
@@ -105,6 +112,12 @@ def normalize_gaps(gaps: DataFrame) -> DataFrame:
     return g.select("gap_id", F.when(down, "C").otherwise(gap_level(f)).alias("level"), F.when(down, "opportunity").when(high, "validated").otherwise(F.coalesce("status", F.lit("opportunity"))).alias("status"), F.array_join("_why", ",").alias("notes"))
 
 
+def runs_of(c: str, size: int) -> Column:
+    """The distinct runs of ``size`` characters in a text; null for a shorter one."""
+    n = F.char_length(c)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(size)))))
+
+
 def link_fulltexts(texts: DataFrame, records: DataFrame) -> DataFrame:
     """(file, record_id): texts (file, stem, text) that name exactly one record, by DOI, by title, or by a telling file name.
 
@@ -114,11 +127,15 @@ def link_fulltexts(texts: DataFrame, records: DataFrame) -> DataFrame:
     t = texts.select("file", normalize_title(F.col("stem")).alias("stem"), F.lower(F.substring("text", 1, 20_000)).alias("low")).withColumn("key", normalize_title(F.col("low")))
     r = records.select("record_id", F.lower("doi").alias("doi"), normalize_title(F.col("title")).alias("title"))
     by_doi = t.select("file", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("low", F.lit(DOI), F.lit(0)), lambda x: F.regexp_replace(x, r"[. ,;)]+$", "")))).alias("doi")).join(r.where("doi <> ''"), "doi").select("file", "record_id")
-    runs = F.when(F.char_length("key") >= 20, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("key") - 19), lambda i: F.substring(F.col("key"), i, F.lit(20)))))
     long = r.where("char_length(title) >= 20").withColumn("run", F.substring("title", 1, 20))
-    by_title = t.select("file", "key", F.explode(runs).alias("run")).join(long, "run").where(F.contains("key", F.substring("title", 1, 60))).select("file", "record_id")
+    by_title = t.select("file", "key", F.explode(runs_of("key", 20)).alias("run")).join(long, "run").where(F.contains("key", F.substring("title", 1, 60))).select("file", "record_id")
     names = t.where("char_length(stem) >= 12").select("file", "stem")
-    by_name = names.join(r.where("title <> ''"), F.contains("title", "stem") | F.contains("stem", "title")).select("file", "record_id")
+    named = r.where("title <> ''").select("record_id", "title")
+    # a name in a title, a title in a name, and a short title in a name
+    in_title = names.withColumn("k", F.substring("stem", 1, 12)).join(named.select("record_id", "title", F.explode(runs_of("title", 12)).alias("k")), "k").where("contains(title, stem)")
+    in_name = names.select("file", "stem", F.explode(runs_of("stem", 8)).alias("k")).join(named.withColumn("k", F.substring("title", 1, 8)).where("char_length(title) >= 8"), "k").where("contains(stem, title)")
+    short = names.select("file", F.explode(F.flatten(F.array(*[runs_of("stem", k) for k in range(1, 8)]))).alias("title")).join(named.where("char_length(title) < 8"), "title")
+    by_name = in_title.select("file", "record_id").unionByName(in_name.select("file", "record_id")).unionByName(short.select("file", "record_id"))
     one = by_doi.unionByName(by_title).unionByName(by_name).distinct().groupBy("file").agg(F.count("*").alias("n"), F.first("record_id").alias("record_id"))
     return one.where("n = 1").select("file", "record_id")
 

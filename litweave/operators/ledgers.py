@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.manuscript import gap_goals, normalize_gaps
+from ..functions.manuscript import DIAGNOSED, FRAGMENT_GAP, WEAK_GAP, gap_goals, normalize_gaps
 from ..functions.text import normalize_title
 from .dedup import ratio, squeezed
 from .evidence import evidence_tier, publication_type, quality, study_design, tier_rank, violations
@@ -21,8 +21,6 @@ CAUSE = r"(?i)\b(causes?|leads? to|results? in|drives?|determines?)\b|导致|引
 NONCAUSAL = ("survey", "cross-sectional", "qualitative", "review", "unclear")
 ANCHOR = r"(?:page|paragraph):\d+"
 STRONG, ADVERSE = ("high", "strong"), ("contradict", "mixed")
-WEAK_GAP = r"(?i)研究较少|关注不足|尚未研究|国内.{0,8}(?:缺乏|不足)|文献不足|未使用.{0,12}方法|understudied|few studies|not been studied"
-FRAGMENT_GAP = r"(?i)研究碎片化|文献碎片化|未形成统一框架|没有统一框架|fragmented|no unified framework"
 THEORY_STATES = ("candidate", "source-located", "content-verified", "disabled")
 SECTION_SHARES = {"研究范围与演进": 0.15, "理论与机制": 0.25, "多源线索与边界": 0.25, "方法与情境": 0.15, "争议、空白与议程": 0.20}
 
@@ -266,7 +264,7 @@ def unearned_gaps(drafts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rule, excerpt): paragraphs that make a gap of how research is distributed, or call it fragmented, without saying what follows."""
     p = drafts.select(key, F.explode(F.split(text, r"\n\s*\n")).alias("p"))
     weak = F.col("p").rlike(WEAK_GAP) & ~F.col("p").rlike("理论|解释|推断|识别|外部效度|决策|后果|边界|机制")
-    loose = F.col("p").rlike(FRAGMENT_GAP) & ~F.col("p").rlike("假设|构念|机制|边界|设计")
+    loose = F.col("p").rlike(FRAGMENT_GAP) & ~F.col("p").rlike(DIAGNOSED)
     found = F.array_compact(F.array(F.when(weak, F.lit("distribution-without-consequence")), F.when(loose, F.lit("fragmentation-without-diagnosis"))))
     return p.select(key, F.explode(found).alias("rule"), F.substring(F.trim("p"), 1, 60).alias("excerpt"))
 
