@@ -19,6 +19,7 @@ SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
 #: Characters of text that a Python worker takes up at once, if one text alone is not longer.
 CHARS_AT_ONCE = 2_000_000
+SALTS = 8
 _written: dict[str, object] = {}
 
 
@@ -106,13 +107,21 @@ def portions(batches: Iterator[pd.DataFrame], column: str = "text", most: int =
             at = to
 
 
+def with_lowest(edges: DataFrame) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the smallest v of each u."""
+    e = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = e.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    low = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return e.join(parts.select("u", "salt").join(low, "u"), ["u", "salt"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Alternating large-star and small-star over ``edges`` (a, b), as many rounds as it takes.
 
     Returns (node, component): the smallest node reachable, for every node that has an edge to
     another node. Null ends and loops link nothing. Each round is written to the shared folder and the one before
     it deleted; neighbourhoods are never collected, only their minimum is aggregated, so a node with many
-    links is no larger a row than any other.
+    links is no larger a row than any other, and its edges are joined in SALTS parts.
     """
     e = Cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -122,16 +131,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.df.unionByName(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = Cut(
-            both.join(low, "u")
+            with_lowest(both)
+            .withColumn("m", F.least("m", "u"))
             .where("v > u and v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        low = large.df.groupBy("u").agg(F.min("v").alias("m"))
         small = Cut(
-            large.df.join(low, "u")
+            with_lowest(large.df)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
