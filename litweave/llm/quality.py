@@ -28,7 +28,7 @@ FOLDS, HELD_OUT = 3, 1
 #: Bound of the sample that the network is fitted on.
 MOST_ROWS = 12_000
 THRESHOLD = 0.5
-BUCKETS, DIMS, NONZERO, REACH = 1 << 15, 64, 4, 2
+BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 64, 4, 2
 PARTS = 64
 #: Words whose neighbours are added up at once.
 AT_ONCE = 1_000_000
