@@ -118,17 +118,22 @@ def starts(matrix: Matrix, k: int) -> tuple[np.ndarray, float]:
     return h, float(s[-1]) / max(matrix.n * width, 1)
 
 
-def solve(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Non-negative weights of rows on given factors, by coordinates in turn."""
-    gram, cross = h @ h.T, x @ h.T
-    w = np.maximum(cross / np.maximum(np.diag(gram), 1e-12), 0) / len(h)
+def solve(cross: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Non-negative weights of rows on given factors, by coordinates in turn, from the products of rows and factors and of factors."""
+    w = np.maximum(cross / np.maximum(np.diag(gram), 1e-12), 0) / len(gram)
     for _ in range(INNER):
-        for r in range(len(h)):
+        for r in range(len(gram)):
             if gram[r, r] > 1e-12:
                 w[:, r] = np.maximum(w[:, r] + (cross[:, r] - w @ gram[:, r]) / gram[r, r], 0)
     return w
 
 
+def weights_of(x: np.ndarray, factors: list[np.ndarray]) -> list[np.ndarray]:
+    """The weights of rows on several sets of factors; all products with the rows are one."""
+    cross = np.split(x @ np.vstack(factors).T, np.cumsum([len(h) for h in factors])[:-1], axis=1)
+    return [solve(c, h @ h.T) for c, h in zip(cross, factors, strict=True)]
+
+
 def draws(ids: pd.Series, run: int) -> np.ndarray:
     """How often each record is drawn in a bootstrap: a Poisson number of mean DRAWN, from the id and the run alone."""
     u = np.array([(hash_of(f"{BOOTSTRAP_SEED}|{run}|{i}") + 0.5) / 2**32 for i in ids])
@@ -153,12 +158,6 @@ class Factors:
     def weights(self, ids: pd.Series) -> np.ndarray:
         return np.ones(len(ids)) if self.run < 0 else draws(ids, self.run)
 
-    def sums(self, x: np.ndarray, ids: pd.Series) -> np.ndarray:
-        """[squared error, W'W, W'X] of rows."""
-        w, c = solve(x, self.h), self.weights(ids)
-        error = (c * ((x - w @ self.h) ** 2).sum(axis=1)).sum()
-        return np.concatenate([[error], ((w * c[:, None]).T @ w).ravel(), ((w * c[:, None]).T @ x).ravel()])
-
     def step(self, sums: np.ndarray) -> None:
         k, width = self.h.shape
         loss, a, b = sums[0], sums[1 : 1 + k * k].reshape(k, k), sums[1 + k * k :].reshape(k, width)
@@ -181,7 +180,17 @@ def factorise(matrix: Matrix, fits: list[Factors], passes: int = PASSES) -> None
 
         def run(pdf: pd.DataFrame, open_: list[Factors] = open_) -> np.ndarray:
             x = dense(pdf, width)
-            return np.concatenate([f.sums(x, pdf["record_id"]) for f in open_])
+            ws = weights_of(x, [f.h for f in open_])
+            counted = [w * f.weights(pdf["record_id"])[:, None] for f, w in zip(open_, ws, strict=True)]
+            onto = np.split(np.hstack(counted).T @ x, np.cumsum([len(f.h) for f in open_])[:-1], axis=0)
+            own = (x * x).sum(axis=1)
+            out = []
+            for f, w, c, b in zip(open_, ws, counted, onto, strict=True):
+                # |x - wH|^2 from products that are there already
+                n = f.weights(pdf["record_id"])
+                a = c.T @ w
+                out += [[(n * own).sum() - 2 * (b * f.h).sum() + (a * (f.h @ f.h.T)).sum()], a.ravel(), b.ravel()]
+            return np.concatenate(out)
 
         got = summed(matrix.rows, run, sum(sizes))
         for f, own in zip(open_, np.split(got, np.cumsum(sizes)[:-1]), strict=True):
@@ -281,7 +290,7 @@ def topic_model(docs: DataFrame, tokens: str, text: Column, *, low: int = 4, hig
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 x = dense(pdf, w)
-                ws = {n: solve(x, f.h) for n, f in models.items()}
+                ws = dict(zip(models, weights_of(x, [f.h for f in models.values()]), strict=True))
                 out = pd.DataFrame({"record_id": pdf["record_id"], "labels": list(np.column_stack([v.argmax(axis=1) for v in ws.values()]).astype(np.int32))})
                 if keep:
                     out["weights"] = [np.concatenate([ws[k][i] for k in ks]) for i in range(len(pdf))]

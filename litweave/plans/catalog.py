@@ -16,6 +16,7 @@ from ..operators import stats as S
 from ..operators import temporal as B
 from ..operators import textmining as M
 from ..operators import topics as P
+from ..storage import hold
 from .adapters import DOCS, ORDERS, SELF, documents_as_works, orders_as_works, self_citations, table
 
 QUERIES: dict = {}
@@ -228,15 +229,22 @@ def _(spark, d):
     return seeds.join(found.withColumn("hit", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("recalled"))
 
 
-EDGES = CO.format(col="author", tab="authors", most=100, weight=FRACTION) + ", ed as (select a, b, weight from co), bo as (select a, b, weight from ed union all select b, a, weight from ed)"
+ALL_EDGES = CO.format(col="author", tab="authors", most=100, weight=FRACTION) + ", ed as (select a, b, weight from co)"
+#: Graph measures are taken on the heaviest edges between the nodes of the largest weighted degree, as ``backbone`` has them.
+EDGES = ALL_EDGES.replace("ed as", "every as") + """, top as (select * from every order by weight desc, a, b limit 3000), tb as (select a, weight from top union all select b, weight from top),
+nn as (select a as node, round(sum(weight), 6) as d from tb group by a order by round(sum(weight), 6) desc, a limit 250),
+ed as (select a, b, weight from top where a in (select node from nn) and b in (select node from nn)), bo as (select a, b, weight from ed union all select b, a, weight from ed)"""
 
 
 def author_edges(spark, d):
     return N.cooccurrence(orders_as_works(spark, d), "authors", 100)
 
 
-@query("t03_graph_backbone", works(EDGES + """, top as (select * from ed order by weight desc, a, b limit 3000), tb as (select a, weight from top union all select b, weight from top),
-nn as (select a as node, round(sum(weight), 6) as d from tb group by a order by round(sum(weight), 6) desc, a limit 250) select a, b, weight from top where a in (select node from nn) and b in (select node from nn)"""))
+def author_backbone(spark, d):
+    return hold(N.backbone(author_edges(spark, d)))
+
+
+@query("t03_graph_backbone", works(EDGES + " select a, b, weight from ed"))
 def _(spark, d):
     return N.backbone(author_edges(spark, d))
 
@@ -245,14 +253,14 @@ def _(spark, d):
 own as (select node, count(*) as t from (select unnest([a, b, c]) as node from tri) group by node), loc as (select d, coalesce(t, 0) as t from deg left join own using (node))
 select count(*) as nodes, cast(sum(d) / 2 as bigint) as edges, round(sum(d) / cast(count(*) * (count(*) - 1) as double), 8) as density, cast(sum(t) / 3 as bigint) as triangles, round(avg(case when d > 1 then 2 * t / cast(d * (d - 1) as double) else 0 end), 8) as average_clustering from loc"""))
 def _(spark, d):
-    return N.density_and_clustering(author_edges(spark, d))
+    return N.density_and_clustering(author_backbone(spark, d))
 
 
 @query("g01_participation", works(EDGES + """, g as (select distinct a as node, a % 5 as community from bo), bb as (select bo.a, g.community as cb, sum(weight) as w from bo join g on g.node = bo.b group by 1, 2),
 s as (select a, sum(w) as strength, 1 - sum(w * w) / (sum(w) * sum(w)) as p from bb group by a), ow as (select g.node, g.community, coalesce(w, 0) as i from g left join bb on bb.a = g.node and bb.cb = g.community)
 select node, community, round(strength, 6) as strength, round(p, 6) as participation, round(case when stddev_pop(i) over (partition by community) > 1e-12 then (i - avg(i) over (partition by community)) / stddev_pop(i) over (partition by community) else 0 end, 6) as within_z from ow join s on s.a = node"""))
 def _(spark, d):
-    e = author_edges(spark, d)
+    e = author_backbone(spark, d)
     nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node") % 5)
     return N.participation(e, nodes)
 
@@ -264,10 +272,10 @@ red as (select x.a as i, sum(x.p * y.m) as r from p x join p z on z.a = x.a join
 sz as (select a as node, count(*) as n from p group by 1)
 select node, round(cc, 6) as constraint, round(n - coalesce(r, 0), 6) as effective_size from con join sz using (node) left join red on red.i = node""").replace("as constraint", 'as "constraint"'))
 def _(spark, d):
-    return N.constraint(author_edges(spark, d))
+    return N.constraint(author_backbone(spark, d))
 
 
-@query("g03_threshold_sensitivity", works(EDGES + """, t as (select unnest([1, 2, 3]) as th), e as (select ed.*, th from ed, t where weight >= th), n as (select th, count(distinct node) as n from (select th, unnest([a, b]) as node from e) group by th)
+@query("g03_threshold_sensitivity", works(ALL_EDGES + """, t as (select unnest([1, 2, 3]) as th), e as (select ed.*, th from ed, t where weight >= th), n as (select th, count(distinct node) as n from (select th, unnest([a, b]) as node from e) group by th)
 select cast(th as bigint) as threshold, count(*) as edges, any_value(n) as nodes, round(2 * count(*) / cast(any_value(n) * greatest(any_value(n) - 1, 1) as double), 8) as density from e join n using (th) group by th"""))
 def _(spark, d):
     return N.threshold_sensitivity(author_edges(spark, d))

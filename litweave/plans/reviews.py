@@ -21,7 +21,7 @@ from ..operators import topics as P
 from ..sources import documents as SD
 from ..sources import parsers as SP
 from .adapters import DOCS, documents_as_works, orders_as_works, self_citations, table
-from .catalog import ascii_tokens, author_edges, effects, query, works
+from .catalog import ascii_tokens, author_backbone, author_edges, effects, query, works
 
 #: Conversations as drafts: turns are paragraphs with a role, a citation and, in places, claims of cause; a heading and references stand around them.
 ROLES = ("gap", "objective", "contribution", "research-progress")
@@ -397,7 +397,7 @@ def _(spark, d):
 
 @query("g01_network_summary_kernels")
 def _(spark, d):
-    return G.summaries(N.backbone(author_edges(spark, d)).withColumn("network", F.lit("authors")))
+    return G.summaries(author_backbone(spark, d).withColumn("network", F.lit("authors")))
 
 
 @query("g03_clustering_null")
@@ -412,7 +412,12 @@ def _(spark, d):
 
 @query("g04_directed_betweenness")
 def _(spark, d):
-    return G.directed_betweenness(self_citations(spark, d))
+    # turns of conversations as works, each of which cites the one or two before it
+    t = table(spark, d, "conversations").select("conv_id", "turn").distinct()
+    number = lambda turn: F.col("conv_id") * 100_000 + turn
+    back = F.explode(F.when(F.col("turn") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    e = t.select("conv_id", "turn", back.alias("back")).where("turn >= back")
+    return G.directed_betweenness(e.select(number(F.col("turn")).alias("source_id"), number(F.col("turn") - F.col("back")).alias("target_id")))
 
 
 @query("g06_quadrant_stability")
