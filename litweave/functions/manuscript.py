@@ -143,3 +143,10 @@ def link_fulltexts(texts: DataFrame, records: DataFrame) -> DataFrame:
 def exclusion_counts(records: DataFrame) -> DataFrame:
     """How many records each first reason took out."""
     return records.where("status <> 'included' and size(reasons) > 0").groupBy(F.get("reasons", F.lit(0)).alias("reason")).agg(F.count("*").alias("records"))
+
+
+def stage_log(log: DataFrame, stage: str, records: DataFrame, at: str) -> DataFrame:
+    """``log`` (place, stage, at, records) with one more stage: how many records there are at it."""
+    place = log.agg((F.coalesce(F.max("place"), F.lit(0)) + 1).cast("long").alias("place"))
+    row = place.crossJoin(records.agg(F.count("*").alias("records"))).select("place", F.lit(stage).alias("stage"), F.lit(at).alias("at"), "records")
+    return log.unionByName(row)

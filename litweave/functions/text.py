@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from html.entities import name2codepoint
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,6 +88,21 @@ def normalize_ascii(c: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\s+", " "))
 
 
+def normalize_text(c: Column) -> Column:
+    """``normalize_ascii`` after compatibility folding of characters and case, which only texts beyond ASCII need."""
+
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+
+    return normalize_ascii(F.when(c.rlike(r"[^\x00-\x7F]"), folded(c)).otherwise(c))
+
+
+def strip_markup(c: Column) -> Column:
+    """A text without tags, its entities resolved, with single spaces."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(F.coalesce(c, F.lit("")), r"<[^>]+>", " ")), r"\s+", " "))
+
+
 def language_tokens(c: Column) -> Column:
     """Latin words of two letters or more and pairs of neighbouring CJK characters, without stop words."""
     chunks = F.regexp_extract_all(normalize_ascii(c), F.lit(rf"[a-z][a-z0-9-]+|[{CJK}]+"), F.lit(0))

@@ -28,7 +28,8 @@ SYNTHESIS = r"(?i)因此|由此|据此|综合(?:来看|而言|上述)?|总体而
 THEORY_ROLE = r"(?i)总框架|主框架|局部|机制|边界|竞争|互补|嵌套|分工|分别|用于|负责|解释|补充|overarching|mechanis|boundary|competing|complementar|distinct role"
 WEAK_NOVELTY = r"(?i)首次(?:采用|使用|引入|应用|研究)|未(?:采用|使用).{0,12}(?:方法|模型)|没有(?:采用|使用)|新方法|新模型|在.{0,16}(?:国家|地区|平台|情境|场景).{0,16}(?:开展|检验|研究)|first (?:use|apply|study)|new (?:country|context|platform|method)"
 CONSEQUENCE = r"(?i)理论边界|假设|识别|推断|机制|测量|外部效度|竞争解释|知识后果|因果|theoretical boundary|identif|infer|mechanis|measurement|external validity|competing explanation"
-BROAD = r"(?i)普遍|一致|稳定|大量研究|generally|consistently"
+JOINED_THEORIES, THEORY_WORDS = r"(?:以及|及|和|与)(?=[一-鿿A-Za-z·-]{2,18}(?:理论|模型|框架|视角))", "(理论|模型|框架|视角)"
+ENUMERATED = "(、|(?:以及|并且|同时|分别|和|与))"
 CITATION_ONLY = r"[\s(（][^()（）]*(?:19|20)\d{2}[^()（）]*[)）]\s*[.。]?”?"
 PROPOSITION = r"(?i)本研究(?:提出|认为|拟|将)|有待(?:检验|验证)|需要(?:检验|验证)|仍需.{0,24}(?:检验|验证)|待检验命题|可检验(?:模型|命题)|理论命题|候选(?:中介|机制|解释)|可能|尚待|尚未|未(?:经|获|被|能|建立|解释)|不构成|不是已经"
 #: What is taken out of a draft before delivery, in this order (fixed patterns): (pattern, replacement).
@@ -209,7 +210,7 @@ def atomic_ledger(ledger: DataFrame, key: str, document: str, variant: str, scop
     """
     from_sentence = [F.col(f).alias(f"_{f}") for f in REVIEWED]
     parents = F.concat("record_ids", "source_ids")
-    enumerated = F.size(F.regexp_extract_all(F.regexp_replace("sentence", CITED, ""), F.lit("(、|(?:以及|并且|同时|分别|和|与))"), F.lit(1)))
+    enumerated = F.size(F.regexp_extract_all(F.regexp_replace("sentence", CITED, ""), F.lit(ENUMERATED), F.lit(1)))
     groups = F.size(F.regexp_extract_all("sentence", F.lit(f"({CITED})"), F.lit(1)))
     units = atomic_units(F.col("sentence"))
     a = ledger.select(key, "paragraph", "place", "sentence_id", *from_sentence, units.alias("units"), parents.alias("parent_ids"), ((F.size(units) > 1) & (F.size(parents) >= 8) & (enumerated >= 2) & (groups <= 1)).alias("_cluster"))
@@ -254,8 +255,8 @@ def quality_issues(drafts: DataFrame, key: str, text: str, document: str, most:
     q = p.withColumn("bare", bare)
     many = (F.size(ids_in(F.col("text"), RECORD)) >= 3) | (F.size(F.regexp_extract_all("text", F.lit(r"((?:19|20)\d{2})"), F.lit(1))) >= 3)
     several = F.size(F.filter(F.split("bare", STOPS), lambda s: F.trim(s) != "")) >= 2
-    listed = F.regexp_replace("bare", r"(?:以及|及|和|与)(?=[一-鿿A-Za-z·-]{2,18}(?:理论|模型|框架|视角))", "、")
-    theories = F.size(F.regexp_extract_all(listed, F.lit("(理论|模型|框架|视角)"), F.lit(1)))
+    listed = F.regexp_replace("bare", JOINED_THEORIES, "、")
+    theories = F.size(F.regexp_extract_all(listed, F.lit(THEORY_WORDS), F.lit(1)))
     checks = {
         "multiple-theories-without-role-division": (theories >= 3) & ~F.col("bare").rlike(THEORY_ROLE),
         "distribution-or-method-novelty-framed-as-contribution": signal(F.col("bare"), "contribution") & F.col("bare").rlike(WEAK_NOVELTY) & ~F.col("bare").rlike(CONSEQUENCE),

@@ -21,7 +21,13 @@ CAUSE = r"(?i)\b(causes?|leads? to|results? in|drives?|determines?)\b|导致|引
 NONCAUSAL = ("survey", "cross-sectional", "qualitative", "review", "unclear")
 ANCHOR = r"(?:page|paragraph):\d+"
 STRONG, ADVERSE = ("high", "strong"), ("contradict", "mixed")
+#: States of a theory card, shares of sections, and how names of theories are found (fixed values and patterns).
 THEORY_STATES = ("candidate", "source-located", "content-verified", "disabled")
+DATED, ANNOUNCED = r"^\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?\s*", r"^(?:研究)?(?:理论|模型)(?:介绍|集锦)?\s*[|｜丨:：·—-]*\s*"
+EDGES = r"^[ |｜丨:：·—-]+|[ |｜丨:：·—-]+$"
+THEORY = r"(?i)([A-Za-z][A-Za-z0-9\- '’]{2,80}(?:theory|model|framework)|[一-鿿A-Za-z0-9·—\-]{2,50}(?:理论|模型|框架|视角))"
+#: What keeps a paragraph on the distribution of research from being idle (fixed pattern).
+FOLLOWS = "理论|解释|推断|识别|外部效度|决策|后果|边界|机制"
 SECTION_SHARES = {"研究范围与演进": 0.15, "理论与机制": 0.25, "多源线索与边界": 0.25, "方法与情境": 0.15, "争议、空白与议程": 0.20}
 
 
@@ -263,7 +269,7 @@ def gap_violations(gaps: DataFrame, records: DataFrame) -> DataFrame:
 def unearned_gaps(drafts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rule, excerpt): paragraphs that make a gap of how research is distributed, or call it fragmented, without saying what follows."""
     p = drafts.select(key, F.explode(F.split(text, r"\n\s*\n")).alias("p"))
-    weak = F.col("p").rlike(WEAK_GAP) & ~F.col("p").rlike("理论|解释|推断|识别|外部效度|决策|后果|边界|机制")
+    weak = F.col("p").rlike(WEAK_GAP) & ~F.col("p").rlike(FOLLOWS)
     loose = F.col("p").rlike(FRAGMENT_GAP) & ~F.col("p").rlike(DIAGNOSED)
     found = F.array_compact(F.array(F.when(weak, F.lit("distribution-without-consequence")), F.when(loose, F.lit("fragmentation-without-diagnosis"))))
     return p.select(key, F.explode(found).alias("rule"), F.substring(F.trim("p"), 1, 60).alias("excerpt"))
@@ -305,12 +311,12 @@ def theory_name(stem: Column, parent: Column, title: Column, text: Column) -> Co
 
     def tidy(v: Column) -> Column:
         v = F.trim(F.regexp_replace(v, r"\s+", " "))
-        v = F.regexp_replace(v, r"^\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?\s*", "")
-        v = F.regexp_replace(v, r"^(?:研究)?(?:理论|模型)(?:介绍|集锦)?\s*[|｜丨:：·—-]*\s*", "")
-        return F.regexp_replace(v, r"^[ |｜丨:：·—-]+|[ |｜丨:：·—-]+$", "")
+        for pattern in (DATED, ANNOUNCED, EDGES):
+            v = F.regexp_replace(v, pattern, "")
+        return v
 
     names = F.filter(F.transform(given, tidy), lambda v: (v != "") & (F.lower(v) != "index"))
-    found = F.transform(names, lambda v: F.regexp_extract(v, r"(?i)([A-Za-z][A-Za-z0-9\- '’]{2,80}(?:theory|model|framework)|[一-鿿A-Za-z0-9·—\-]{2,50}(?:理论|模型|框架|视角))", 1))
+    found = F.transform(names, lambda v: F.regexp_extract(v, THEORY, 1))
     first = F.get(F.filter(found, lambda v: v != ""), F.lit(0))
     return F.coalesce(F.trim(first), F.substring(F.get(names, F.lit(0)), 1, 120), F.lit("Unnamed theory candidate"))
 

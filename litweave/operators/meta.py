@@ -64,6 +64,7 @@ def back(v: float, metric: str) -> float:
     return math.tanh(v) if metric == "r" else math.exp(v) if metric in ("or", "rr") else v
 
 
+#: Metrics that can be pooled (fixed values).
 METRICS = ("r", "hedges-g", "or", "rr")
 
 

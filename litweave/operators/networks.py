@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import DOI, normalize_doi
+
 
 def cooccurrence(records: DataFrame, items: str, most: int, fractional: bool = True) -> DataFrame:
     """(a, b, weight): pairs of the first ``most`` distinct items of a record, by value.
@@ -20,6 +22,12 @@ def cooccurrence(records: DataFrame, items: str, most: int, fractional: bool = T
     return counted.groupBy("a", "b").agg((F.round(weight, 6) if fractional else weight).alias("weight"))
 
 
+def raw_references(records: DataFrame, refs: str = "references") -> DataFrame:
+    """(record_id, doi, openalex) of records' references as text: the DOI and the OpenAlex number that stand in it."""
+    doi = normalize_doi(F.regexp_extract("r", DOI, 0))
+    return records.select("record_id", F.explode(refs).alias("r")).select("record_id", F.nullif(doi, F.lit("")).alias("doi"), F.nullif(F.regexp_extract("r", r"W\d+", 0), F.lit("")).alias("openalex"))
+
+
 def citation_edges(records: DataFrame, refs: DataFrame) -> DataFrame:
     """(source_id, target_id, weight): references resolved by DOI, else by OpenAlex number; a work does not cite itself."""
     dois = records.where("doi is not null and doi <> ''").groupBy("doi").agg(F.max("record_id").alias("by_doi"))

@@ -91,6 +91,13 @@ def citation_minimum(n: Column) -> Column:
     return F.when(n <= 100, some).otherwise(F.least(n, F.greatest(F.ceil(F.greatest(F.lit(40.0), 5 * F.sqrt(n))), F.least(F.lit(120), some)))).cast("long")
 
 
+def topic_quota(size: Column, total: Column, least: int = 3, small: int = 100, share: float = 0.6) -> Column:
+    """How many of a topic's ``size`` works a text must cite: its share of the minimum for all ``total`` works, three at least, no more than there are."""
+    by_size = F.ceil(share * size)
+    by_minimum = F.ceil(citation_minimum(total) * size / F.greatest(total, F.lit(1)))
+    return F.least(size, F.greatest(F.lit(least), F.when(total <= small, by_size).otherwise(by_minimum))).cast("long")
+
+
 def reference_candidates(records: DataFrame, known: DataFrame, n: int = 200) -> DataFrame:
     """The most frequent references that are no record yet."""
     refs = records.select("year", F.explode("refs").alias("key"))

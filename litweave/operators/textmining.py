@@ -133,7 +133,11 @@ def _hits(field: str, terms: list[str]) -> Column:
 
 
 def classify_focus(records: DataFrame, plan: dict) -> DataFrame:
-    """(record_id, classification, confidence, groups): where a record stands to a plan of required and other concept groups."""
+    """(record_id, classification, confidence, groups): where a record stands to a plan of required and other concept groups.
+
+    Where records have ``query_ids``, a theory query counts like a mechanism term, and a direct query with any group leaves a
+    record for review whatever the plan does with the others.
+    """
     text = F.concat_ws("\n", *[F.coalesce(F.col(f), F.lit("")) for f in plan["match_fields"]])
     hit = lambda terms: F.size(contains_any(text, terms)) > 0
     groups = plan["core_groups"]
@@ -143,9 +147,11 @@ def classify_focus(records: DataFrame, plan: dict) -> DataFrame:
     every = F.size(F.array_except(F.array(*map(F.lit, required)), "_g")) == 0 if required else F.lit(True)
     enough = F.size("_g") >= plan.get("minimum_core_groups", 1)
     empty = F.length(F.regexp_replace(text, r"\s", "")) == 0
+    found_by = lambda ids: F.coalesce(F.arrays_overlap("query_ids", F.array(*[F.lit(str(i)) for i in ids])), F.lit(False)) if ids and "query_ids" in records.columns else F.lit(False)
+    r = r.withColumn("_theory", found_by(plan.get("theory_query_ids"))).withColumn("_direct", found_by(plan.get("direct_query_ids")))
     c = (
-        F.when(F.col("_out"), "excluded").when(every & enough, "core").when(F.col("_adj") & F.col("_mech"), "theory-supplement")
-        .when(empty, "needs-review").otherwise(plan.get("unmatched_action", "needs-review"))
+        F.when(F.col("_out"), "excluded").when(every & enough, "core").when(F.col("_adj") & (F.col("_mech") | F.col("_theory")), "theory-supplement")
+        .when(F.col("_direct") & (F.size("_g") > 0), "needs-review").when(empty, "needs-review").otherwise(plan.get("unmatched_action", "needs-review"))
     )
     conf = F.when(F.col("_c").isin("core", "excluded") & (F.col("_out") | every), "high").when(F.col("_c") == "theory-supplement", "medium").otherwise("low")
     return r.withColumn("_c", c).select("record_id", F.col("_c").alias("classification"), conf.alias("confidence"), F.array_join(F.array_sort("_g"), ",").alias("groups"))

@@ -16,7 +16,9 @@ from ..operators import meta as Z
 from ..operators import modeling as MO
 from ..operators import networks as N
 from ..operators import review as R
+from ..operators import stats as S
 from ..operators import temporal as B
+from ..operators import textmining as M
 from ..operators import topics as P
 from ..sources import documents as SD
 from ..sources import parsers as SP
@@ -468,3 +470,55 @@ def _(spark, d):
 def _(spark, d):
     return MO.clusters(topics_of(spark, d), "tokens", high=5, restarts=4, passes=20).diagnostics
 
+
+
+@query("x08_normalize_text", "select doc_id, 'abc fi ss - ' || (doc_id % 7) as text from documents")
+def _(spark, d):
+    n = F.col("doc_id") % 7
+    t = F.concat(F.when(n > 2, "ＡＢｃ ﬁ ẞ  – ").otherwise("ABC  FI SS - "), n)
+    return table(spark, d, "documents").select("doc_id", X.normalize_text(t).alias("text"))
+
+
+@query("x20_strip_markup", "select doc_id, 'A & b é ' || doc_id as text from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.strip_markup(F.concat(F.lit("<jats:p>A &amp; b <i>&eacute;</i>\n"), "doc_id", F.lit("</jats:p>"))).alias("text"))
+
+
+@query("x20_clean_reference", "select doc_id, 'Lee, A. (2001). Work ' || doc_id || '. See https://x.org/a' as apa from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", DR.clean_reference(F.concat(F.lit("Lee , A..  (2001). .\nWork "), "doc_id", F.lit("... See https://x.org/a "))).alias("apa"))
+
+
+@query("a21_topic_quota", works(""", n as (select count(*) as n from works), z as (select topic_id, count(*) as size from works where topic_id is not null group by 1),
+m as (select least(n, greatest(ceil(greatest(40.0, 5 * sqrt(n))), least(120, ceil(6 * n / 10.0)))) as m, n from n)
+select topic_id, size, cast(least(size, greatest(3, ceil(m * size / n))) as bigint) as quota from z, m"""))
+def _(spark, d):
+    w = orders_as_works(spark, d)
+    n = w.agg(F.count("*").alias("n"))
+    z = w.where("topic_id is not null").groupBy("topic_id").agg(F.count("*").alias("size"))
+    return z.crossJoin(n).select("topic_id", "size", S.topic_quota(F.col("size"), F.col("n")).alias("quota"))
+
+
+@query("a18_stage_log", "select cast(1 as bigint) as place, 'import' as stage, count(*) as records from orders union all select 2, 'screening', count(*) from orders where o_orderstatus = 'F'")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    none = spark.createDataFrame([], "place long, stage string, at string, records long")
+    return MS.stage_log(MS.stage_log(none, "import", o, "now"), "screening", o.where("o_orderstatus = 'F'"), "later").drop("at")
+
+
+@query("j03_raw_references", "select doc_id as source_id, doc_id - 1 as target_id, count(*) as weight from documents where doc_id - 1 in (select doc_id from documents) and doc_id % 3 <> 2 group by 1, 2")
+def _(spark, d):
+    i = F.col("doc_id")
+    docs = table(spark, d, "documents").select("doc_id").distinct()
+    records = docs.select(i.alias("record_id"), F.concat(F.lit("10.1234/ab"), i).alias("doi"), F.concat(F.lit("W"), i).alias("openalex"))
+    ref = F.when(i % 3 == 0, F.concat(F.lit("Lee (2001) https://doi.org/10.1234/AB"), i - 1, F.lit("."))).when(i % 3 == 1, F.concat(F.lit("see https://index/W"), i - 1)).otherwise("Lee (2001) no number")
+    return N.citation_edges(records, N.raw_references(docs.select(i.alias("record_id"), F.array(ref).alias("references"))))
+
+
+@query("f04_focus_queries", f"""with {DOCS}, x as (select record_id, 'q' || record_id % 3 as q, record_id % 2 = 0 as g, record_id % 5 = 0 as a from docs)
+select record_id, case when g and a and q = 'q1' then 'theory-supplement' when g and q = 'q0' then 'needs-review' when a and q = 'q1' then 'theory-supplement' else 'excluded' end as classification from x""")
+def _(spark, d):
+    i = F.col("record_id")
+    r = documents_as_works(spark, d).select("record_id", F.concat(F.lit("some "), F.when(i % 2 == 0, "alpha ").otherwise(""), F.when(i % 5 == 0, "beta").otherwise("")).alias("title"), F.array(F.concat(F.lit("q"), i % 3)).alias("query_ids"))
+    plan = {"match_fields": ["title"], "minimum_core_groups": 2, "unmatched_action": "excluded", "core_groups": [{"id": "g1", "terms": ["alpha"], "required": True}, {"id": "g2", "terms": ["gamma"], "required": True}], "adjacent_terms": ["beta"], "direct_query_ids": ["q0"], "theory_query_ids": ["q1"]}
+    return M.classify_focus(r, plan).select("record_id", "classification")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.drafts import RECORD, SOURCE, clean_markers
@@ -174,3 +175,24 @@ def export_problems(drafts: DataFrame, key: str, text: str, approvals: DataFrame
     kind = drafts.schema[key].dataType.simpleString()
     differ = set_difference(cited, listed).select(F.from_json("id", f"key {kind}, cited string")["key"].alias(key)).distinct()
     return found.unionByName(differ.select(key, F.lit("references-differ-from-citations").alias("problem"))).distinct()
+
+
+def pack_library(cards: DataFrame, path: str) -> int:
+    """Cards as one JSON file each in a zip at a local ``path``; their number. A library of cards is small."""
+    rows = cards.select("theory_id", F.to_json(F.struct(*cards.columns)).alias("card")).toLocalIterator()
+    n = 0
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in rows:
+            z.writestr(f"cards/{r['theory_id']}.json", r["card"])
+            n += 1
+    return n
+
+
+def unpack_library(spark: SparkSession, path: str, schema) -> tuple[DataFrame, list[str]]:
+    """(cards, names not taken) of such a zip: only files cards/<id>.json are read, and none is written anywhere."""
+    with zipfile.ZipFile(path) as z:
+        good = [i.filename for i in z.infolist() if re.fullmatch(r"cards/[A-Za-z0-9_-]+\.json", i.filename)]
+        bad = sorted({i.filename for i in z.infolist() if not i.is_dir()} - set(good))
+        rows = [(z.read(n).decode("utf-8"),) for n in good]
+    text = spark.createDataFrame(rows, "card string")
+    return text.select(F.from_json("card", schema).alias("c")).select("c.*"), bad

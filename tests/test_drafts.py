@@ -294,3 +294,13 @@ def test_effects_are_rejected_with_reasons(spark):
     none = F.lit(None).cast("double")
     s = [r["s"] for r in x.select(working_scale(F.col("m"), F.col("e"), none, F.col("l"), F.col("h"), none).alias("w")).select("w.s").collect()]
     assert s == pytest.approx([math.log(4) / 3.91992796908, (math.atanh(0.7) - math.atanh(0.2)) / 3.91992796908, 0.8 / 3.91992796908])
+
+
+def test_library_as_zip(spark, tmp_path):
+    c = spark.createDataFrame([("T1", "a", ["x"]), ("T2", "b", [])], "theory_id string, name string, aliases array<string>")
+    path = str(tmp_path / "cards.zip")
+    assert sinks.pack_library(c, path) == 2
+    with zipfile.ZipFile(path, "a") as z:
+        z.writestr("../out.json", "{}")
+    back, bad = sinks.unpack_library(spark, path, c.schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, c.collect())) and bad == ["../out.json"]

@@ -79,7 +79,7 @@ def test_factors_step_like_plain_numpy(spark, docs):
     h = np.random.default_rng(3).random((3, x.shape[1]))
     fit = modeling.Factors(h.copy())
     modeling.factorise(matrix, [fit], passes=1)
-    w = modeling.solve(x, h)
+    (w,) = modeling.weights_of(x, [h])
     assert fit.loss == pytest.approx(((x - w @ h) ** 2).sum())
     plain = h.copy()
     for _ in range(modeling.INNER):
