@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.manuscript import DIAGNOSED, FRAGMENT_GAP, WEAK_GAP, gap_goals, normalize_gaps
+from ..functions.manuscript import DIAGNOSED, FRAGMENT_GAP, WEAK_GAP, gap_goals, normalize_gaps, runs_of
 from ..functions.text import normalize_title
 from .dedup import ratio, squeezed
 from .evidence import evidence_tier, publication_type, quality, study_design, tier_rank, violations
@@ -70,14 +70,16 @@ def best_fulltexts(records: DataFrame, files: DataFrame) -> DataFrame:
     run = 8
     r = records.select("record_id", normalize_title(F.col("title")).alias("t")).where("t <> ''")
     f = files.select("path", normalize_title(F.col("stem")).alias("s")).where("s <> ''")
-    runs = lambda c: F.when(F.char_length(c) >= run, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - run + 1), lambda i: F.substring(F.col(c), i, F.lit(run))))).otherwise(F.array(F.col(c)))
+    runs = lambda c: F.coalesce(runs_of(c, run), F.array(c))
     in_title = r.select("record_id", "t", F.explode(runs("t")).alias("k")).join(f.select("path", "s", F.substring("s", 1, run).alias("k")), "k").where("contains(t, s)")
     in_name = f.select("path", "s", F.explode(runs("s")).alias("k")).join(r.select("record_id", "t", F.substring("t", 1, run).alias("k")), "k").where("contains(s, substring(t, 1, 30))")
-    # names shorter than a run stand in titles too; there are few of them
+    # titles shorter than a run stand in names too, and names in titles; there are few of them
+    pieces = F.flatten(F.array_compact(F.array(*[runs_of("s", k) for k in range(1, run)])))
+    of_short = f.select("path", "s", F.explode(pieces).alias("t")).join(r.where(F.char_length("t") < run), "t")
     short = f.where(F.char_length("s") < run).select("path", "s", F.substring("s", 1, 1).alias("k"))
     letters = r.select("record_id", "t", F.explode(F.array_distinct(F.split("t", ""))).alias("k"))
     in_short = letters.join(short, "k").where("contains(t, s)")
-    every = in_title.select("record_id", "path", "s").unionByName(in_name.select("record_id", "path", "s")).unionByName(in_short.select("record_id", "path", "s"))
+    every = in_title.select("record_id", "path", "s").unionByName(in_name.select("record_id", "path", "s")).unionByName(in_short.select("record_id", "path", "s")).unionByName(of_short.select("record_id", "path", "s"))
     return every.groupBy("record_id").agg(F.max(F.struct(F.char_length("s").alias("n"), "path")).alias("x")).select("record_id", "x.path")
 
 
