@@ -53,7 +53,7 @@ def overlap_top(questions: DataFrame, methods: DataFrame, n: int = 4) -> DataFra
     """
     q = questions.select("question_id", F.explode(F.array_distinct("goals")).alias("goal"))
     m = methods.select("method_id", F.explode(F.array_distinct("goals")).alias("goal"))
-    hit = q.join(F.broadcast(m), "goal").groupBy("question_id", "method_id").agg(F.count("*").alias("overlap"))
+    hit = q.join(m, "goal").groupBy("question_id", "method_id").agg(F.count("*").alias("overlap"))
     place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("overlap"), "method_id"))
     return hit.withColumn("place", place.cast("long")).where(F.col("place") <= n)
 

@@ -27,7 +27,7 @@ def topic_evolution(trends: DataFrame) -> DataFrame:
     following = t.select("p").distinct().withColumn("to", F.lead("p").over(W.orderBy("p"))).where("to is not null")
     b = t.select(F.col("p").alias("to"), "topic_id", F.col("n").alias("target_documents"))
     label = lambda c: F.concat_ws("-", F.col(c).cast("string"), (F.col(c) + 4).cast("string"))
-    return t.join(F.broadcast(following), "p").join(b, ["to", "topic_id"]).select(label("p").alias("source_period"), label("to").alias("target_period"), "topic_id", F.least("n", "target_documents").alias("flow_weight"), F.col("n").alias("source_documents"), "target_documents")
+    return t.join(following, "p").join(b, ["to", "topic_id"]).select(label("p").alias("source_period"), label("to").alias("target_period"), "topic_id", F.least("n", "target_documents").alias("flow_weight"), F.col("n").alias("source_documents"), "target_documents")
 
 
 def gap_candidates(records: DataFrame, fulltext: str) -> DataFrame:
@@ -53,7 +53,7 @@ def knowledge_flow(edges: DataFrame, assignments: DataFrame) -> DataFrame:
     sizes = t.groupBy("topic_id").agg(F.count("*").alias("n"))
     e = edges.join(t.select(F.col("record_id").alias("target_id"), F.col("topic_id").alias("source_topic")), "target_id").join(t.select(F.col("record_id").alias("source_id"), F.col("topic_id").alias("target_topic")), "source_id")
     g = e.groupBy("source_topic", "target_topic").agg(F.sum("weight").alias("citation_weight"), F.countDistinct("source_id").alias("independent_citing_documents"))
-    g = g.join(F.broadcast(sizes.select(F.col("topic_id").alias("source_topic"), F.col("n").alias("na"))), "source_topic").join(F.broadcast(sizes.select(F.col("topic_id").alias("target_topic"), F.col("n").alias("nb"))), "target_topic")
+    g = g.join(sizes.select(F.col("topic_id").alias("source_topic"), F.col("n").alias("na")), "source_topic").join(sizes.select(F.col("topic_id").alias("target_topic"), F.col("n").alias("nb")), "target_topic")
     return g.select("source_topic", "target_topic", "citation_weight", F.round(F.col("citation_weight") / F.sqrt(F.col("na") * F.col("nb")), 6).alias("fractional_flow"), "independent_citing_documents", (F.col("independent_citing_documents") >= 3).alias("eligible"))
 
 
