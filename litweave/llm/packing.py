@@ -26,7 +26,7 @@ from .tokens import Ids, public_path
 
 SIZE = 1024
 END = 2
-PER_SALT = 2_000
+PER_SALT = 1_000
 
 
 def best_two(left: np.ndarray, room: int, small: int) -> tuple[int, int] | None:
