@@ -61,3 +61,12 @@ def test_results_do_not_depend_on_partitions(spark, sf):
         seen.add(tuple(sorted(map(tuple, QUERIES["a04_keyword_cooccurrence_fractional"](spark, sf).collect()))))
     spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert len(seen) == 1
+
+
+def test_library_queries_without_the_corpus_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "litweave.llm", None)  # as if it could not be imported
+    assert e.queries().keys() == QUERIES.keys() and e.oracle_sql().keys() == ORACLE_SQL.keys()
