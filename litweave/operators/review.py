@@ -83,3 +83,24 @@ def method_counts(rows: DataFrame, methods: Column) -> DataFrame:
     """(method, mentions) of lists of methods between semicolons, commas and bars."""
     m = rows.select(F.explode(F.split(methods, "[;,；，|]")).alias("m")).select(F.trim("m").alias("method"))
     return m.where("method <> ''").groupBy("method").agg(F.count("*").alias("mentions"))
+
+
+def seed_recall(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(item_id, recalled): whether a seed (item_id, seed) stands in any of the ``texts`` (body), whatever the case.
+
+    A seed's second to fourth words are bounded by spaces on both sides wherever it stands, so texts are met by their runs of
+    three words; only seeds of four words or fewer are looked for in every text.
+    """
+    s = seeds.select("item_id", F.lower("seed").alias("seed"))
+    t = texts.select(F.lower("body").alias("body")).where("body is not null")
+    words = F.split("seed", " ")
+    long = s.where(F.size(words) >= 5).withColumn("key", F.array_join(F.slice(words, 2, 3), " "))
+    w = F.split("body", " ")
+    n = F.size(w)
+    runs = F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))))
+    t = t.withColumn("of", F.xxhash64("body"))
+    pairs = t.select("of", F.explode(runs).alias("key")).join(long, "key").select("of", "item_id", "seed").distinct()
+    met = t.join(pairs, "of").where(F.contains("body", "seed")).select("item_id")
+    short = t.join(s.where(F.size(words) < 5), F.contains("body", "seed")).select("item_id")
+    found = met.unionByName(short).distinct().withColumn("hit", F.lit(True))
+    return s.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("recalled"))

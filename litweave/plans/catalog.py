@@ -222,11 +222,7 @@ def _(spark, d):
 
 @query("j13_seed_recall", "select item_id, exists (select 1 from documents where contains(lower(documents.text), lower(benchmark.text))) as recalled from benchmark")
 def _(spark, d):
-    seeds = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("seed"))
-    docs = table(spark, d, "documents").select(F.lower("text").alias("body"))
-    # seeds are a list written by hand, so the corpus is read once against all of them
-    found = docs.join(F.broadcast(seeds), F.contains("body", "seed")).select("item_id").distinct()
-    return seeds.join(found.withColumn("hit", F.lit(True)), "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("recalled"))
+    return R.seed_recall(table(spark, d, "documents").select(F.col("text").alias("body")), table(spark, d, "benchmark").select("item_id", F.col("text").alias("seed")))
 
 
 ALL_EDGES = CO.format(col="author", tab="authors", most=100, weight=FRACTION) + ", ed as (select a, b, weight from co)"
