@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import hold
+
 #: Distinct terms that a task counts before it hands its counts on.
 MOST_COUNTED = 500_000
 
@@ -30,6 +32,12 @@ def grams(tokens: list[str], low: int, high: int, frequent: set[str] | None = No
     return out
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, computed once; dealt to all cores where it comes from fewer files than there are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return hold(docs.repartition(cores) if len(docs.inputFiles()) < cores else docs)
+
+
 def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set[str] | None) -> DataFrame:
     """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up first."""
 
@@ -77,7 +85,8 @@ def tfidf(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_fea
     most frequent stay, ties by term. With ``top`` only the heaviest terms of a document are returned. A document is a
     row and is counted in that row, so that nothing is shuffled by document.
     """
-    idf = vocabulary(docs, tokens, low, high, most_features, min_df, max_df)
+    docs = spread(docs.select("record_id", F.col(tokens).alias("t")))
+    idf = vocabulary(docs, "t", low, high, most_features, min_df, max_df)
     frequent = {w for t in idf for w in t.split(" ")} if high > 1 else set(idf)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +103,7 @@ def tfidf(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_fea
             yield pd.DataFrame({"record_id": pdf["record_id"].iloc[ids].reset_index(drop=True), "term": pd.Series(terms, dtype=object), "weight": pd.Series(weights, dtype=float)})
 
     kind = docs.schema["record_id"].dataType.simpleString()
-    out = docs.select("record_id", F.col(tokens).alias("t")).mapInPandas(run, f"record_id {kind}, term string, weight double")
+    out = docs.select("record_id", "t").mapInPandas(run, f"record_id {kind}, term string, weight double")
     return out.select("record_id", "term", F.round("weight", digits).alias("weight"))
 
 
