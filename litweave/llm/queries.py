@@ -15,6 +15,8 @@ from .op7 import op7_minhash
 from .op8 import op8_quality
 from .op9 import op9_packing
 from .op10 import op10_fingerprints
+from .op12 import SQL as OP12_SQL
+from .op12 import op12_prefix_trie
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -27,5 +29,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
 }
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_minhash": OP7_SQL}
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_minhash": OP7_SQL, "op12_prefix_trie": OP12_SQL}
