@@ -17,6 +17,8 @@ from .op9 import op9_packing
 from .op10 import op10_fingerprints
 from .op12 import SQL as OP12_SQL
 from .op12 import op12_prefix_trie
+from .op13 import SQL as OP13_SQL
+from .op13 import op13_divergence
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -30,5 +32,6 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_divergence": op13_divergence,
 }
-ORACLE_SQL = {"op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_minhash": OP7_SQL, "op12_prefix_trie": OP12_SQL}
+ORACLE_SQL = {"op4_mixing": OP4_SQL, "op6_embeddings": OP6_SQL, "op7_minhash": OP7_SQL, "op12_prefix_trie": OP12_SQL, "op13_divergence": OP13_SQL}
