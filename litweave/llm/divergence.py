@@ -42,7 +42,9 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def rows() -> Iterator[pd.DataFrame]:
         for (lang, source), (n, docs) in held.items():
-            yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "surrogatepass") for t in n], "n": list(n.values()), "docs": [docs[t] for t in n]})
+            if not n:
+                continue
+            yield pd.DataFrame({"lang": [lang] * len(n), "source": [source] * len(n), "term": [t.decode("utf-8", "surrogatepass") for t in n], "n": list(n.values()), "docs": [docs[t] for t in n]})
         held.clear()
 
     for pdf in portions(batches):
@@ -131,7 +133,7 @@ class PairSums:
         every = np.arange(len(self.of))
         for (first, s), row in self.rows.items():
             fixed = np.full(len(every), s)
-            out = pd.DataFrame({"lang": self.lang, "a": fixed if first else every, "b": every if first else fixed, "more": row})
+            out = pd.DataFrame({"lang": [self.lang] * len(every), "a": fixed if first else every, "b": every if first else fixed, "more": row})
             yield out[out["more"] != 0]
         self.rows.clear()
 
