@@ -15,6 +15,7 @@ from .op7 import op7_minhash
 from .op8 import op8_quality
 from .op9 import op9_packing
 from .op10 import op10_fingerprints
+from .op11 import op11_lm_scoring
 from .op12 import SQL as OP12_SQL
 from .op12 import op12_prefix_trie
 from .op13 import SQL as OP13_SQL
@@ -31,6 +32,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_fingerprints": op10_fingerprints,
+    "op11_lm_scoring": op11_lm_scoring,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_divergence": op13_divergence,
 }
