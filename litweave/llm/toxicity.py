@@ -17,7 +17,9 @@ own part. The threshold is given, so the bias is set for it, on scores that each
 from the classifier that has not seen it: recall r is the share of positives at or above the threshold, q that of
 all rows, s the share of toxic rows, and of the shifts of the bias whose estimated F1,
 ``2 min(s r, q) / (s + q)``, is about the largest, the middle is taken. The model's bias is
-then set so that the same share of all rows is at or above the threshold.
+then set so that the same share of all rows is at or above the threshold. Flagging every row has an estimated F1 of
+``2 s / (1 + s)``: where no shift is clearly better than that, or where a part has fewer than ENOUGH confirmed rows to tell, the share
+that is to be flagged is the prior. In no case is it more than MOST_OVER times the prior.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ PARTS = 2
 #: Tasks that add up what other tasks have added up.
 ADDERS = 4
 SHIFTS, NEAR_BEST = np.arange(-8.0, 8.0625, 0.0625), 0.02
+#: Confirmed rows of a part from which on its F1 is believed; by how much it is to exceed that of flagging all; bound of the flagged share, in priors.
+ENOUGH, CLEARLY, MOST_OVER = 20, 0.1, 2.0
 BLOCK, BLOCKS = ["part", "ids", "lengths", "at"], "part int, ids array<bigint>, lengths binary, at binary"
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -151,17 +155,19 @@ class Fit:
         self.x = self.x - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def best_shift(positive: np.ndarray, found: np.ndarray, n: float, share: float, threshold: float) -> float:
+def best_shift(positive: np.ndarray, found: np.ndarray, n: float, share: float, threshold: float) -> float | None:
     """The middle of the shifts of the bias, of SHIFTS, whose estimated F1 is within NEAR_BEST of the largest and that hang together with it.
 
     ``positive`` are logits of confirmed rows; under shift k ``found[k]`` of n rows are at or above the threshold, and a
-    ``share`` of all rows is toxic.
+    ``share`` of all rows is toxic. None where no shift is clearly better than flagging all rows.
     """
     if not len(positive) or not n:
-        return 0.0
+        return None
     recall = (positive[:, None] + SHIFTS[None, :] >= logit(threshold)).mean(axis=0)
     rate = found / n
     f1 = 2 * np.minimum(share * recall, rate) / (share + rate)
+    if f1.max() < 2 * share / (1 + share) + CLEARLY:
+        return None
     low = high = int(f1.argmax())
     while low > 0 and f1[low - 1] >= f1.max() - NEAR_BEST:
         low -= 1
@@ -170,6 +176,14 @@ def best_shift(positive: np.ndarray, found: np.ndarray, n: float, share: float,
     return float((SHIFTS[low] + SHIFTS[high]) / 2)
 
 
+def flagging(known: list[np.ndarray], by_others: np.ndarray, by_model: np.ndarray, n: float, prior: float, threshold: float) -> float:
+    """The shift of the model's bias, from logits of the confirmed rows of each part and from the rows flagged under each shift."""
+    shift = best_shift(np.concatenate(known), by_others, n, prior, threshold) if min(map(len, known)) >= ENOUGH else None
+    wanted = min(prior * n if shift is None else np.interp(shift, SHIFTS, by_others), MOST_OVER * prior * n)
+    off = np.where(by_model > MOST_OVER * prior * n, np.inf, np.abs(by_model - wanted))
+    return float(SHIFTS[off.argmin()]) if np.isfinite(off).any() else float(SHIFTS[0])
+
+
 def added(blocks: DataFrame, run: Callable[[int, Rows], np.ndarray], columns: int, width: int) -> np.ndarray:
     """The sum over blocks (part, lengths, at) of ``run`` of a block's part and rows; tasks add up, and few tasks their sums."""
 
@@ -314,11 +328,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, m
 
     counts = added(unlabelled, over, width, 1 + 2 * len(SHIFTS))
     by_others, by_model = np.split(counts[1:], 2)
-    known = np.concatenate([Rows.of_lists([x for p, x in few if p == k], width).dot(models[k, 1:]) + models[k, 0] for k in range(PARTS)])
+    known = [Rows.of_lists([x for p, x in few if p == k], width).dot(models[k, 1:]) + models[k, 0] for k in range(PARTS)]
     bias = models[PARTS, 0]
-    if len(known) and counts[0]:
-        wanted = np.interp(best_shift(known, by_others, counts[0], prior, threshold), SHIFTS, by_others)
-        bias += float(SHIFTS[np.abs(by_model - wanted).argmin()])
+    if sum(map(len, known)) and counts[0]:
+        bias += flagging(known, by_others, by_model, counts[0], prior, threshold)
     return Learned(columns, models[PARTS, 1:], float(bias), every)
 
 
@@ -338,7 +351,8 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """The rows of ``docs``, with all their columns, that score below ``threshold``.
 
     Null and empty texts score as texts without words. Rows that share an id are scored each for itself. Columns may have
-    any name. An empty table gives an empty result; without labels, or without any confirmed row, all rows stay.
+    any name. An empty table gives an empty result; without labels, or without any confirmed row, all rows stay. With few confirmed rows about
+    the share that is toxic among the labelled ones goes, never more than MOST_OVER times that share of the training rows.
     """
     own = unused(docs.columns, "_score")
     learned = learn(docs, labels, threshold=threshold)
@@ -350,8 +364,8 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, score, predicted.
 
-    Null and empty texts get the score of a text without words. Without labels every score is near 0. Texts of any length
-    are read whole. Rows that share an id are scored each for itself; a null id is in no fold held out. Further columns are
+    Null and empty texts get the score of a text without words. Without labels every score is near 0; with few confirmed rows about as many
+    rows are predicted as are toxic among the labelled ones. Texts of any length are read whole. Rows that share an id are scored each for itself; a null id is in no fold held out. Further columns are
     not read. An empty table gives an empty result.
     """
     s = learn(docs, labels, threshold=threshold).scores()
