@@ -159,10 +159,10 @@ def best_shift(positive: np.ndarray, found: np.ndarray, n: float, share: float,
     """The middle of the shifts of the bias, of SHIFTS, whose estimated F1 is within NEAR_BEST of the largest and that hang together with it.
 
     ``positive`` are logits of confirmed rows; under shift k ``found[k]`` of n rows are at or above the threshold, and a
-    ``share`` of all rows is toxic. None where no shift is clearly better than flagging all rows.
+    ``share`` of all rows is toxic. 0 without rows, None where no shift is clearly better than flagging all rows.
     """
     if not len(positive) or not n:
-        return None
+        return 0.0
     recall = (positive[:, None] + SHIFTS[None, :] >= logit(threshold)).mean(axis=0)
     rate = found / n
     f1 = 2 * np.minimum(share * recall, rate) / (share + rate)
