@@ -15,7 +15,8 @@ distinct bigrams, then, where both bigrams were seen twice, of its trigrams: it
 whole histories, which add up the blocks' counts and answer each. From the answers a block builds the part of the
 automaton that its texts can meet, and reads them. So no model is held whole anywhere, and what is exchanged grows with the text. Histories that
 are so frequent that they would fill a bucket are spread over several by their next word; these
-are found by their counts, fewer than 2 / ``LEAST_SHARE``, and only their sums go through the driver. n-grams are told apart by 64 bits of hash.
+are found by their counts, fewer than 2 / ``LEAST_SHARE``, and only their sums go through the driver. Within a bucket histories are told apart by 48 bits of
+hash, beside those that chose the bucket, and the words after a history by 40.
 """
 
 from __future__ import annotations
@@ -30,19 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cut, portions
+from .common import Cut, cut_by, portions
 from .labelled import fold
 from .minhash import WordHashes, mixed
 
 FOLDS, HELD_OUT = 7, 2
 #: Tokens of a block, n-grams of a bucket, tokens of a stretch that is read in step with others, and bytes that are parted at once.
-TOKENS, PER_BUCKET, STRETCH, BYTES = 1 << 19, 1 << 19, 256, 1 << 22
+TOKENS, PER_BUCKET, STRETCH, BYTES = 1 << 20, 1 << 19, 256, 1 << 22
 #: A history is spread over buckets from this share of all tokens on, or from PER_BUCKET tokens on where that is more.
 LEAST_SHARE = 2e-6
 #: Fewest occurrences that count, of bigrams and of trigrams; bounds of the discounts.
 LEAST, DISCOUNTS = {2: 1, 3: 2}, (0.1, 0.9)
 END = xxhash.xxh3_64_intdigest(b" end")  # no word has a space
 SPACE = re.compile(rb"[ \t-\r]")
+#: Bytes of a history's and of a word's hash that are exchanged.
+CTX, WORD = 6, 5
+_CTX = np.uint64((1 << 8 * CTX) - 1)
 _STEP, _SALT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 BLOCKS = "block bigint, held boolean, tokens bigint, pieces array<struct<row bigint, doc_id bigint>>, lengths binary, leads binary, words binary, at binary"
 ASKED = "bucket bigint, block bigint, held boolean, ctx binary, sizes binary, words binary, n binary, spread binary"
@@ -63,6 +67,17 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64) if raw else np.ones(n, np.int64)
 
 
+def planes(a: np.ndarray, size: int) -> bytes:
+    """The lowest ``size`` bytes of 64-bit numbers, all first bytes, then all second ones, and so on."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def joined(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(size, -1).T
+    return out.view("<u8").reshape(-1)
+
+
 class Few:
     """Numbers by a few 64-bit keys."""
 
@@ -97,9 +112,12 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def block(held: bool) -> pd.DataFrame:
         nonlocal blocks
         own = pieces[held]
-        words, at = np.unique(np.concatenate([p[3] for p in own]), return_inverse=True)
+        words, at, n = np.unique(np.concatenate([p[3] for p in own]), return_inverse=True, return_counts=True)
+        order, rank = np.argsort(-n, kind="stable"), np.empty(len(n), np.int64)
+        rank[order] = np.arange(len(n))  # frequent words have small numbers
+        words, at = words[order], rank[at]
         lengths, leads = (np.array(x, np.uint32) for x in ([len(p[3]) for p in own], [p[2] for p in own]))
-        out = (task + blocks, held, int(lengths.sum() - leads.sum()), [{"row": p[0], "doc_id": p[1]} for p in own], lengths.tobytes(), leads.tobytes(), words.tobytes(), at.astype(np.uint32).tobytes())
+        out = (task + blocks, held, int(lengths.sum() - leads.sum()), [{"row": p[0], "doc_id": p[1]} for p in own], lengths.tobytes(), leads.tobytes(), words.tobytes(), planes(at, 3 if len(words) < 1 << 24 else 4))
         blocks += 1
         own.clear()
         return pd.DataFrame([out], columns=[c.split()[0] for c in BLOCKS.replace("row bigint, doc_id", "").split(", ")])
@@ -128,8 +146,8 @@ class Block:
 
     def __init__(self, r) -> None:
         self.id, self.held, self.words = int(r.block), bool(r.held), np.frombuffer(r.words, np.uint64)
-        self.at = np.frombuffer(r.at, np.uint32).astype(np.int64)
         self.lengths, self.leads = np.frombuffer(r.lengths, np.uint32).astype(np.int64), np.frombuffer(r.leads, np.uint32).astype(np.int64)
+        self.at = joined(r.at, len(r.at) // int(self.lengths.sum())).astype(np.int64)
         self.starts = self.lengths.cumsum() - self.lengths
         #: The place of each token in its piece; those before the lead are of the piece before.
         self.place = np.arange(len(self.at)) - np.repeat(self.starts, self.lengths)
@@ -143,7 +161,7 @@ class Block:
     def trigrams(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(pair before, its next word, pair that the two last words are, number) of trigrams of bigrams seen twice; ``c`` has the bigrams' counts.
 
-        A pair that is followed by a word that makes no such bigram has one entry for all of these, of the word after the last and number 0.
+        A pair that is followed by a word that makes no such bigram has one entry for all of these, of the word after the last.
         """
         width = len(self.words) + 1
         pair = np.full(len(self.at), -1)
@@ -156,62 +174,70 @@ class Block:
 
 
 class Question:
-    """Distinct n-grams of a block, by history (its number and hash) and word hash, in the order in which they are asked and answered."""
+    """Distinct n-grams of a block, by history (its number and hash) and word hash, in the order in which they are asked and answered.
+
+    Those that are not ``real`` ask for their history alone.
+    """
 
-    def __init__(self, history: np.ndarray, ctx: np.ndarray, words: np.ndarray, spread: np.ndarray, buckets: int) -> None:
+    def __init__(self, history: np.ndarray, ctx: np.ndarray, words: np.ndarray, spread: np.ndarray, real: np.ndarray, buckets: int) -> None:
         salt = mixed(words ^ _SALT) % spread.astype(np.uint64)
         bucket = ((mixed(ctx) + salt * _SALT) % np.uint64(buckets)).astype(np.int64)
-        self.order = np.argsort(bucket, kind="stable")
-        self.bucket, self.history = bucket[self.order], history[self.order]
-        self.ctx, self.words, self.spread = ctx[self.order], words[self.order], spread[self.order]
-        new = np.diff(self.bucket, prepend=-1) != 0
-        self.edges = np.append(np.flatnonzero(new), len(new))
-        self.runs = np.flatnonzero(new | (np.diff(self.history, prepend=-1) != 0))
+        order = np.argsort(bucket, kind="stable")
+        bucket, history = bucket[order], history[order]
+        new = np.diff(bucket, prepend=-1) != 0
+        self.n, starts = len(order), np.flatnonzero(new)
+        self.runs = np.flatnonzero(new | (np.diff(history, prepend=-1) != 0))
+        self.history, self.ctx, self.spread = history[self.runs], ctx[order][self.runs], spread[order][self.runs]
+        real = real[order]
+        self.order = order[real]
+        self.words = words[self.order]
+        count = lambda at: np.add.reduceat(real.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+        self.sizes, self.buckets = count(self.runs), bucket[starts]
+        self.grams, self.of_bucket = np.append(0, count(starts).cumsum()), np.searchsorted(self.runs, np.append(starts, self.n))
 
     def rows(self, block: Block, n: np.ndarray) -> pd.DataFrame:
-        n, ends, out = n[self.order], np.append(self.runs, len(self.order)), []
-        for s, e in zip(self.edges, self.edges[1:], strict=False):
-            a, b = np.searchsorted(self.runs, [s, e])
-            own = self.runs[a:b]
-            out.append((self.bucket[s], block.id, block.held, self.ctx[own].tobytes(), packed(np.diff(ends[a : b + 1])), self.words[s:e].tobytes(), packed(n[s:e]), packed(self.spread[own])))
+        n, out = n[self.order], []
+        for i, bucket in enumerate(self.buckets.tolist()):
+            own, grams = slice(*self.of_bucket[i : i + 2]), slice(*self.grams[i : i + 2])
+            out.append((bucket, block.id, block.held, planes(self.ctx[own], CTX), packed(self.sizes[own]), planes(self.words[grams], WORD), packed(n[grams]), packed(self.spread[own])))
         return pd.DataFrame(out, columns=[c.split()[0] for c in ASKED.split(", ")])
 
     def answered(self, rows: pd.DataFrame, histories: int, hot: Few, ctx: np.ndarray) -> tuple[np.ndarray, ...]:
         """(counts, buckets to spread over) of the n-grams and (words seen after, total) of ``histories`` (hashes ``ctx``)."""
         rows = rows.sort_values("bucket")
-        n, runs = np.diff(self.edges), np.diff(np.searchsorted(self.runs, self.edges))
+        n, runs = np.diff(self.grams), np.diff(self.of_bucket)
         c, spread, followers, total = (
             np.concatenate([np.empty(0, np.int64), *map(unpacked, rows[k], size)]) for k, size in (("c", n), ("spread", n), ("followers", runs), ("total", runs))
         )
-        back, of = np.empty_like(self.order), self.history[self.runs]
-        back[self.order] = np.arange(len(back))
-        by_history = np.zeros((2, histories), np.int64)
-        by_history[:, of] = followers, total
-        hot.put(ctx, *by_history)
-        return c[back], spread[back], *by_history
+        of_gram, of_history = np.zeros((2, self.n), np.int64), np.zeros((2, histories), np.int64)
+        of_gram[:, self.order], of_history[:, self.history] = (c, spread), (followers, total)
+        wide = self.history[self.spread > 1]
+        sums = of_history[:, wide]
+        hot.put(ctx[wide] & _CTX, *sums)
+        of_history[:, wide] = sums
+        return *of_gram, *of_history
 
 
 def adder(step: int, many: float) -> Callable:
     """Adds up what the blocks ask of one bucket, and answers; n-grams of ``many`` occurrences are histories to spread."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ctx = [np.frombuffer(x, np.uint64) for x in pdf["ctx"]]
-        words = [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+        ctx, words = [joined(x, CTX) for x in pdf["ctx"]], [joined(x, WORD) for x in pdf["words"]]
         histories, lengths = np.concatenate(ctx), np.array([len(w) for w in words])
         sizes = np.concatenate([unpacked(x, len(c)) for x, c in zip(pdf["sizes"], ctx, strict=True)])
         spread = np.concatenate([unpacked(x, len(c)) for x, c in zip(pdf["spread"], ctx, strict=True)])
         n = np.concatenate([unpacked(x, len(w)) for x, w in zip(pdf["n"], words, strict=True)])
         of = np.repeat(histories, sizes)
         _, first, gram = np.unique(mixed(of * _STEP + np.concatenate(words)), return_index=True, return_inverse=True)
-        seen = np.bincount(gram, n)
-        c = np.bincount(gram, n * np.repeat(~pdf["held"].to_numpy(bool), lengths)).astype(np.int64)
+        seen = np.bincount(gram, n, len(first))
+        c = np.bincount(gram, n * np.repeat(~pdf["held"].to_numpy(bool), lengths), len(first)).astype(np.int64)
         once, twice = int((c == 1).sum()), int((c == 2).sum())
         c[c < LEAST[step]] = 0
-        own, at = np.unique(of[first], return_inverse=True)
-        followers, total = np.bincount(at, c > 0).astype(np.int64), np.bincount(at, c).astype(np.int64)
+        own, place = np.unique(histories, return_inverse=True)
+        at = np.searchsorted(own, of[first])
+        followers, total = (np.bincount(at, x, len(own)).astype(np.int64) for x in (c > 0, c))
         wide = np.isin(own, histories[spread > 1])
         counts, over = c[gram], np.maximum(np.ceil(seen / many), 1).astype(np.int64)[gram]
-        place = np.searchsorted(own, histories)
         bucket, out, i, j = int(pdf["bucket"].iloc[0]), [], 0, 0
         for block, x, w in zip(pdf["block"].tolist(), ctx, words, strict=True):
             k, m = j + len(x), i + len(w)
@@ -245,13 +271,12 @@ def hot_words(blocks: DataFrame, total: int, many: float) -> Few:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for raw, at in zip(pdf["words"], pdf["at"], strict=True):
-                tokens = np.frombuffer(at, np.uint32)
-                n = np.bincount(tokens, minlength=len(raw) // 8)
-                often = n * 4 >= len(tokens) * many / total
+            for raw, at, tokens in zip(pdf["words"], pdf["at"], pdf["tokens"], strict=True):
+                n = np.bincount(joined(at, 3 if len(raw) < 8 << 24 else 4).astype(np.int64), minlength=len(raw) // 8)
+                often = n * 4 >= tokens * many / total
                 yield pd.DataFrame({"h": np.frombuffer(raw, np.uint64)[often].astype(np.int64), "n": n[often]})
 
-    found = blocks.select("words", "at").mapInPandas(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= many / 2).collect()
+    found = blocks.select("words", "at", "tokens").mapInPandas(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= many / 2).collect()
     return Few(np.array([r["h"] for r in found], np.int64).astype(np.uint64), np.ceil(np.array([r["n"] for r in found], float) / many))
 
 
@@ -301,12 +326,12 @@ class Model:
 def pairs_asked(b: Block, spread: Few, buckets: int) -> Question:
     over = np.ones(len(b.words), np.int64)
     spread.put(b.words, over)
-    return Question(b.first, b.words[b.first], b.words[b.last], over[b.first], buckets)
+    return Question(b.first, b.words[b.first], b.words[b.last], over[b.first], np.ones(len(b.n), bool), buckets)
 
 
 def trigrams_asked(b: Block, before: np.ndarray, word: np.ndarray, spread: np.ndarray, buckets: int) -> tuple[Question, np.ndarray]:
     ctx = mixed(b.words[b.first] * _STEP + b.words[b.last])
-    return Question(before, ctx[before], np.append(b.words, np.uint64(0))[word], spread[before], buckets), ctx
+    return Question(before, ctx[before], np.append(b.words, np.uint64(0))[word], spread[before], word < len(b.words), buckets), ctx
 
 
 def automaton(b: Block, model: Model, answers: pd.DataFrame) -> tuple[Automaton, np.ndarray]:
@@ -374,7 +399,7 @@ def log_probabilities(docs: DataFrame) -> DataFrame:
     read whole. Further columns are not read. An empty table gives an empty result.
     """
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
-    blocks = Cut(docs.select("doc_id", "text", held.alias("held")).mapInPandas(_blocks, BLOCKS)).df
+    blocks = cut_by(docs.select("doc_id", "text", held.alias("held")).mapInPandas(_blocks, BLOCKS), "block")
     total = blocks.agg(F.sum("tokens")).first()[0] or 0
     many = max(PER_BUCKET, LEAST_SHARE * total)
     buckets = max(1, -(-total // PER_BUCKET))

@@ -79,6 +79,18 @@ def cut(df: DataFrame) -> DataFrame:
     return Cut(df).df
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``cut`` into buckets by ``key``, one for each shuffle partition, so that grouping and joining by it does not shuffle the table again."""
+    spark = df.sparkSession
+    own = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/litweave-{own}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _written[path] = (at, at.getFileSystem(spark._jsc.hadoopConfiguration()))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(f"litweave_{own}")
+    return spark.table(f"litweave_{own}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
