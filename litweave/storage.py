@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,9 +19,46 @@ from pyspark.sql import functions as F
 ADDERS = 4
 
 
+_held: dict[str, tuple] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``; where it is unset, as in tests on one machine, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="litweave-held-")
+        atexit.register(shutil.rmtree, named, True)
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
 def hold(df: DataFrame) -> DataFrame:
-    """``df``, computed once: a checkpoint where the session names a folder for it, else kept by the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() is not None else df.persist()
+    """``df``, computed once and without its lineage: a table in the shared folder, until it is let go or the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/litweave-held-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _held[path] = (at, at.getFileSystem(spark._jsc.hadoopConfiguration()))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.held_at = path
+    return out
+
+
+def let_go(*held: DataFrame) -> None:
+    """Deletes what ``hold`` wrote for these; nothing may read them any more."""
+    for df in held:
+        at, system = _held.pop(df.held_at)
+        system.delete(at, True)
+
+
+@atexit.register
+def _let_all_go() -> None:
+    for path in list(_held):
+        with contextlib.suppress(Exception):  # the JVM may be gone, and the folder with it
+            at, system = _held.pop(path)
+            system.delete(at, True)
 
 
 def summed(df: DataFrame, run: Callable[[pd.DataFrame], np.ndarray], width: int) -> np.ndarray:
