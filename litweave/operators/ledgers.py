@@ -13,7 +13,7 @@ from ..functions.manuscript import DIAGNOSED, FRAGMENT_GAP, WEAK_GAP, gap_goals,
 from ..functions.text import normalize_title
 from .dedup import ratio, squeezed
 from .evidence import evidence_tier, publication_type, quality, study_design, tier_rank, violations
-from .review import overlap_top
+from .review import ADVERSE_STATUSES, overlap_top
 
 #: Words of a screening that keep a record out of writing, and words of cause (fixed values).
 BLOCKED = r"peripheral|irrelevant|homonym|prohibit"
@@ -210,7 +210,7 @@ def matrices(extractions: DataFrame) -> dict[str, DataFrame]:
     relations = e.select("record_id", F.explode("relations").alias("r"), "evidence_level", "design").select("record_id", "r.*", "evidence_level", "design")
     return {
         "theories": e.select("record_id", F.explode("theories").alias("theory"), "evidence_level"), "relations": relations, "methods": e.select("record_id", "design", F.array_join("contexts", "; ").alias("contexts"), F.array_join("methods", "; ").alias("methods")),
-        "adverse": relations.where("status in ('contradict', 'mixed', 'not-significant')"),
+        "adverse": relations.where(F.col("status").isin(*ADVERSE_STATUSES)),
     }
 
 
@@ -237,7 +237,7 @@ def claim_group_violations(groups: DataFrame) -> DataFrame:
 
 def open_reconciliations(groups: DataFrame, done: DataFrame) -> DataFrame:
     """(claim, reasons): grouped claims that a second reader settles, without those (claim) that are done."""
-    adverse = (F.size("statuses") > 1) | F.arrays_overlap("statuses", F.array(*map(F.lit, ("contradict", "mixed", "not-significant"))))
+    adverse = (F.size("statuses") > 1) | F.arrays_overlap("statuses", F.array(*map(F.lit, ADVERSE_STATUSES)))
     many = F.col("studies") >= 3
     reasons = {"direction-or-significance-conflict": adverse, "support-pending-high-impact": many & F.coalesce("support_check", F.lit("pending")).isin("", "pending"), "high-impact-synthesis": many}
     r = groups.select("claim", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in reasons.items()])).alias("reasons"))

@@ -24,6 +24,8 @@ BANNED = {
     "全文级证据": r"全文级证据|全文(?:不足|有限|核验|可用性)", "直接证据": r"直接证据", "邻近证据": r"邻近证据", "证据等级": r"证据等级", "证据卡": r"证据卡",
     "证据不足提示": r"证据(?:仍|尚|还)?(?:不足|有限)|不足以(?:证明|判断)",
 }
+#: Statuses of a claim that always ask for a second look (fixed values).
+ADVERSE_STATUSES = ("contradict", "mixed", "not-significant")
 
 
 def labels(text: Column, patterns: dict[str, str]) -> Column:
@@ -65,10 +67,19 @@ def search_cards(cards: DataFrame, key: str, name: Column, body: Column, tokens:
 
 
 def group_claims(claims: DataFrame) -> DataFrame:
-    """Claims of one subject, predicate, object and direction: their records and statuses, and whether they must be reconciled."""
-    g = claims.groupBy("subject", "predicate", "object", "direction").agg(F.array_sort(F.collect_set("record_id")).alias("r"), F.array_sort(F.collect_set("status")).alias("s"))
-    adverse = F.arrays_overlap("s", F.array(F.lit("contradicts"), F.lit("conflict"), F.lit("refuted")))
-    return g.select("subject", "predicate", "object", "direction", F.array_join(F.col("r").cast("array<string>"), ",").alias("record_ids"), F.array_join("s", ",").alias("statuses"), F.size("r").cast("long").alias("studies"), ((F.size("s") > 1) | adverse | (F.size("r") >= 3)).alias("reconcile"))
+    """Claims of one subject, predicate, object and direction (null as empty): their records, statuses and anchors, and whether they must be reconciled.
+
+    That is so where statuses differ, where one of them is adverse, and from three records on. Anchors that are null or empty are left out.
+    """
+    key = ["subject", "predicate", "object", "direction"]
+    anchor = F.col("anchor") if "anchor" in claims.columns else F.lit(None).cast("string")
+    c = claims.withColumns({k: F.coalesce(k, F.lit("")) for k in key}).withColumn("anchor", F.nullif(anchor, F.lit("")))
+    g = c.groupBy(*key).agg(F.array_sort(F.collect_set("record_id")).alias("r"), F.array_sort(F.collect_set("status")).alias("s"), F.array_sort(F.collect_list("anchor")).alias("a"))
+    adverse = F.arrays_overlap("s", F.array(*map(F.lit, ADVERSE_STATUSES)))
+    return g.select(
+        *key, F.array_join(F.col("r").cast("array<string>"), ",").alias("record_ids"), F.array_join("s", ",").alias("statuses"), F.array_join("a", ",").alias("anchors"),
+        F.size("r").cast("long").alias("studies"), ((F.size("s") > 1) | adverse | (F.size("r") >= 3)).alias("reconcile"),
+    )
 
 
 def cited_coverage(records: DataFrame, cited: DataFrame, minimum: int) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators import stats as S
 from ..operators import temporal as B
 from ..operators import textmining as M
 from ..operators import topics as P
+from ..operators import vertices as V
 from ..storage import hold
 from .adapters import DOCS, ORDERS, SELF, documents_as_works, orders_as_works, self_citations, table
 
@@ -608,9 +609,16 @@ def _(spark, d):
     return R.term_index(table(spark, d, "part"), "p_partkey", F.split("p_name", " "))
 
 
-@query("a16_claim_groups", "select l_returnflag as subject, l_linestatus as predicate, cast(l_partkey % 50 as varchar) as object, cast(l_suppkey % 2 as varchar) as direction, string_agg(distinct cast(l_orderkey % 97 as varchar), ',' order by cast(l_orderkey % 97 as varchar)) as record_ids, string_agg(distinct case when l_tax > 0.07 then 'contradicts' else 'supports' end, ',' order by case when l_tax > 0.07 then 'contradicts' else 'supports' end) as statuses, count(distinct l_orderkey % 97) as studies, count(distinct l_tax > 0.07) > 1 or bool_or(l_tax > 0.07) or count(distinct l_orderkey % 97) >= 3 as reconcile from lineitem group by 1, 2, 3, 4")
+@query("a16_claim_groups", """with c as (select l_returnflag as subject, l_linestatus as predicate, cast(l_partkey % 50 as varchar) as object, cast(l_suppkey % 2 as varchar) as direction, cast(l_orderkey % 97 as varchar) as record_id,
+  case when l_tax >= 0.08 then 'contradict' when l_tax >= 0.07 then 'not-significant' else 'support' end as status, case when l_linenumber > 1 then 'p' || l_linenumber else '' end as anchor from lineitem)
+select subject, predicate, object, direction, string_agg(distinct record_id, ',' order by record_id) as record_ids, string_agg(distinct status, ',' order by status) as statuses, coalesce(string_agg(anchor, ',' order by anchor) filter (anchor <> ''), '') as anchors,
+  count(distinct record_id) as studies, count(distinct status) > 1 or bool_or(status in ('contradict', 'mixed', 'not-significant')) or count(distinct record_id) >= 3 as reconcile from c group by 1, 2, 3, 4""")
 def _(spark, d):
-    c = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("subject"), F.col("l_linestatus").alias("predicate"), (F.col("l_partkey") % 50).cast("string").alias("object"), (F.col("l_suppkey") % 2).cast("string").alias("direction"), (F.col("l_orderkey") % 97).cast("string").alias("record_id"), F.when(F.col("l_tax") > 0.07, "contradicts").otherwise("supports").alias("status"))
+    tax, line = F.col("l_tax"), F.col("l_linenumber")
+    c = table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("subject"), F.col("l_linestatus").alias("predicate"), (F.col("l_partkey") % 50).cast("string").alias("object"), (F.col("l_suppkey") % 2).cast("string").alias("direction"), (F.col("l_orderkey") % 97).cast("string").alias("record_id"),
+        F.when(tax >= 0.08, "contradict").when(tax >= 0.07, "not-significant").otherwise("support").alias("status"), F.when(line > 1, F.concat(F.lit("p"), line)).otherwise("").alias("anchor"),
+    )
     return R.group_claims(c)
 
 
@@ -681,10 +689,27 @@ def _(spark, d):
     return merged.select("record_id", "title", "abstract", "keywords", "merged", "methods", F.size(F.flatten(F.transform("audit", lambda x: x["conflicts"]))).alias("conflicts"))
 
 
+def networks(spark, d):
+    """The backbones of the authors' and of the citation network, as one table of edges."""
+    e = self_citations(spark, d).groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(F.sum("weight").cast("double").alias("weight"))
+    named = [n.select(F.lit(name).alias("network"), *[F.col(c).cast("string").alias(c) for c in "ab"], "weight") for name, n in (("authors", author_backbone(spark, d)), ("citations", N.backbone(e)))]
+    return named[0].unionByName(named[1])
+
+
+_MEASURED: dict = {}
+
+
+def network_measures(spark, d):
+    """The measures of all nodes of both networks, held for the queries of a session that read them."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MEASURED:
+        _MEASURED[key] = hold(V.measures(networks(spark, d)))
+    return _MEASURED[key]
+
+
 @query("g01_network_kernels")
 def _(spark, d):
-    top = N.backbone(N.cooccurrence(orders_as_works(spark, d), "authors", 100), 3000, 250)
-    return G.kernels(top.withColumn("network", F.lit("authors")))
+    return network_measures(spark, d)
 
 
 @query("e17_meta_pooled")

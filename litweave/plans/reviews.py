@@ -20,10 +20,11 @@ from ..operators import stats as S
 from ..operators import temporal as B
 from ..operators import textmining as M
 from ..operators import topics as P
+from ..operators import vertices as V
 from ..sources import documents as SD
 from ..sources import parsers as SP
 from .adapters import DOCS, documents_as_works, orders_as_works, self_citations, table
-from .catalog import ascii_tokens, author_backbone, author_edges, effects, query, works
+from .catalog import ascii_tokens, author_edges, effects, network_measures, networks, query, works
 
 #: Conversations as drafts: turns are paragraphs with a role, a citation and, in places, claims of cause; a heading and references stand around them.
 ROLES = ("gap", "objective", "contribution", "research-progress")
@@ -399,27 +400,17 @@ def _(spark, d):
 
 @query("g01_network_summary_kernels")
 def _(spark, d):
-    return G.summaries(author_backbone(spark, d).withColumn("network", F.lit("authors")))
+    return V.summaries(networks(spark, d))
 
 
 @query("g03_clustering_null")
 def _(spark, d):
-    e = author_edges(spark, d)
-    seen = None
-    for t in (1, 2, 3):
-        s = N.density_and_clustering(e.where(F.col("weight") >= t)).select(F.lit(t).cast("long").alias("threshold"), "nodes", F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), F.coalesce("average_clustering", F.lit(0.0)).alias("clustering"))
-        seen = s if seen is None else seen.unionByName(s)
-    return G.clustering_null(seen)
+    return V.sensitivity(author_edges(spark, d).withColumn("network", F.lit("authors"))).drop("network")
 
 
 @query("g04_directed_betweenness")
 def _(spark, d):
-    # turns of conversations as works, each of which cites the one or two before it
-    t = table(spark, d, "conversations").select("conv_id", "turn").distinct()
-    number = lambda turn: F.col("conv_id") * 100_000 + turn
-    back = F.explode(F.when(F.col("turn") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
-    e = t.select("conv_id", "turn", back.alias("back")).where("turn >= back")
-    return G.directed_betweenness(e.select(number(F.col("turn")).alias("source_id"), number(F.col("turn") - F.col("back")).alias("target_id")))
+    return G.directed_betweenness(N.backbone(self_citations(spark, d).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "weight")).select(F.col("a").alias("source_id"), F.col("b").alias("target_id")))
 
 
 @query("g06_quadrant_stability")
@@ -429,20 +420,14 @@ def _(spark, d):
     return P.quadrant_stability(P.strategic_map(N.cooccurrence(w, "keywords", 30), terms, w.where("topic_id is not null").groupBy("topic_id").agg(F.count("*").alias("documents"))))
 
 
-def citation_network(spark, d):
-    e = self_citations(spark, d).select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"), "weight")
-    return N.backbone(e.groupBy("a", "b").agg(F.sum("weight").alias("weight"))).withColumn("network", F.lit("citations"))
-
-
 @query("g07_unlinked_brokers")
 def _(spark, d):
-    e = citation_network(spark, d)
-    return G.unlinked_brokers(G.kernels(e), e)
+    return G.unlinked_brokers(network_measures(spark, d), networks(spark, d))
 
 
 @query("w07_leading_nodes")
 def _(spark, d):
-    return G.leading_nodes(G.kernels(citation_network(spark, d)))
+    return G.leading_nodes(network_measures(spark, d))
 
 
 @query("w06_citation_bursts")
@@ -471,7 +456,6 @@ def _(spark, d):
     return MO.clusters(topics_of(spark, d), "tokens", high=5, restarts=4, passes=20).diagnostics
 
 
-
 @query("x08_normalize_text", "select doc_id, 'abc fi ss - ' || (doc_id % 7) as text from documents")
 def _(spark, d):
     n = F.col("doc_id") % 7

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from litweave.operators import graphs, modeling, networks, temporal, textmining, topics
+from litweave.operators import graphs, modeling, networks, temporal, textmining, topics, vertices
 
 
 def documents(n=60, groups=3, seed=1):
@@ -165,13 +165,14 @@ def test_kernels_and_summaries(spark):
     clique = lambda names: list(itertools.combinations(names, 2))
     edges = clique("abcd") + clique("efgh") + [("d", "m"), ("m", "e")] + clique("xyz")
     df = spark.createDataFrame([("n", a, b, 1.0) for a, b in edges], "network string, a string, b string, weight double")
-    nodes = {r["node"]: r for r in graphs.kernels(df).collect()}
+    measured = vertices.hold(vertices.measures(df))
+    nodes = {r["node"]: r for r in measured.collect()}
     assert nodes["m"]["betweenness"] == max(r["betweenness"] for r in nodes.values()) and nodes["a"]["k_core"] == 3 and nodes["x"]["k_core"] == 2
     assert nodes["m"]["effective_size"] == 2 and nodes["m"]["constraint"] == pytest.approx(0.5) and nodes["a"]["efficiency"] == pytest.approx(1 / 3, abs=1e-6)
     assert nodes["a"]["core_periphery"] == "core" and nodes["a"]["participation"] == 0 and all(0 <= r["participation"] <= 1 for r in nodes.values())
-    s = graphs.summaries(df).first()
+    s = vertices.summaries(df).first()
     assert (s["nodes"], s["edges"], s["components"]) == (12, 17, 2) and s["density"] == pytest.approx(34 / 132) and 0.3 < s["modularity"] < 1
-    assert [r["node"] for r in graphs.leading_nodes(graphs.kernels(df), 1).collect()] == ["m"]
+    assert [r["node"] for r in graphs.leading_nodes(measured, 1).collect()] == ["m"]
 
 
 def test_unlinked_brokers(spark):
@@ -182,16 +183,6 @@ def test_unlinked_brokers(spark):
     assert got == {("alpha", "beta"): pytest.approx(5 * 1.2), ("Alpha-beta", "delta"): pytest.approx(3 * 1.0)}
 
 
-def test_random_graphs(spark):
-    for n, m in ((5, 4), (30, 60), (6, 99)):
-        assert 0 <= graphs.random_clustering(n, m, 1) <= 1 and graphs.random_clustering(n, m, 1) == graphs.random_clustering(n, m, 1)
-    assert graphs.random_clustering(6, 15, 2) == 1
-    seen = spark.createDataFrame([(1, 30, 60, 0.5), (2, 1, 0, 0.0)], "threshold long, nodes long, edges long, clustering double")
-    got = {r["threshold"]: r for r in graphs.clustering_null(seen).collect()}
-    x = [graphs.random_clustering(30, 60, 1000 + i) for i in range(10)]
-    assert got[1]["null_mean"] == pytest.approx(np.mean(x), abs=1e-6) and got[1]["null_z"] == pytest.approx((0.5 - np.mean(x)) / np.std(x), abs=1e-4) and (got[2]["null_runs"], got[2]["null_z"]) == (0, None)
-
-
 def test_coupling_by_blocks(spark):
     r = random.Random(5)
     refs = {i: sorted(r.sample(range(12), r.randrange(0, 6)) + ([99] if i % 2 else [])) for i in range(60)}

