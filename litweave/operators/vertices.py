@@ -385,8 +385,11 @@ def measures(edges: DataFrame) -> DataFrame:
     )
 
 
-def summaries(edges: DataFrame) -> DataFrame:
-    """One row for each network of (network, a, b, weight): nodes, edges, density, components, average weighted clustering, modularity."""
+def summaries(edges: DataFrame, place: DataFrame | None = None) -> DataFrame:
+    """One row for each network of (network, a, b, weight): nodes, edges, density, components, average weighted clustering, modularity.
+
+    ``place`` (network, node, community) has the communities where they are known.
+    """
     from .graphs import components
 
     e = hold(undirected(edges))
@@ -395,7 +398,7 @@ def summaries(edges: DataFrame) -> DataFrame:
     parts = components(e.select(tag("a").alias("a"), tag("b").alias("b"))).select(F.split("node", "\x01")[0].alias("network"), "component").groupBy("network").agg(F.countDistinct("component").alias("components"))
     n = g.nodes.groupBy("network").agg(F.count("*").alias("nodes"), F.expr("cast(sum(degree) div 2 as bigint)").alias("edges"))
     c = clustering(e, g, weighted=True).groupBy("network").agg(F.avg("clustering").alias("c"))
-    q = modularity(e, g, communities(e, g))
+    q = modularity(e, g, communities(e, g) if place is None else place)
     density = 2 * F.col("edges") / F.greatest(F.col("nodes") * (F.col("nodes") - 1), F.lit(1))
     return n.join(parts, "network").join(c, "network").join(q, "network").select("network", "nodes", "edges", F.round(density, 8).alias("density"), "components", F.round("c", 8).alias("average_clustering"), F.round("modularity", 8).alias("modularity"))
 

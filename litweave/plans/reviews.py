@@ -400,7 +400,7 @@ def _(spark, d):
 
 @query("g01_network_summary_kernels")
 def _(spark, d):
-    return V.summaries(networks(spark, d))
+    return V.summaries(networks(spark, d), network_measures(spark, d).select("network", "node", "community"))
 
 
 @query("g03_clustering_null")
@@ -443,17 +443,17 @@ def topics_of(spark, d):
 
 @query("m04_topic_diagnostics")
 def _(spark, d):
-    return MO.topic_model(topics_of(spark, d), "tokens", F.col("words"), low=4, high=5, bootstraps=2, passes=30).diagnostics
+    return MO.topic_model(topics_of(spark, d), "tokens", F.col("words")).diagnostics
 
 
 @query("t05_topics")
 def _(spark, d):
-    return MO.topic_model(topics_of(spark, d), "tokens", F.col("words"), low=4, high=4, bootstraps=0, passes=30).topics
+    return MO.topic_model(topics_of(spark, d), "tokens", F.col("words")).topics
 
 
 @query("m10_cluster_diagnostics")
 def _(spark, d):
-    return MO.clusters(topics_of(spark, d), "tokens", high=5, restarts=4, passes=20).diagnostics
+    return MO.clusters(topics_of(spark, d), "tokens").diagnostics
 
 
 @query("x08_normalize_text", "select doc_id, 'abc fi ss - ' || (doc_id % 7) as text from documents")
