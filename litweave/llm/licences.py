@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -131,6 +132,89 @@ def bigrams(w: list[bytes]) -> set:
     return set(zip(w, w[1:]))
 
 
+#: Starts of windows that are taken up at a time, and cells of the tables that hold their windows.
+STARTS, CELLS = 4_096, 1 << 20
+
+
+class Places:
+    """The bigrams of a text by number, with the places before and after at which each occurs."""
+
+    def __init__(self, pairs: list) -> None:
+        self.number: dict = {}
+        self.ids = np.array([self.number.setdefault(x, len(self.number)) for x in pairs], np.int64)
+        n = self.n = len(pairs)
+        self.before, self.after = np.full(n, -1), np.full(n, n)
+        order = np.argsort(self.ids, kind="stable")
+        same = self.ids[order[1:]] == self.ids[order[:-1]]
+        self.before[order[1:][same]] = order[:-1][same]
+        self.after[order[:-1][same]] = order[1:][same]
+
+    def marked(self, template: set) -> np.ndarray:
+        """By number of a bigram: whether the template has it."""
+        out = np.zeros(len(self.number), bool)
+        out[[self.number[x] for x in template if x in self.number]] = True
+        return out
+
+    def matches(self, start: int, end: int, i: int, size: int, marked: np.ndarray, t: float) -> np.ndarray:
+        """Rows (-Dice, -size, i, first word, last word) of windows that begin in a range of places and reach ``t``.
+
+        A window that is no more like the template than a shorter one with the same start never wins, and is left out.
+        """
+        starts = start + np.flatnonzero(marked[self.ids[start:end]])
+        most = int((2 * size + 1e-9) / t) - size
+        most += t * (most + 1 + size) <= 2 * size + 1e-9
+        width = min(2 * most + 8, self.n)
+        out = [np.empty((0, 5))]
+        rows = max(1, CELLS // width)
+        for at in range(0, len(starts), rows):
+            s = starts[at : at + rows]
+            seen, hits, best = (np.zeros(len(s), np.int64), np.zeros(len(s), np.int64), np.zeros(len(s)))
+            here, stop = s, self.after[s]
+            while len(s):
+                place = here[:, None] + np.arange(width)
+                inside = place < stop[:, None]
+                place = np.minimum(place, self.n - 1)
+                new = inside & (self.before[place] < s[:, None])
+                count = seen[:, None] + np.cumsum(new, 1)
+                hit = new & marked[self.ids[place]]
+                n = hits[:, None] + np.cumsum(hit, 1)
+                dice = np.where(hit & (count <= most), 2 * n / (count + size), 0.0)
+                top = np.maximum.accumulate(np.column_stack([best, dice]), 1)
+                r, c = np.nonzero((dice >= t) & (dice > top[:, :-1]))
+                out.append(np.column_stack([-dice[r, c], np.full(len(r), -size), np.full(len(r), i), s[r], place[r, c] + 1]))
+                on = (count[:, -1] <= most) & (here + width < stop)
+                s, here, stop, seen, hits, best = s[on], here[on] + width, stop[on], count[on, -1], n[on, -1], top[on, -1]
+        return np.concatenate(out)
+
+
+def settled(rows: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray]:
+    """(windows taken, windows that wait) of ``rows`` (-Dice, -size, template, first word, last word), by rank.
+
+    All windows that begin before word ``known`` are among the rows. One that ends before it is taken if no better one
+    overlaps it, and waits if a better one that waits does.
+    """
+    if not len(rows):
+        return rows, rows
+    rows = rows[np.lexsort(rows.T[::-1])]
+    p, q = rows[:, 3], rows[:, 4]
+    low = int(p.min())
+    alive, maybe = np.ones(len(rows), bool), bytearray(int(q.max()) + 1 - low)
+    taken, waits, k = [], [], 0
+    while k < len(rows):
+        k += int(alive[k:].argmax())
+        if not alive[k]:
+            break
+        a, b = int(p[k]) - low, int(q[k]) + 1 - low
+        if q[k] >= known or maybe.find(1, a, b) >= 0:
+            maybe[a:b] = b"\1" * (b - a)
+            waits.append(k)
+        else:
+            alive &= (q < p[k]) | (p > q[k])
+            taken.append(k)
+        k += 1
+    return rows[taken], rows[waits]
+
+
 class Templates:
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> None:
         self.least = least
@@ -160,34 +244,28 @@ class Templates:
         return found
 
     def windows(self, w: list[bytes]) -> list[tuple[int, int, str, float]]:
-        """(first word, last word, licence, Dice) of windows that match and do not overlap: the most like, the longest template, the first."""
+        """(first word, last word, licence, Dice) of windows that match and do not overlap: the most like, the longest template, the first.
+
+        Starts are taken up ``STARTS`` at a time. After each lot the windows are settled that nothing further on can
+        beat; the others wait. Of windows with equal likeness the first wins, so what waits is bounded by the templates
+        and their sizes, not by the text.
+        """
         pairs, t, shared = list(zip(w, w[1:])), self.least, {}
         for x in self.of.keys() & set(pairs):
             for i in self.of[x]:
                 shared[i] = shared.get(i, 0) + 1
-        may = {i for i, n in shared.items() if n * (2 - t) >= t * len(self.rows[i][1]) - 1e-9}
-        found = []
-        for p, x in enumerate(pairs) if may else ():
-            for i in may.intersection(self.of.get(x, ())):
-                b, seen, n = self.rows[i][1], set(), 0
-                for q in range(p, len(pairs)):
-                    y = pairs[q]
-                    if q > p and y == x:
-                        break
-                    if y in seen:
-                        continue
-                    seen.add(y)
-                    if t * (len(seen) + len(b)) > 2 * len(b) + 1e-9:
-                        break
-                    if y in b:
-                        n += 1
-                        if (dice := 2 * n / (len(seen) + len(b))) >= t:
-                            found.append((-dice, -len(b), i, p, q + 1))
-        taken, out = bytearray(len(w)), []
-        for dice, _, i, p, q in sorted(found):
-            if not any(taken[p : q + 1]):
-                taken[p : q + 1] = b"\1" * (q + 1 - p)
-                out.append((p, q, self.rows[i][0], -dice))
+        may = sorted(i for i, n in shared.items() if n * (2 - t) >= t * len(self.rows[i][1]) - 1e-9)
+        if not may:
+            return []
+        places = Places(pairs)
+        tables = {i: places.marked(self.rows[i][1]) for i in may}
+        out: list[tuple[int, int, str, float]] = []
+        waiting = np.empty((0, 5))
+        for start in range(0, len(pairs), STARTS):
+            end = min(start + STARTS, len(pairs))
+            found = [places.matches(start, end, i, len(self.rows[i][1]), tables[i], t) for i in may]
+            taken, waiting = settled(np.concatenate([waiting, *found]), end if end < len(pairs) else len(w))
+            out += [(int(p), int(q), self.rows[int(i)][0], -dice) for dice, _, i, p, q in taken.tolist()]
         return out
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
@@ -207,8 +285,8 @@ class Templates:
             elif not x.strip() and start is not None:
                 blocks.append((start, i - start))
                 start = None
-        whole = (0, len(lines))
-        for s, n in dict.fromkeys([b for b in [*blocks, whole] if b[1] > 1]):
+        whole = [(0, len(lines))] if len(blocks) > 1 else []  # the only paragraph is the text
+        for s, n in [b for b in [*blocks, *whole] if b[1] > 1]:
             if hit := self.best(bigrams([w for x in sets[s : s + n] for w in x])):
                 out.append((s, n, hit[1], hit[0]))
         # a window within a unit that already names its licence is no further match
