@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Names of publication types (fixed values).
@@ -73,11 +72,12 @@ def quality(records: DataFrame) -> DataFrame:
     who = F.array_join(F.transform(F.slice(F.coalesce(F.col("authors"), F.array().cast("array<string>")), 1, 2), lambda x: F.lower(x)), ";")
     sig = F.when(F.size(found) > 0, F.substring(F.sha2(F.concat(who, F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("None")), F.lit("|"), F.array_join(found, "|")), 256), 1, 12)).otherwise("")
     r = records.withColumn("sample_signature", sig)
-    shared = F.count("*").over(W.partitionBy("sample_signature"))
-    return r.select(
+    # most records name no sample: they share no signature, and are not brought together
+    shared = r.where("sample_signature <> ''").groupBy("sample_signature").agg(F.count("*").alias("_records")).where("_records > 1")
+    return r.join(shared, "sample_signature", "left").select(
         "record_id", study_design(F.concat_ws(" ", "title", "abstract")).alias("study_design"), F.when(a != "", "abstract").otherwise("metadata").alias("evidence_level"),
         a.rlike(r"(?i)\b(?:n\s*=|sample|participants?|respondents?|dataset)|样本|参与者").alias("reports_sample"), a.rlike(r"(?i)\bmethod|regression|sem\b|experiment|interview|survey|方法|实验|回归").alias("reports_method"),
-        a.rlike(r"(?i)\blimitations?|局限").alias("reports_limitations"), "sample_signature", F.when((F.col("sample_signature") != "") & (shared > 1), "possible-overlap-needs-review").otherwise("unverified").alias("independent_sample_status"),
+        a.rlike(r"(?i)\blimitations?|局限").alias("reports_limitations"), "sample_signature", F.when(F.col("_records").isNotNull(), "possible-overlap-needs-review").otherwise("unverified").alias("independent_sample_status"),
     )
 
 
@@ -142,9 +142,11 @@ def fixed_effect(effects: DataFrame, group: str) -> DataFrame:
 
 
 def leave_one_out(effects: DataFrame, group: str, key: str) -> DataFrame:
-    """Per effect the pooled effect of its group without it."""
-    w, by = 1 / (F.col("s") * F.col("s")), W.partitionBy(group)
-    return effects.withColumn("_w", w).select(group, key, F.round((F.sum(F.col("_w") * F.col("y")).over(by) - F.col("_w") * F.col("y")) / F.nullif(F.sum("_w").over(by) - F.col("_w"), F.lit(0.0)), 6).alias("pooled_without"))
+    """Per effect the pooled effect of its group without it: its own share taken off the group's sums."""
+    w = 1 / (F.col("s") * F.col("s"))
+    sums = effects.groupBy(F.col(group).alias("_group")).agg(F.sum(w).alias("_sw"), F.sum(w * F.col("y")).alias("_swy"))
+    without = (F.col("_swy") - w * F.col("y")) / F.nullif(F.col("_sw") - w, F.lit(0.0))
+    return effects.join(sums, F.col(group).eqNullSafe(F.col("_group"))).select(group, key, F.round(without, 6).alias("pooled_without"))
 
 
 def violations(rules: dict[str, DataFrame]) -> DataFrame:

@@ -52,10 +52,16 @@ def metadata_coverage(records: DataFrame, fields: dict[str, Column], source: str
 
 
 def year_percentile(records: DataFrame) -> DataFrame:
-    """Average rank of a record's citations among those of its year, as a share of their number."""
-    by, ties = W.partitionBy("year"), W.partitionBy("year", "citations")
-    rank = F.rank().over(by.orderBy("citations")) + (F.count("*").over(ties) - 1) / 2
-    return records.select("record_id", "year", "citations", F.when(F.col("year").isNotNull(), F.round(rank / F.count("*").over(by), 6)).alias("percentile"))
+    """Average rank of a record's citations among those of its year, as a share of their number.
+
+    Ranks are those of the distinct numbers of citations of a year, which are few; records only look theirs up.
+    """
+    held = records.where("year is not null").groupBy(F.col("year").alias("_year"), F.col("citations").alias("_citations")).agg(F.count("*").alias("_n"))
+    by = W.partitionBy("_year")
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_citations").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = held.select("_year", "_citations", F.round((before + 1 + (F.col("_n") - 1) / 2) / F.sum("_n").over(by), 6).alias("percentile"))
+    same = (F.col("year") == F.col("_year")) & F.col("citations").eqNullSafe(F.col("_citations"))
+    return records.select("record_id", "year", "citations").join(ranks, same, "left").drop("_year", "_citations")
 
 
 def frontier(records: DataFrame, weight: Column) -> DataFrame:
