@@ -2,62 +2,51 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textmining import tfidf
 
-BURST = "array<struct<start:bigint,end:bigint,strength:double,peak:bigint>>"
-
+def bursts(df: DataFrame, ratio: float = 2.0, gamma: float = 1.0) -> DataFrame:
+    """``df`` (counts, totals, years: arrays of one length) with a row ``b`` (start, end, strength, peak) for each stretch in the burst state.
 
-def burst_intervals(counts, totals, years, ratio: float = 2.0, gamma: float = 1.0) -> list[tuple[int, int, float, int]]:
-    """(start, end, strength, peak year) of the stretches in which the cheapest path of states is in the burst state.
-
-    Emission costs are binomial without their coefficient; going into the burst state costs gamma ln(years); of equal costs
-    the base state is taken. The strength adds up what the burst state saves in each year, if anything.
+    The cheapest path of two states is a fold over the years that carries the cost of being in either and, for each year, by which
+    state each was reached; a second fold goes back along that. Emission costs are binomial without their coefficient; going
+    into the burst state costs gamma ln(years); of equal costs the base state is taken. The strength adds up what the burst state saves in
+    each year, if anything; the peak is the first year of the most counts. Fewer than two counts, or no chances, have no bursts.
     """
-    seen, chances, n = sum(counts), sum(totals), len(years)
-    if seen < 2 or chances <= 0:
-        return []
-    base = min(max(seen / chances, 1e-6), 0.999999)
-    rates = (base, min(base * ratio, 0.999999))
-    into = gamma * math.log(max(n, 2))
-    price = [[-(k * math.log(p) + (m - k) * math.log(max(1 - p, 1e-9))) for p in rates] for k, m in zip(counts, totals, strict=True)]
-    low, high, came = price[0][0], price[0][1] + into, []
-    for quiet, loud in price[1:]:
-        from_low, from_high = low <= high, low + into <= high
-        came.append((0 if from_low else 1, 0 if from_high else 1))
-        low, high = min(low, high) + quiet, min(low + into, high) + loud
-    state = 0 if low <= high else 1
-    path = [state]
-    for step in reversed(came):
-        state = step[state]
-        path.append(state)
-    path.reverse()
-    out, i = [], 0
-    while i < n:
-        if not path[i]:
-            i += 1
-            continue
-        j = i
-        while j + 1 < n and path[j + 1]:
-            j += 1
-        gain = sum(max(0.0, price[k][0] - price[k][1]) for k in range(i, j + 1))
-        peak = max(range(i, j + 1), key=lambda k: (counts[k], -k))
-        out.append((int(years[i]), int(years[j]), round(gain, 6), int(years[peak])))
-        i = j + 1
-    return out
-
-
-def _intervals():
-    @F.pandas_udf(BURST)
-    def run(counts: pd.Series, totals: pd.Series, years: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("start", "end", "strength", "peak"), b, strict=True)) for b in burst_intervals(list(map(int, c)), list(map(int, t)), list(y))] for c, t, y in zip(counts, totals, years, strict=True)])
-
-    return run
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x.cast("long"))
+    d = df.withColumn("_seen", add("counts")).withColumn("_all", add("totals")).where("_seen >= 2 and _all > 0")
+    d = d.withColumn("_base", F.least(F.greatest(F.col("_seen") / F.col("_all"), F.lit(1e-6)), F.lit(0.999999)))
+    d = d.withColumn("_high", F.least(F.col("_base") * ratio, F.lit(0.999999))).withColumn("_into", gamma * F.log(F.greatest(F.size("years"), F.lit(2)).cast("double")))
+    logs = [c for p in ("_base", "_high") for c in (F.log(p), F.log(F.greatest(1 - F.col(p), F.lit(1e-9))))]
+    d = d.withColumns({f"_log{i}": c for i, c in enumerate(logs)})
+    cost = lambda k, m, hit, miss: -(k * F.col(hit) + (m - k) * F.col(miss))
+    d = d.withColumn("_cost", F.zip_with("counts", "totals", lambda k, m: F.struct(cost(k, m, "_log0", "_log1").alias("quiet"), cost(k, m, "_log2", "_log3").alias("loud"))))
+
+    first, into = F.get("_cost", F.lit(0)), F.col("_into")
+    start = F.struct(first["quiet"].alias("low"), (first["loud"] + into).alias("high"), F.array().cast("array<struct<low:int,high:int>>").alias("came"))
+    by = lambda stays: F.when(stays, 0).otherwise(1)
+    step = lambda s, x: F.struct(
+        (F.least(s["low"], s["high"]) + x["quiet"]).alias("low"), (F.least(s["low"] + into, s["high"]) + x["loud"]).alias("high"),
+        F.array_append(s["came"], F.struct(by(s["low"] <= s["high"]).alias("low"), by(s["low"] + into <= s["high"]).alias("high"))).alias("came"),
+    )
+    d = d.withColumn("_walk", F.aggregate(F.slice("_cost", F.lit(2), F.size("_cost")), start, step))
+    last = F.array(by(F.col("_walk.low") <= F.col("_walk.high")))
+    back = lambda path, came: F.array_append(path, F.when(F.element_at(path, -1) == 0, came["low"]).otherwise(came["high"]))
+    d = d.withColumn("_path", F.reverse(F.aggregate(F.reverse(F.col("_walk.came")), last, back)))
+
+    on = lambda i: F.coalesce(F.get("_path", i), F.lit(0)) == 1
+    places = F.sequence(F.lit(0), F.size("_path") - 1)
+    d = d.withColumn("_starts", F.filter(places, lambda i: on(i) & ~on(i - 1))).withColumn("_ends", F.filter(places, lambda i: on(i) & ~on(i + 1)))
+    d = d.withColumn("_i", F.explode(F.arrays_zip("_starts", "_ends"))).withColumn("_from", F.col("_i._starts")).withColumn("_n", F.col("_i._ends") - F.col("_from") + 1)
+    part = lambda c: F.slice(c, F.col("_from") + 1, F.col("_n"))
+    gain = F.aggregate(part("_cost"), F.lit(0.0), lambda s, x: s + F.greatest(F.lit(0.0), x["quiet"] - x["loud"]))
+    d = d.withColumn("_part", part("counts"))
+    peak = F.col("_from") + F.array_position("_part", F.array_max("_part")).cast("int") - 1
+    year = lambda i: F.get("years", i).cast("long")
+    b = F.struct(year(F.col("_from")).alias("start"), year(F.col("_i._ends")).alias("end"), F.round(gain, 6).alias("strength"), year(peak).alias("peak"))
+    return d.select(*df.columns, b.alias("b"))
 
 
 def term_bursts(records: DataFrame, terms: str = "keywords", min_docs: int = 3) -> DataFrame:
@@ -72,7 +61,7 @@ def term_bursts(records: DataFrame, terms: str = "keywords", min_docs: int = 3)
     maps = per.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("year", "n"))).alias("m"), F.sum("n").alias("documents")).where(F.col("documents") >= min_docs)
     wide = maps.crossJoin(F.broadcast(line)).select("term", "documents", F.transform("line", lambda x: x["year"]).alias("years"), F.transform("line", lambda x: x["total"]).alias("totals"), F.transform("line", lambda x: F.coalesce(F.try_element_at("m", x["year"]), F.lit(0))).alias("counts"))
 
-    x = wide.where(F.size("years") >= 4).select("term", "documents", F.explode(_intervals()("counts", "totals", "years")).alias("b")).select("term", "documents", "b.*")
+    x = bursts(wide.where(F.size("years") >= 4)).select("term", "documents", "b.*")
     return x.select("term", "documents", "start", "end", (F.col("end") - F.col("start") + 1).alias("duration"), "strength", "peak", F.when((F.col("documents") >= 10) & (F.col("end") > F.col("start")), "moderate").otherwise("high").alias("uncertainty"))
 
 
@@ -114,8 +103,8 @@ def citation_bursts(histories: DataFrame) -> DataFrame:
     e = F.array_sort(F.map_entries("history"))
     h = histories.select("record_id", F.transform(e, lambda x: x["key"].cast("long")).alias("years"), F.transform(e, lambda x: F.coalesce(x["value"], F.lit(0)).cast("long")).alias("counts")).where(F.size("years") >= 4)
     h = h.withColumn("total", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x))
-    totals = F.transform("counts", lambda _: F.greatest("total", F.lit(1)))
-    x = h.select("record_id", "total", F.explode(_intervals()("counts", totals, "years")).alias("b")).select("record_id", "total", "b.*")
+    h = h.withColumn("totals", F.transform("counts", lambda _: F.greatest("total", F.lit(1))))
+    x = bursts(h).select("record_id", "total", "b.*")
     return x.select("record_id", "start", "end", (F.col("end") - F.col("start") + 1).alias("duration"), "strength", "peak", F.when((F.col("total") >= 10) & (F.col("end") > F.col("start")), "moderate").otherwise("high").alias("uncertainty"))
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litweave.operators import graphs, modeling, networks, temporal, textmining, topics, vertices
+from tests.plain_bursts import all_paths
 
 
 def documents(n=60, groups=3, seed=1):
@@ -220,7 +221,7 @@ def test_bursts_of_queries_are_those_of_plain_counts(spark, sf):
     for _, y, terms, _ in w:
         for t in terms:
             by[t][y] += 1
-    want = {(t, a, b, p) for t, c in by.items() if sum(c.values()) >= 3 for a, b, _, p in temporal.burst_intervals([c[y] for y in years], [totals[y] for y in years], years)}
+    want = {(t, a, b, p) for t, c in by.items() if sum(c.values()) >= 3 for a, b, _, p in all_paths([c[y] for y in years], [totals[y] for y in years], years)}
     got = QUERIES["w06_term_bursts"](spark, sf).collect()
     assert {(r["term"], r["start"], r["end"], r["peak"]) for r in got} == want and want
     for r in QUERIES["j19_burst_support"](spark, sf).collect():

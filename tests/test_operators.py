@@ -1,6 +1,7 @@
 """Operators that SQL does not express, on cases that can be worked out by hand."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,14 +10,31 @@ from litweave.functions import text as X
 from litweave.operators import dedup, evidence, graphs, meta, temporal
 
 from . import plain_graphs
+from .plain_bursts import all_paths
 
 
 def test_burst_of_one_stretch():
     years = list(range(2000, 2010))
     counts, totals = [1, 1, 1, 1, 20, 25, 1, 1, 1, 1], [100] * 10
-    ((start, end, strength, peak),) = temporal.burst_intervals(counts, totals, years)
+    ((start, end, strength, peak),) = all_paths(counts, totals, years)
     assert (start, end, peak) == (2004, 2005, 2005) and strength > 0
-    assert temporal.burst_intervals([1] * 10, totals, years) == []
+    assert all_paths([1] * 10, totals, years) == []
+
+
+def test_bursts_equal_the_cheapest_of_all_paths(spark):
+    r, rows = random.Random(7), []
+    for i in range(300):
+        n = r.randrange(4, 10)
+        totals = [r.choice([0, 5, 10, 40]) for _ in range(n)]
+        counts = [min(t, r.choice([0, 0, 1, 2, 2, 9, 30])) for t in totals]
+        rows.append((i, counts, totals, [2000 + 2 * y for y in range(n)]))
+    rows += [(300, [0, 1, 0, 0], [5] * 4, [1, 2, 3, 4]), (301, [5] * 4, [5] * 4, [1, 2, 3, 4]), (302, [0] * 4, [0] * 4, [1, 2, 3, 4]), (303, [9, 9, 0, 0], [10, 10, 90, 90], [1, 2, 3, 4])]
+    df = spark.createDataFrame(rows, "id int, counts array<long>, totals array<long>, years array<long>")
+    got = sorted((x["id"], *x["b"]) for x in temporal.bursts(df).collect())
+    want = sorted((i, *b) for i, c, t, y in rows for b in all_paths(c, t, y))
+    assert len(want) > 50 and [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want, strict=True))
+    assert "Python" not in temporal.bursts(df)._jdf.queryExecution().toString()
 
 
 def test_bursts_of_terms(spark):
