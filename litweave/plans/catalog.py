@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as C
 from ..functions import text as X
+from ..ledgers_by_scope import read_ledger, replace_scopes
 from ..operators import dedup as D
 from ..operators import evidence as E
 from ..operators import graphs as G
@@ -17,7 +18,7 @@ from ..operators import temporal as B
 from ..operators import textmining as M
 from ..operators import topics as P
 from ..operators import vertices as V
-from ..storage import hold
+from ..storage import hold, own_folder
 from .adapters import DOCS, ORDERS, SELF, documents_as_works, orders_as_works, self_citations, table
 
 QUERIES: dict = {}
@@ -552,6 +553,16 @@ def _(spark, d):
     return E.replace_scope(o, o.where("id < 3").select((-F.col("id")).alias("id"), "scope"), "scope")
 
 
+@query("u03_scope_ledger", "select o_orderkey as id, o_orderpriority as scope from orders where o_orderpriority not in (select o_orderpriority from orders where o_orderkey < 3) and o_orderpriority <> '4-NOT SPECIFIED' union all select -o_orderkey, o_orderpriority from orders where o_orderkey < 3")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("scope"))
+    path, new = own_folder(spark), o.where("id < 3").select((-F.col("id")).alias("id"), "scope")
+    first = replace_scopes(path, o, "scope")
+    emptied = o.select("scope").where("scope = '4-NOT SPECIFIED'")
+    replace_scopes(path, new, "scope", new.select("scope").union(emptied), since=first)
+    return read_ledger(spark, path, "scope")
+
+
 @query("e03_claim_fk_violations", "select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey not in (select p_partkey from part where p_size <= 40)")
 def _(spark, d):
     line, part = table(spark, d, "lineitem"), table(spark, d, "part").where("p_size <= 40")

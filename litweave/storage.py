@@ -34,13 +34,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
+    path = f"{shared_folder(spark)}/litweave-held-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _held[path] = (at, at.getFileSystem(spark._jsc.hadoopConfiguration()))
+    return path
+
+
 def hold(df: DataFrame) -> DataFrame:
     """``df``, computed once and without its lineage: a table in the shared folder, until it is let go or the process ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/litweave-held-{uuid.uuid4().hex}"
+    path = own_folder(spark)
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _held[path] = (at, at.getFileSystem(spark._jsc.hadoopConfiguration()))
     out = spark.read.schema(df.schema).parquet(path)
     out.held_at = path
     return out
