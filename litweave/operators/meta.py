@@ -4,64 +4,57 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from ..storage import hold, let_go
 from .evidence import working_scale
 
-POOL = "outcome string, metric string, studies long, status string, pooled double, ci_low double, ci_high double, prediction_low double, prediction_high double, tau2 double, q double, i2 double, egger_intercept double, egger_p double, slope double, slope_error double"
 Z = 1.95996398454
 
 
-def golden(f, low: float, high: float, steps: int = 80) -> float:
-    """The place of the least value of a function with one valley."""
-    g = (math.sqrt(5) - 1) / 2
-    a, b = high - g * (high - low), low + g * (high - low)
-    fa, fb = f(a), f(b)
-    for _ in range(steps):
-        if fa <= fb:
-            high, b, fb = b, a, fa
-            a = high - g * (high - low)
-            fa = f(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + g * (high - low)
-            fb = f(b)
-    return (low + high) / 2
+#: Points at which the likelihood is taken in a round, and rounds; each narrows the range to two of the stretches between them.
+POINTS, ROUNDS = 65, 6
 
 
-def reml(y: np.ndarray, v: np.ndarray) -> float:
-    """Variance between studies by restricted likelihood."""
+def variances(effects: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` (outcome, metric, centre, top) with ``tau2``: the variance between studies by restricted likelihood, from 0 to ``top``.
 
-    def loss(t: float) -> float:
-        w = 1 / (v + t)
-        m = (w * y).sum() / w.sum()
-        return 0.5 * (np.log(v + t).sum() + math.log(w.sum()) + (w * (y - m) ** 2).sum())
+    Every round is one aggregate over the effects (outcome, metric, y, s) of all groups: the likelihood at points spread over a group's range. The
+    range shrinks to the neighbours of the best point, the lowest of equal ones. No group is in one task, and no range can be left.
+    """
+    t = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_k") / (POINTS - 1)
+    now, held = groups.withColumn("_low", F.lit(0.0)).withColumn("_high", F.col("top")), None
+    rows = hold(effects.select("outcome", "metric", "y", (F.col("s") * F.col("s")).alias("_v")))
+    for _ in range(ROUNDS):
+        e = rows.join(now, ["outcome", "metric"]).select("outcome", "metric", (F.col("y") - F.col("centre")).alias("_d"), "_v", "_low", "_high", F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))).alias("_k"))
+        e = e.withColumn("_t", t).withColumn("_w", 1 / (F.col("_v") + F.col("_t")))
+        sums = e.groupBy("outcome", "metric", "_k").agg(F.sum(F.log(F.col("_v") + F.col("_t"))).alias("_l"), F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_d")).alias("_sd"), F.sum(F.col("_w") * F.col("_d") * F.col("_d")).alias("_sdd"))
+        loss = F.col("_l") + F.log("_sw") + F.col("_sdd") - F.col("_sd") * F.col("_sd") / F.col("_sw")
+        best = sums.groupBy("outcome", "metric").agg(F.min_by("_k", F.struct(loss, F.col("_k"))).alias("_k"))
+        at = now.join(best, ["outcome", "metric"])
+        width = (F.col("_high") - F.col("_low")) / (POINTS - 1)
+        at = at.withColumn("_near", F.greatest(F.col("_k") - 1, F.lit(0))).withColumn("_far", F.least(F.col("_k") + 1, F.lit(POINTS - 1))).withColumn("tau2", t).withColumn("_width", width).withColumn("_from", F.col("_low"))
+        new = hold(at.withColumn("_low", F.col("_from") + F.col("_width") * F.col("_near")).withColumn("_high", F.col("_from") + F.col("_width") * F.col("_far")).select(*groups.columns, "_low", "_high", "tau2"))
+        if held is not None:
+            let_go(held)
+        held, now = new, new.drop("tau2")
+    let_go(rows)
+    return held.drop("_low", "_high")
 
-    top = max(float(np.var(y)) * 10, 0.01)
-    grid = np.linspace(0, top, 65)
-    k = int(np.argmin([loss(t) for t in grid]))
-    return max(0.0, golden(loss, grid[max(0, k - 1)], grid[min(64, k + 1)]))
 
+@F.pandas_udf(DoubleType())
+def both_tails(z: pd.Series) -> pd.Series:
+    """Two-sided probability of a normal deviate: one number for each group."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)), na_action="ignore")
 
-def both_tails(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
 
-
-def line(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(intercept, its error) of a least-squares line."""
-    n, d = len(x), x - x.mean()
-    slope = (d * y).sum() / (d * d).sum()
-    cut = y.mean() - slope * x.mean()
-    left = y - cut - slope * x
-    return float(cut), float(math.sqrt((left**2).sum() / (n - 2) * (1 / n + x.mean() ** 2 / (d * d).sum())))
-
-
-def back(v: float, metric: str) -> float:
-    return math.tanh(v) if metric == "r" else math.exp(v) if metric in ("or", "rr") else v
+def back(v: Column) -> Column:
+    """A pooled value on the scale of its metric."""
+    return F.when(F.col("metric") == "r", F.tanh(v)).when(F.col("metric").isin("or", "rr"), F.exp(v)).otherwise(v)
 
 
 #: Metrics that can be pooled (fixed values).
@@ -102,34 +95,43 @@ def valid_effects(effects: DataFrame) -> DataFrame:
 
 
 def pooled(effects: DataFrame) -> DataFrame:
-    """Per outcome and metric of ``valid_effects``: the pooled effect and its ranges, Egger's test from ten studies on, and a regression on the moderator."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("effect_id")
-        out = dict.fromkeys([c.split()[0] for c in POOL.split(", ")])
-        out |= {"outcome": pdf["outcome"].iloc[0], "metric": pdf["metric"].iloc[0], "studies": len(pdf), "status": "skipped-insufficient-data"}
-        if len(pdf) >= 3:
-            y, s, m = pdf["y"].to_numpy(float), pdf["s"].to_numpy(float), out["metric"]
-            v, f = s**2, 1 / s**2
-            tau = reml(y, v)
-            w = 1 / (v + tau)
-            mean, se = float((w * y).sum() / w.sum()), math.sqrt(1 / w.sum())
-            wide = math.sqrt(tau + se**2)
-            q = float((f * (y - (f * y).sum() / f.sum()) ** 2).sum())
-            out |= {"status": "ready", "pooled": back(mean, m), "ci_low": back(mean - Z * se, m), "ci_high": back(mean + Z * se, m), "prediction_low": back(mean - Z * wide, m), "prediction_high": back(mean + Z * wide, m), "tau2": tau, "q": q, "i2": max(0.0, (q - len(y) + 1) / q * 100) if q else 0.0}
-            if len(y) >= 10 and np.ptp(1 / s) > 1e-12:
-                cut, error = line(1 / s, y / s)
-                out |= {"egger_intercept": cut, "egger_p": both_tails(cut / error) if error else None}
-            x = pdf["moderator"].to_numpy(float)
-            has = np.isfinite(x)
-            if has.sum() >= 10 and len(np.unique(x[has])) >= 3:
-                g, x, yy = f[has], x[has], y[has]
-                mx = (g * x).sum() / g.sum()
-                sxx = (g * (x - mx) ** 2).sum()
-                out |= {"slope": float((g * (x - mx) * yy).sum() / sxx), "slope_error": float(1 / math.sqrt(sxx))}
-        return pd.DataFrame([out])
-
-    return effects.groupBy("outcome", "metric").applyInPandas(run, POOL)
+    """Per outcome and metric of ``valid_effects``: the pooled effect and its ranges, Egger's test from ten studies on, and a regression on the moderator.
+
+    All of it is sums over the effects, taken about a group's mean. Fewer than three studies are not pooled; a regression needs ten
+    effects with a moderator of three different values or more.
+    """
+    x = F.when(F.abs(F.col("moderator").cast("double")) < float("inf"), F.col("moderator").cast("double"))  # neither null nor NaN nor infinite
+    keys = ["outcome", "metric"]
+    e = hold(effects.select(*keys, F.col("y").cast("double").alias("y"), F.col("s").cast("double").alias("s"), x.alias("x")))
+    groups = hold(e.groupBy(*keys).agg(F.count("*").alias("studies"), F.avg("y").alias("centre"), F.greatest(F.var_pop("y") * 10, F.lit(0.01)).alias("top"), F.avg("x").alias("_cx"), F.min("x").alias("_x0"), F.max("x").alias("_x1")))
+    ready = variances(e, groups.where("studies >= 3"))
+    d, f, w = F.col("y") - F.col("centre"), 1 / (F.col("s") * F.col("s")), 1 / (F.col("s") * F.col("s") + F.col("tau2"))
+    r, u = e.join(ready, keys), F.col("x") - F.col("_cx")
+    g = F.when(F.col("x").isNotNull(), f)
+    a, b = F.col("y") / F.col("s"), 1 / F.col("s")
+    sums = r.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("studies", "centre", "tau2")], F.sum(w).alias("_w"), F.sum(w * d).alias("_wd"), F.sum(f).alias("_f"), F.sum(f * d).alias("_fd"), F.sum(f * d * d).alias("_fdd"),
+        (F.max(b) - F.min(b)).alias("_spread"), F.regr_intercept(a, b).alias("_cut"), F.regr_sxx(a, b).alias("_sxx"), F.regr_syy(a, b).alias("_syy"), F.regr_sxy(a, b).alias("_sxy"), F.avg(b).alias("_b"),
+        F.count("x").alias("_n"), F.count_if((F.col("x") > F.col("_x0")) & (F.col("x") < F.col("_x1"))).alias("_amid"),
+        F.sum(g).alias("_g"), F.sum(g * u).alias("_gu"), F.sum(g * u * u).alias("_guu"), F.sum(g * d).alias("_gd"), F.sum(g * u * d).alias("_gud"),
+    )
+    mean, se2 = F.col("centre") + F.col("_wd") / F.col("_w"), 1 / F.col("_w")
+    q = F.greatest(F.lit(0.0), F.col("_fdd") - F.col("_fd") * F.col("_fd") / F.col("_f"))
+    k = F.col("studies")
+    left = F.greatest(F.lit(0.0), F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx"))
+    error = F.sqrt(left / (k - 2) * (1 / k + F.col("_b") * F.col("_b") / F.col("_sxx")))
+    tested = (k >= 10) & (F.col("_spread") > 1e-12)
+    suu = F.col("_guu") - F.col("_gu") * F.col("_gu") / F.col("_g")
+    sloped = (F.col("_n") >= 10) & (F.col("_amid") > 0)
+    wide = lambda v: (back(mean - Z * F.sqrt(v)), back(mean + Z * F.sqrt(v)))
+    (low, high), (far_low, far_high) = wide(se2), wide(F.col("tau2") + se2)
+    done = sums.select(
+        *keys, "studies", F.lit("ready").alias("status"), back(mean).alias("pooled"), low.alias("ci_low"), high.alias("ci_high"), far_low.alias("prediction_low"), far_high.alias("prediction_high"), "tau2", q.alias("q"),
+        F.when(q > 0, F.greatest(F.lit(0.0), (q - k + 1) / q * 100)).otherwise(0.0).alias("i2"), F.when(tested, F.col("_cut")).alias("egger_intercept"), both_tails(F.when(tested & (error > 0), F.col("_cut") / error)).alias("egger_p"),
+        F.when(sloped, (F.col("_gud") - F.col("_gu") * F.col("_gd") / F.col("_g")) / suu).alias("slope"), F.when(sloped, 1 / F.sqrt(suu)).alias("slope_error"),
+    )
+    few = groups.where("studies < 3").select(*keys, "studies", F.lit("skipped-insufficient-data").alias("status"))
+    return done.unionByName(few, allowMissingColumns=True)
 
 
 def subgroups(effects: DataFrame, least: int = 3, groups: int = 2) -> DataFrame:

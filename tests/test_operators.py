@@ -125,6 +125,60 @@ def test_pooled_effects(spark):
     assert ("p", "r") not in got and got["p", "or"]["status"] == "skipped-insufficient-data"
 
 
+def plain_pool(y, s, x):
+    """The least restricted loss by ever finer grids, then textbook formulas."""
+    v, f = s**2, 1 / s**2
+
+    def loss(t):
+        w = 1 / (v + t)
+        return np.log(v + t).sum() + math.log(w.sum()) + (w * (y - (w * y).sum() / w.sum()) ** 2).sum()
+
+    low, high = 0.0, max(10 * y.var(), 0.01)
+    for _ in range(12):
+        grid = np.linspace(low, high, 101)
+        at = int(np.argmin([loss(t) for t in grid]))
+        low, high = grid[max(at - 1, 0)], grid[min(at + 1, 100)]
+    tau = (low + high) / 2 if low > 0 else 0.0
+    w = 1 / (v + tau)
+    m, q = (w * y).sum() / w.sum(), (f * (y - (f * y).sum() / f.sum()) ** 2).sum()
+    out = {"tau2": tau, "mean": m, "low": m - meta.Z / math.sqrt(w.sum()), "far": m + meta.Z * math.sqrt(tau + 1 / w.sum()), "q": q, "i2": max(0.0, (q - len(y) + 1) / q * 100)}
+    if len(y) >= 10:
+        a = np.column_stack([np.ones(len(y)), 1 / s])
+        b, left = np.linalg.lstsq(a, y / s, rcond=None)[:2]
+        error = math.sqrt(left[0] / (len(y) - 2) * np.linalg.inv(a.T @ a)[0, 0])
+        out |= {"cut": b[0], "p": math.erfc(abs(b[0] / error) / math.sqrt(2))}
+    has = np.isfinite(x)
+    if has.sum() >= 10 and len(set(x[has])) >= 3:
+        a = np.column_stack([np.ones(has.sum()), x[has]])
+        inv = np.linalg.inv(a.T @ (a * f[has][:, None]))
+        out |= {"slope": (inv @ a.T @ (f[has] * y[has]))[1], "error": math.sqrt(inv[1, 1])}
+    return out
+
+
+def test_pooling_of_all_groups_equals_each_on_its_own(spark):
+    r, rows, want = np.random.default_rng(5), [], {}
+    for g in range(14):
+        n, metric = int(r.choice([3, 4, 9, 10, 40])), ("hedges-g", "r", "or", "rr")[g % 4]
+        s = r.uniform(0.05, 0.4, n)
+        y = r.normal(0.3 + (1000 if g == 12 else 0), s + (0, 0.3, 1.0)[g % 3])
+        x = np.where(r.random(n) < 0.1, r.choice([np.nan, np.inf], n), r.integers(0, 2 if g == 5 else 6, n).astype(float))
+        want[f"o{g}", metric] = plain_pool(y, s, x)
+        rows += [(f"{g}-{i}", f"o{g}", metric, float(y[i]), float(s[i]), None if i == 1 else float(x[i])) for i in range(n)]
+        x[1] = np.nan
+        want[f"o{g}", metric] = plain_pool(y, s, x)
+    rows.append(("z", "single", "r", 0.1, 0.1, None))
+    e = spark.createDataFrame(rows, "effect_id string, outcome string, metric string, y double, s double, moderator double")
+    got = {(x["outcome"], x["metric"]): x for x in meta.pooled(e).collect()}
+    assert got.pop(("single", "r"))["status"] == "skipped-insufficient-data" and got.keys() == want.keys()
+    for k, x in got.items():
+        w, back = want[k], math.tanh if k[1] == "r" else math.exp if k[1] in ("or", "rr") else float
+        assert x["tau2"] == pytest.approx(w["tau2"], abs=1e-6)
+        assert [x["pooled"], x["ci_low"], x["prediction_high"]] == pytest.approx([back(w["mean"]), back(w["low"]), back(w["far"])], rel=1e-5)
+        assert [x["q"], x["i2"]] == pytest.approx([w["q"], w["i2"]], rel=1e-6, abs=1e-6)
+        assert [x[c] for c in ("egger_intercept", "egger_p", "slope", "slope_error")] == [None if w.get(c) is None else pytest.approx(w[c], rel=1e-5, abs=1e-9) for c in ("cut", "p", "slope", "error")]
+    assert meta.pooled(e.where("outcome = 'single'")).count() == 1 and meta.pooled(e.limit(0)).count() == 0
+
+
 def test_quality_and_text(spark):
     df = spark.createDataFrame([(1, "A survey", "n = 120 participants; a method", 2020, ["X"]), (2, "B", "N = 120 participants", 2020, ["x"]), (3, None, None, None, None)], "record_id int, title string, abstract string, year int, authors array<string>")
     got = {r["record_id"]: r for r in evidence.quality(df).collect()}
