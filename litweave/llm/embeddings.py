@@ -42,20 +42,25 @@ def unit(values: np.ndarray) -> np.ndarray:
 
 
 def good(v) -> bool:
-    """Whether a vector can link: not null, not zero, no null or non-finite component, and of a finite length."""
+    """Whether a vector can link: not null, not zero, no null or non-finite component."""
     if v is None or len(v) == 0:
         return False
     a = np.asarray(v, dtype=np.float64)
-    with np.errstate(over="ignore", invalid="ignore"):
-        n = float((a * a).sum())
-    return bool(np.isfinite(n) and n > 0)
+    return bool(np.isfinite(a).all() and a.any())
+
+
+def scaled(v, code: str) -> np.ndarray:
+    """A vector that can link, by a power of two where its squares would overflow or vanish; its direction is all that counts."""
+    a = np.asarray(v, dtype=np.float64)
+    exponent = int(np.frexp(np.abs(a).max())[1])
+    return (np.ldexp(a, -exponent) if abs(exponent) > 300 else a).astype(code)
 
 
 def _read(code: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [good(v) for v in pdf["v"]]
-            raw = [np.asarray(v, code).tobytes() if g else None for v, g in zip(pdf["v"], ok, strict=True)]
+            raw = [scaled(v, code).tobytes() if g else None for v, g in zip(pdf["v"], ok, strict=True)]
             yield pd.DataFrame({"vec_id": pdf["vec_id"].astype("Int64"), "raw": raw, "dims": [len(v) if g else 0 for v, g in zip(pdf["v"], ok, strict=True)]})
 
     return run
