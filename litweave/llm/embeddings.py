@@ -213,7 +213,7 @@ def near_duplicates(vectors: DataFrame, column: str = "embedding", least: float
     """Per row of ``vectors`` (vec_id, column): vec_id, n_links, component_id, kept.
 
     Two vectors of the same length are linked if their cosine, in double precision, is at least ``least``.
-    Vectors that are null, empty or zero, or hold a null or non-finite component (or whose squares overflow), link
+    Vectors that are null, empty or zero, or hold a null or non-finite component, link
     with nothing. ``n_links`` are the other rows that a row's own vector is linked with. Rows with equal ids are one node of
     a component, whatever their vectors. A row without an id is linked with nothing and kept. Further columns are not
     read. An empty table gives an empty result.
