@@ -25,6 +25,17 @@ DESIGNS = [
     ("observational", r"\bobservational|secondary data|archival|cross-sectional|观察性|二手数据"),
     ("survey", r"\bsurvey|questionnaire|respondent|问卷|调查"),
 ]
+#: What an appraisal looks at, by design (fixed values).
+DIMENSIONS = {
+    "experiment": ["randomization", "manipulation_check", "attrition", "outcome_blinding"],
+    "survey": ["construct_validity", "common_method_bias", "sampling_frame", "nonresponse"],
+    "observational": ["temporal_order", "confounding_control", "selection_bias", "missing_data"],
+    "longitudinal-observational": ["temporal_order", "attrition", "time_varying_confounding", "measurement_invariance"],
+    "qualitative": ["sampling_rationale", "reflexivity", "triangulation", "negative_cases"],
+    "review": ["search_transparency", "dual_screening", "risk_of_bias", "synthesis_fit"],
+    "computational": ["data_provenance", "construct_operationalization", "holdout_validation", "algorithmic_bias"],
+    "unclear": ["design_identification", "sampling", "measurement", "analysis_fit"],
+}
 SAMPLE = r"(?i)(?:n\s*=\s*\d+|\d+\s+(?:participants?|respondents?|consumers?)|[A-Z][A-Za-z]+\s+(?:dataset|panel))"
 
 
@@ -38,19 +49,21 @@ def publication_type(kind: Column, title: Column) -> Column:
 
 
 def evidence_tier(ptype: Column, title: Column, retracted: Column, full_paper: Column, conference_primary: bool = False) -> Column:
-    """(tier, peer_review): what a work of a kind can support, A first."""
+    """(tier, peer_review, roles, reason): what a work of a kind can support, A first, in which roles a claim may use it, and why."""
     t = F.coalesce(title, F.lit(""))
     out = F.coalesce(retracted, F.lit(False)) | t.rlike(r"(?i)\bretracted\b") | t.rlike(r"(?i)\b(?:full issue|entire issue|table of contents)\b|整期|全期|目录") | ptype.isin("editorial", "paratext") | (F.trim(t) == "")
-    s = lambda tier, review: F.struct(F.lit(tier).alias("tier"), F.lit(review).alias("peer_review"))
+    s = lambda tier, review, reason, *roles: F.struct(F.lit(tier).alias("tier"), F.lit(review).alias("peer_review"), F.array(*map(F.lit, roles)).cast("array<string>").alias("roles"), F.lit(reason).alias("reason"))
+    late = ("supplement", "unique-context", "counterevidence")
     return (
-        F.when(out, s("D", "not-eligible"))
-        .when(ptype.isin("journal-article", "review", "systematic-review", "meta-analysis"), s("A", "peer-reviewed-assumed"))
-        .when(ptype.isin("book", "book-chapter"), s("A", "scholarly-source"))
-        .when((ptype == "conference-paper") & F.lit(conference_primary) & F.coalesce(full_paper, F.lit(False)), s("A", "peer-reviewed-explicit"))
-        .when(ptype == "thesis", s("B", "examined"))
-        .when(ptype.isin("conference-paper", "report"), s("B", "review-status-limited"))
-        .when(ptype.isin("preprint", "working-paper"), s("C", "not-confirmed"))
-        .otherwise(s("D", "unknown"))
+        F.when(out, s("D", "not-eligible", "retracted, a collection, or not identified"))
+        .when(ptype == "journal-article", s("A", "peer-reviewed-assumed", "peer-reviewed journal", "empirical"))
+        .when(ptype.isin("review", "systematic-review", "meta-analysis"), s("A", "peer-reviewed-assumed", "peer-reviewed journal", "synthesis"))
+        .when(ptype.isin("book", "book-chapter"), s("A", "scholarly-source", "book: theory and history of concepts only", "theory", "concept-history"))
+        .when((ptype == "conference-paper") & F.lit(conference_primary) & F.coalesce(full_paper, F.lit(False)), s("A", "peer-reviewed-explicit", "full paper in a conference-led field", "empirical", "emerging"))
+        .when(ptype == "thesis", s("B", "examined", "thesis, conference paper or report", *late))
+        .when(ptype.isin("conference-paper", "report"), s("B", "review-status-limited", "thesis, conference paper or report", *late))
+        .when(ptype.isin("preprint", "working-paper"), s("C", "not-confirmed", "preprint or working paper", "exploratory", "emerging", "counterevidence"))
+        .otherwise(s("D", "unknown", "kind or status unknown"))
     )
 
 
@@ -65,8 +78,14 @@ def study_design(text: Column) -> Column:
     return out
 
 
-def quality(records: DataFrame) -> DataFrame:
-    """Design, evidence level, what the abstract reports, and whether its sample may be that of another record."""
+def quality(records: DataFrame, fulltext: Column | None = None) -> DataFrame:
+    """Design, evidence level, what the abstract reports, whether its sample may be that of another record, and what an appraisal looks at.
+
+    ``fulltext`` tells which records have a full text; without it none has.
+    """
+    full = F.lit(False) if fulltext is None else F.coalesce(fulltext, F.lit(False))
+    design = study_design(F.concat_ws(" ", "title", "abstract"))
+    looked_at = F.create_map(*[F.lit(x) for k, v in DIMENSIONS.items() for x in (k, "; ".join(v))])
     a = F.coalesce("abstract", F.lit(""))
     found = F.array_sort(F.transform(F.regexp_extract_all(a, F.lit(SAMPLE), F.lit(0)), lambda x: F.lower(x)))
     who = F.array_join(F.transform(F.slice(F.coalesce(F.col("authors"), F.array().cast("array<string>")), 1, 2), lambda x: F.lower(x)), ";")
@@ -75,9 +94,10 @@ def quality(records: DataFrame) -> DataFrame:
     # most records name no sample: they share no signature, and are not brought together
     shared = r.where("sample_signature <> ''").groupBy("sample_signature").agg(F.count("*").alias("_records")).where("_records > 1")
     return r.join(shared, "sample_signature", "left").select(
-        "record_id", study_design(F.concat_ws(" ", "title", "abstract")).alias("study_design"), F.when(a != "", "abstract").otherwise("metadata").alias("evidence_level"),
+        "record_id", design.alias("study_design"), F.when(full, "fulltext").when(a != "", "abstract").otherwise("metadata").alias("evidence_level"),
         a.rlike(r"(?i)\b(?:n\s*=|sample|participants?|respondents?|dataset)|样本|参与者").alias("reports_sample"), a.rlike(r"(?i)\bmethod|regression|sem\b|experiment|interview|survey|方法|实验|回归").alias("reports_method"),
         a.rlike(r"(?i)\blimitations?|局限").alias("reports_limitations"), "sample_signature", F.when(F.col("_records").isNotNull(), "possible-overlap-needs-review").otherwise("unverified").alias("independent_sample_status"),
+        F.when(full, "requires-host-appraisal").otherwise("not-assessable-from-abstract").alias("risk_of_bias"), looked_at[design].alias("appraisal_dimensions"),
     )
 
 

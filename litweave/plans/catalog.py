@@ -434,10 +434,14 @@ def _(spark, d):
     return typed(spark, d).select("record_id", "publication_type")
 
 
-@query("f10_evidence_tier", TIERS + " select record_id, case when t = 'editorial' or trim(title) = '' then 'D' when t in ('journal-article', 'book-chapter') then 'A' when t = 'thesis' then 'B' when t = 'preprint' then 'C' else 'D' end as tier, case when t = 'editorial' or trim(title) = '' then 'not-eligible' when t = 'journal-article' then 'peer-reviewed-assumed' when t = 'book-chapter' then 'scholarly-source' when t = 'thesis' then 'examined' when t = 'preprint' then 'not-confirmed' else 'unknown' end as peer_review from k")
+@query("f10_evidence_tier", TIERS + """, o as (select *, t = 'editorial' or trim(title) = '' as out from k)
+select record_id, case when out then 'D' when t in ('journal-article', 'book-chapter') then 'A' when t = 'thesis' then 'B' when t = 'preprint' then 'C' else 'D' end as tier,
+  case when out then 'not-eligible' when t = 'journal-article' then 'peer-reviewed-assumed' when t = 'book-chapter' then 'scholarly-source' when t = 'thesis' then 'examined' when t = 'preprint' then 'not-confirmed' else 'unknown' end as peer_review,
+  case when out then '' when t = 'journal-article' then 'empirical' when t = 'book-chapter' then 'theory; concept-history' when t = 'thesis' then 'supplement; unique-context; counterevidence' when t = 'preprint' then 'exploratory; emerging; counterevidence' else '' end as roles,
+  case when out then 'retracted, a collection, or not identified' when t = 'journal-article' then 'peer-reviewed journal' when t = 'book-chapter' then 'book: theory and history of concepts only' when t = 'thesis' then 'thesis, conference paper or report' when t = 'preprint' then 'preprint or working paper' else 'kind or status unknown' end as reason from o""")
 def _(spark, d):
     t = E.evidence_tier(F.col("publication_type"), F.col("title"), F.lit(False), F.lit(False))
-    return typed(spark, d).select("record_id", t.alias("x")).select("record_id", "x.tier", "x.peer_review")
+    return typed(spark, d).select("record_id", t.alias("x")).select("record_id", "x.tier", "x.peer_review", F.array_join("x.roles", "; ").alias("roles"), "x.reason")
 
 
 DESIGN_SQL = "case " + " ".join(f"when regexp_matches(x, '{p}') then '{n}'" for n, p in E.DESIGNS) + " else 'unclear' end"
@@ -459,10 +463,14 @@ def with_samples(spark, d):
     return documents_as_works(spark, d).withColumn("abstract", a).withColumn("authors", F.array("venue"))
 
 
-@query("f13_quality", QUALITY + f""" select record_id, {DESIGN_SQL} as study_design, 'abstract' as evidence_level, true as reports_sample, true as reports_method, regexp_matches(a, '(?i)\\blimitations?|局限') as reports_limitations, signature as sample_signature,
-  case when signature <> '' and count(*) over (partition by signature) > 1 then 'possible-overlap-needs-review' else 'unverified' end as independent_sample_status from q""")
+DIMENSIONS_SQL = "case study_design " + " ".join(f"when '{k}' then '{'; '.join(v)}'" for k, v in E.DIMENSIONS.items()) + " end"
+
+
+@query("f13_quality", QUALITY + f""", d as (select record_id, {DESIGN_SQL} as study_design, case when length(a) >= 300 then 'fulltext' else 'abstract' end as evidence_level, true as reports_sample, true as reports_method, regexp_matches(a, '(?i)\\blimitations?|局限') as reports_limitations, signature as sample_signature,
+  case when signature <> '' and count(*) over (partition by signature) > 1 then 'possible-overlap-needs-review' else 'unverified' end as independent_sample_status from q)
+select *, case when evidence_level = 'fulltext' then 'requires-host-appraisal' else 'not-assessable-from-abstract' end as risk_of_bias, {DIMENSIONS_SQL} as appraisal_dimensions from d""")
 def _(spark, d):
-    return E.quality(with_samples(spark, d))
+    return E.quality(with_samples(spark, d), F.char_length("abstract") >= 300)
 
 
 @query("a19_sample_signature", QUALITY + " select record_id, signature, count(*) over (partition by signature) > 1 and signature <> '' as overlap from q")
