@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .drafts import clean_reference
+
 #: Names of publication types (fixed values).
 TYPES = {
     "article": "journal-article", "journal article": "journal-article", "journal-article": "journal-article", "jour": "journal-article",
@@ -128,19 +130,60 @@ def ris(title: Column, authors: Column, year: Column, venue: Column, doi: Column
     return F.concat_ws("\n", F.lit(f"TY  - {kind}"), tag("TI", title), many("AU", authors), tag("PY", year), tag("JO", venue), tag("DO", doi), tag("AB", abstract), many("KW", keywords), F.lit("ER  - "))
 
 
-def apa(authors: Column, year: Column, title: Column, venue: Column, doi: Column) -> Column:
-    """A reference in APA form: up to 20 authors, or 19, an ellipsis and the last."""
-    a, n = F.array_distinct(authors), F.size(F.array_distinct(authors))
-    few = F.when(n == 1, F.get(a, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(a, 1, n - 1), ", "), F.lit(", & "), F.get(a, n - 1)))
-    who = F.when(n == 0, "").when(n <= 20, few).otherwise(F.concat(F.array_join(F.slice(a, 1, 19), ", "), F.lit(", … "), F.get(a, n - 1)))
-    when = F.concat(F.lit("("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit(")."))
-    some = lambda c, end: F.when(F.coalesce(c, F.lit("")) != "", F.concat(c, F.lit(end)))
-    link = F.when(F.coalesce(doi, F.lit("")) != "", F.concat(F.lit("https://doi.org/"), doi))
-    return F.concat_ws(" ", F.when(who != "", who), when, some(title, "."), some(venue, "."), link)
+def author_names(authors: Column) -> Column:
+    """Names without repeats: none that differs from an earlier one by marks only, and no abbreviated one whose surname and first initial an earlier one has."""
+    tidy = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "), r"^[ ,;]+|[ ,;]+$", "")), lambda x: x != "")
+
+    def read(name: Column) -> Column:
+        words = F.regexp_extract_all(name, F.lit("([A-Za-z]+)"), F.lit(1))
+        n, comma = F.size(words), F.contains(name, F.lit(","))
+        surname = F.lower(F.when(comma, F.trim(F.substring_index(name, ",", 1))).otherwise(F.coalesce(F.get(words, n - 1), name)))
+        given = F.array_join(F.when(comma, F.slice(words, 2, F.greatest(n, F.lit(1)))).otherwise(F.slice(words, 1, F.greatest(n - 1, F.lit(0)))), "")
+        short = name.rlike(r"^[A-Za-z.' -]+,?\s*[A-Za-z. -]{1,5}$")
+        return F.struct(name.alias("name"), F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}_]+", "")).alias("plain"), F.concat(surname, F.lower(F.substring(given, 1, 1))).alias("short"), short.alias("is_short"))
+
+    read_all = F.transform(tidy, read)
+    none = F.slice(read_all, 1, 0)
+    repeats = lambda kept, x: F.exists(kept, lambda k: (k["plain"] == x["plain"]) | (x["is_short"] & (k["short"] == x["short"])))
+    kept = F.aggregate(read_all, none, lambda acc, x: F.when(repeats(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.transform(kept, lambda k: k["name"])
 
 
-def csl(record_id: Column, title: Column, authors: Column, year: Column, venue: Column, doi: Column) -> Column:
-    return F.to_json(F.struct(record_id.cast("string").alias("id"), F.lit("article-journal").alias("type"), title.alias("title"), F.transform(authors, lambda x: F.struct(x.alias("literal"))).alias("author"), F.when(year.isNotNull(), F.struct(F.array(F.array(year)).alias("date-parts"))).alias("issued"), venue.alias("container-title"), doi.alias("DOI")))
+def apa(authors: Column, year: Column, title: Column, venue: Column, doi: Column, volume: Column | None = None, issue: Column | None = None, pages: Column | None = None) -> Column:
+    """A reference in APA form: up to 20 authors, or 19, an ellipsis and the last; venue with volume, issue and pages.
+
+    Null and empty parts are left out, but for author, year and title, which have names for being absent.
+    """
+    a = author_names(authors)
+    n = F.size(a)
+    few = F.when(n == 1, F.get(a, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(", & "), F.get(a, n - 1)))
+    who = F.when(n == 0, "Unknown author").when(n <= 20, few).otherwise(F.concat(F.array_join(F.slice(a, 1, 19), ", "), F.lit(", …, "), F.get(a, n - 1)))
+    when = F.when(F.coalesce(year.cast("string"), F.lit("")).isin("", "0"), "n.d.").otherwise(year.cast("string"))
+    text = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit(""))) if c is not None else F.lit("")
+    ended = lambda c: F.regexp_replace(text(c), "[.。]+$", "")
+    part = lambda c, before, after: F.when(text(c) != "", F.concat(F.lit(before), text(c), F.lit(after))).otherwise("")
+    name = F.when(text(title) == "", "Untitled").otherwise(ended(title))
+    published = F.when(ended(venue) != "", F.concat(ended(venue), part(volume, ", ", ""), part(issue, "(", ")"), part(pages, ", ", ""), F.lit(".")))
+    link = F.when(text(doi) != "", F.concat(F.lit("https://doi.org/"), F.regexp_replace(text(doi), r"(?i)^https?://(?:dx\.)?doi\.org/", "")))
+    return clean_reference(F.concat_ws(" ", F.concat(who, F.lit(".")), F.concat(F.lit("("), when, F.lit(").")), F.concat(name, F.lit(".")), published, link))
+
+
+def csl(record_id: Column, title: Column, authors: Column, year: Column, venue: Column, doi: Column, kind: Column | None = None, **more: Column) -> Column:
+    """A record as an item of CSL-JSON; ``more`` holds volume, issue, page, publisher, ISSN and ISBN where they are known. What is absent is empty."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("")) if c is not None else F.lit("")
+
+    def person(name: Column) -> Column:
+        comma, words = F.contains(name, F.lit(",")), F.split(name, r"\s+")
+        n = F.size(words)
+        family = F.when(comma, F.trim(F.substring_index(name, ",", 1))).otherwise(F.when(n > 1, F.get(words, n - 1)).otherwise(name))
+        given = F.when(comma, F.trim(F.regexp_replace(name, "^[^,]*,", ""))).otherwise(F.array_join(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), " "))
+        return F.struct(family.alias("family"), given.alias("given"))
+
+    names = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+    issued = F.when(F.coalesce(year, F.lit(0)) != 0, F.create_map(F.lit("date-parts"), F.array(F.array(year.cast("int"))))).otherwise(F.create_map().cast("map<string,array<array<int>>>"))
+    form = F.when(text(kind).isin("", "article"), "article-journal").otherwise(text(kind))
+    rest = [text(more.get(k)).alias(k) for k in ("volume", "issue", "page", "publisher")]
+    return F.to_json(F.struct(record_id.cast("string").alias("id"), form.alias("type"), text(title).alias("title"), F.transform(names, person).alias("author"), issued.alias("issued"), text(venue).alias("container-title"), *rest, text(doi).alias("DOI"), *[text(more.get(k)).alias(k) for k in ("ISSN", "ISBN")]))
 
 
 def working_scale(metric: Column, estimate: Column, se: Column, low: Column, high: Column, n: Column) -> Column:

@@ -36,15 +36,27 @@ def gap_candidates(records: DataFrame, fulltext: str) -> DataFrame:
     return g.select(F.concat(F.lit("G"), F.lpad(F.col("topic_id").cast("string"), 3, "0")).alias("gap_id"), "*", F.when((F.col("documents") < 5) | (F.col("fulltext_documents") == 0), "low").otherwise("medium").alias("evidence_strength"))
 
 
+def medians(counts: DataFrame, scope: list[str], value: str, n: str = "n") -> DataFrame:
+    """(*scope, median): exact medians from how often each value occurs, by the two values in the middle.
+
+    The rows behind the counts are never brought together: what is sorted of a scope is its distinct values.
+    """
+    upto = F.sum(n).over(W.partitionBy(*scope).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    c = counts.withColumn("_upto", upto).join(counts.groupBy(*scope).agg(F.sum(n).alias("_all")), scope)
+    middle = lambda place: F.min(F.when(F.col("_upto") >= place, F.col(value)))
+    return c.groupBy(*scope).agg(((middle(F.ceil(F.col("_all") / 2)) + middle(F.floor(F.col("_all") / 2) + 1)) / 2).alias("median"))
+
+
 def citation_age(refs: DataFrame) -> DataFrame:
-    """Ages of references (citing year less reference year, none negative), over all and by topic."""
-    a = refs.where("reference_year <= citing_year").select("topic_id", (F.col("citing_year") - F.col("reference_year")).alias("age"))
-    g = a.groupingSets([[], ["topic_id"]], "topic_id").agg(
-        F.grouping("topic_id").alias("all_"), F.count("*").alias("references"), F.median("age").alias("median_age"), F.round(F.avg("age"), 6).alias("mean_age"),
-        F.percentile("age", 0.5).alias("synchronous_half_life"), F.round(F.avg((F.col("age") <= 5).cast("int")), 6).alias("recent_reference_share_5y"),
-    )
-    scope = F.when(F.col("all_") == 1, "all").otherwise(F.concat(F.lit("topic-"), F.col("topic_id").cast("string")))
-    return g.where("all_ = 1 or topic_id is not null").select(scope.alias("scope"), "references", "median_age", "mean_age", "synchronous_half_life", "recent_reference_share_5y")
+    """Ages of references (citing year less reference year, none negative), over all and by topic.
+
+    References are counted by topic and age first; all else is read off these counts. The half-life is the median.
+    """
+    a = refs.where("reference_year <= citing_year").groupBy("topic_id", (F.col("citing_year") - F.col("reference_year")).alias("age")).agg(F.count("*").alias("n"))
+    by_topic = a.where("topic_id is not null").select(F.concat(F.lit("topic-"), F.col("topic_id").cast("string")).alias("scope"), "age", "n")
+    c = by_topic.unionByName(a.groupBy("age").agg(F.sum("n").alias("n")).select(F.lit("all").alias("scope"), "age", "n"))
+    g = c.groupBy("scope").agg(F.sum("n").alias("references"), F.round(F.sum(F.col("age") * F.col("n")) / F.sum("n"), 6).alias("mean_age"), F.round(F.sum(F.when(F.col("age") <= 5, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("recent_reference_share_5y"))
+    return g.join(medians(c, ["scope"], "age"), "scope").select("scope", "references", F.col("median").alias("median_age"), "mean_age", F.col("median").alias("synchronous_half_life"), "recent_reference_share_5y")
 
 
 def knowledge_flow(edges: DataFrame, assignments: DataFrame) -> DataFrame:

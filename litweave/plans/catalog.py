@@ -585,10 +585,14 @@ def _(spark, d):
     return orders_as_works(spark, d).select("record_id", r.alias("ris"))
 
 
-@query("k07_apa", works("select record_id, coalesce((select case when count(*) = 1 then max('S' || author) else string_agg('S' || author, ', ' order by author) filter (p < n) || ', & ' || max('S' || author) filter (p = n) end || ' ' from (select *, row_number() over (order by author) as p, count(*) over () as n from authors a where a.record_id = works.record_id)), '') || '(' || year || '). Order ' || record_id || '. ' || venue || '.' as apa from works"))
-def _(spark, d):
-    a = F.transform(F.coalesce("authors", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit("S"), x.cast("string")))
-    return orders_as_works(spark, d).select("record_id", E.apa(a, F.col("year"), F.concat(F.lit("Order "), F.col("record_id")), F.col("venue"), F.lit(None).cast("string")).alias("apa"))
+@query("k07_apa", works("""select record_id, coalesce((select case when count(*) = 1 then max('S' || author) else string_agg('S' || author, ', ' order by author) filter (p < n) || ', & ' || max('S' || author) filter (p = n) end from (select *, row_number() over (order by author) as p, count(*) over () as n from authors a where a.record_id = works.record_id)), 'Unknown author')
+ || '. (' || year || '). Order ' || record_id || '. ' || venue || ', ' || (year % 40 + 1) || case when record_id % 3 = 0 then '(' || record_id % 12 || ')' else '' end || case when record_id % 2 = 0 then ', 1-9.' else '.' end || case when record_id % 5 = 0 then ' https://doi.org/10.1/' || record_id else '' end as apa from works"""))
+def _(spark, d):
+    own = F.transform(F.coalesce("authors", F.array().cast("array<bigint>")), lambda x: F.concat(F.lit("S"), x.cast("string")))
+    names = F.concat(own, F.transform(own, lambda x: F.concat(F.lower(x), F.lit(" ,;"))))
+    k = F.col("record_id")
+    title, doi = F.concat(F.lit(" Order "), k, F.lit("..")), F.when(k % 5 == 0, F.concat(F.lit("https://doi.org/10.1/"), k))
+    return orders_as_works(spark, d).select("record_id", E.apa(names, F.col("year"), title, F.col("venue"), doi, F.col("year") % 40 + 1, F.when(k % 3 == 0, k % 12), F.when(k % 2 == 0, "1-9")).alias("apa"))
 
 
 BROKERS = (f"with {SELF}, ed as (select least(source_id, target_id) as a, greatest(source_id, target_id) as b, cast(sum(weight) as double) as weight from edges group by 1, 2), bo as (select a, b, weight from ed union all select b, a, weight from ed)" + """, g as (select distinct a as node, a % 5 as community from bo), p as (select a, b, weight / sum(weight) over (partition by a) as p, weight / max(weight) over (partition by a) as m from bo),

@@ -19,6 +19,7 @@ from ..operators import review as R
 from ..operators import stats as S
 from ..operators import temporal as B
 from ..operators import textmining as M
+from ..operators import theories as TH
 from ..operators import topics as P
 from ..operators import vertices as V
 from ..sources import documents as SD
@@ -331,10 +332,11 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", ris.alias("ris"))
 
 
-@query("k08_csl")
+@query("k08_csl", works("""select record_id, '{"id":"' || record_id || '","type":"article-journal","title":"Order ' || record_id || '","author":[' || coalesce((select string_agg('{"family":"S' || author || '","given":"A. B."}', ',' order by author) from authors a where a.record_id = works.record_id), '')
+ || '],"issued":{"date-parts":[[' || year || ']]},"container-title":"' || venue || '","volume":"' || record_id % 9 || '","issue":"","page":"","publisher":"","DOI":"","ISSN":"","ISBN":""}' as csl from works"""))
 def _(spark, d):
-    none = F.lit(None).cast("string")
-    return orders_as_works(spark, d).select("record_id", E.csl(F.col("record_id"), F.concat(F.lit("Order "), "record_id"), F.transform("authors", lambda a: a.cast("string")), F.col("year"), F.col("venue"), none).alias("csl"))
+    names = F.transform("authors", lambda a: F.when(a % 2 == 0, F.concat(F.lit("S"), a.cast("string"), F.lit(" , A. B."))).otherwise(F.concat(F.lit("A. B. S"), a.cast("string"))))
+    return orders_as_works(spark, d).select("record_id", E.csl(F.col("record_id"), F.concat(F.lit("Order "), "record_id"), names, F.col("year"), F.col("venue"), F.lit(None).cast("string"), volume=F.col("record_id") % 9).alias("csl"))
 
 
 @query("k09_pages")
@@ -367,6 +369,58 @@ def _(spark, d):
     return x.select("doc_id", "r.doi", "r.year")
 
 
+def documents_with_ids(spark, d):
+    none = F.lit(None).cast("string")
+    ids, step = F.struct(F.concat(F.lit("10.1/"), "doc_id").alias("doi"), none.alias("s2")), F.struct(F.lit("file").alias("source"), F.lit("then").alias("retrieved_at"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), ids.alias("ids"), F.when(F.col("doc_id") % 2 == 0, F.col("text")).alias("abstract"), F.create_map(F.lit("semantic_scholar"), F.lit(5).cast("long"), F.lit("index"), F.lit(2).cast("long")).alias("citation_counts"), F.array(step).alias("provenance"))
+
+
+@query("s15_open_access", "select doc_id as record_id, case when doc_id % 3 = 0 then coalesce(n_chars > 500, false) end as is_oa, case when doc_id % 3 = 0 then source end as status, case when doc_id % 3 = 0 then 'https://a/' || doc_id end as pdf_url, cast(case when doc_id % 3 = 0 then 2 else 1 end as bigint) as steps from documents")
+def _(spark, d):
+    place = F.struct(F.lit("cc-by").alias("license"), F.lit("https://a").alias("url_for_landing_page"), F.concat(F.lit("https://a/"), "doc_id").alias("url_for_pdf"))
+    a = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("https://doi.org/10.1/"), "doc_id").alias("doi"), (F.col("n_chars") > 500).alias("is_oa"), F.col("source").alias("oa_status"), place.alias("best_oa_location"))
+    return SP.open_access(documents_with_ids(spark, d), a, "now").select("record_id", "oa.is_oa", "oa.status", "oa.pdf_url", F.size("provenance").cast("long").alias("steps"))
+
+
+@query("s16_semantic_scholar", "select doc_id as record_id, case when doc_id % 2 = 0 then text when doc_id % 3 = 0 then source end as abstract, case when doc_id % 3 = 0 then 'P' || doc_id end as s2, cast(case when doc_id % 3 = 0 then case when doc_id % 4 = 0 then 0 else n_chars end else 5 end as bigint) as cited, cast(2 as bigint) as indexed, cast(case when doc_id % 3 = 0 then 2 else 1 end as bigint) as steps from documents")
+def _(spark, d):
+    a = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("DOI:10.1/"), "doc_id").alias("doi"), F.concat(F.lit("P"), "doc_id").alias("paperId"), F.col("source").alias("abstract"), F.when(F.col("doc_id") % 4 != 0, F.col("n_chars")).alias("citationCount"))
+    return SP.semantic_scholar(documents_with_ids(spark, d), a, "now").select("record_id", "abstract", "ids.s2", F.col("citation_counts")["semantic_scholar"].alias("cited"), F.col("citation_counts")["index"].alias("indexed"), F.size("provenance").cast("long").alias("steps"))
+
+
+@query("s18_oa_inventory", "with p as (select page_id, page_id % 5 in (1, 2) as direct, page_id % 5 = 0 or (page_id % 5 > 2 and page_id % 2 = 0) as paid from pages) select cast(100 as bigint) as limit, count(*) filter (direct) as direct, count(*) filter (paid) as paid, least(count(*) filter (paid), 100) as most_fetched, round(cast(least(count(*) filter (paid), 100) * 0.01 as double), 2) as estimated_cost from p".replace("as limit", 'as "limit"'))
+def _(spark, d):
+    k = F.col("page_id")
+    url = F.when(k % 5 == 0, F.concat(F.lit("https://content.openalex.org/"), "url")).when(k % 5 < 3, F.col("url")).when(k % 5 == 3, "")
+    return SP.oa_inventory(table(spark, d, "pages"), url, F.when(k % 2 == 0, F.col("url")), 100)
+
+
+CARD_EVENTS = "ev as (select user_id as theory_id, event_id, case when event_id % 50 = 0 then 'disable' when event_type = 'signup' then 'ingest' when event_type = 'click' then 'complete' when event_type = 'purchase' then 'confirm' else 'update' end as action from events)"
+
+
+def card_events(spark, d):
+    kind = F.when(F.col("event_id") % 50 == 0, "disable").when(F.col("event_type") == "signup", "ingest").when(F.col("event_type") == "click", "complete").when(F.col("event_type") == "purchase", "confirm").otherwise("update")
+    return table(spark, d, "events").select(F.col("user_id").alias("theory_id"), F.col("event_id").alias("at"), kind.alias("action"))
+
+
+NEXT_STATE = "case when s = 'absent' then case when a = 'ingest' then 'candidate' else s end when s = 'disabled' or a = 'disable' then 'disabled' when s = 'candidate' and a = 'complete' then 'source-located' when s = 'source-located' and a = 'confirm' then 'content-verified' else s end"
+
+
+@query("e20_card_states", f"with {CARD_EVENTS}, g as (select theory_id, list_prepend('absent', list(action order by event_id)) as steps from ev group by 1), f as (select theory_id, list_reduce(steps, lambda s, a: {NEXT_STATE}) as verification_status from g) select * from f where verification_status <> 'absent'")
+def _(spark, d):
+    return TH.card_states(card_events(spark, d)).select("theory_id", "verification_status")
+
+
+@query("e20_illegal_steps", f"with {CARD_EVENTS}, n as (select *, list(action) over w as before from ev window w as (partition by theory_id order by event_id rows between unbounded preceding and 1 preceding)), f as (select theory_id, event_id, action, list_reduce(list_prepend('absent', coalesce(before, [])), lambda s, a: {NEXT_STATE}) as state from n) select case when state = 'absent' then 'theory-not-found' else 'not-source-located' end as rule, theory_id, event_id as \"at\" from f where state = 'absent' and action <> 'ingest' or state not in ('absent', 'source-located') and action = 'confirm'")
+def _(spark, d):
+    return TH.illegal_steps(card_events(spark, d))
+
+
+@query("e20_ingest_pages")
+def _(spark, d):
+    return TH.ingest_pages(table(spark, d, "pages"))
+
+
 @query("s14_enrich", "select o_orderkey as record_id, case when o_orderkey % 2 = 0 then o_orderpriority when o_custkey % 3 = 0 then 'filled' end as venue, case when o_custkey % 3 = 0 then 9 else 1 end as crossref from orders")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("venue"), F.create_map(F.lit("crossref"), F.lit(1).cast("long"), F.lit("index"), F.lit(2).cast("long")).alias("citation_counts"))
