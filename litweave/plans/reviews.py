@@ -21,6 +21,7 @@ from ..operators import temporal as B
 from ..operators import textmining as M
 from ..operators import theories as TH
 from ..operators import topics as P
+from ..operators import validation as VA
 from ..operators import vertices as V
 from ..sources import documents as SD
 from ..sources import parsers as SP
@@ -369,6 +370,42 @@ def _(spark, d):
     return x.select("doc_id", "r.doi", "r.year")
 
 
+COVERAGE = PARAGRAPHS + """, recs as (select distinct rec, cast(substr(rec, 2) as bigint) as k from prose), ok as (select rec, k % 4 as topic from recs where k % 7 <> 0), tot as (select count(*) as n from ok), c as (select distinct conv_id, rec from prose),
+used as (select conv_id, rec from prose where turn % 2 = 0 union select conv_id, 'R' || lpad(cast(turn % 60 as varchar), 14, '0') from prose where turn % 6 = 0), good as (select conv_id, rec, topic from used join ok using (rec)),
+sizes as (select k % 4 as topic, count(*) filter (k % 7 <> 0) as size from recs group by 1),
+cover as (select conv_id, 'overall' as scope, '' as part, n as available, (select count(*) from good g where g.conv_id = c.conv_id) as cited, cast(ceil(cast(0.6 as double) * n) as bigint) as minimum from c, tot
+ union all select conv_id, 'topic', cast(topic as varchar), size, (select count(*) from good g where g.conv_id = c.conv_id and g.topic = sizes.topic), cast(least(size, greatest(3, ceil(cast(0.6 as double) * size))) as bigint) from c, sizes
+ union all select conv_id, 'section', '1. Part of it', n, (select count(*) from used g where g.conv_id = c.conv_id), 2 from c, tot)"""
+
+
+def draft_evidence(spark, d):
+    """Ledger, records, eligible records, topics, registry of references and audits of the drafts, from the conversations."""
+    c = table(spark, d, "conversations")
+    rec = lambda k: F.concat(F.lit("R"), F.lpad(k.cast("string"), 14, "0"))
+    turn = F.col("turn")
+    ledger = c.where("turn % 6 = 0").select("turn").distinct().select(F.concat(F.lit("C"), F.lpad(turn.cast("string"), 4, "0")).alias("claim_id"), F.when(turn % 12 == 6, "mixed").otherwise("positive").alias("direction"), F.array(rec(turn % 60)).alias("record_ids"))
+    k = F.col("k")
+    records = c.select((F.col("conv_id") % 60).alias("k")).distinct().select(rec(k).alias("record_id"), F.when(k % 7 == 0, "D").otherwise("A").alias("tier"), (k % 4).alias("topic_id"), "k")
+    audits = drafts(spark, d).where("conv_id % 2 = 0").select("conv_id", F.when(F.col("conv_id") % 4 == 0, C.content_hash(F.col("text"))).otherwise("old").alias("source_sha256"))
+    return ledger, records, records.where("tier = 'A'"), records, records.where("k % 5 <> 0"), audits
+
+
+@query("e03_draft_coverage", f"with {COVERAGE} select *, case when cited >= minimum then 'pass' else 'fail' end as status from cover")
+def _(spark, d):
+    ledger, _, eligible, topics, _, _ = draft_evidence(spark, d)
+    return VA.coverage(drafts(spark, d), "conv_id", "text", ledger, eligible, topics)
+
+
+@query("e03_draft_report", f"""with {COVERAGE} select distinct 'unknown-claim' as rule, 'error' as severity, conv_id, 'C' || lpad(cast(turn as varchar), 4, '0') as id from prose where turn % 3 = 0 and turn % 2 = 1
+union all select 'tier-d-cited', 'error', conv_id, rec from used join recs using (rec) where k % 7 = 0 union all select 'unregistered-reference', 'error', conv_id, rec from used where rec not in (select rec from recs where k % 5 <> 0)
+union all select 'cited-not-listed', 'error', conv_id, used.rec from used join c using (conv_id) where used.rec <> c.rec union all select 'listed-not-cited', 'error', conv_id, rec from (select conv_id, rec from c except select conv_id, rec from used)
+union all select 'stale-audit', 'error', conv_id, '' from c where conv_id % 4 = 2 union all select case scope when 'overall' then 'coverage-under-minimum' when 'topic' then 'topic-under-quota' else 'section-under-minimum' end, 'error', conv_id, part from cover where cited < minimum
+union all select 'adverse-claims-unused', 'warning', conv_id, '' from c where conv_id not in (select conv_id from prose where turn % 12 = 6) and exists (select 1 from prose where turn % 12 = 6)""")
+def _(spark, d):
+    ledger, records, eligible, topics, registry, audits = draft_evidence(spark, d)
+    return VA.draft_violations(drafts(spark, d), "conv_id", "text", ledger, records, eligible, topics, registry, audits)
+
+
 def documents_with_ids(spark, d):
     none = F.lit(None).cast("string")
     ids, step = F.struct(F.concat(F.lit("10.1/"), "doc_id").alias("doi"), none.alias("s2")), F.struct(F.lit("file").alias("source"), F.lit("then").alias("retrieved_at"))
