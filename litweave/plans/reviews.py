@@ -345,16 +345,20 @@ def _(spark, d):
     return K.pages(drafts(spark, d).withColumn("title", F.lit("Draft")), "title", "text").select("conv_id", "html")
 
 
-@query("x14_section_headings", f"with {DOCS}, h as (select record_id, unnest(['Abstract', '2. Methods and more', 'Resultsish', '讨论']) as t, unnest([1, 2, 3, 4]) as line from docs) select record_id, cast(line as bigint) as line, case line when 1 then 'abstract' when 2 then 'methods' else 'discussion' end as name from h where line <> 3")
+@query("x14_section_headings", f"with {DOCS}, n as (select record_id, len(regexp_split_to_array(abstract, '\\r?\\n')) as n from docs) select record_id, unnest([1, 2 + n, 3 + 2 * n]) as line, unnest(['abstract', 'methods', 'discussion']) as name from n")
 def _(spark, d):
-    t = documents_as_works(spark, d).select("record_id", F.lit("## Abstract\n2. Methods and more\nResultsish\n讨论").alias("text"))
+    """The whole text twice, with headings before, between and after."""
+    t = documents_as_works(spark, d).select("record_id", F.concat(F.lit("## Abstract\n"), "abstract", F.lit("\n2. Methods and more\n"), "abstract", F.lit("\n讨论")).alias("text"))
     return SD.detect_sections(t, "record_id").select("record_id", "line", "name")
 
 
-@query("x24_theory_name", "select page_id, case when page_id % 2 = 0 then 'Theory of Part ' || page_id else 'Planned behaviour theory' end as name from pages")
+@query("x24_theory_name", r"""with p as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as t from pages),
+n as (select page_id, regexp_extract(t || ' theory', '(?i)([A-Za-z][A-Za-z0-9\- ''’]{2,80}(?:theory|model|framework)|[一-鿿A-Za-z0-9·—\-]{2,50}(?:理论|模型|框架|视角))', 1) as found, t from p)
+select page_id, case when page_id % 2 = 0 and found <> '' then trim(found) when page_id % 2 = 0 then substr(ltrim(t || ' theory', ' |｜丨:：·—-'), 1, 120) else substr(trim(t, ' |｜丨:：·—-'), 1, 120) end as name from n""")
 def _(spark, d):
     p = table(spark, d, "pages")
-    title = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("2020-01-02 | Theory of Part "), "page_id")).otherwise("理论介绍：Planned behaviour theory - a site")
+    own = X.html_title(F.col("html"))
+    title = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("2020-01-02 | "), own, F.lit(" theory"))).otherwise(F.concat(F.lit("理论介绍："), own))
     return p.select("page_id", L.theory_name(F.lit("index"), F.lit(""), title, F.lit("")).alias("name"))
 
 
@@ -363,11 +367,19 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", C.content_hash(F.col("text")).alias("sha256"))
 
 
-@query("s08_reference_details", "select doc_id, '10.1234/ab' || doc_id as doi, cast(1990 + doc_id % 30 as int) as year from documents")
+@query("s08_reference_details", "select doc_id, '10.1234/ab' || doc_id as doi, cast(1990 + doc_id % 30 as int) as year, trim(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')) as words from documents")
 def _(spark, d):
-    ref = F.concat(F.lit("Doe, J. ("), 1990 + F.col("doc_id") % 30, F.lit(") See https://doi.org/10.1234/AB"), F.col("doc_id"))
-    x = table(spark, d, "documents").select("doc_id", F.explode(SP.reference_details(F.array(ref))).alias("r"))
-    return x.select("doc_id", "r.doi", "r.year")
+    """Each document's words as the title of a reference, with year and DOI behind them."""
+    words = F.trim(F.regexp_replace("text", "[^A-Za-z ]", " "))
+    ref = F.concat(words, F.lit(" ("), 1990 + F.col("doc_id") % 30, F.lit(") See https://doi.org/10.1234/AB"), F.col("doc_id"))
+    x = table(spark, d, "documents").select("doc_id", words.alias("words"), F.explode(SP.reference_details(F.array(ref))).alias("r"))
+    return x.select("doc_id", "r.doi", "r.year", "words")
+
+
+@query("a18_exclusions", "select lang as reason, count(*) as records from documents where n_chars % 3 <> 0 and lang is not null group by 1")
+def _(spark, d):
+    r = table(spark, d, "documents").select(F.when(F.col("n_chars") % 3 == 0, "included").otherwise("excluded").alias("status"), F.array("lang", "source").alias("reasons")).where("reasons[0] is not null")
+    return MS.exclusion_counts(r)
 
 
 COVERAGE = PARAGRAPHS + """, recs as (select distinct rec, cast(substr(rec, 2) as bigint) as k from prose), ok as (select rec, k % 4 as topic from recs where k % 7 <> 0), tot as (select count(*) as n from ok), c as (select distinct conv_id, rec from prose),

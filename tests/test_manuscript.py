@@ -1,6 +1,7 @@
 """Rules over drafts, on sentences written by hand."""
 
 from litweave.functions import manuscript as M
+from litweave.operators import ledgers
 
 
 def test_units_claims_and_references(spark):
@@ -19,6 +20,10 @@ def test_gaps(spark):
     rows = [full | {"gap_id": i, "failure_type": f, "comparable": c, "mechanism_audited": a, "boundary_assumption": b, "status": None} for i, f, c, a, b in (("1", "measurement", None, None, None), ("2", "contradiction", False, None, None), ("3", "contradiction", True, None, None), ("4", "mechanism-missing", None, True, None), ("5", "boundary-failure", None, None, ""), ("6", "distribution-only", None, None, None))]
     rows.append(rows[0] | {"gap_id": "7", "repair_strategy": ""})
     schema = ", ".join(f"{k} {'boolean' if k in ('comparable', 'mechanism_audited') else 'string'}" for k in rows[0])
+    (told,) = ledgers.gap_report(spark.createDataFrame(rows, schema)).collect()
+    kept = M.normalize_gaps(spark.createDataFrame(rows, schema)).collect()
+    assert (told["gaps"], told["validated"], told["opportunities"]) == (len(rows), sum(r["status"] == "validated" and r["level"] in "AB" for r in kept), sum(r["level"] == "C" for r in kept)) and 0 < told["validated"] < len(rows) and told["state"] == "validated"
+    assert ledgers.gap_report(spark.createDataFrame(rows[-1:], schema)).first()["state"] == "opportunity-only"
     got = {r["gap_id"]: (r["level"], r["status"], r["notes"]) for r in M.normalize_gaps(spark.createDataFrame(rows, schema)).collect()}
     assert got["1"] == ("B", "validated", "") and got["3"][:2] == got["4"][:2] == ("A", "validated")
     assert got["2"] == ("C", "opportunity", "not-comparable") and got["5"][2] == "no-boundary-assumption" and got["7"][2] == "incomplete-diagnosis" and got["6"][:2] == ("C", "opportunity")
