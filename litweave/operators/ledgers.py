@@ -106,13 +106,16 @@ def topic_claims(topics: DataFrame, allowed: bool) -> DataFrame:
 
 
 def computed_claims(signals: list[tuple[str, DataFrame]], start: int = 2000, most: int = 20) -> DataFrame:
-    """Claims from tables of signals (strength, value, supporting): the ``most`` strongest of each that name records, numbered after ``start``."""
+    """Claims from tables of signals (strength, value, supporting): the ``most`` strongest of each that name records, numbered after ``start``.
+
+    Equal ones are ordered by value and then by the records they name.
+    """
     rows = None
     for i, (kind, t) in enumerate(signals):
         top = t.select(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.col("strength").cast("double").alias("s"), F.col("value").cast("string").alias("value"), F.array_distinct(F.regexp_extract_all("supporting", F.lit("(R[0-9a-f]{14})"), F.lit(1))).alias("record_ids"))
-        top = top.orderBy(F.desc("s"), "value").limit(most)
+        top = top.orderBy(F.desc("s"), "value", "record_ids").limit(most)
         rows = top if rows is None else rows.unionByName(top)
-    number = start + F.row_number().over(W.orderBy("i", F.desc("s"), "value"))  # at most ``most`` rows of each kind
+    number = start + F.row_number().over(W.orderBy("i", F.desc("s"), "value", "record_ids"))  # at most ``most`` rows of each kind
     r = rows.where(F.size("record_ids") > 0)
     return r.select(F.concat(F.lit("C"), F.lpad(number.cast("string"), 4, "0")).alias("claim_id"), F.concat_ws(": ", "kind", "value").alias("claim"), F.lit("bibliometric").alias("claim_type"), F.lit("computed").alias("strength"), "record_ids")
 
