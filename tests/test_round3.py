@@ -51,3 +51,25 @@ def test_brokers_are_those_of_all_citations(spark, sf):
     assert "limit 3000" not in ORACLE_SQL["j14_structural_holes"] and lines.count() > 3000
     got = sorted((tuple(x[c] for c in ("node_a", "node_b", "score")) for x in QUERIES["j14_structural_holes"](spark, sf).collect()), key=repr)
     assert got == [(a, b, round(s, 6)) for a, b, s in sql_rows(sf, "j14_structural_holes", "lineitem", "orders")]
+
+
+def test_shuffles_grow_with_the_tables(spark, sf, monkeypatch):
+    from litweave.plans import adapters
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(adapters, "PART_BYTES", 1 << 12)
+    try:
+        lines = adapters.table(spark, sf, "lineitem")
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 20
+        adapters.table(spark, sf, "region")  # a smaller table does not lower it
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 20 and lines.count() > 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_parts_are_joined_for_keywords_only(spark, sf):
+    from litweave.plans.adapters import orders_as_works
+
+    plan = orders_as_works(spark, sf).select("record_id", "authors")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "l_suppkey" in plan
