@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import hold
 
-#: Distinct terms that a task counts before it hands its counts on.
-MOST_COUNTED = 500_000
+#: Distinct terms that a task counts, and rows that it makes, before it hands them on.
+MOST_COUNTED, MOST_ROWS = 200_000, 50_000
+#: Most frequent words whose terms give a bound on how frequent terms must be; most words that tasks are told to be frequent.
+PROBED, MOST_FREQUENT = 20_000, 500_000
 
 
 def grams(tokens: list[str], low: int, high: int, frequent: set[str] | None = None) -> list[str]:
@@ -38,72 +40,92 @@ def spread(docs: DataFrame) -> DataFrame:
     return hold(docs.repartition(cores) if len(docs.inputFiles()) < cores else docs)
 
 
-def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set[str] | None) -> DataFrame:
-    """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up first."""
+def rows_of(column: pa.Array, cut: Callable[[str], list[str]] | None) -> Iterator[list[str]]:
+    """The tokens of one row after the other, so that a batch is never whole in Python; ``cut`` makes them from a text."""
+    for x in column:
+        own = x.as_py()
+        yield [] if own is None else cut(own) if cut else own
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set[str] | None, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
+    """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up MOST_COUNTED terms first, whatever the size of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cf: Counter = Counter()
         df: Counter = Counter()
-        for pdf in batches:
-            for t in pdf["t"]:
-                own = grams(list(t), low, high, frequent) if t is not None else []
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(cf), pa.string()), pa.array([df[x] for x in cf], pa.int64()), pa.array(list(cf.values()), pa.int64())], ["term", "df", "cf"])
+        for batch in batches:
+            for t in rows_of(batch.column(0), cut):
+                own = Counter(grams(t, low, high, frequent))
                 cf.update(own)
-                df.update(set(own))
-            if len(cf) > MOST_COUNTED:
-                yield pd.DataFrame({"term": list(cf), "df": [df[x] for x in cf], "cf": list(cf.values())})
-                cf.clear()
-                df.clear()
-        yield pd.DataFrame({"term": pd.Series(list(cf), dtype=object), "df": pd.Series([df[x] for x in cf], dtype="int64"), "cf": pd.Series(list(cf.values()), dtype="int64")})
+                df.update(own.keys())
+                if len(cf) > MOST_COUNTED:
+                    yield flush()
+                    cf.clear()
+                    df.clear()
+        yield flush()
 
-    return docs.select(F.col(tokens).alias("t")).mapInPandas(run, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return docs.select(F.col(tokens).alias("t")).mapInArrow(run, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
-def vocabulary(docs: DataFrame, tokens: str, low: int, high: int, most: int, min_df: int, max_df: float) -> dict[str, float]:
+def vocabulary(docs: DataFrame, tokens: str, low: int, high: int, most: int, min_df: int, max_df: float, cut: Callable[[str], list[str]] | None = None) -> dict[str, float]:
     """Term → idf of the ``most`` most frequent n-grams in at least ``min_df`` and at most ``max_df`` of all documents, ties by term.
 
     An n-gram is no more frequent than each of its words. If single words are terms, longer ones are therefore
-    counted only where all their words are as frequent as the last single word that would be chosen.
+    counted only where all their words are as frequent as the last single word that would be chosen; if not, as the last of
+    the shortest terms that would be chosen among those of the PROBED most frequent words, which is no more frequent than the last of all.
     """
     n = docs.count()
-    words = term_counts(docs, tokens, 1, 1, None).where(F.col("df") >= min_df)
+    words = term_counts(docs, tokens, 1, 1, None, cut).where(F.col("df") >= min_df)
     within = F.col("df") <= max_df * n
     frequent: set[str] | None = None
     if high > 1:
-        least = words.where(within).orderBy(F.desc("cf"), "term").limit(most).agg(F.count("*").alias("k"), F.min("cf").alias("cf")).first()
-        floor = least["cf"] if low == 1 and least["k"] == most else 0
-        kept = words.where(F.col("cf") >= floor)
-        frequent = {r["term"] for r in kept.select("term").collect()} if floor > 0 else None
-    counts = term_counts(docs, tokens, low, high, frequent) if high > 1 or low > 1 else words
+        words = hold(words)
+        first = words
+        if low > 1:
+            probed = {r["term"] for r in words.orderBy(F.desc("cf"), "term").limit(PROBED).collect()}
+            first = term_counts(docs, tokens, low, low, probed, cut).where(F.col("df") >= min_df)
+        least = first.where(within).orderBy(F.desc("cf"), "term").limit(most).agg(F.count("*").alias("k"), F.min("cf").alias("cf")).first()
+        floor = least["cf"] if least["k"] == most else 0
+        kept = words.where(F.col("cf") >= floor).select("term").limit(MOST_FREQUENT + 1) if floor > 0 else None
+        frequent = {r["term"] for r in kept.collect()} if kept is not None else None
+        frequent = None if frequent is not None and len(frequent) > MOST_FREQUENT else frequent
+    counts = term_counts(docs, tokens, low, high, frequent, cut) if high > 1 or low > 1 else words
     chosen = counts.where((F.col("df") >= min_df) & within).orderBy(F.desc("cf"), "term").limit(most)
     return {r["term"]: math.log((1 + n) / (1 + r["df"])) + 1 for r in chosen.collect()}
 
 
-def tfidf(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000, min_df: int = 2, max_df: float = 0.97, sublinear: bool = True, top: int | None = None, digits: int = 6) -> DataFrame:
+def tfidf(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000, min_df: int = 2, max_df: float = 0.97, sublinear: bool = True, top: int | None = None, digits: int = 6, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
     """(record_id, term, weight): unit-length TF-IDF rows with smoothed idf, ln((1 + n) / (1 + df)) + 1.
 
     Terms are n-grams in at least ``min_df`` and at most ``max_df`` of all documents; of these the ``most_features``
     most frequent stay, ties by term. With ``top`` only the heaviest terms of a document are returned. A document is a
-    row and is counted in that row, so that nothing is shuffled by document.
+    row and is counted in that row, so that nothing is shuffled by document. With ``cut``, ``tokens`` names a text, and its
+    tokens are made where they are counted and never held.
     """
     docs = spread(docs.select("record_id", F.col(tokens).alias("t")))
-    idf = vocabulary(docs, "t", low, high, most_features, min_df, max_df)
+    idf = vocabulary(docs, "t", low, high, most_features, min_df, max_df, cut)
     frequent = {w for t in idf for w in t.split(" ")} if high > 1 else set(idf)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             ids, terms, weights = [], [], []
-            for i, t in enumerate(pdf["t"]):
-                tf = Counter(x for x in grams(list(t), low, high, frequent) if x in idf) if t is not None else {}
+            flush = lambda b, i, t, w: pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i, pa.int64())), pa.array(t, pa.string()), pa.array(w, pa.float64())], ["record_id", "term", "weight"])
+            for i, t in enumerate(rows_of(batch.column(1), cut)):
+                tf = Counter(x for x in grams(t, low, high, frequent) if x in idf)
                 w = {x: (1 + math.log(c) if sublinear else c) * idf[x] for x, c in tf.items()}
                 norm = math.sqrt(sum(v * v for v in w.values()))
                 best = sorted(((x, v / norm) for x, v in w.items()), key=lambda x: (-math.floor(x[1] * 1e9 + 0.5), x[0]))[:top]
                 ids += [i] * len(best)
                 terms += [x for x, _ in best]
                 weights += [v for _, v in best]
-            yield pd.DataFrame({"record_id": pdf["record_id"].iloc[ids].reset_index(drop=True), "term": pd.Series(terms, dtype=object), "weight": pd.Series(weights, dtype=float)})
+                if len(ids) > MOST_ROWS:
+                    yield flush(batch, ids, terms, weights)
+                    ids, terms, weights = [], [], []
+            yield flush(batch, ids, terms, weights)
 
     kind = docs.schema["record_id"].dataType.simpleString()
-    out = docs.select("record_id", "t").mapInPandas(run, f"record_id {kind}, term string, weight double")
+    out = docs.select("record_id", "t").mapInArrow(run, f"record_id {kind}, term string, weight double")
     return out.select("record_id", "term", F.round("weight", digits).alias("weight"))
 
 

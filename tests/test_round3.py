@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from litweave.operators import ledgers, networks
 from litweave.plans.queries import ORACLE_SQL, QUERIES
@@ -73,3 +74,34 @@ def test_parts_are_joined_for_keywords_only(spark, sf):
 
     plan = orders_as_works(spark, sf).select("record_id", "authors")._jdf.queryExecution().optimizedPlan().toString()
     assert "p_partkey" not in plan and "l_suppkey" in plan
+
+
+def test_terms_are_counted_in_bounded_portions(spark, monkeypatch):
+    """Also within one batch, and with words left out that no chosen term can have."""
+    from collections import Counter
+
+    from litweave.operators import textmining
+
+    r = random.Random(2)
+    docs = [[f"w{min(int(r.expovariate(0.2)), 40)}" for _ in range(r.randrange(0, 60))] for _ in range(200)] + [None]
+    df = spark.createDataFrame(list(enumerate(docs)), "record_id int, tokens array<string>").coalesce(1)
+    cf, has = Counter(), Counter()
+    for t in docs:
+        own = textmining.grams(t or [], 2, 4)
+        cf.update(own)
+        has.update(set(own))
+    want = {t for t, _ in sorted(((t, c) for t, c in cf.items() if has[t] >= 2), key=lambda x: (-x[1], x[0]))[:50]}
+    for probed in (3, 8, 1000):
+        monkeypatch.setattr(textmining, "PROBED", probed)
+        assert set(textmining.vocabulary(df, "tokens", 2, 4, 50, 2, 1.0)) == want
+    monkeypatch.setattr(textmining, "MOST_COUNTED", 100)
+    parts = textmining.term_counts(df, "tokens", 2, 4, None)
+    assert {x["term"]: (x["df"], x["cf"]) for x in parts.collect()} == {t: (has[t], c) for t, c in cf.items()}
+
+
+def test_letters_are_cut_as_by_spark(spark):
+    from litweave.operators.modeling import character_grams, cut_grams
+
+    texts = ["", " a  Bc\td-e\n", "Éa ü straße x", "word\x0bother", "a b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("l"), character_grams(F.col("t")).alias("g")).collect()
+    assert all(cut_grams(x["l"]) == x["g"] for x in got)
