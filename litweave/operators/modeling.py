@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP
-from ..storage import hold, summed
+from ..storage import hold, let_go, summed
 from .textmining import tfidf
 
 SEEDS, BOOTSTRAP_SEED, DRAWN = (73, 101, 151), 173, 0.8
@@ -27,6 +28,7 @@ PASSES, TOLERANCE, INNER = 80, 1e-4, 12
 TOP_TERMS, LISTED_TERMS, LISTED_DOCUMENTS = 10, 12, 10
 #: Gates (fixed values).
 STABLE, BOOTSTRAPPED, PREPARED, MIXED, COVERED, LEAST_TOPIC = 0.75, 0.70, 0.50, 0.65, 0.60, 3
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
 MOST_DIMENSIONS, RESTARTS, KMEANS_SEEDS, SEEDED_ON = 100, 20, (42, 73), 2_000
 
 
@@ -46,6 +48,17 @@ def character_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, grams))
 
 
+def cut_grams(text: str, low: int = 3, high: int = 5) -> list[str]:
+    """``character_grams`` of a text in lower case, in Python."""
+    out = []
+    for w in _SPACES.split(text):
+        if w:
+            w = f" {w} "
+            for k in range(low, high + 1):
+                out += [w[i : i + k] for i in range(len(w) - k + 1)] if len(w) >= k else [w] if k == low else []
+    return out
+
+
 @dataclass
 class Matrix:
     """Unit rows of term weights: a held table (record_id, at, weight) and the terms by number."""
@@ -55,14 +68,15 @@ class Matrix:
     n: int
 
     @classmethod
-    def of(cls, docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000) -> Matrix:
+    def of(cls, docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000, cut: Callable[[str], list[str]] | None = None) -> Matrix:
         """TF-IDF of the documents that have any term; with at least 20 documents a term is in two or more."""
-        n = docs.where(F.size(tokens) > 0).count()
-        w = hold(tfidf(docs, tokens, low=low, high=high, most_features=most_features, min_df=2 if n >= 20 else 1, digits=12))
+        n = docs.where(F.col(tokens).rlike(r"\S") if cut else F.size(tokens) > 0).count()
+        w = hold(tfidf(docs, tokens, low=low, high=high, most_features=most_features, min_df=2 if n >= 20 else 1, digits=12, cut=cut))
         terms = sorted(r["term"] for r in w.select("term").distinct().collect())
         place = docs.sparkSession.createDataFrame(list(enumerate(terms)), "number int, term string")
         rows = w.join(F.broadcast(place), "term").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("number", "weight"))).alias("x"))
         rows = hold(rows.select("record_id", F.col("x.number").alias("at"), F.col("x.weight").alias("weight")))
+        let_go(w)
         return cls(rows, terms, rows.count())
 
     def dense(self, pdf: pd.DataFrame) -> np.ndarray:
@@ -276,7 +290,7 @@ def topic_model(docs: DataFrame, tokens: str, text: Column, *, low: int = 4, hig
     other = {(k, s): Factors(filled(k, s)) for k in ks for s in SEEDS}
     drawn = {(k, r): Factors(filled(k, BOOTSTRAP_SEED + r), r) for k in ks for r in range(enough)}
     factorise(matrix, [*main.values(), *other.values(), *drawn.values()], passes)
-    by_letters = Matrix.of(docs.select("record_id", character_grams(text).alias("grams")), "grams", high=1)
+    by_letters = Matrix.of(docs.select("record_id", F.lower(text).alias("letters")), "letters", high=1, cut=cut_grams)
     letters: dict[int, Factors] = {}
     if by_letters.n and len(by_letters.terms) > ks[-1]:
         h, m = starts(by_letters, ks[-1])
