@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import hold
+
 
 def topic_trends(records: DataFrame) -> DataFrame:
     return records.where("year is not null and year <> 0 and topic_id is not null").groupBy("year", "topic_id").agg(F.count("*").alias("documents"))
@@ -73,23 +75,32 @@ def flow_null(edges: DataFrame, assignments: DataFrame, runs: int = 100, seed: i
     """Mean and deviation of the flow over permutations of the topics among the works, and the z-score of the real one.
 
     A permutation deals the sorted topics to the works in a seeded random order; sizes and edges stay as they are. The
-    order is that of a hash, so works are counted in ranges of the hash and no task sees all of them.
+    order is that of a hash, so works are counted in ranges of the hash and no task sees all of them, and a work's topic follows
+    from the hashes of the last works of each topic.
     """
-    t = assignments.where("topic_id is not null").select("record_id", "topic_id")
+    t, edges = hold(assignments.where("topic_id is not null").select("record_id", "topic_id")), hold(edges)
     real = knowledge_flow(edges, t)
     sizes = [(r["topic_id"], r["n"]) for r in t.groupBy("topic_id").agg(F.count("*").alias("n")).orderBy("topic_id").collect()]
     ranges = max(1, sum(n for _, n in sizes) // 10_000)
     order = t.select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))).alias("run")).withColumn("h", F.xxhash64("record_id", "run", F.lit(seed)))
     order = order.withColumn("range", F.floor((F.col("h") / 2.0**63 + 1) / 2 * ranges))
     counts = order.groupBy("run", "range").agg(F.count("*").alias("n"))
-    before = counts.select("run", "range", (F.sum("n").over(W.partitionBy("run").orderBy("range")) - F.col("n")).alias("before"))
-    order = order.withColumn("own", F.row_number().over(W.partitionBy("run", "range").orderBy("h", "record_id"))).join(before, ["run", "range"]).withColumn("k", F.col("own") + F.col("before"))
-    # the topic of a place: behind as many topics as are used up before it
-    ends = F.array(*[F.lit(sum(n for _, n in sizes[: i + 1])).cast("long") for i in range(len(sizes))])
-    topic = F.get(F.array(*[F.lit(x) for x, _ in sizes]), F.size(F.filter(ends, lambda e: e < F.col("k"))))
-    mixed = order.select("run", "record_id", topic.alias("topic_id"))
-    e = edges.join(mixed.select("run", F.col("record_id").alias("target_id"), F.col("topic_id").alias("source_topic")), "target_id").join(mixed.select("run", F.col("record_id").alias("source_id"), F.col("topic_id").alias("target_topic")), ["run", "source_id"])
-    per = e.groupBy("run", "source_topic", "target_topic").agg(F.sum("weight").alias("w"))
+    before = counts.select("run", "range", "n", (F.sum("n").over(W.partitionBy("run").orderBy("range")) - F.col("n")).alias("before"))
+    # only the last place of each topic is looked for, in the range where it is; all others follow by comparing hashes
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(sum(n for _, n in sizes[: i + 1])).cast("long").alias("k")) for i in range(len(sizes))])
+    wanted = before.withColumn("end", F.explode(ends)).where("end.k > before and end.k <= before + n").select("run", "range", "end.i", (F.col("end.k") - F.col("before")).alias("own"))
+    near = order.join(F.broadcast(wanted.select("run", "range").distinct()), ["run", "range"])
+    near = near.withColumn("own", F.row_number().over(W.partitionBy("run", "range").orderBy("h", "record_id")))
+    last = near.join(wanted, ["run", "range", "own"]).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("h", "record_id"))).alias("ends"))
+    bounds = hold(last.agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "ends"))), lambda r: r["ends"]).alias("bounds")))
+    # the topics of a work in all runs are one array, so that works and edges are shuffled once and not once for each run
+    own = lambda run: F.struct(F.xxhash64("record_id", run, F.lit(seed)).alias("h"), F.col("record_id"))
+    place = lambda run: F.size(F.filter(F.get("bounds", run.cast("int")), lambda b: b < own(run))).cast("tinyint" if len(sizes) < 128 else "int")
+    mixed = t.crossJoin(F.broadcast(bounds)).select("record_id", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long")), place).alias("drawn"))
+    e = edges.join(mixed.select(F.col("record_id").alias("target_id"), F.col("drawn").alias("s")), "target_id").join(mixed.select(F.col("record_id").alias("source_id"), F.col("drawn").alias("t")), "source_id")
+    e = e.select("weight", "s", "t", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run")).select("run", F.get("s", "run").alias("s"), F.get("t", "run").alias("t"), "weight")
+    name = lambda c: F.get(F.array(*[F.lit(x) for x, _ in sizes]), F.col(c).cast("int"))
+    per = e.groupBy("run", "s", "t").agg(F.sum("weight").alias("w")).select("run", name("s").alias("source_topic"), name("t").alias("target_topic"), "w")
     null = per.groupBy("source_topic", "target_topic").agg((F.sum("w") / runs).alias("mean"), (F.sum(F.col("w") * F.col("w")) / runs).alias("square"))
     scale = F.col("citation_weight") / F.col("fractional_flow")
     out = real.join(null, ["source_topic", "target_topic"], "left").withColumn("null_mean", F.coalesce("mean", F.lit(0.0)) / scale).withColumn("null_sd", F.sqrt(F.greatest(F.lit(0.0), F.coalesce("square", F.lit(0.0)) - F.pow(F.coalesce("mean", F.lit(0.0)), 2))) / scale)

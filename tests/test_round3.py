@@ -105,3 +105,15 @@ def test_letters_are_cut_as_by_spark(spark):
     texts = ["", " a  Bc\td-e\n", "Éa ü straße x", "word\x0bother", "a b"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("l"), character_grams(F.col("t")).alias("g")).collect()
     assert all(cut_grams(x["l"]) == x["g"] for x in got)
+
+
+def test_flow_null_shuffles_works_and_edges_once(spark):
+    """Not once for each run: no shuffle has a row for each work and run."""
+    from litweave.operators import topics
+
+    n, runs = 3_000, 40
+    works = spark.range(n).selectExpr("id as record_id", "id % 3 as topic_id")
+    edges = spark.range(n).selectExpr("id as source_id", f"(id * 7 + 1) % {n} as target_id", "1L as weight")
+    out = topics.flow_null(edges, works, runs=runs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and len(out.collect()) == 3
