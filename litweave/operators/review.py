@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..storage import numbered
+from ..storage import hold, numbered
 
 #: Faults of punctuation by what they match (fixed values).
 PUNCTUATION = {
@@ -103,14 +103,13 @@ def seed_recall(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     three words; only seeds of four words or fewer are looked for in every text.
     """
     s = seeds.select("item_id", F.lower("seed").alias("seed"))
-    t = texts.select(F.lower("body").alias("body")).where("body is not null")
+    t = texts.select(F.lower("body").alias("body")).where("body is not null").withColumn("of", F.xxhash64("body"))
     words = F.split("seed", " ")
     long = s.where(F.size(words) >= 5).withColumn("key", F.array_join(F.slice(words, 2, 3), " "))
-    w = F.split("body", " ")
-    n = F.size(w)
-    runs = F.when(n >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))))
-    t = t.withColumn("of", F.xxhash64("body"))
-    pairs = t.select("of", F.explode(runs).alias("key")).join(long, "key").select("of", "item_id", "seed").distinct()
+    three = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))
+    # a text's words are bound once: named in the inner function, the text would be split again for each of its runs
+    runs = F.flatten(F.transform(F.filter(F.array(F.split("body", " ")), lambda w: F.size(w) >= 3), three))
+    pairs = hold(t.select("of", F.explode(runs).alias("key")).join(long, "key").select("of", "item_id", "seed").distinct())
     met = t.join(pairs, "of").where(F.contains("body", "seed")).select("item_id")
     short = t.join(s.where(F.size(words) < 5), F.contains("body", "seed")).select("item_id")
     found = met.unionByName(short).distinct().withColumn("hit", F.lit(True))

@@ -117,3 +117,16 @@ def test_flow_null_shuffles_works_and_edges_once(spark):
     out = topics.flow_null(edges, works, runs=runs)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and len(out.collect()) == 3
+
+
+def test_seeds_are_found_in_very_long_texts(spark):
+    from time import monotonic
+
+    from litweave.operators.review import seed_recall
+
+    words = [f"w{i}" for i in range(40_000)]
+    texts = spark.createDataFrame([(" ".join(words),), ("A b",), (None,), ("",)], "body string")
+    seeds = spark.createDataFrame([(1, " ".join(words[30_000:30_010]).upper()), (2, "w1 w3 w4 w5 w6"), (3, "a B"), (4, "c"), (5, None)], "item_id int, seed string")
+    start = monotonic()
+    got = {r["item_id"]: r["recalled"] for r in seed_recall(texts, seeds).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: False} and monotonic() - start < 40  # splitting the text for each of its runs takes minutes
