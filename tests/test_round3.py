@@ -130,3 +130,41 @@ def test_seeds_are_found_in_very_long_texts(spark):
     start = monotonic()
     got = {r["item_id"]: r["recalled"] for r in seed_recall(texts, seeds).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False, 5: False} and monotonic() - start < 40  # splitting the text for each of its runs takes minutes
+
+
+def test_titles_that_match_are_met(spark):
+    """Pairs of like titles of any length are met, against all pairs; few of the others are."""
+    import random
+
+    from litweave.operators.dedup import candidate_pairs, ratio, squeezed
+
+    rng = random.Random(7)
+    words = ["the", "thand", "er", "ciónas", "mente", "nt", "of", "ing", "für", "x1"]
+    titles = []
+    for n in [*range(1, 40), *range(40, 130, 3)]:
+        base = " ".join(rng.choices(words, k=n))[:n]
+        titles.append(base)
+        for _ in range(4):
+            t = list(base)
+            for _ in range(rng.randint(1, max(1, n // 9))):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 1)] = rng.choice(["", "e", "q", " "])
+            titles.append("".join(t))
+    titles = sorted(set(titles))
+    rows = list(enumerate(titles))
+    met = {(r["a"], r["b"]) for r in candidate_pairs(spark.createDataFrame(rows, "row long, title string")).collect()}
+    keys = [squeezed(t) for t in titles]
+    like = {(i, j) for i in range(len(keys)) for j in range(i + 1, len(keys)) if keys[i] and keys[j] and ratio(keys[i], keys[j]) >= 0.94}
+    assert len(like) > 60 and like <= met
+    assert all(i < j for i, j in met) and len(met) < 6 * len(like)
+
+
+def test_records_outside_of_groups_are_not_shuffled(spark):
+    from litweave.operators import dedup
+
+    one = dict.fromkeys(dedup.NAMES) | {"keywords": [], "references": [], "query_ids": [], "citation_counts": {}, "citation_counts_by_year": {}}
+    rows = [one | {"record_id": f"R{k}", "place": k, "title": t} for k, t in enumerate(["A study of tides", "A study of tides", "Another thing entirely", "", ""])]
+    rows.append(dict(rows[2]))  # the same id and place twice are one group
+    df = spark.createDataFrame([tuple(r[c] for c in dedup.NAMES) for r in rows], dedup.FIELDS)
+    got = sorted((r["place"], tuple(r["merged"])) for r in dedup.deduplicate(df).collect())
+    assert got == [(0, ("R1",)), (2, ("R2",)), (3, ()), (4, ())]
