@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,12 +132,19 @@ def ris(title: Column, authors: Column, year: Column, venue: Column, doi: Column
     return F.concat_ws("\n", F.lit(f"TY  - {kind}"), tag("TI", title), many("AU", authors), tag("PY", year), tag("JO", venue), tag("DO", doi), tag("AB", abstract), many("KW", keywords), F.lit("ER  - "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that it names more than once, computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def author_names(authors: Column) -> Column:
     """Names without repeats: none that differs from an earlier one by marks only, and no abbreviated one whose surname and first initial an earlier one has."""
     tidy = F.filter(F.transform(F.coalesce(authors, F.array().cast("array<string>")), lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "), r"^[ ,;]+|[ ,;]+$", "")), lambda x: x != "")
 
     def read(name: Column) -> Column:
-        words = F.regexp_extract_all(name, F.lit("([A-Za-z]+)"), F.lit(1))
+        return once(F.regexp_extract_all(name, F.lit("([A-Za-z]+)"), F.lit(1)), lambda words: told(name, words))
+
+    def told(name: Column, words: Column) -> Column:
         n, comma = F.size(words), F.contains(name, F.lit(","))
         surname = F.lower(F.when(comma, F.trim(F.substring_index(name, ",", 1))).otherwise(F.coalesce(F.get(words, n - 1), name)))
         given = F.array_join(F.when(comma, F.slice(words, 2, F.greatest(n, F.lit(1)))).otherwise(F.slice(words, 1, F.greatest(n - 1, F.lit(0)))), "")
@@ -143,7 +152,7 @@ def author_names(authors: Column) -> Column:
         return F.struct(name.alias("name"), F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}_]+", "")).alias("plain"), F.concat(surname, F.lower(F.substring(given, 1, 1))).alias("short"), short.alias("is_short"))
 
     read_all = F.transform(tidy, read)
-    none = F.slice(read_all, 1, 0)
+    none = F.array().cast("array<struct<name:string,plain:string,short:string,is_short:boolean>>")
     repeats = lambda kept, x: F.exists(kept, lambda k: (k["plain"] == x["plain"]) | (x["is_short"] & (k["short"] == x["short"])))
     kept = F.aggregate(read_all, none, lambda acc, x: F.when(repeats(acc, x), acc).otherwise(F.concat(acc, F.array(x))))
     return F.transform(kept, lambda k: k["name"])
@@ -154,10 +163,13 @@ def apa(authors: Column, year: Column, title: Column, venue: Column, doi: Column
 
     Null and empty parts are left out, but for author, year and title, which have names for being absent.
     """
-    a = author_names(authors)
-    n = F.size(a)
-    few = F.when(n == 1, F.get(a, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(", & "), F.get(a, n - 1)))
-    who = F.when(n == 0, "Unknown author").when(n <= 20, few).otherwise(F.concat(F.array_join(F.slice(a, 1, 19), ", "), F.lit(", …, "), F.get(a, n - 1)))
+
+    def listed(a: Column) -> Column:
+        n = F.size(a)
+        few = F.when(n == 1, F.get(a, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(a, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(", & "), F.get(a, n - 1)))
+        return F.when(n == 0, "Unknown author").when(n <= 20, few).otherwise(F.concat(F.array_join(F.slice(a, 1, 19), ", "), F.lit(", …, "), F.get(a, n - 1)))
+
+    who = once(author_names(authors), listed)
     when = F.when(F.coalesce(year.cast("string"), F.lit("")).isin("", "0"), "n.d.").otherwise(year.cast("string"))
     text = lambda c: F.trim(F.coalesce(c.cast("string"), F.lit(""))) if c is not None else F.lit("")
     ended = lambda c: F.regexp_replace(text(c), "[.。]+$", "")

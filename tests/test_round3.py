@@ -168,3 +168,13 @@ def test_records_outside_of_groups_are_not_shuffled(spark):
     df = spark.createDataFrame([tuple(r[c] for c in dedup.NAMES) for r in rows], dedup.FIELDS)
     got = sorted((r["place"], tuple(r["merged"])) for r in dedup.deduplicate(df).collect())
     assert got == [(0, ("R1",)), (2, ("R2",)), (3, ()), (4, ())]
+
+
+def test_authors_of_a_reference_are_read_once(spark):
+    from litweave.operators.evidence import apa
+
+    rows = spark.createDataFrame([(["Ann Lee", "ann lee ,;", "Bo, C", None, "A. Lee"], 2001), ([], 2002), (None, 2003)], "names array<string>, year int")
+    got = rows.select(apa(F.col("names"), F.col("year"), F.lit("T"), F.lit("V"), F.lit(None)).alias("apa"))
+    assert [r["apa"].split(" (")[0] for r in got.collect()] == ["Ann Lee, & Bo, C.", "Unknown author.", "Unknown author."]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
