@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import hold
 from .drafts import clean_reference
 
 #: Names of publication types (fixed values).
@@ -41,6 +43,8 @@ DIMENSIONS = {
     "unclear": ["design_identification", "sampling", "measurement", "analysis_fit"],
 }
 SAMPLE = r"(?i)(?:n\s*=\s*\d+|\d+\s+(?:participants?|respondents?|consumers?)|[A-Z][A-Za-z]+\s+(?:dataset|panel))"
+#: The same, with runs of letters and digits begun at their first one only (or where the last match ended), so that long runs do not cost their square.
+SAMPLE_RUNS = r"(?i)(?:n\s*=\s*\d+|(?:(?<!\d)|\G)\d++\s+(?:participants?|respondents?|consumers?)|(?:(?<![A-Z])|\G)[A-Z][A-Z]++\s+(?:dataset|panel))"
 
 
 def publication_type(kind: Column, title: Column) -> Column:
@@ -76,32 +80,40 @@ def tier_rank(tier: Column) -> Column:
 
 
 def study_design(text: Column) -> Column:
-    low, out = F.lower(text), F.lit("unclear")
-    for name, pattern in reversed(DESIGNS):
-        out = F.when(low.rlike(pattern), name).otherwise(out)
-    return out
+    """The first of DESIGNS that a text has; a pattern is tried where the text holds the plain beginning of one of its branches."""
+
+    def named(low: Column) -> Column:
+        out = F.lit("unclear")
+        for name, pattern in reversed(DESIGNS):
+            plain = [F.contains(low, F.lit(x.replace(r"\b", "").split("[")[0])) for x in pattern.split("|")]
+            out = F.when(reduce(lambda x, y: x | y, plain) & low.rlike(pattern), name).otherwise(out)
+        return out
+
+    return once(F.lower(text), named)
 
 
 def quality(records: DataFrame, fulltext: Column | None = None) -> DataFrame:
     """Design, evidence level, what the abstract reports, whether its sample may be that of another record, and what an appraisal looks at.
 
-    ``fulltext`` tells which records have a full text; without it none has.
+    ``fulltext`` tells which records have a full text; without it none has. Texts are read in their rows; only what was found is shuffled.
     """
     full = F.lit(False) if fulltext is None else F.coalesce(fulltext, F.lit(False))
-    design = study_design(F.concat_ws(" ", "title", "abstract"))
     looked_at = F.create_map(*[F.lit(x) for k, v in DIMENSIONS.items() for x in (k, "; ".join(v))])
     a = F.coalesce("abstract", F.lit(""))
-    found = F.array_sort(F.transform(F.regexp_extract_all(a, F.lit(SAMPLE), F.lit(0)), lambda x: F.lower(x)))
     who = F.array_join(F.transform(F.slice(F.coalesce(F.col("authors"), F.array().cast("array<string>")), 1, 2), lambda x: F.lower(x)), ";")
-    sig = F.when(F.size(found) > 0, F.substring(F.sha2(F.concat(who, F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("None")), F.lit("|"), F.array_join(found, "|")), 256), 1, 12)).otherwise("")
-    r = records.withColumn("sample_signature", sig)
+    signed = lambda found: F.when(F.size(found) > 0, F.substring(F.sha2(F.concat(who, F.lit("|"), F.coalesce(F.col("year").cast("string"), F.lit("None")), F.lit("|"), F.array_join(found, "|")), 256), 1, 12)).otherwise("")
+    sig = once(F.array_sort(F.transform(F.regexp_extract_all(a, F.lit(SAMPLE_RUNS), F.lit(0)), lambda x: F.lower(x))), signed)
+    r = records.select(
+        "record_id", study_design(F.concat_ws(" ", "title", "abstract")).alias("study_design"), F.when(full, "fulltext").when(a != "", "abstract").otherwise("metadata").alias("evidence_level"),
+        a.rlike(r"(?i)\b(?:n\s*=|sample|participants?|respondents?|dataset)|样本|参与者").alias("reports_sample"), a.rlike(r"(?i)\bmethod|regression|sem\b|experiment|interview|survey|方法|实验|回归").alias("reports_method"),
+        a.rlike(r"(?i)\blimitations?|局限").alias("reports_limitations"), sig.alias("sample_signature"), F.when(full, "requires-host-appraisal").otherwise("not-assessable-from-abstract").alias("risk_of_bias"),
+    )
+    r = hold(r)
     # most records name no sample: they share no signature, and are not brought together
     shared = r.where("sample_signature <> ''").groupBy("sample_signature").agg(F.count("*").alias("_records")).where("_records > 1")
     return r.join(shared, "sample_signature", "left").select(
-        "record_id", design.alias("study_design"), F.when(full, "fulltext").when(a != "", "abstract").otherwise("metadata").alias("evidence_level"),
-        a.rlike(r"(?i)\b(?:n\s*=|sample|participants?|respondents?|dataset)|样本|参与者").alias("reports_sample"), a.rlike(r"(?i)\bmethod|regression|sem\b|experiment|interview|survey|方法|实验|回归").alias("reports_method"),
-        a.rlike(r"(?i)\blimitations?|局限").alias("reports_limitations"), "sample_signature", F.when(F.col("_records").isNotNull(), "possible-overlap-needs-review").otherwise("unverified").alias("independent_sample_status"),
-        F.when(full, "requires-host-appraisal").otherwise("not-assessable-from-abstract").alias("risk_of_bias"), looked_at[design].alias("appraisal_dimensions"),
+        "record_id", "study_design", "evidence_level", "reports_sample", "reports_method", "reports_limitations", "sample_signature",
+        F.when(F.col("_records").isNotNull(), "possible-overlap-needs-review").otherwise("unverified").alias("independent_sample_status"), "risk_of_bias", looked_at[F.col("study_design")].alias("appraisal_dimensions"),
     )
 
 

@@ -178,3 +178,19 @@ def test_authors_of_a_reference_are_read_once(spark):
     assert [r["apa"].split(" (")[0] for r in got.collect()] == ["Ann Lee, & Bo, C.", "Unknown author.", "Unknown author."]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_quality_shuffles_no_texts(spark):
+    import re
+
+    from litweave.operators import evidence
+
+    texts = ["Randomised trial, N = 5 participants5 participants", "abc dataset", "x" * 50_000 + "1" * 50_000, "n=12dataset", "7 participantsabc panel"]
+    rows = spark.createDataFrame([(k, "t", t, ["A"], 2000) for k, t in enumerate(texts)], "record_id int, title string, abstract string, authors array<string>, year int")
+    out = evidence.quality(rows)
+    assert "abstract" not in out._jdf.queryExecution().analyzed().toString().replace("not-assessable-from-abstract", "")
+    got = {r["record_id"]: r for r in out.collect()}
+    assert [got[k]["study_design"] for k in range(5)] == ["experiment", "unclear", "unclear", "unclear", "unclear"]
+    assert [got[k]["sample_signature"] != "" for k in range(5)] == [True, True, False, True, True]
+    runs = rows.where("record_id <> 2").select("abstract", F.regexp_extract_all("abstract", F.lit(evidence.SAMPLE_RUNS), F.lit(0)).alias("x")).collect()
+    assert all(r["x"] == [m.group() for m in re.finditer(evidence.SAMPLE, r["abstract"])] for r in runs)
