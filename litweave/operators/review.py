@@ -51,10 +51,11 @@ def term_index(cards: DataFrame, key: str, terms: Column) -> DataFrame:
 def overlap_top(questions: DataFrame, methods: DataFrame, n: int = 4) -> DataFrame:
     """Per question (question_id, goals) the methods (method_id, goals) that share most goals, ties by id.
 
-    Only methods that share a goal are met, by an index of goals.
+    Only methods that share a goal are met, by an index of goals. It is held, so that its size is known before the join: where it is
+    small it goes to the questions, which then stay where they are.
     """
     q = questions.select("question_id", F.explode(F.array_distinct("goals")).alias("goal"))
-    m = methods.select("method_id", F.explode(F.array_distinct("goals")).alias("goal"))
+    m = hold(methods.select("method_id", F.explode(F.array_distinct("goals")).alias("goal")))
     hit = q.join(m, "goal").groupBy("question_id", "method_id").agg(F.count("*").alias("overlap"))
     place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("overlap"), "method_id"))
     return hit.withColumn("place", place.cast("long")).where(F.col("place") <= n)

@@ -194,3 +194,12 @@ def test_quality_shuffles_no_texts(spark):
     assert [got[k]["sample_signature"] != "" for k in range(5)] == [True, True, False, True, True]
     runs = rows.where("record_id <> 2").select("abstract", F.regexp_extract_all("abstract", F.lit(evidence.SAMPLE_RUNS), F.lit(0)).alias("x")).collect()
     assert all(r["x"] == [m.group() for m in re.finditer(evidence.SAMPLE, r["abstract"])] for r in runs)
+
+
+def test_questions_stay_where_they_are_for_a_small_index(spark):
+    from litweave.operators.review import overlap_top
+
+    methods = spark.range(2_000_000).groupBy((F.col("id") % 5).alias("method_id")).agg(F.collect_set(F.col("id") % 7).alias("goals"))
+    questions = spark.range(2_000_000).groupBy((F.col("id") % 50).alias("question_id")).agg(F.collect_set(F.col("id") % 7).alias("goals"))
+    plan = overlap_top(questions, methods)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
