@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.manuscript import DIAGNOSED, FRAGMENT_GAP, WEAK_GAP, gap_goals, normalize_gaps, runs_of
 from ..functions.text import normalize_title
+from ..storage import hold, numbered
 from .dedup import ratio, squeezed
 from .evidence import evidence_tier, publication_type, quality, study_design, tier_rank, violations
 from .review import ADVERSE_STATUSES, overlap_top
@@ -65,22 +66,38 @@ def best_fulltexts(records: DataFrame, files: DataFrame) -> DataFrame:
     """(record_id, path): the text file (path, stem) whose name is in the title of a record, or holds its first 30 letters; the longest name, then the path.
 
     A name is looked for by its first eight letters where a title has them, so titles and names are joined on
-    equal runs of letters and never all with all.
+    equal runs of letters and never all with all. Equal titles and equal names are looked for once, and first
+    letters that many have are dealt out, more widely where the session has more partitions.
     """
-    run = 8
-    r = records.select("record_id", normalize_title(F.col("title")).alias("t")).where("t <> ''")
-    f = files.select("path", normalize_title(F.col("stem")).alias("s")).where("s <> ''")
+    run, head = 8, 30
+    spread = 1 + int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16
+    # both are read several times; read from tables, the ways below are tasks of their own
+    titled = hold(records.select("record_id", normalize_title(F.col("title")).alias("t")).where("t <> ''"))
+    r = hold(titled.select("t").distinct())
+    # of equal names the last path counts; the best of several is that of the largest number, which is added up without sorting
+    f = files.select("path", normalize_title(F.col("stem")).alias("s")).where("s <> ''").groupBy("s").agg(F.max("path").alias("path"))
+    ranked = hold(numbered(f.withColumn("n", F.char_length("s")), "n", "path", "s").select("s", "path", "number"))
+    f = ranked.select("s", "number")
     runs = lambda c: F.coalesce(runs_of(c, run), F.array(c))
-    in_title = r.select("record_id", "t", F.explode(runs("t")).alias("k")).join(f.select("path", "s", F.substring("s", 1, run).alias("k")), "k").where("contains(t, s)")
-    in_name = f.select("path", "s", F.explode(runs("s")).alias("k")).join(r.select("record_id", "t", F.substring("t", 1, run).alias("k")), "k").where("contains(s, substring(t, 1, 30))")
+    dealt = lambda c: F.pmod(F.xxhash64(c), F.lit(spread)).cast("int").alias("part")
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part")
+    in_title = r.select("t", dealt("t"), F.explode(runs("t")).alias("k")).join(f.select("number", "s", everywhere, F.substring("s", 1, run).alias("k")), ["k", "part"]).where("contains(t, s)")
+    # a name holds a title's first letters where one of its runs of that many is equal to them
+    heads = f.where(F.char_length("s") >= head).select("number", F.explode(runs_of("s", head)).alias("h")).groupBy("h").agg(F.max("number").alias("number"))
+    in_name = r.where(F.char_length("t") >= head).withColumn("h", F.substring("t", 1, head)).join(heads, "h")
+    low = hold(r.where(F.char_length("t") < head))  # by its size this side is broadcast if any, not the pieces of names
+    of_low = f.select("number", "s", dealt("s"), F.explode(runs("s")).alias("k")).hint("merge").join(low.select("t", everywhere, F.substring("t", 1, run).alias("k")), ["k", "part"]).where("contains(s, t)")
     # titles shorter than a run stand in names too, and names in titles; there are few of them
     pieces = F.flatten(F.array_compact(F.array(*[runs_of("s", k) for k in range(1, run)])))
-    of_short = f.select("path", "s", F.explode(pieces).alias("t")).join(r.where(F.char_length("t") < run), "t")
-    short = f.where(F.char_length("s") < run).select("path", "s", F.substring("s", 1, 1).alias("k"))
-    letters = r.select("record_id", "t", F.explode(F.array_distinct(F.split("t", ""))).alias("k"))
+    of_short = f.select("number", F.explode(pieces).alias("t")).join(low.where(F.char_length("t") < run), "t")
+    short = f.where(F.char_length("s") < run).select("number", "s", F.substring("s", 1, 1).alias("k"))
+    letters = r.select("t", F.explode(F.array_distinct(F.split("t", ""))).alias("k"))
     in_short = letters.join(short, "k").where("contains(t, s)")
-    every = in_title.select("record_id", "path", "s").unionByName(in_name.select("record_id", "path", "s")).unionByName(in_short.select("record_id", "path", "s")).unionByName(of_short.select("record_id", "path", "s"))
-    return every.groupBy("record_id").agg(F.max(F.struct(F.char_length("s").alias("n"), "path")).alias("x")).select("record_id", "x.path")
+    every = in_name.select("t", "number")
+    for found in (in_title, of_low, in_short, of_short):
+        every = every.unionByName(found.select("t", "number"))
+    best = titled.join(every.groupBy("t").agg(F.max("number").alias("number")), "t").groupBy("record_id").agg(F.max("number").alias("number"))
+    return best.join(ranked.select("number", "path"), "number").select("record_id", "path")
 
 
 # evidence

@@ -25,3 +25,16 @@ def test_rounds_have_a_session_of_their_size(spark):
     few = storage.in_rounds(held, 10)
     assert few.sparkSession.conf.get("spark.sql.shuffle.partitions") == "1" and few.count() == 10
     assert storage.in_rounds(held, storage.MANY_ROWS) is held
+
+
+def test_equal_titles_and_names_are_looked_for_once(spark, monkeypatch):
+    from litweave.operators import ledgers
+
+    tables = []
+    monkeypatch.setattr(ledgers, "hold", lambda df: tables.append(storage.hold(df)) or tables[-1])
+    long, short = "a long title about the growth of joins in tables of copies", "growth"
+    r = spark.createDataFrame([(i, long if i % 2 else short) for i in range(40)], "record_id long, title string")
+    f = spark.createDataFrame([(f"p{i:02}", "title about the growth" if i % 2 else "why growth of joins matters") for i in range(40)], "path string, stem string")
+    got = {x["record_id"]: x["path"] for x in ledgers.best_fulltexts(r, f).collect()}
+    assert got == {i: "p39" if i % 2 else "p38" for i in range(40)}
+    assert sorted(t.count() for t in tables) == [1, 2, 2, 40]
