@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 from html.entities import name2codepoint
 
 import pandas as pd
@@ -83,9 +84,16 @@ def language_class(c: Column) -> Column:
 def normalize_ascii(c: Column) -> Column:
     """Lower case, plain dashes, one spelling, single spaces; for text in ASCII the same as with compatibility folding."""
     out = F.regexp_replace(F.lower(c), r"[‐-―]", "-")
-    for a, b in VARIANTS:
-        out = F.regexp_replace(out, rf"\b{a}\b", b)
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+
+    def one_spelling(t: Column) -> Column:
+        same = t
+        for a, b in VARIANTS:
+            same = F.regexp_replace(same, rf"\b{a}\b", b)
+        # a text without any of the variants stays as it is, and most have none
+        return F.when(reduce(Column.__or__, [F.contains(t, F.lit(a)) for a, _ in VARIANTS]), same).otherwise(t)
+
+    out = F.get(F.transform(F.array(out), one_spelling), F.lit(0))
+    return F.trim(F.regexp_replace(out, r" \s+|[^\S ]\s*", " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -105,9 +113,10 @@ def strip_markup(c: Column) -> Column:
 
 def language_tokens(c: Column) -> Column:
     """Latin words of two letters or more and pairs of neighbouring CJK characters, without stop words."""
+    # a chunk is of one kind, and only those of letters begin with a to z
     chunks = F.regexp_extract_all(normalize_ascii(c), F.lit(rf"[a-z][a-z0-9-]+|[{CJK}]+"), F.lit(0))
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
-    parts = F.flatten(F.transform(chunks, lambda w: F.when(w.rlike(f"[{CJK}]"), pairs(w)).otherwise(F.array(w))))
+    parts = F.flatten(F.transform(chunks, lambda w: F.when(w >= "{", pairs(w)).otherwise(F.array(w))))
     return F.filter(parts, lambda w: ~w.isin(*STOP) & (F.char_length(w) > 1))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOP
 from ..storage import hold, let_go, summed
-from .textmining import tfidf
+from .textmining import spread, term_rows
 
 SEEDS, BOOTSTRAP_SEED, DRAWN = (73, 101, 151), 173, 0.8
 PASSES, TOLERANCE, INNER = 80, 1e-4, 12
@@ -70,13 +70,15 @@ class Matrix:
     @classmethod
     def of(cls, docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000, cut: Callable[[str], list[str]] | None = None) -> Matrix:
         """TF-IDF of the documents that have any term; with at least 20 documents a term is in two or more."""
-        n = docs.where(F.col(tokens).rlike(r"\S") if cut else F.size(tokens) > 0).count()
-        w = hold(tfidf(docs, tokens, low=low, high=high, most_features=most_features, min_df=2 if n >= 20 else 1, digits=12, cut=cut))
-        terms = sorted(r["term"] for r in w.select("term").distinct().collect())
-        place = docs.sparkSession.createDataFrame(list(enumerate(terms)), "number int, term string")
-        rows = w.join(F.broadcast(place), "term").groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("number", "weight"))).alias("x"))
-        rows = hold(rows.select("record_id", F.col("x.number").alias("at"), F.col("x.weight").alias("weight")))
-        let_go(w)
+        held = spread(docs.select("record_id", F.col(tokens).alias("t")))
+        n = held.where(F.col("t").rlike(r"\S") if cut else F.size("t") > 0).count()
+        terms, rows = term_rows(held, "t", low=low, high=high, most_features=most_features, min_df=2 if n >= 20 else 1, cut=cut)
+        # rows that share an id are one; a row alone has its terms in order already
+        same = rows.groupBy("record_id").agg(F.collect_list(F.struct("at", "weight")).alias("x"))
+        every = F.array_sort(F.flatten(F.transform("x", lambda r: F.arrays_zip(r["at"].alias("at"), r["weight"].alias("weight")))))
+        x = F.when(F.size("x") == 1, F.get(F.col("x"), F.lit(0))).otherwise(F.struct(F.transform(every, lambda e: e["at"]).alias("at"), F.transform(every, lambda e: e["weight"]).alias("weight")))
+        rows = hold(same.select("record_id", x.alias("x")).select("record_id", "x.at", "x.weight"))
+        let_go(held)
         return cls(rows, terms, rows.count())
 
     def dense(self, pdf: pd.DataFrame) -> np.ndarray:
@@ -429,6 +431,29 @@ def first_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray
     return np.array(c)
 
 
+def moved(z: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """The sums and sizes of the groups nearest to which the points ``z`` are, then the losses, of many fits at once: ``sets`` are arrays (groups, fits, dims).
+
+    Points meet all centres in one product and their groups' sums are another. Ties go to the first group.
+    """
+    flat = np.vstack([c.reshape(-1, z.shape[1]) for c in sets])
+    d = z @ (-2 * flat).T
+    d += (flat * flat).sum(axis=1)
+    own, square = np.empty_like(d), (z * z).sum(axis=1)[:, None]
+    losses, at = [], 0
+    for k, fits, _ in (c.shape for c in sets):
+        shape, upto = (len(z), k, fits), at + k * fits
+        by = d[:, at:upto].reshape(shape)
+        least = by.min(axis=1)
+        same = by == least[:, None]
+        if np.count_nonzero(same) > len(z) * fits:
+            same = np.arange(k)[None, :, None] == by.argmin(axis=1)[:, None]
+        own[:, at:upto] = same.reshape(len(z), -1)
+        losses.append(np.maximum(least + square, 0).sum(axis=0))
+        at = upto
+    return np.concatenate([(own.T @ z).ravel(), own.sum(axis=0), *losses])
+
+
 def clusters(docs: DataFrame, tokens: str, *, low: int = 2, high: int = 10, passes: int = 40, restarts: int = RESTARTS) -> Clusters:
     """k-means on the term matrix reduced to at most MOST_DIMENSIONS unit vectors, with the number of groups of the best score.
 
@@ -457,25 +482,27 @@ def clusters(docs: DataFrame, tokens: str, *, low: int = 2, high: int = 10, pass
     centres = {(k, s, i): first_centres(few, k, np.random.default_rng([s, k, i])) for k in ks for s in KMEANS_SEEDS for i in range(restarts)}
     open_, losses = list(centres), {}
     for _ in range(passes):
-        sizes = [len(centres[n]) * (dims + 1) + 1 for n in open_]
-
-        def run(pdf: pd.DataFrame, open_: list = open_) -> np.ndarray:
-            z, out = np.stack(pdf["z"]), []
-            for n in open_:
-                c = centres[n]
-                d = (z * z).sum(axis=1)[:, None] - 2 * z @ c.T + (c * c).sum(axis=1)[None, :]
-                own = np.eye(len(c))[d.argmin(axis=1)]
-                out += [np.column_stack([own.T @ z, own.sum(axis=0)]).ravel(), [np.maximum(d.min(axis=1), 0).sum()]]
-            return np.concatenate(out)
-
-        got = np.split(summed(points, run, sum(sizes)), np.cumsum(sizes)[:-1])
-        still = []
-        for n, own in zip(open_, got, strict=True):
-            t = own[:-1].reshape(-1, dims + 1)
-            new = np.where(t[:, -1:] > 0, t[:, :-1] / np.maximum(t[:, -1:], 1), centres[n])
-            if n not in losses or own[-1] < losses[n] * (1 - 1e-6) or ((new - centres[n]) ** 2).sum() > 1e-8:
-                still.append(n)
-            losses[n], centres[n] = own[-1], new
+        # the fits of one number of groups are one array (groups, fits, dims)
+        named = {k: [n for n in open_ if n[0] == k] for k in ks}
+        sets = [np.stack([centres[n] for n in names], axis=1) for names in named.values() if names]
+        total = sum(c.shape[0] * c.shape[1] for c in sets)
+
+        def run(pdf: pd.DataFrame, sets: list = sets) -> np.ndarray:
+            return moved(np.stack(pdf["z"]), sets)
+
+        got = summed(points, run, total * (dims + 1) + len(open_))
+        own_sums, own_sizes, own_losses = np.split(got, [total * dims, total * (dims + 1)])
+        still, at, fit = [], 0, 0
+        for c, names in zip(sets, filter(None, named.values()), strict=True):
+            upto = at + c.shape[0] * c.shape[1]
+            t, n_own = own_sums[at * dims : upto * dims].reshape(c.shape), own_sizes[at:upto].reshape(*c.shape[:2], 1)
+            new = np.where(n_own > 0, t / np.maximum(n_own, 1), c)
+            for j, n in enumerate(names):
+                loss = own_losses[fit + j]
+                if n not in losses or loss < losses[n] * (1 - 1e-6) or ((new[:, j] - centres[n]) ** 2).sum() > 1e-8:
+                    still.append(n)
+                losses[n], centres[n] = loss, new[:, j]
+            at, fit = upto, fit + len(names)
         if not (open_ := still):
             break
     best = {(k, s): centres[min(((k, s, i) for i in range(restarts)), key=lambda n: (losses[n], n))] for k in ks for s in KMEANS_SEEDS}

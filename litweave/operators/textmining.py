@@ -6,7 +6,9 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..storage import hold
 MOST_COUNTED, MOST_ROWS = 200_000, 50_000
 #: Most frequent words whose terms give a bound on how frequent terms must be; most words that tasks are told to be frequent.
 PROBED, MOST_FREQUENT = 20_000, 500_000
+#: Tokens whose n-grams are numbered at a time; a row of more is taken alone.
+MOST_TOKENS = 400_000
 
 
 def grams(tokens: list[str], low: int, high: int, frequent: set[str] | None = None) -> list[str]:
@@ -47,8 +51,51 @@ def rows_of(column: pa.Array, cut: Callable[[str], list[str]] | None) -> Iterato
         yield [] if own is None else cut(own) if cut else own
 
 
+def portions(lists: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(place of the first row, rows) of portions of lists of tokens, each of at most MOST_TOKENS or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(lists):
+        before = upto[at - 1] if at else 0
+        end = max(int(np.searchsorted(upto, before + MOST_TOKENS, side="right")), at + 1)
+        yield at, lists.slice(at, end - at)
+        at = end
+
+
+def numbered_grams(lists: pa.Array, low: int, high: int, frequent: pa.Array | None = None) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """``grams`` of all rows of ``lists`` at once: for each number of words (names, row, number), a row and the number of a name for each place."""
+    rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    words = lists.flatten().dictionary_encode()
+    distinct, code = words.dictionary, pc.fill_null(words.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    good = code >= 0
+    if frequent is not None and len(distinct):
+        good &= pc.is_in(distinct, value_set=frequent.cast(distinct.type)).to_numpy(zero_copy_only=False)[code]
+    at = np.flatnonzero(good)
+    names, number = distinct, code[at]
+    for n in range(1, high + 1):
+        if n > 1:
+            last = np.minimum(at + n - 1, max(len(code) - 1, 0))
+            on = (at + n - 1 < len(code)) & good[last] & (rows[last] == rows[at])
+            at, last = at[on], last[on]
+            found, number = np.unique(number[on] * len(distinct) + code[last], return_inverse=True)
+            names = pc.binary_join_element_wise(names.take(pa.array(found // max(len(distinct), 1))), distinct.take(pa.array(found % max(len(distinct), 1))), pa.scalar(" ", distinct.type))
+        if n >= low:
+            yield names, rows[at], number
+
+
 def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set[str] | None, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up MOST_COUNTED terms first, whatever the size of a batch."""
+    """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up MOST_COUNTED terms, or those of MOST_TOKENS tokens, first, whatever the size of a batch."""
+    told = None if frequent is None or cut else pa.array(sorted(frequent), pa.string())
+
+    def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lists in portions(batch.column(0)):
+                for names, row, number in numbered_grams(lists, low, high, told):
+                    k = len(names)
+                    cf = np.bincount(number, minlength=k)
+                    df = np.bincount(np.unique(row * k + number) % max(k, 1), minlength=k)
+                    some = np.flatnonzero(cf)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(some)).cast(pa.string()), pa.array(df[some], pa.int64()), pa.array(cf[some], pa.int64())], ["term", "df", "cf"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cf: Counter = Counter()
@@ -65,7 +112,7 @@ def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set
                     df.clear()
         yield flush()
 
-    return docs.select(F.col(tokens).alias("t")).mapInArrow(run, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    return docs.select(F.col(tokens).alias("t")).mapInArrow(run if cut else by_number, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def vocabulary(docs: DataFrame, tokens: str, low: int, high: int, most: int, min_df: int, max_df: float, cut: Callable[[str], list[str]] | None = None) -> dict[str, float]:
@@ -129,6 +176,44 @@ def tfidf(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_fea
     return out.select("record_id", "term", F.round("weight", digits).alias("weight"))
 
 
+def term_rows(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most_features: int = 4000, min_df: int = 2, max_df: float = 0.97, digits: int = 12, cut: Callable[[str], list[str]] | None = None) -> tuple[list[str], DataFrame]:
+    """The terms in order, and the rows (record_id, at, weight) of sublinear ``tfidf`` by the numbers of terms, of held ``docs``; rows without a term are left out."""
+    idf = vocabulary(docs, tokens, low, high, most_features, min_df, max_df, cut)
+    terms = sorted(idf)
+    place = {t: i for i, t in enumerate(terms)}
+    weights = np.array([idf[t] for t in terms])
+    frequent = {w for t in idf for w in t.split(" ")} if high > 1 else set(idf)
+    listed, told = pa.array(terms, pa.string()), pa.array(sorted(frequent), pa.string())
+
+    def entries(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Row and term of each place that has a term."""
+        if cut:
+            found = [[place[x] for x in grams(t, low, high, frequent) if x in place] for t in rows_of(lists, cut)]
+            return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([x for f in found for x in f], dtype=np.int64)
+        rows, ats = [], []
+        for names, row, number in numbered_grams(lists, low, high, told):
+            term = pc.fill_null(pc.index_in(names, value_set=listed.cast(names.type)), -1).to_numpy(zero_copy_only=False)[number].astype(np.int64)
+            rows.append(row[term >= 0])
+            ats.append(term[term >= 0])
+        return np.concatenate(rows), np.concatenate(ats)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            for first, lists in ((i, column.slice(i, 64)) for i in range(0, len(column), 64)) if cut else portions(column):
+                row, at = entries(lists)
+                both, count = np.unique(row * len(terms) + at, return_counts=True)
+                row, at = both // max(len(terms), 1), both % max(len(terms), 1)
+                w = (1 + np.log(count)) * weights[at]
+                w = np.round(w / np.sqrt(np.bincount(row, w * w, minlength=len(lists)))[row], digits)
+                own, size = np.unique(row, return_counts=True)
+                ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + own, pa.int64())), pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(w, pa.float64()))], ["record_id", "at", "weight"])
+
+    kind = docs.schema["record_id"].dataType.simpleString()
+    return terms, docs.select("record_id", tokens).mapInArrow(run, f"record_id {kind}, at array<int>, weight array<double>")
+
+
 def preprocessing_audit(docs: DataFrame, text: Column, normal: Column, tokens: Column) -> DataFrame:
     return docs.select("record_id", text.rlike("[一-鿿]").alias("contains_cjk"), F.char_length(text).cast("long").alias("raw_characters"), F.char_length(normal).cast("long").alias("normalized_characters"), F.size(tokens).cast("long").alias("tokens"), F.array_join(F.slice(tokens, 1, 30), " ").alias("first_tokens"))
 
