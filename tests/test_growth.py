@@ -95,3 +95,22 @@ def test_fits_that_move_together_move_as_alone():
         sizes.append(own.sum(axis=0).ravel())
         losses.append(d.min(axis=1).sum(axis=0))
     assert np.allclose(modeling.moved(z, sets), np.concatenate([*sums, *sizes, *losses]))
+
+
+def test_merged_partitions_are_bounded_where_there_are_many(spark, sf, monkeypatch):
+    from litweave.plans import adapters
+
+    merged = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(adapters, "PART_BYTES", 1 << 12)
+    try:
+        spark.conf.unset(merged)
+        spark.conf.set("spark.sql.shuffle.partitions", 100_000)
+        adapters.table(spark, sf, "lineitem")
+        assert spark.conf.get(merged) == f"{1 << 12}b" and spark.conf.get("spark.sql.shuffle.partitions") == "100000"
+        spark.conf.set(merged, "1k")  # a size that is set stays
+        adapters.table(spark, sf, "lineitem")
+        assert spark.conf.get(merged) == "1k"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(merged)
