@@ -41,3 +41,45 @@ def test_participation_is_that_of_all_authors(spark, tmp_path):
     assert [x[:2] for x in got] == [x[:2] for x in want]
     for g, w in zip(got, want, strict=True):
         assert g[2:] == pytest.approx(w[2:], abs=2e-6)
+
+
+def test_betweenness_is_that_of_all_citations(spark, sf):
+    """Brandes' sums in plain loops, over more than the 250 nodes of a backbone."""
+    o, lines = (pd.read_parquet(f"{sf}/{t}.parquet") for t in ("orders", "lineitem"))
+    known = set(o["o_orderkey"])
+    out = {}
+    for a, b in zip(lines["l_orderkey"].tolist(), lines["l_partkey"].tolist(), strict=True):
+        if b in known and a != b:
+            out.setdefault(a, set()).add(b)
+    want = dict.fromkeys({*out, *(b for x in out.values() for b in x)}, 0.0)
+    for s in out:
+        ways, before, order, level = {s: 1.0}, {}, [], [s]
+        while level:
+            order += level
+            new = {}
+            for v in level:
+                for w in out.get(v, ()):
+                    if w not in ways:
+                        new[w] = new.get(w, 0) + ways[v]
+                        before.setdefault(w, []).append(v)
+            ways |= new
+            level = list(new)
+        behind = dict.fromkeys(order, 0.0)
+        for w in order[:0:-1]:
+            for v in before[w]:
+                behind[v] += ways[v] / ways[w] * (1 + behind[w])
+            want[w] += behind[w]
+    n = len(want)
+    assert n > 1000
+    got = {x["record_id"]: x["betweenness"] for x in QUERIES["g04_directed_betweenness"](spark, sf).collect()}
+    assert got.keys() == want.keys() and [got[k] for k in want] == pytest.approx([v / ((n - 1) * (n - 2)) for v in want.values()], abs=2e-6)
+
+
+def test_betweenness_does_not_depend_on_batches(spark, monkeypatch):
+    from litweave.operators import graphs, vertices
+
+    r = random.Random(4)
+    e = spark.createDataFrame([(r.randrange(40), r.choice([3, r.randrange(40)])) for _ in range(160)], "source_id long, target_id long")
+    want = graphs.directed_betweenness(e).collect()
+    monkeypatch.setattr(vertices, "PART", 4)  # several parts of a node
+    assert sorted(graphs.directed_betweenness(e, batch=15).collect()) == sorted(want) and max(x["betweenness"] for x in want) > 0
