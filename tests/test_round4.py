@@ -83,3 +83,11 @@ def test_betweenness_does_not_depend_on_batches(spark, monkeypatch):
     want = graphs.directed_betweenness(e).collect()
     monkeypatch.setattr(vertices, "PART", 4)  # several parts of a node
     assert sorted(graphs.directed_betweenness(e, batch=15).collect()) == sorted(want) and max(x["betweenness"] for x in want) > 0
+
+
+def test_random_graphs_are_drawn_for_networks_of_any_size(spark):
+    from litweave.operators import vertices
+
+    ring = spark.createDataFrame([("x", str(i), str((i + k) % 5_200), 1.0) for i in range(5_200) for k in (1, 2)], "network string, a string, b string, weight double")
+    r = vertices.sensitivity(ring, levels=(1,), runs=2).first()
+    assert (r["nodes"], r["edges"], r["clustering"], r["null_runs"]) == (5_200, 10_400, 0.5, 2) and 0 <= r["null_mean"] < 0.01 and r["null_z"] > 10
