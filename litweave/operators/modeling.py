@@ -171,9 +171,6 @@ class Factors:
     passes: int = 0
     converged: bool = False
 
-    def weights(self, ids: pd.Series) -> np.ndarray:
-        return np.ones(len(ids)) if self.run < 0 else draws(ids, self.run)
-
     def step(self, sums: np.ndarray) -> None:
         k, width = self.h.shape
         loss, a, b = sums[0], sums[1 : 1 + k * k].reshape(k, k), sums[1 + k * k :].reshape(k, width)
@@ -197,13 +194,14 @@ def factorise(matrix: Matrix, fits: list[Factors], passes: int = PASSES) -> None
         def run(pdf: pd.DataFrame, open_: list[Factors] = open_) -> np.ndarray:
             x = dense(pdf, width)
             ws = weights_of(x, [f.h for f in open_])
-            counted = [w * f.weights(pdf["record_id"])[:, None] for f, w in zip(open_, ws, strict=True)]
+            times = {r: np.ones(len(pdf)) if r < 0 else draws(pdf["record_id"], r) for r in {f.run for f in open_}}
+            counted = [w * times[f.run][:, None] for f, w in zip(open_, ws, strict=True)]
             onto = np.split(np.hstack(counted).T @ x, np.cumsum([len(f.h) for f in open_])[:-1], axis=0)
             own = (x * x).sum(axis=1)
             out = []
             for f, w, c, b in zip(open_, ws, counted, onto, strict=True):
                 # |x - wH|^2 from products that are there already
-                n = f.weights(pdf["record_id"])
+                n = times[f.run]
                 a = c.T @ w
                 out += [[(n * own).sum() - 2 * (b * f.h).sum() + (a * (f.h @ f.h.T)).sum()], a.ravel(), b.ravel()]
             return np.concatenate(out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,9 @@ from ..storage import hold
 MOST_COUNTED, MOST_ROWS = 200_000, 50_000
 #: Most frequent words whose terms give a bound on how frequent terms must be; most words that tasks are told to be frequent.
 PROBED, MOST_FREQUENT = 20_000, 500_000
+#: Lengths of the runs of characters that are terms where texts are cut; bits of a character's code and of a row in the number of a run.
+LETTERS, CODE_BITS, ROW_BITS = (3, 5), 11, 6
+_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
 #: Tokens whose n-grams are numbered at a time; a row of more is taken alone.
 MOST_TOKENS = 400_000
 
@@ -83,8 +87,101 @@ def numbered_grams(lists: pa.Array, low: int, high: int, frequent: pa.Array | No
             yield names, rows[at], number
 
 
+class Runs:
+    """Runs of LETTERS characters within words that have a space on either side, as numbers that hold the characters' codes and the row.
+
+    ``terms`` fix the characters that have codes; else each new one has. There is room for 2 ** CODE_BITS - 1 of them.
+    """
+
+    def __init__(self, terms: list[str] | None = None) -> None:
+        self.grows, self.known, self.code = terms is None, [0], np.zeros(0x110000, np.int64)
+        if terms is not None:
+            self.meet(np.unique(self.characters("".join(terms))))
+
+    @staticmethod
+    def characters(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def meet(self, characters: np.ndarray) -> None:
+        new = characters[self.code[characters] == 0]
+        self.code[new] = np.arange(len(self.known), len(self.known) + len(new))
+        self.known += new.tolist()
+
+    @property
+    def full(self) -> bool:
+        return len(self.known) > 1 << CODE_BITS
+
+    def of(self, texts: pa.Array) -> np.ndarray | None:
+        """For each run in up to 2 ** ROW_BITS texts its number, shifted by ROW_BITS, and the row; None where there are too many characters."""
+        flat = self.characters("\n".join([f" {' '.join(filter(None, _SPACES.split(t or '')))} " for t in texts.to_pylist()]))
+        if self.grows:
+            self.meet(np.unique(flat))
+        if self.full:
+            return None
+        code, end = self.code[flat], flat == 10
+        row, some = np.cumsum(end), (code > 0) & ~end
+        letter, out = some & (flat != 32), []
+        for k in range(LETTERS[0], LETTERS[1] + 1):
+            n = max(len(flat) - k + 1, 0)
+            at = np.flatnonzero(np.logical_and.reduce([some[:n], some[k - 1 : k - 1 + n], *[letter[j : j + n] for j in range(1, k - 1)]]))
+            out.append(self.packed([code[at + j] for j in range(k)]) << ROW_BITS | row[at])
+        return np.concatenate(out)
+
+    @staticmethod
+    def packed(codes: list[np.ndarray]) -> np.ndarray:
+        return sum(c << CODE_BITS * j for j, c in enumerate(codes))
+
+    def numbers(self, terms: list[str]) -> np.ndarray:
+        codes = np.zeros((len(terms), LETTERS[1]), np.int64)
+        for i, t in enumerate(terms):
+            codes[i, : len(t)] = self.code[[ord(c) for c in t]]
+        return self.packed(list(codes.T))
+
+    def names(self, numbers: np.ndarray) -> pa.Array:
+        codes = np.stack([numbers >> CODE_BITS * j & (1 << CODE_BITS) - 1 for j in range(LETTERS[1])], axis=1)
+        texts = np.array(self.known, np.uint32)[codes].view(f"<U{LETTERS[1]}").ravel().tolist()
+        # a text's own last zeros are lost in an array of texts
+        return pa.array([t.ljust(n, "\0") for t, n in zip(texts, (codes > 0).sum(axis=1).tolist(), strict=True)], pa.string())
+
+
+class RunCounts:
+    """Numbers of rows and of places of runs, added up over portions."""
+
+    def __init__(self) -> None:
+        self.runs, self.parts = Runs(), []
+
+    def add(self, found: np.ndarray) -> None:
+        own, times = np.unique(found, return_counts=True)
+        number = own >> ROW_BITS
+        first = np.flatnonzero(np.diff(number, prepend=-1))
+        if len(first):
+            self.parts.append((number[first], np.diff(first, append=len(number)), np.add.reduceat(times, first)))
+        if sum(len(p[0]) for p in self.parts[1:]) > MOST_COUNTED:
+            self.parts = [self.total()]
+
+    def total(self) -> tuple[np.ndarray, ...]:
+        number, df, cf = (np.concatenate([np.zeros(0, np.int64), *[p[i] for p in self.parts]]) for i in range(3))
+        distinct, at = np.unique(number, return_inverse=True)
+        return distinct, *[np.bincount(at, x, minlength=len(distinct)).astype(np.int64) for x in (df, cf)]
+
+    def batch(self) -> pa.RecordBatch:
+        number, df, cf = self.total()
+        return pa.RecordBatch.from_arrays([self.runs.names(number), pa.array(df), pa.array(cf)], ["term", "df", "cf"])
+
+
+def cut_portions(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """``portions`` of texts, each of at most 2 ** ROW_BITS rows, and of MOST_TOKENS characters or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        before = upto[at - 1] if at else 0
+        end = min(max(int(np.searchsorted(upto, before + MOST_TOKENS, side="right")), at + 1), at + (1 << ROW_BITS))
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
 def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set[str] | None, cut: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up MOST_COUNTED terms, or those of MOST_TOKENS tokens, first, whatever the size of a batch."""
+    """(term, df, cf): numbers of documents that have each n-gram, and of its places. Tasks add up MOST_COUNTED terms, or those of MOST_TOKENS tokens, first, whatever the size of a batch. With ``cut`` the terms are the runs of a text, which ``Runs`` counts; it cuts texts of more characters than there are codes."""
     told = None if frequent is None or cut else pa.array(sorted(frequent), pa.string())
 
     def by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,19 +195,22 @@ def term_counts(docs: DataFrame, tokens: str, low: int, high: int, frequent: set
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(some)).cast(pa.string()), pa.array(df[some], pa.int64()), pa.array(cf[some], pa.int64())], ["term", "df", "cf"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cf: Counter = Counter()
-        df: Counter = Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(cf), pa.string()), pa.array([df[x] for x in cf], pa.int64()), pa.array(list(cf.values()), pa.int64())], ["term", "df", "cf"])
+        counts = RunCounts()
         for batch in batches:
-            for t in rows_of(batch.column(0), cut):
-                own = Counter(grams(t, low, high, frequent))
-                cf.update(own)
-                df.update(own.keys())
-                if len(cf) > MOST_COUNTED:
-                    yield flush()
-                    cf.clear()
-                    df.clear()
-        yield flush()
+            for _, texts in cut_portions(batch.column(0)):
+                found = counts.runs.of(texts)
+                if found is None or counts.parts and len(counts.parts[0][0]) > MOST_COUNTED:
+                    yield counts.batch()
+                    counts = RunCounts()
+                    found = counts.runs.of(texts)
+                if found is not None:
+                    counts.add(found)
+                    continue
+                for t in rows_of(texts, cut):  # more characters than there are codes
+                    own = Counter(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([1] * len(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["term", "df", "cf"])
+                counts = RunCounts()
+        yield counts.batch()
 
     return docs.select(F.col(tokens).alias("t")).mapInArrow(run if cut else by_number, "term string, df bigint, cf bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
@@ -188,8 +288,8 @@ def term_rows(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most
     def entries(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Row and term of each place that has a term."""
         if cut:
-            found = [[place[x] for x in grams(t, low, high, frequent) if x in place] for t in rows_of(lists, cut)]
-            return np.repeat(np.arange(len(found)), [len(f) for f in found]), np.array([x for f in found for x in f], dtype=np.int64)
+            own = [[place[x] for x in t if x in place] for t in rows_of(lists, cut)]
+            return np.repeat(np.arange(len(own)), [len(f) for f in own]), np.array([x for f in own for x in f], dtype=np.int64)
         rows, ats = [], []
         for names, row, number in numbered_grams(lists, low, high, told):
             term = pc.fill_null(pc.index_in(names, value_set=listed.cast(names.type)), -1).to_numpy(zero_copy_only=False)[number].astype(np.int64)
@@ -198,11 +298,23 @@ def term_rows(docs: DataFrame, tokens: str, *, low: int = 1, high: int = 3, most
         return np.concatenate(rows), np.concatenate(ats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = Runs(terms) if cut else None
+        numbers = runs.numbers(terms) if cut and not runs.full else np.zeros(0, np.int64)
+        order = np.argsort(numbers)
         for batch in batches:
             column = batch.column(1)
-            for first, lists in ((i, column.slice(i, 64)) for i in range(0, len(column), 64)) if cut else portions(column):
-                row, at = entries(lists)
-                both, count = np.unique(row * len(terms) + at, return_counts=True)
+            for first, lists in cut_portions(column) if cut else portions(column):
+                if cut and len(numbers):
+                    found = runs.of(lists)
+                    place_of = np.minimum(np.searchsorted(numbers, found >> ROW_BITS, sorter=order), len(numbers) - 1)
+                    term = order[place_of]
+                    good = numbers[term] == found >> ROW_BITS
+                    every = np.bincount((found[good] & (1 << ROW_BITS) - 1) * len(terms) + term[good], minlength=1)
+                    both = np.flatnonzero(every)
+                    count = every[both]
+                else:
+                    row, at = entries(lists)
+                    both, count = np.unique(row * len(terms) + at, return_counts=True)
                 row, at = both // max(len(terms), 1), both % max(len(terms), 1)
                 w = (1 + np.log(count)) * weights[at]
                 w = np.round(w / np.sqrt(np.bincount(row, w * w, minlength=len(lists)))[row], digits)

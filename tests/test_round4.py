@@ -91,3 +91,85 @@ def test_random_graphs_are_drawn_for_networks_of_any_size(spark):
     ring = spark.createDataFrame([("x", str(i), str((i + k) % 5_200), 1.0) for i in range(5_200) for k in (1, 2)], "network string, a string, b string, weight double")
     r = vertices.sensitivity(ring, levels=(1,), runs=2).first()
     assert (r["nodes"], r["edges"], r["clustering"], r["null_runs"]) == (5_200, 10_400, 0.5, 2) and 0 <= r["null_mean"] < 0.01 and r["null_z"] > 10
+
+
+def plain_runs(texts):
+    from collections import Counter
+
+    from litweave.operators.modeling import cut_grams
+
+    cf, df = Counter(), Counter()
+    for t in texts:
+        own = Counter(cut_grams(t or ""))
+        cf.update(own)
+        df.update(own.keys())
+    return {x: (df[x], cf[x]) for x in cf}
+
+
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_runs_of_letters_are_counted_by_numbers(spark, monkeypatch, most):
+    """Texts are not cut one by one; with few terms at a time nothing is lost."""
+    from litweave.operators import textmining
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcdé一  \t\n\x00") for _ in range(r.randrange(90))) for _ in range(150)] + ["", None, "a", " \n ", "\x00\x00 a\x00"]
+    monkeypatch.setattr(textmining, "MOST_COUNTED", most)
+    rows = [x for batch in textmining_batches(textmining, texts, None) for x in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+    assert added(rows) == plain_runs(texts)
+
+
+def test_runs_of_more_characters_than_codes(spark, monkeypatch):
+    from litweave.operators import textmining
+    from litweave.operators.modeling import cut_grams
+
+    monkeypatch.setattr(textmining, "CODE_BITS", 3)
+    monkeypatch.setattr(textmining, "MOST_TOKENS", 12)
+    texts = ["abc abd", "aecd fgh", "ijk lm", "abc defghi jkl", "abcd"]
+    rows = [x for batch in textmining_batches(textmining, texts, cut_grams) for x in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+    assert added(rows) == plain_runs(texts)
+
+
+def textmining_batches(textmining, texts, cut):
+    import pyarrow as pa
+
+    def never(text):
+        raise AssertionError(text)
+
+    class Docs:
+        """What a task of ``term_counts`` is given."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.batches = list(run([pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["t"]) for some in (texts[:7], texts[7:])]))
+            return self
+
+        groupBy = agg = select
+
+    docs = Docs()
+    textmining.term_counts(docs, "t", 1, 1, None, cut or never)
+    return docs.batches
+
+
+def added(rows):
+    out = {}
+    for x, df, cf in rows:
+        before = out.get(x, (0, 0))
+        out[x] = (before[0] + df, before[1] + cf)
+    return out
+
+
+def test_rows_of_runs(spark):
+    from collections import Counter
+
+    from litweave.operators import modeling
+
+    r = random.Random(3)
+    texts = {i: " ".join("".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(r.randrange(30))) for i in range(120)}
+    m = modeling.Matrix.of(spark.createDataFrame(list(texts.items()), "record_id long, letters string"), "letters", high=1, cut=modeling.cut_grams, most_features=60)
+    want = {i: Counter(x for x in modeling.cut_grams(t) if x in m.terms) for i, t in texts.items()}
+    got = {x["record_id"]: x for x in m.rows.collect()}
+    assert len(m.terms) == 60 and got.keys() == {i for i, c in want.items() if c}
+    for i, x in got.items():
+        assert [m.terms[a] for a in x["at"]] == sorted(want[i]) and sum(w * w for w in x["weight"]) == pytest.approx(1)
