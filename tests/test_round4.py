@@ -173,3 +173,19 @@ def test_rows_of_runs(spark):
     assert len(m.terms) == 60 and got.keys() == {i for i, c in want.items() if c}
     for i, x in got.items():
         assert [m.terms[a] for a in x["at"]] == sorted(want[i]) and sum(w * w for w in x["weight"]) == pytest.approx(1)
+
+
+def test_pairs_are_counted_where_their_record_is(spark):
+    """What is shuffled is lists of records by reference; pairs are not."""
+    from collections import Counter
+    from itertools import combinations
+
+    from litweave.operators import networks
+
+    r = random.Random(6)
+    refs = {i: [r.randrange(12) for _ in range(r.randrange(5))] + [99] for i in range(40)}
+    found = networks.bibliographic_coupling(spark.createDataFrame(list(refs.items()), "record_id long, refs array<long>"), block=3)
+    want = Counter((a, b) for ref in {x for v in refs.values() for x in v} for a, b in combinations(sorted(i for i, v in refs.items() if ref in v), 2))
+    assert {(x["record_a"], x["record_b"]): x["shared_references"] for x in found.collect()} == want
+    exchanges = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(" in x]
+    assert exchanges and not any("record_a" in x and "record_b" in x for x in exchanges)
